@@ -8,6 +8,7 @@ from .registry import ORACLE, QUERIES
 
 _MODULES = [
     "quality_queries",
+    "association_queries",
 ]
 
 
