@@ -9,6 +9,7 @@ from .registry import ORACLE, QUERIES
 _MODULES = [
     "quality_queries",
     "association_queries",
+    "profile_queries",
 ]
 
 
