@@ -297,3 +297,41 @@ def atlp_summary(df: DataFrame, numeric: list[str], binary: list[str], categoric
         "tlp_polarity", "tlp_color_basis", "tlp_color_hex", "atlp_darkening", "atlp_uncertainty_clipped",
         "atlp_color_hex", "uncertainty", "confidence",
     ).orderBy(F.asc_nulls_last("severity_rank"), "cluster", "variable_type", "variable")
+
+
+def older_uncertainty(df: DataFrame, numeric: list[str], cluster: str = "cluster") -> DataFrame:
+    """AG-36: the earlier release's numeric uncertainty per cluster × variable."""
+    per = df.groupBy(F.col(cluster).alias("cluster")).agg(
+        *[F.stddev_samp(F.col(c).cast("double")).alias(f"sd__{c}") for c in numeric],
+        *[F.avg(F.col(c).cast("double")).alias(f"mean__{c}") for c in numeric],
+        *[F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q__{c}") for c in numeric],
+        *[F.min(F.col(c).cast("double")).alias(f"min__{c}") for c in numeric],
+        *[F.max(F.col(c).cast("double")).alias(f"max__{c}") for c in numeric],
+        *[F.countDistinct(c).alias(f"nd__{c}") for c in numeric],
+        *[F.count(c).alias(f"n__{c}") for c in numeric])
+    long = _melt_row(per, ["cluster"], numeric, {"sd": "double", "mean": "double", "q": "array<double>", "min": "double",
+                                                 "max": "double", "nd": "bigint", "n": "bigint"})
+    u = older_numeric_uncertainty(F.col("sd"), F.col("mean"), F.col("q")[1], F.col("q")[0], F.col("q")[2],
+                                  F.col("min"), F.col("max"), F.col("nd"), F.col("n"))
+    return long.select("cluster", "variable", u.alias("uncertainty"))
+
+
+def validated_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """JN-01: inner 1:1 join; raises if either side repeats a key or the result is empty.
+
+    The checks are two grouped counts (keys are hash-partitioned, map-side combined)."""
+    for side, name in ((left, "left"), (right, "right")):
+        if side.groupBy(key).count().where("count > 1").limit(1).count():
+            raise ValueError(f"{name} side repeats {key}")
+    joined = left.join(right, key, "inner")
+    if joined.limit(1).count() == 0:
+        raise ValueError("join of cohort and assignments is empty")
+    return joined
+
+
+def assignments(df: DataFrame, summary: DataFrame, id_cols: list[str], cluster: str = "cluster") -> DataFrame:
+    """JN-02 + SC-15: ids, row_id, cluster, label and the summary's severity rank
+    (left join to a one-row-per-cluster table)."""
+    keep = [c for c in id_cols if c in df.columns and c != "row_id"]
+    a = df.select(*keep, "row_id", F.col(cluster).alias("cluster")).withColumn("cluster_label", cluster_label(F.col("cluster")))
+    return a.join(F.broadcast(summary.select("cluster", "severity_rank")), "cluster", "left")

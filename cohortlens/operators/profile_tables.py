@@ -17,10 +17,11 @@ FEATURE_FAMILIES = {
                      "resp_rate_score", "resp_rate_max", "resp_rate_min", "heart_rate_max", "heart_rate_min", "hr_score"],
     "hemodynamic": ["mbp_score", "mbp_min", "mbp_max"],
     "severity": ["apsiii", "apsiii_prob", "sepsis3", "admission_age"],
-    # age also counts twice toward frailty
-    "frailty": ["admission_age", "admission_age"],
+    # each frailty member counts twice (see FAMILY_WEIGHT)
+    "frailty": ["admission_age"],
 }
 FAMILY_ORDER = ["renal_metabolic", "neurologic", "inflammatory", "hemodynamic", "severity", "frailty"]
+FAMILY_WEIGHT = {"frailty": 2}
 
 # Summary means quoted in the clinical snapshot, in order.
 SNAPSHOT_FEATURES = ["apsiii", "admission_age", "creatinine_max", "bun_max", "mbp_min", "temperature_max",
@@ -28,8 +29,8 @@ SNAPSHOT_FEATURES = ["apsiii", "admission_age", "creatinine_max", "bun_max", "mb
 
 
 def families_frame(spark: SparkSession, families: dict[str, list[str]] = FEATURE_FAMILIES) -> DataFrame:
-    rows = [(fam, feat) for fam, feats in families.items() for feat in feats]
-    return spark.createDataFrame(rows, "family string, variable string")
+    rows = [(fam, feat, FAMILY_WEIGHT.get(fam, 1)) for fam, feats in families.items() for feat in feats]
+    return spark.createDataFrame(rows, "family string, variable string, weight int")
 
 
 def categorical_context(atlp: DataFrame) -> DataFrame:
@@ -60,17 +61,18 @@ def top_feature_lists(profiles: DataFrame, top_n: int) -> DataFrame:
                         rendered.alias("rendered"))
 
 
-def family_votes(features: Column, families: DataFrame | None = None) -> Column:
+def family_votes(features: Column, families: dict[str, list[str]] | None = None) -> Column:
     """AG-39 (expression form): struct of votes per family for an array of feature names.
 
     Family membership is fixed data (small), inlined into the expression."""
-    fam = FEATURE_FAMILIES
+    fam = families or FEATURE_FAMILIES
     fields = []
     for name in FAMILY_ORDER:
-        members = fam[name]
-        weight = 2 if name == "frailty" else 1
+        members = fam.get(name, [])
+        weight = FAMILY_WEIGHT.get(name, 1)
         uniq = sorted(set(members))
-        fields.append((F.size(F.filter(features, lambda f: f.isin(uniq))) * weight).alias(name))
+        votes = F.size(F.filter(features, lambda f: f.isin(uniq))) if uniq else F.lit(0)
+        fields.append((votes * weight).alias(name))
     return F.struct(*fields)
 
 
@@ -78,7 +80,7 @@ def family_votes_table(profiles_features: DataFrame, families: DataFrame) -> Dat
     """AG-39 (table form): explode features, join the family table, sum votes."""
     ex = profiles_features.select("cluster", F.explode("features").alias("variable"))
     return ex.join(F.broadcast(families), "variable").groupBy("cluster", "family").agg(
-        F.count(F.lit(1)).alias("votes"))
+        F.sum("weight").cast("bigint").alias("votes"))
 
 
 def _mean(summary_cols: list[str], feature: str) -> Column:
@@ -119,7 +121,8 @@ def clinical_snapshot(summary_cols: list[str], features: list[str] = SNAPSHOT_FE
 
 
 def profile_table(summary: DataFrame, profiles: DataFrame, top_n: int = 5,
-                  explain_summary: DataFrame | None = None) -> DataFrame:
+                  explain_summary: DataFrame | None = None, families: dict[str, list[str]] | None = None,
+                  snapshot: list[str] = SNAPSHOT_FEATURES) -> DataFrame:
     """build_profile_table: one row per cluster with phenotype name, top feature
     lists, snapshot and (optionally) the classifier's per-cluster context joined by
     label (first match per label, JN-06)."""
@@ -133,11 +136,11 @@ def profile_table(summary: DataFrame, profiles: DataFrame, top_n: int = 5,
     low = F.coalesce(F.col("low"), empty)
     out = t.select(
         "cluster", F.coalesce(F.col("cluster_label"), F.concat(F.lit("cluster_"), F.col("cluster").cast("string"))).alias("cluster_label"),
-        phenotype_name(family_votes(high), low, F.col("severity_rank"), cols).alias("phenotype_name"),
+        phenotype_name(family_votes(high, families), low, F.col("severity_rank"), cols).alias("phenotype_name"),
         "severity_rank", "n_patients", "size_pct",
         F.coalesce("top_high_features", F.lit("none")).alias("top_high_features"),
         F.coalesce("top_low_features", F.lit("none")).alias("top_low_features"),
-        clinical_snapshot(cols).alias("clinical_snapshot"),
+        clinical_snapshot(cols, snapshot).alias("clinical_snapshot"),
         *([F.col("mortality_rate").alias("clustering_mortality_rate")] if "mortality_rate" in cols else []))
     if explain_summary is not None:
         first = explain_summary.withColumn("__r", F.row_number().over(

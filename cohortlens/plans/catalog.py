@@ -10,6 +10,7 @@ _MODULES = [
     "quality_queries",
     "association_queries",
     "profile_queries",
+    "profile_table_queries",
 ]
 
 
