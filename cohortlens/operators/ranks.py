@@ -78,3 +78,12 @@ def percentile_rank(df: DataFrame, value: str, higher_is_better: bool = True, gr
     else:
         ranked = ranked.withColumn("__cnt", F.lit(n.first()["__cnt"]))
     return ranked.withColumn(out, F.col("__rk") / F.col("__cnt")).drop("__rk", "__cnt")
+
+
+def percentile_rank_small(df: DataFrame, value: str, higher_is_better: bool = True, out: str = "rank_pct") -> DataFrame:
+    """WN-01 for tables bounded by construction (experiment lists, cluster summaries):
+    plain windows, rank + (ties - 1)/2 over the non-null count."""
+    order = F.col(value).asc_nulls_last() if higher_is_better else F.col(value).desc_nulls_last()
+    everything = W.partitionBy()
+    avg_rank = F.rank().over(everything.orderBy(order)) + (F.count(F.lit(1)).over(W.partitionBy(value)) - 1) / 2.0
+    return df.withColumn(out, F.when(F.col(value).isNotNull(), avg_rank / F.count(value).over(everything)))

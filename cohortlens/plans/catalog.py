@@ -11,6 +11,7 @@ _MODULES = [
     "association_queries",
     "profile_queries",
     "profile_table_queries",
+    "model_queries",
 ]
 
 
