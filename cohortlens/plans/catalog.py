@@ -12,6 +12,7 @@ _MODULES = [
     "profile_queries",
     "profile_table_queries",
     "model_queries",
+    "assign_queries",
 ]
 
 
