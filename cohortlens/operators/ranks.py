@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 
 def ranked_value_counts(counts: DataFrame, groups: list[str], value: str, weight: str = "n",
-                        ranges: int = 64, descending: bool = False) -> DataFrame:
+                        ranges: int = 64, descending: bool = False, tie_break: list[str] = ()) -> DataFrame:
     """Add ``before`` (#rows with a strictly smaller value in the group) and
     ``avg_rank`` (1-based average rank of the value's ties) to a counts table.
 
@@ -49,7 +49,7 @@ def ranked_value_counts(counts: DataFrame, groups: list[str], value: str, weight
     wo = W.partitionBy(*groups).orderBy("__r").rowsBetween(W.unboundedPreceding, -1)
     tot = tot.withColumn("__off", F.coalesce(F.sum("__t").over(wo), F.lit(0))).drop("__t")
     c = c.join(tot, [*groups, "__r"])
-    wl = W.partitionBy(*groups, "__r").orderBy("__k").rowsBetween(W.unboundedPreceding, -1)
+    wl = W.partitionBy(*groups, "__r").orderBy("__k", *tie_break).rowsBetween(W.unboundedPreceding, -1)
     c = c.withColumn("before", F.col("__off") + F.coalesce(F.sum(weight).over(wl), F.lit(0)))
     c = c.withColumn("avg_rank", F.col("before") + (F.col(weight) + 1) / 2.0)
     return c.drop("__k", "__r", "__off", *(["__g"] if drop_g else []))

@@ -13,6 +13,7 @@ _MODULES = [
     "profile_table_queries",
     "model_queries",
     "assign_queries",
+    "classify_queries",
 ]
 
 
