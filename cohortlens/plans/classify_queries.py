@@ -297,3 +297,18 @@ def ml15_gbt_scored_test_rows(spark, sf_dir):
     """Fit GBT on the stratified train split (class-weighted), score the test split (rows-only)."""
     return gbt_run(spark, sf_dir)[2]
 
+
+
+def gbt_contributions(spark, sf_dir, max_iter=30):
+    from ..operators import explain as EX
+    model, pre, sc = gbt_run(spark, sf_dir, max_iter)
+    split = CF.stratified_split(cohort(spark, sf_dir), "row_id", "target", 0.2, 42)
+    te = CF.to_features(pre.transform(split.where("is_test"), ["row_id"]))
+    return EX.contributions(spark, model, te, "row_id", pre.feature_names), sc
+
+
+@query("ml17_tree_contributions")
+def ml17_tree_contributions(spark, sf_dir):
+    """Per-row TreeSHAP contributions of the fitted GBT on the test split (rows-only;
+    the additivity invariant is checked in tests)."""
+    return gbt_contributions(spark, sf_dir)[0]

@@ -22,6 +22,9 @@ def query(name: str, sql: str | None = None):
             raise KeyError(f"duplicate query {name}")
 
         def wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+            from ..session import ensure_checkpoint_dir, ship_package
+            ship_package(spark)
+            ensure_checkpoint_dir(spark)
             return rounded(fn(spark, sf_dir))
 
         wrapped.__name__ = fn.__name__
