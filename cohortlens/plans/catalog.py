@@ -14,6 +14,7 @@ _MODULES = [
     "model_queries",
     "assign_queries",
     "classify_queries",
+    "text_queries",
 ]
 
 
