@@ -15,6 +15,7 @@ _MODULES = [
     "assign_queries",
     "classify_queries",
     "text_queries",
+    "io_queries",
 ]
 
 
