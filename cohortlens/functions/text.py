@@ -13,6 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Number pattern and the measurement extraction rules, in order.
 # (fields filled by the first match, ordered patterns; matching is case-insensitive)
@@ -75,7 +76,7 @@ CONTEXT_MARKER = "CONTEXTO DEL CASO"
 
 # ------------------------------------------------------------- normalise ----
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def ascii_fold(s: pd.Series) -> pd.Series:
     """NFKD decomposition, then drop every non-ASCII code point (Arrow batches)."""
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode("ascii"))
@@ -91,7 +92,7 @@ def parse_number(raw: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(raw, r"^\s+|\s+$", ""), ",", ".").try_cast("double")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _format_g6(v: pd.Series) -> pd.Series:
     return v.map(lambda x: None if pd.isna(x) else (str(int(x)) if float(x).is_integer()
                                                    else f"{float(x):.6g}".replace(".", ",")))
