@@ -105,9 +105,9 @@ def format_number(x: Column) -> Column:
     return _format_g6(x.cast("double"))
 
 
-def first_number(text: Column, patterns) -> Column:
+def first_number(text: Column, patterns, flags: str = "(?i)") -> Column:
     """TX-04: value of the first pattern (in order) that matches, case-insensitive."""
-    return F.coalesce(*[parse_number(F.nullif(F.regexp_extract(text, "(?i)" + p, 1), F.lit(""))) for p in patterns])
+    return F.coalesce(*[parse_number(F.nullif(F.regexp_extract(text, flags + p, 1), F.lit(""))) for p in patterns])
 
 
 def gender_code(word: Column) -> Column:
@@ -118,26 +118,114 @@ def gender_code(word: Column) -> Column:
 def extract_measurements(text: Column, normalise: bool = True) -> dict[str, Column]:
     """TX-05..07: every rule's first match fans out to its fields; blood pressure s/d gives
     (s + 2d)/3, an explicit mean pressure overrides it; age kept within 0..120; sepsis
-    keyword flag; gender code."""
-    t = normalise_text(text) if normalise else text
+    keyword flag; gender code.
+
+    After the ASCII fold the text is pure ASCII, so it is lower-cased once and the
+    (lower-case) patterns match case-sensitively: the same matches as case-insensitive
+    matching, without per-character case folding in every one of the ~40 scans."""
+    if normalise:
+        t, flags = F.lower(normalise_text(text)), ""
+    else:
+        t, flags = text, "(?i)"
     out: dict[str, Column] = {}
     for fields, patterns in RULES:
-        v = first_number(t, patterns)
+        v = first_number(t, patterns, flags)
         for f in fields:
             out[f] = v
-    s = parse_number(F.nullif(F.regexp_extract(t, "(?i)" + BLOOD_PRESSURE, 1), F.lit("")))
-    d = parse_number(F.nullif(F.regexp_extract(t, "(?i)" + BLOOD_PRESSURE, 2), F.lit("")))
-    mbp = F.coalesce(first_number(t, [MEAN_PRESSURE]), (s + 2 * d) / 3)
+    s = parse_number(F.nullif(F.regexp_extract(t, flags + BLOOD_PRESSURE, 1), F.lit("")))
+    d = parse_number(F.nullif(F.regexp_extract(t, flags + BLOOD_PRESSURE, 2), F.lit("")))
+    mbp = F.coalesce(first_number(t, [MEAN_PRESSURE], flags), (s + 2 * d) / 3)
     out["mbp_min"] = mbp
     out["mbp_max"] = mbp
-    age = first_number(t, [AGE])
+    age = first_number(t, [AGE], flags)
     out["admission_age"] = F.when((age >= 0) & (age <= 120), age)
-    out["sepsis3"] = F.when(t.rlike("(?i)" + SEPSIS), F.lit(1.0))
-    g = F.nullif(F.regexp_extract(t, "(?i)" + GENDER, 1), F.lit(""))
+    out["sepsis3"] = F.when(t.rlike(flags + SEPSIS), F.lit(1.0))
+    g = F.nullif(F.regexp_extract(t, flags + GENDER, 1), F.lit(""))
     out["gender"] = F.when(g.isNotNull(), gender_code(g).cast("double"))
     return out
 
 
+def pattern_keywords(pattern: str) -> list[str] | None:
+    """Literal lower-case words one of which must occur for ``pattern`` to match: the
+    leading literal of every alternative of the pattern's first group (None if some
+    alternative has no literal prefix).  Used as a cheap byte-level prefilter."""
+    if not pattern.startswith("(?:"):
+        return None
+    depth, end = 0, None
+    for i, ch in enumerate(pattern):
+        if ch == "(" and (i == 0 or pattern[i - 1] != "\\"):
+            depth += 1
+        elif ch == ")" and pattern[i - 1] != "\\":
+            depth -= 1
+            if depth == 0:
+                end = i
+                break
+    if end is None:
+        return None
+    words = []
+    for alt in pattern[3:end].split("|"):
+        alt = alt[2:] if alt.startswith("\\b") else alt
+        lit = ""
+        for j, ch in enumerate(alt):
+            if not ch.isalpha():
+                break
+            if j + 1 < len(alt) and alt[j + 1] in "?*":
+                break
+            lit += ch
+        if not lit:
+            return None
+        words.append(lit)
+    return words
+
+
+def _guarded_extract(t: Column, low: Column, pattern: str, flags: str, group: int = 1) -> Column:
+    kws = pattern_keywords(pattern)
+    ex = F.regexp_extract(t, flags + pattern, group)
+    if not kws:
+        return ex
+    cond = F.lit(False)
+    for k in sorted(set(kws)):
+        cond = cond | low.contains(k)
+    return F.when(cond, ex).otherwise(F.lit(""))
+
+
+def extract_frame(df, text: str, keep: list[str], normalise: bool = True):
+    """TX-05..07 as staged projections (same results as ``extract_measurements``):
+    (1) fold + lower-case the text once, (2) run every pattern once into a raw match
+    column, (3) parse and combine.  Each stage references the previous one's columns
+    more than once, so Catalyst keeps the regex work in its own projection instead of
+    re-evaluating it inside conditional branches."""
+    if normalise:
+        t, flags = F.lower(normalise_text(F.col(text))), ""
+    else:
+        t, flags = F.col(text), "(?i)"
+    s0 = df.select(*keep, t.alias("__t"))
+    s0 = s0.withColumn("__l", F.col("__t") if normalise else F.lower("__t"))
+    pats = [p for _, ps in RULES for p in ps] + [MEAN_PRESSURE, AGE]
+    tc, lc = F.col("__t"), F.col("__l")
+    s1 = s0.select(*keep, *[_guarded_extract(tc, lc, p, flags).alias(f"__m{i}") for i, p in enumerate(pats)],
+                   _guarded_extract(tc, lc, BLOOD_PRESSURE, flags, 1).alias("__bs"),
+                   _guarded_extract(tc, lc, BLOOD_PRESSURE, flags, 2).alias("__bd"),
+                   (lc.contains("seps") & tc.rlike(flags + SEPSIS)).alias("__sep"),
+                   _guarded_extract(tc, lc, GENDER, flags).alias("__g"))
+
+    def num(c):
+        m = F.col(c)
+        return F.when(m != "", F.translate(m, ",", ".").try_cast("double"))
+    s2 = s1.select(*keep, *[num(f"__m{i}").alias(f"__v{i}") for i in range(len(pats))], num("__bs").alias("__s"),
+                   num("__bd").alias("__d"), "__sep", F.when(F.col("__g") != "", gender_code(F.col("__g")).cast("double")).alias("gender"))
+    out, i = [], 0
+    for fields, ps in RULES:
+        v = F.coalesce(*[F.col(f"__v{i + j}") for j in range(len(ps))]) if len(ps) > 1 else F.col(f"__v{i}")
+        i += len(ps)
+        out += [v.alias(f) for f in fields]
+    mbp = F.coalesce(F.col(f"__v{i}"), (F.col("__s") + 2 * F.col("__d")) / 3)
+    age = F.col(f"__v{i + 1}")
+    out += [mbp.alias("mbp_min"), mbp.alias("mbp_max"), F.when((age >= 0) & (age <= 120), age).alias("admission_age"),
+            F.when(F.col("__sep"), F.lit(1.0)).alias("sepsis3"), F.col("gender")]
+    return s2.select(*keep, *out)
+
+
 def extraction_audit(values: dict[str, Column], text: Column) -> dict[str, Column]:
     """TX-08: sorted extracted field names, their count, sorted missing core fields, text length."""
     names = sorted(values)

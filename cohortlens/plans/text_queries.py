@@ -71,9 +71,7 @@ EXTRACT_SQL = REPORTS_CTE + "SELECT row_id, " + ", ".join(f"round({v}, 6) AS {k}
 
 
 def extracted(spark, sf_dir):
-    r = reports(spark, sf_dir)
-    vals = TX.extract_measurements(F.col("text"))
-    return r.select("row_id", "text", *[v.alias(k) for k, v in vals.items()])
+    return TX.extract_frame(reports(spark, sf_dir), "text", ["row_id", "text"])
 
 
 @query("tx05_extract_measurements", EXTRACT_SQL)
@@ -85,9 +83,7 @@ def tx05_extract_measurements(spark, sf_dir):
 @query("tx05_extract_documents")
 def tx05_extract_documents(spark, sf_dir):
     """The same extraction over every whole document text (rows-only)."""
-    d = table(spark, sf_dir, "documents")
-    vals = TX.extract_measurements(F.col("text"))
-    return d.select("doc_id", *[v.alias(k) for k, v in vals.items()])
+    return TX.extract_frame(table(spark, sf_dir, "documents"), "text", ["doc_id"])
 
 
 @query("tx06_blood_pressure", REPORTS_CTE + f"SELECT row_id, round({FIELDS_SQL['mbp_min']}, 6) AS mbp FROM reports")
