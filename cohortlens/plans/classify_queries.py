@@ -312,3 +312,11 @@ def ml17_tree_contributions(spark, sf_dir):
     """Per-row TreeSHAP contributions of the fitted GBT on the test split (rows-only;
     the additivity invariant is checked in tests)."""
     return gbt_contributions(spark, sf_dir)[0]
+
+
+@query("ml16_score_rows")
+def ml16_score_rows(spark, sf_dir):
+    """The fitted model scores every cohort row: probability, label, risk band (rows-only)."""
+    model, pre, _ = gbt_run(spark, sf_dir)
+    x = CF.to_features(pre.transform(cohort(spark, sf_dir), ["row_id"]))
+    return CF.score(model, x, ["row_id"])

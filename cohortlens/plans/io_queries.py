@@ -466,3 +466,59 @@ def st01_scoring_stream(spark, sf_dir):
 
 
 _ = TX
+
+
+@query("prj06_numeric_columns", "SELECT * FROM (VALUES (0, 'totalprice'), (1, 'acctbal'), (2, 'quantity_max')) t(position, variable)")
+def prj06_numeric_columns(spark, sf_dir):
+    """Suggested review list intersected with the table's columns ('heart_rate_max' is absent)."""
+    c = cohort(spark, sf_dir)
+    cols = Q.numeric_columns(c, ["totalprice", "heart_rate_max", "acctbal", "quantity_max"])
+    return spark.createDataFrame(list(enumerate(cols)), "position int, variable string")
+
+
+@query("prj06_numeric_columns_all", "SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, '{c}')" for i, c in enumerate(["row_id", "subject_id", "totalprice", "acctbal", "quantity_min", "quantity_max",
+                                           "price_min", "price_max", "discount_max", "tax_max", "has_return", "constant_col",
+                                           "target"])) + ") t(position, variable)")
+def prj06_numeric_columns_all(spark, sf_dir):
+    """Without a suggested list: every numeric column of the schema."""
+    return spark.createDataFrame(list(enumerate(Q.numeric_columns(cohort(spark, sf_dir)))), "position int, variable string")
+
+
+JN03_SQL = """
+SELECT e.vec_id AS row_id, e.label, a.cluster
+FROM embeddings e LEFT JOIN (SELECT vec_id, label AS cluster FROM embeddings WHERE embedding[1] > 0) a USING (vec_id)
+"""
+
+
+@query("jn03_embeddings_assignments", JN03_SQL)
+def jn03_embeddings_assignments(spark, sf_dir):
+    """Embedding rows left-joined with an assignment table that covers only part of them."""
+    e = table(spark, sf_dir, "embeddings")
+    assign = e.where(F.col("embedding")[0] > 0).select(F.col("vec_id").alias("row_id"), F.col("label").alias("cluster"))
+    return e.select(F.col("vec_id").alias("row_id"), "label").join(assign, "row_id", "left")
+
+
+JN06_SQL = with_cohort("""
+, s AS (SELECT cluster, 'cluster_' || cluster AS cluster_label, count(*) AS n_patients FROM cohort GROUP BY cluster)
+, dup AS (SELECT * FROM s UNION ALL SELECT cluster, cluster_label, 0 FROM s)
+, first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_label ORDER BY n_patients DESC) AS r FROM dup) WHERE r = 1)
+SELECT c.row_id, 'cluster_' || c.cluster AS cluster_label, CAST(f.n_patients AS BIGINT) AS n_patients
+FROM cohort c LEFT JOIN first f ON f.cluster_label = 'cluster_' || c.cluster
+""")
+
+
+@query("jn06_first_match_lookup", JN06_SQL)
+def jn06_first_match_lookup(spark, sf_dir):
+    """Rows look up their cluster's profile by label; the profile table repeats labels and the
+    first row per label wins (here: the larger count), broadcast (one row per label)."""
+    from pyspark.sql import Window as W
+    from ..sources.tables import clustered_cohort
+    c = clustered_cohort(spark, sf_dir).withColumn("cluster_label", F.concat(F.lit("cluster_"), F.col("cluster").cast("string")))
+    s = c.groupBy("cluster", "cluster_label").agg(F.count(F.lit(1)).alias("n_patients"))
+    dup = s.unionByName(s.withColumn("n_patients", F.lit(0).cast("bigint")))
+    first = dup.withColumn("__r", F.row_number().over(W.partitionBy("cluster_label").orderBy(F.desc("n_patients")))) \
+        .where("__r = 1").select("cluster_label", "n_patients")
+    return c.select("row_id", "cluster_label").join(F.broadcast(first), "cluster_label", "left")
+
+

@@ -296,3 +296,11 @@ def tx10_form_validation(spark, sf_dir):
                     edad.between(18, 130).alias("age_ok"), altura.between(50, 250).alias("height_ok"),
                     peso.between(30, 300).alias("weight_ok"), (F.coalesce(genero, F.lit("")) != "").alias("gender_ok"),
                     (F.coalesce(etnia, F.lit("")) != "").alias("ethnicity_ok"))
+
+
+@query("tx13_language_markers", f"SELECT conv_id, turn, markers, looks_spanish FROM ({VALID_SQL}) t")
+def tx13_language_markers(spark, sf_dir):
+    """At least 3 of the 8 clinical markers, on every whole conversation turn."""
+    t = F.col("text")
+    return conv(spark, sf_dir).select("conv_id", "turn", TX.marker_count(t).cast("int").alias("markers"),
+                                      TX.looks_spanish(t).alias("looks_spanish"))
