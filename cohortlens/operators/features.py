@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.quantiles import exact_flags, median, quantiles
+
 
 def select_feature_columns(df: DataFrame, target: str | None, categorical: list[str], ids: list[str],
                            exclude: list[str] = ()) -> dict[str, list[str]]:
@@ -63,20 +65,23 @@ class Preprocessor:
     def fit(cls, df: DataFrame, numeric: list[str], categorical: list[str]) -> "Preprocessor":
         p = cls(list(numeric), list(categorical))
         if numeric:
-            med = df.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in numeric]).first()
+            ex = exact_flags(df, numeric)
+            med = df.agg(*[median(F.col(c), ex[c]).alias(c) for c in numeric]).first()
             p.medians = {c: med[c] for c in numeric}
             # quartiles of the IMPUTED column (the scaler is fitted after the imputer)
-            q = df.agg(*[F.percentile(F.coalesce(F.col(c).cast("double"), F.lit(p.medians[c])),
-                                      F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in numeric]).first()
+            q = df.agg(*[quantiles(F.coalesce(F.col(c).cast("double"), F.lit(p.medians[c])), [0.25, 0.75], ex[c]).alias(c)
+                         for c in numeric]).first()
             p.q1 = {c: (q[c][0] if q[c] else None) for c in numeric}
             p.q3 = {c: (q[c][1] if q[c] else None) for c in numeric}
         if categorical:
-            m = df.agg(*[F.mode(F.col(c).cast("string"), True).alias(c) for c in categorical]).first()
-            p.modes = {c: m[c] for c in categorical}
-            # levels: distinct values after imputation, sorted; bounded by the column's cardinality
-            lv = df.agg(*[F.array_sort(F.collect_set(F.coalesce(F.col(c).cast("string"), F.lit(p.modes[c])))).alias(c)
-                          for c in categorical]).first()
-            p.levels = {c: list(lv[c] or []) for c in categorical}
+            # one pass: mode, distinct levels (bounded by the column's cardinality), null count
+            m = df.agg(*[F.mode(F.col(c).cast("string"), True).alias(f"m{i}") for i, c in enumerate(categorical)],
+                       *[F.collect_set(F.col(c).cast("string")).alias(f"l{i}") for i, c in enumerate(categorical)],
+                       *[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(categorical)]).first()
+            p.modes = {c: m[f"m{i}"] for i, c in enumerate(categorical)}
+            # levels after imputation: observed values plus the mode standing in for nulls
+            p.levels = {c: sorted(set(m[f"l{i}"] or []) | ({p.modes[c]} if m[f"n{i}"] and p.modes[c] is not None else set()))
+                        for i, c in enumerate(categorical)}
         return p
 
     # -- transform --------------------------------------------------------

@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import colors as C
+from ..functions.quantiles import exact_flags, median, quantiles
 
 SEVERITY_CANDIDATES = ["mortality_rate", "mean_apsiii_prob", "mean_apsiii"]
 
@@ -160,8 +161,8 @@ def global_stats(df: DataFrame, numeric: list[str], categorical: list[str],
     Categorical values are strings with null -> 'nan'; the mode is the most
     frequent value, smallest on ties."""
     pl, ph = low / 100.0, high / 100.0
-    num = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(F.lit(0.5), F.lit(pl), F.lit(ph))).alias(f"q__{c}")
-                   for c in numeric],
+    ex = exact_flags(df, numeric)
+    num = df.agg(*[quantiles(F.col(c), [0.5, pl, ph], ex[c]).alias(f"q__{c}") for c in numeric],
                  *[F.avg(c).alias(f"mean__{c}") for c in numeric],
                  *[F.stddev_samp(c).alias(f"sd__{c}") for c in numeric])
     num_long = _melt_row(num, [], numeric, {"q": "array<double>", "mean": "double", "sd": "double"}).select(
@@ -226,8 +227,9 @@ def atlp_summary(df: DataFrame, numeric: list[str], binary: list[str], categoric
 
     pieces = []
     if nb:
+        ex = exact_flags(df, nb)
         per = df.groupBy(F.col(cluster).alias("cluster")).agg(
-            *[F.median(F.col(c).cast("double")).alias(f"med__{c}") for c in nb],
+            *[median(F.col(c), ex[c]).alias(f"med__{c}") for c in nb],
             *[F.avg(F.col(c).cast("double")).alias(f"mean__{c}") for c in nb],
             *[F.stddev_samp(F.col(c).cast("double")).alias(f"sd__{c}") for c in nb],
             *[F.count(c).alias(f"n__{c}") for c in nb])
@@ -301,10 +303,11 @@ def atlp_summary(df: DataFrame, numeric: list[str], binary: list[str], categoric
 
 def older_uncertainty(df: DataFrame, numeric: list[str], cluster: str = "cluster") -> DataFrame:
     """AG-36: the earlier release's numeric uncertainty per cluster × variable."""
+    ex = exact_flags(df, numeric)
     per = df.groupBy(F.col(cluster).alias("cluster")).agg(
         *[F.stddev_samp(F.col(c).cast("double")).alias(f"sd__{c}") for c in numeric],
         *[F.avg(F.col(c).cast("double")).alias(f"mean__{c}") for c in numeric],
-        *[F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q__{c}") for c in numeric],
+        *[quantiles(F.col(c), [0.25, 0.5, 0.75], ex[c]).alias(f"q__{c}") for c in numeric],
         *[F.min(F.col(c).cast("double")).alias(f"min__{c}") for c in numeric],
         *[F.max(F.col(c).cast("double")).alias(f"max__{c}") for c in numeric],
         *[F.countDistinct(c).alias(f"nd__{c}") for c in numeric],

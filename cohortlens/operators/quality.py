@@ -8,11 +8,9 @@ multiplies.  Where a second pass needs the first pass's numbers (fences,
 means), those numbers are at most a few per column and are inlined as
 literals, which keeps the second pass inside whole-stage codegen.
 
-Exact quantiles use Spark's ``percentile`` (linear interpolation, the same
-definition as the reference).  Its buffer is a value->count map, so memory
-grows with the number of distinct values per column, not with rows; pass
-``exact=False`` for continuous high-cardinality measures to use the bounded
-``percentile_approx`` sketch instead.
+Quantiles use Spark's exact ``percentile`` (linear interpolation, the same
+definition as the reference) when a column's distinct count is bounded and
+the ``percentile_approx`` sketch otherwise; see ``functions.quantiles``.
 """
 
 from __future__ import annotations
@@ -23,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.quantiles import exact_flags, quantiles
+
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -36,12 +36,8 @@ def numeric_columns(df: DataFrame, suggested: list[str] | None = None, exclude:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, _NUMERIC) and f.name not in exclude]
 
 
-def _quantiles(col: str, probs: list[float], exact: bool, accuracy: int = 10000):
-    c = F.col(col).cast("double")
-    arr = F.array(*[F.lit(p) for p in probs])
-    if exact:
-        return F.percentile(c, arr)
-    return F.percentile_approx(c, arr, accuracy)
+def _quantiles(col: str, probs: list[float], exact: bool):
+    return quantiles(F.col(col), probs, exact)
 
 
 def _melt_one_row(row_df: DataFrame, cols: list[str], fields: list[str]) -> DataFrame:
@@ -53,11 +49,14 @@ def _melt_one_row(row_df: DataFrame, cols: list[str], fields: list[str]) -> Data
     return row_df.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
 
 
-def iqr_outliers(df: DataFrame, cols: list[str], factor: float = 1.5, exact: bool = True) -> DataFrame:
-    """AG-12: q1/q3 (linear), fences q ± factor·IQR, outlier count and % of ALL rows."""
+def iqr_outliers(df: DataFrame, cols: list[str], factor: float = 1.5, exact: bool | None = None) -> DataFrame:
+    """AG-12: q1/q3 (linear), fences q ± factor·IQR, outlier count and % of ALL rows.
+
+    ``exact=None`` lets the quantile planner choose per column (see functions.quantiles)."""
     if not cols:
         raise ValueError("no columns")
-    quart = df.agg(*[_quantiles(c, [0.25, 0.75], exact).alias(c) for c in cols]).first()
+    flags = exact_flags(df, cols) if exact is None else {c: exact for c in cols}
+    quart = df.agg(*[_quantiles(c, [0.25, 0.75], flags[c]).alias(c) for c in cols]).first()
     stats = {}
     for c in cols:
         q = quart[c]
@@ -196,8 +195,8 @@ def boxplot_stats(df: DataFrame, cols: list[str], by: str | None = None, factor:
     keys = [by] if by else []
     melted = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
         keys, cols, "variable", "x").where(F.col("x").isNotNull() & ~F.isnan("x"))
-    quart = melted.groupBy(*keys, "variable").agg(
-        F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    exact = all(exact_flags(df, cols).values())
+    quart = melted.groupBy(*keys, "variable").agg(quantiles(F.col("x"), [0.25, 0.5, 0.75], exact).alias("q"))
     quart = quart.select(*keys, "variable", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     quart = quart.withColumn("lo", F.col("q1") - factor * (F.col("q3") - F.col("q1"))) \
                  .withColumn("hi", F.col("q3") + factor * (F.col("q3") - F.col("q1")))
