@@ -138,9 +138,14 @@ def wn01_percentile_rank(spark, sf_dir):
     return percentile_rank(df, "quantity_max", False, out="pct_low")
 
 
-@query("ag26_contingency_wide")
+_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+WIDE_SQL = with_cohort("SELECT cluster, " + ", ".join(
+    f"CAST(count(*) FILTER (WHERE cat_priority = '{v}') AS BIGINT) AS \"{v}\"" for v in _PRIORITIES) + " FROM cohort GROUP BY cluster")
+
+
+@query("ag26_contingency_wide", WIDE_SQL)
 def ag26_contingency_wide(spark, sf_dir):
-    """Wide crosstab (clusters × categories) of one variable; rows-only check."""
+    """Wide crosstab (clusters × categories) of one variable."""
     return A.contingency_wide(clustered_cohort(spark, sf_dir), "cluster", "cat_priority")
 
 

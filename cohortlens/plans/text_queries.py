@@ -34,6 +34,8 @@ def reports(spark, sf_dir):
     return cohort(spark, sf_dir).select("row_id", F.expr(REPORT_EXPR).alias("text"))
 
 
+NORM_SQL_EXPR = ("regexp_replace(regexp_replace(strip_accents(replace(text, chr(160), ' ')), '[^\\x00-\\x7F]', '', 'g'), "
+                 "'[ \\t]+', ' ', 'g')")
 REPORTS_CTE = with_cohort(f", reports AS (SELECT row_id, {REPORT_EXPR} AS text FROM cohort)\n", clustered=False)
 
 
@@ -80,9 +82,13 @@ def tx05_extract_measurements(spark, sf_dir):
     return extracted(spark, sf_dir).drop("text")
 
 
-@query("tx05_extract_documents")
+DOCS_EXTRACT_SQL = (f"WITH reports AS (SELECT doc_id, lower({NORM_SQL_EXPR}) AS text FROM documents)\n"
+                    "SELECT doc_id, " + ", ".join(f"round({v}, 6) AS {k}" for k, v in FIELDS_SQL.items()) + " FROM reports")
+
+
+@query("tx05_extract_documents", DOCS_EXTRACT_SQL)
 def tx05_extract_documents(spark, sf_dir):
-    """The same extraction over every whole document text (rows-only)."""
+    """The same extraction over every whole document text."""
     return TX.extract_frame(table(spark, sf_dir, "documents"), "text", ["doc_id"])
 
 
@@ -187,9 +193,24 @@ def tx12_suspicious_ratio(spark, sf_dir):
     return conv(spark, sf_dir).select("conv_id", "turn", TX.suspicious_ratio(F.col("text")).alias("suspicious_ratio"))
 
 
-@query("tx14_response_acceptance")
+def _sql_lit(text):
+    return "(" + " || chr(10) || ".join("'" + part.replace("'", "''") + "'" for part in text.split("\n")) + ")"
+
+
+_CLEAN = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
+_CFOLD = f"replace(replace(upper({_CLEAN}), 'CLÍNICA', 'CLINICA'), 'SEGÚN', 'SEGUN')"
+_CHECKED = f"length(regexp_replace({_CLEAN}, '\\s', '', 'g'))"
+_BAD = f"length(regexp_replace({_CLEAN}, '[\\x00-\\x7F{TX.ALLOWED_NON_ASCII}]|\\s', '', 'g'))"
+_VALID = (f"coalesce(length({_CLEAN}) >= 40 AND " + " AND ".join(f"contains({_CFOLD}, '{h}')" for h in TX.REQUIRED_HEADERS)
+          + f" AND (CASE WHEN length({_CLEAN}) = 0 OR {_CHECKED} = 0 THEN 1.0 ELSE {_BAD} / {_CHECKED} END) <= 0.03 AND ("
+          + " + ".join(f"CASE WHEN contains({_CFOLD}, '{m}') THEN 1 ELSE 0 END" for m in TX.LANGUAGE_MARKERS) + ") >= 3, false)")
+ACCEPT_SQL = (f"SELECT conv_id, turn, {_VALID} AS is_valid, CASE WHEN {_VALID} THEN text ELSE {_sql_lit(TX.FALLBACK_RESPONSE)} END "
+              "AS accepted_text FROM conversations")
+
+
+@query("tx14_response_acceptance", ACCEPT_SQL)
 def tx14_response_acceptance(spark, sf_dir):
-    """Accepted text or the fixed fallback, for every whole conversation turn (rows-only)."""
+    """Accepted text or the fixed fallback, for every whole conversation turn."""
     t = F.col("text")
     return conv(spark, sf_dir).select("conv_id", "turn", TX.is_valid_response(t).alias("is_valid"),
                                       TX.accepted_response(t).alias("accepted_text"))
@@ -229,9 +250,13 @@ def tx16_normalize_risk(spark, sf_dir):
     return e.select("event_id", TX.normalize_risk(r).alias("risk"))
 
 
-@query("tx01_normalise_text")
+NORM_SQL = f"SELECT doc_id, {NORM_SQL_EXPR} AS text FROM documents"
+
+
+@query("tx01_normalise_text", NORM_SQL)
 def tx01_normalise_text(spark, sf_dir):
-    """Full NFKD fold of every whole document (rows-only; unit-tested against Python)."""
+    """Full NFKD fold of every whole document.  The oracle folds with DuckDB's accent
+    stripping, which equals NFKD + ASCII filter on these Latin-script texts."""
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", TX.normalise_text(F.col("text")).alias("text"))
 
