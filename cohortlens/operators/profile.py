@@ -169,10 +169,10 @@ def global_stats(df: DataFrame, numeric: list[str], categorical: list[str],
         "variable", F.col("q")[0].alias("median"), "mean", F.col("q")[1].alias("p_low"), F.col("q")[2].alias("p_high"),
         F.col("sd").alias("std"))
     counts = _cat_counts(df, None, categorical)
-    tot = counts.groupBy("variable").agg(F.sum("n").alias("tot"))
-    w = W.partitionBy("variable").orderBy(F.desc("n"), "value")
-    cat = (counts.withColumn("r", F.row_number().over(w)).where("r = 1").join(tot, "variable")
-           .select("variable", F.col("value").alias("global_mode"), (F.col("n") / F.col("tot")).alias("global_mode_share")))
+    # mode = most frequent value, smallest on ties: an aggregate (min_by), not a window
+    best = F.min_by(F.struct("value", "n"), F.struct((-F.col("n")).alias("neg"), F.col("value")))
+    cat = counts.groupBy("variable").agg(best.alias("b"), F.sum("n").alias("tot")).select(
+        "variable", F.col("b.value").alias("global_mode"), (F.col("b.n") / F.col("tot")).alias("global_mode_share"))
     return num_long, cat
 
 
@@ -261,14 +261,14 @@ def atlp_summary(df: DataFrame, numeric: list[str], binary: list[str], categoric
         cc = _cat_counts(df, cluster, categorical)
         tot = cc.groupBy("cluster", "variable").agg(F.sum("n").alias("tot"),
                                                     F.count(F.lit(1)).alias("levels"))
-        w = W.partitionBy("cluster", "variable").orderBy(F.desc("n"), "value")
         ent = cc.join(tot, ["cluster", "variable"]).withColumn("p", F.col("n") / F.col("tot"))
         entropy = ent.groupBy("cluster", "variable", "levels").agg(
             (-F.sum(F.col("p") * F.log2(F.col("p") + F.lit(1e-12)))).alias("h"))
         entropy = entropy.select("cluster", "variable", F.when(F.col("levels") <= 1, F.lit(0.0))
                                  .otherwise(F.col("h") / F.log2(F.col("levels").cast("double"))).alias("uncertainty"))
-        mode = (ent.withColumn("r", F.row_number().over(w)).where("r = 1")
-                .select("cluster", "variable", F.col("value").alias("dominant"), F.col("p").alias("share")))
+        best = F.min_by(F.struct("value", "p"), F.struct((-F.col("n")).alias("neg"), F.col("value")))
+        mode = ent.groupBy("cluster", "variable").agg(best.alias("b")).select(
+            "cluster", "variable", F.col("b.value").alias("dominant"), F.col("b.p").alias("share"))
         cat = mode.join(entropy, ["cluster", "variable"]).join(F.broadcast(gcat), "variable")
         pieces.append(cat.select(
             "cluster", "variable", F.lit("categorical").alias("variable_type"),

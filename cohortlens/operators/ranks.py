@@ -18,13 +18,33 @@ So even a single variable with billions of distinct values is spread over
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+ROWS_PER_RANGE = 1_000_000   # distinct values one window task may hold
+MAX_RANGES = 65_536
+
+
+def _range_index(bounds: Column, key: Column, n_bounds: int) -> Column:
+    """Number of bounds strictly below ``key`` by binary search over the sorted bounds
+    (O(log ranges) per row, so thousands of ranges stay cheap)."""
+    steps = max(1, math.ceil(math.log2(n_bounds + 1)) + 1)
+    init = F.struct(F.lit(0).alias("lo"), F.lit(n_bounds).alias("hi"))
+
+    def step(acc, _):
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        below = F.element_at(bounds, mid + 1) < key
+        moved = F.when(below, F.struct((mid + 1).alias("lo"), acc["hi"].alias("hi"))).otherwise(
+            F.struct(acc["lo"].alias("lo"), mid.alias("hi")))
+        return F.when(acc["lo"] < acc["hi"], moved).otherwise(acc)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
+
 
 def ranked_value_counts(counts: DataFrame, groups: list[str], value: str, weight: str = "n",
-                        ranges: int = 64, descending: bool = False, tie_break: list[str] = ()) -> DataFrame:
+                        ranges: int | str = "auto", descending: bool = False, tie_break: list[str] = ()) -> DataFrame:
     """Add ``before`` (#rows with a strictly smaller value in the group) and
     ``avg_rank`` (1-based average rank of the value's ties) to a counts table.
 
@@ -36,13 +56,16 @@ def ranked_value_counts(counts: DataFrame, groups: list[str], value: str, weight
     if drop_g:  # a constant group keeps every step an equi-join
         c = c.withColumn("__g", F.lit(0))
         groups = ["__g"]
+    if ranges == "auto":  # size ranges so one window task holds <= ROWS_PER_RANGE values
+        largest = c.groupBy(*groups).count().agg(F.max("count")).first()[0] or 1
+        ranges = int(min(MAX_RANGES, max(64, math.ceil(largest / ROWS_PER_RANGE))))
     if ranges > 1:
         probs = [i / ranges for i in range(1, ranges)]
         bounds = c.groupBy(*groups).agg(
-            F.percentile_approx("__k", F.array(*[F.lit(p) for p in probs]), 1000).alias("__b"))
-        # bounds: one row per group (#variables / #pairs): bounded by the schema
+            F.percentile_approx("__k", F.array(*[F.lit(p) for p in probs]), max(1000, 4 * ranges)).alias("__b"))
+        # bounds: one row per group (#variables / #pairs) of <= MAX_RANGES numbers
         c = c.join(F.broadcast(bounds), groups, "left")
-        c = c.withColumn("__r", F.size(F.filter("__b", lambda b: b < F.col("__k")))).drop("__b")
+        c = c.withColumn("__r", _range_index(F.col("__b"), F.col("__k"), ranges - 1)).drop("__b")
     else:
         c = c.withColumn("__r", F.lit(0))
     tot = c.groupBy(*groups, "__r").agg(F.sum(weight).alias("__t"))
@@ -87,3 +110,13 @@ def percentile_rank_small(df: DataFrame, value: str, higher_is_better: bool = Tr
     everything = W.partitionBy()
     avg_rank = F.rank().over(everything.orderBy(order)) + (F.count(F.lit(1)).over(W.partitionBy(value)) - 1) / 2.0
     return df.withColumn(out, F.when(F.col(value).isNotNull(), avg_rank / F.count(value).over(everything)))
+
+
+def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, out: str = "rank", salt_buckets: int = 32) -> DataFrame:
+    """First ``k`` rows per key by ``order`` (must be a total order), skew-safe: stage 1
+    keeps k rows per (key, salt) so a hot key is spread over ``salt_buckets`` tasks, stage 2
+    ranks the <= k·salt_buckets survivors per key."""
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salt_buckets)))
+    s1 = salted.withColumn("__r1", F.row_number().over(W.partitionBy(*keys, "__salt").orderBy(*order))) \
+               .where(F.col("__r1") <= k).drop("__r1", "__salt")
+    return s1.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(out) <= k)
