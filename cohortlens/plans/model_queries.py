@@ -277,7 +277,7 @@ def fixed_experiments(spark, sf_dir):
     e = emb_labels(spark, sf_dir)
     rows = []
     for name, expr in LABELINGS.items():
-        lab = e.withColumn("cluster", F.expr(expr.replace("label", "cluster").replace("//", "div")))
+        lab = e.withColumn("cluster", F.expr(expr.replace("label", "cluster").replace("//", "div")).cast("int"))
         st = CL.partition_stats(lab).first()
         ch = CL.calinski_harabasz(lab).first()[0]
         db = CL.davies_bouldin(lab).first()[0]
@@ -288,12 +288,52 @@ def fixed_experiments(spark, sf_dir):
     return spark.createDataFrame(rows, schema)
 
 
-@query("wn03_rank_experiments")
+def _labelled(sql, expr):
+    return sql.replace(_E, f"(SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, {expr} AS label FROM embeddings WHERE label <> -1)")
+
+
+def _fixed_experiments_sql():
+    rows = []
+    for name, expr in LABELINGS.items():
+        rows.append(
+            f"SELECT 'fixed|labels={name}' AS experiment_id, 'fixed' AS method, '{{\"labels\": \"{name}\"}}' AS config, "
+            f"(SELECT CAST(count(DISTINCT {expr}) AS DOUBLE) FROM embeddings WHERE label <> -1) AS n_clusters, "
+            f"0.0 AS noise_ratio, 1.0 AS coverage, NULL::DOUBLE AS silhouette, "
+            f"(SELECT calinski_harabasz FROM ({_labelled(CH_SQL, expr)})) AS calinski_harabasz, "
+            f"(SELECT davies_bouldin FROM ({_labelled(DB_SQL, expr)})) AS davies_bouldin, NULL::DOUBLE AS mortality_separation")
+    return " UNION ALL ".join(rows)
+
+
+def _rank_sql(m, higher):
+    order = "ASC" if higher else "DESC"
+    return (f"CASE WHEN {m} IS NOT NULL THEN (rank() OVER (ORDER BY {m} {order} NULLS LAST) "
+            f"+ (count(*) OVER (PARTITION BY {m}) - 1) / 2.0) / count({m}) OVER () END")
+
+
+_RANKS = [("silhouette", True, "rank_silhouette"), ("calinski_harabasz", True, "rank_calinski"),
+          ("davies_bouldin", False, "rank_davies"), ("coverage", True, "rank_coverage"), ("noise_ratio", False, "rank_noise")]
+RANKED_SQL = f"""
+WITH exps AS ({_fixed_experiments_sql()}),
+r AS (SELECT *, {", ".join(f"{_rank_sql(m, h)} AS {n}" for m, h, n in _RANKS)} FROM exps)
+SELECT *, ({" + ".join(f"coalesce({n}, 0)" for _, _, n in _RANKS)}) / nullif({" + ".join(
+    f"CASE WHEN {n} IS NULL THEN 0 ELSE 1 END" for _, _, n in _RANKS)}, 0) AS selection_score
+FROM r
+"""
+
+
+@query("wn03_rank_experiments", f"SELECT * REPLACE (round(selection_score, 6) AS selection_score, " + ", ".join(
+    f"round({n}, 6) AS {n}" for _, _, n in _RANKS) + f") FROM ({RANKED_SQL})")
 def wn03_rank_experiments(spark, sf_dir):
-    """Experiment ranking over fixed labellings of the embeddings (rows-only)."""
+    """Experiment ranking over fixed labellings of the embeddings (exact metrics, so an oracle exists)."""
     return CL.rank_experiments(fixed_experiments(spark, sf_dir))
 
 
+@query("wn04_best_fixed_experiment", f"SELECT experiment_id, round(selection_score, 6) AS selection_score FROM ({RANKED_SQL}) "
+       "ORDER BY selection_score DESC NULLS LAST, silhouette DESC NULLS LAST, coverage DESC NULLS LAST, experiment_id LIMIT 1")
+def wn04_best_fixed_experiment(spark, sf_dir):
+    return CL.best_experiment(CL.rank_experiments(fixed_experiments(spark, sf_dir))).select("experiment_id", "selection_score")
+
+
 SC16_SQL = """
 SELECT 'k=' || CAST(count(DISTINCT label) AS VARCHAR) || ',min_size=' || CAST(min(n) AS VARCHAR) AS config_id
 FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label)
