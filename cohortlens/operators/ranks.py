@@ -31,6 +31,8 @@ MAX_RANGES = 65_536
 def _range_index(bounds: Column, key: Column, n_bounds: int) -> Column:
     """Number of bounds strictly below ``key`` by binary search over the sorted bounds
     (O(log ranges) per row, so thousands of ranges stay cheap)."""
+    if n_bounds <= 256:  # few bounds: one linear pass is cheaper than a lambda loop
+        return F.size(F.filter(bounds, lambda b: b < key))
     steps = max(1, math.ceil(math.log2(n_bounds + 1)) + 1)
     init = F.struct(F.lit(0).alias("lo"), F.lit(n_bounds).alias("hi"))
 
@@ -56,15 +58,26 @@ def ranked_value_counts(counts: DataFrame, groups: list[str], value: str, weight
     if drop_g:  # a constant group keeps every step an equi-join
         c = c.withColumn("__g", F.lit(0))
         groups = ["__g"]
-    if ranges == "auto":  # size ranges so one window task holds <= ROWS_PER_RANGE values
-        largest = c.groupBy(*groups).count().agg(F.max("count")).first()[0] or 1
-        ranges = int(min(MAX_RANGES, max(64, math.ceil(largest / ROWS_PER_RANGE))))
+    auto = ranges == "auto"
+    if auto:
+        ranges = 64
+
+    def bounds_for(r):
+        probs = [i / r for i in range(1, r)]
+        return c.groupBy(*groups).agg(
+            F.percentile_approx("__k", F.array(*[F.lit(p) for p in probs]), max(1000, 4 * r)).alias("__b"),
+            F.count(F.lit(1)).alias("__cnt"))
     if ranges > 1:
-        probs = [i / ranges for i in range(1, ranges)]
-        bounds = c.groupBy(*groups).agg(
-            F.percentile_approx("__k", F.array(*[F.lit(p) for p in probs]), max(1000, 4 * ranges)).alias("__b"))
+        bounds = bounds_for(ranges).cache()
+        if auto:  # the same pass measured the groups: re-split only when one range would be too big
+            largest = bounds.agg(F.max("__cnt")).first()[0] or 1
+            need = int(min(MAX_RANGES, max(64, math.ceil(largest / ROWS_PER_RANGE))))
+            if need > ranges:
+                bounds.unpersist()
+                ranges = need
+                bounds = bounds_for(ranges)
         # bounds: one row per group (#variables / #pairs) of <= MAX_RANGES numbers
-        c = c.join(F.broadcast(bounds), groups, "left")
+        c = c.join(F.broadcast(bounds.drop("__cnt")), groups, "left")
         c = c.withColumn("__r", _range_index(F.col("__b"), F.col("__k"), ranges - 1)).drop("__b")
     else:
         c = c.withColumn("__r", F.lit(0))
