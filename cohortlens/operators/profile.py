@@ -155,13 +155,14 @@ def candidate_variables(summary: DataFrame, profiles: DataFrame, columns: list[s
 # ------------------------------------------------------------------ aTLP ---
 
 def global_stats(df: DataFrame, numeric: list[str], categorical: list[str],
-                 low: float = C.LOW_PERCENTILE, high: float = C.HIGH_PERCENTILE) -> tuple[DataFrame, DataFrame]:
+                 low: float = C.LOW_PERCENTILE, high: float = C.HIGH_PERCENTILE,
+                 flags: dict[str, bool] | None = None) -> tuple[DataFrame, DataFrame]:
     """AG-20: (numeric: median, mean, p_low, p_high, sd) and (categorical: mode, share).
 
     Categorical values are strings with null -> 'nan'; the mode is the most
     frequent value, smallest on ties."""
     pl, ph = low / 100.0, high / 100.0
-    ex = exact_flags(df, numeric)
+    ex = flags if flags is not None else exact_flags(df, numeric)
     num = df.agg(*[quantiles(F.col(c), [0.5, pl, ph], ex[c]).alias(f"q__{c}") for c in numeric],
                  *[F.avg(c).alias(f"mean__{c}") for c in numeric],
                  *[F.stddev_samp(c).alias(f"sd__{c}") for c in numeric])
@@ -223,11 +224,11 @@ def atlp_summary(df: DataFrame, numeric: list[str], binary: list[str], categoric
     summary's own ranking; ``rules`` defaults to the clinical rule table."""
     spark = df.sparkSession
     nb = numeric + binary
-    gnum, gcat = global_stats(df, nb, categorical, low, high)
+    ex = exact_flags(df, nb)  # one quantile plan for the global and the per-cluster statistics
+    gnum, gcat = global_stats(df, nb, categorical, low, high, ex)
 
     pieces = []
     if nb:
-        ex = exact_flags(df, nb)
         per = df.groupBy(F.col(cluster).alias("cluster")).agg(
             *[median(F.col(c), ex[c]).alias(f"med__{c}") for c in nb],
             *[F.avg(F.col(c).cast("double")).alias(f"mean__{c}") for c in nb],

@@ -106,10 +106,21 @@ def sc14_feature_list_strings(spark, sf_dir):
     return profile_table(spark, sf_dir).select("cluster", "top_high_features", "top_low_features")
 
 
-@query("sc22_report_lines")
+REPORT_SQL = f"""
+SELECT cluster, severity_rank, concat_ws(chr(10), t, repeat('-', greatest(12, length(t))),
+       'Severity rank: ' || coalesce(CAST(severity_rank AS VARCHAR), 'nan'),
+       printf('Patients: %d (%.2f%%)', n_patients, size_pct * 100),
+       'Clinical snapshot: ' || clinical_snapshot, 'Top high features: ' || top_high_features,
+       'Top low features: ' || top_low_features) AS report
+FROM (SELECT *, cluster_label || ' | ' || phenotype_name AS t FROM ({PROFILE_TABLE_SQL}))
+"""
+
+
+@query("sc22_report_lines", REPORT_SQL)
 def sc22_report_lines(spark, sf_dir):
-    """Report block per cluster (text lines); rows-only."""
-    return PT.report_lines(profile_table(spark, sf_dir))
+    """Report block per cluster (title, rule, severity, size, snapshot, feature lists)."""
+    r = PT.report_lines(profile_table(spark, sf_dir))
+    return r.select("cluster", "severity_rank", F.array_join("lines", "\n").alias("report"))
 
 
 SALIENT_SQL = f"""

@@ -189,9 +189,28 @@ def ag16_histogram(spark, sf_dir):
     return Q.histogram(cohort(spark, sf_dir), ["totalprice", "quantity_max"], bins=20)
 
 
-@query("ag17_kde_pre_post")
+def _kde_sql(src, expr):
+    return f"""
+SELECT '{src}' AS source, g AS grid_index, gx AS x, sum(k) / max(n) AS density FROM (
+  SELECT g, gx, n, cnt * exp(-0.5 * ((gx - c) / h) ** 2) / (h * sqrt(2 * pi())) AS k FROM (
+    SELECT b.*, g.g, lo - 3 * h + g.g * (hi - lo + 6 * h) / 63 AS gx FROM (
+      SELECT bin, n, h, lo, hi, w, count(*) AS cnt, lo + (bin + 0.5) * w AS c FROM (
+        SELECT n, h, lo, hi, w, least(floor((x - lo) / w), 511) AS bin FROM (
+          SELECT {expr} AS x FROM cohort) v,
+          (SELECT count(x) AS n, stddev_samp(x) * pow(count(x), -0.2) AS h, min(x) AS lo, max(x) AS hi,
+                  greatest((max(x) - min(x)) / 512, 1e-12) AS w FROM (SELECT {expr} AS x FROM cohort) q) s
+        WHERE x IS NOT NULL) GROUP BY ALL) b, range(64) g(g)))
+GROUP BY g, gx"""
+
+
+KDE_SQL = with_cohort("\nUNION ALL\n".join(
+    [_kde_sql("pre", "acctbal"), _kde_sql("post", "CASE WHEN acctbal < 0 THEN NULL ELSE acctbal END")]), clustered=False)
+KDE_SQL = f"SELECT source, CAST(grid_index AS INTEGER) AS grid_index, round(x, 6) AS x, round(density, 6) AS density FROM ({KDE_SQL})"
+
+
+@query("ag17_kde_pre_post", KDE_SQL)
 def ag17_kde_pre_post(spark, sf_dir):
-    """Density of a measure before and after PRE-07 (rows-only check)."""
+    """Density of a measure before and after PRE-07 on a 64-point grid."""
     raw = cohort(spark, sf_dir)
     post = Q.negatives_to_null(raw, ["acctbal"])
     return Q.union_tagged({"pre": Q.kde_grid(raw, "acctbal"), "post": Q.kde_grid(post, "acctbal")})
