@@ -192,6 +192,10 @@ def fit_labels(vec: DataFrame, method: str, k: int, key: str = "row_id", seed: i
         mapping = _ward_merge(centers[ids], weights, min(k, len(ids)))
         lut = F.create_map(*[F.lit(x) for i, g in zip(ids, mapping) for x in (int(i), int(g))])
         return m.transform(vec).select(key, F.element_at(lut, F.col("micro")).alias("cluster")), {"micro": len(ids)}
+    if method == "dbscan":
+        eps, ms = (k if isinstance(k, tuple) else (1.0, 50))
+        lab = dbscan(vec.select(key, "embedding"), key, "embedding", eps, ms)
+        return lab, {"eps": eps, "min_samples": ms}
     raise ValueError(f"unknown method {method}")
 
 
@@ -221,15 +225,17 @@ def evaluate(emb: DataFrame, labels: DataFrame, key: str = "row_id", sample_size
 
 
 def sweep(emb: DataFrame, outcome: DataFrame | None, methods: list[str], ks: list[int], key: str = "row_id",
-          target: str | None = None, seed: int = 42, n_init: int = 3, sample_size: int = 5000) -> tuple[DataFrame, dict]:
+          target: str | None = None, seed: int = 42, n_init: int = 3, sample_size: int = 5000,
+          dbscan_grid: list[tuple[float, int]] = ((1.0, 50), (1.2, 50))) -> tuple[DataFrame, dict]:
     """ML-13: fit every (method, k) on the (checkpointed) embedding frame, keep
     configurations with >= 2 clusters, collect metrics and outcome dispersion.
     Returns (experiments table, {experiment_id: labels frame})."""
     vec = emb.withColumn("features", array_to_vector("embedding"))
     rows, labels = [], {}
     for method in methods:
-        for k in ks:
-            config = {"n_clusters": k}
+        grid = dbscan_grid if method == "dbscan" else ks
+        for k in grid:
+            config = {"eps": k[0], "min_samples": k[1]} if method == "dbscan" else {"n_clusters": k}
             lab, _info = fit_labels(vec, method, k, key, seed, n_init)
             lab = lab.cache()
             m = evaluate(emb, lab, key, sample_size, seed)
@@ -278,3 +284,96 @@ def best_experiment(ranked: DataFrame) -> DataFrame:
 
 
 _ = (W, vector_to_array)
+
+
+# ------------------------------------------------------------------ DBSCAN --
+
+def _chunked(df: DataFrame, key: str, max_rows: int):
+    """Split a frame into hash chunks of at most ~max_rows rows, yielding pandas frames."""
+    n = df.count()
+    chunks = max(1, -(-n // max_rows))
+    for c in range(chunks):
+        sub = df if chunks == 1 else df.where(F.pmod(F.xxhash64(key), F.lit(chunks)) == c)
+        pdf = sub.toPandas()
+        if len(pdf) > 2 * max_rows:
+            raise ValueError("chunk above the broadcast bound")
+        if len(pdf):
+            yield pdf
+
+
+def _eps_scan(queries_pdf: pd.DataFrame, reference: DataFrame, eps: float, mode: str) -> DataFrame:
+    """For every broadcast query, per reference task: ``count`` of points within eps, or the
+    ``minlabel`` among them.  One row per (query, task) at most; no pair rows."""
+    spark = reference.sparkSession
+    qk = queries_pdf["k"].to_numpy()
+    Q = np.vstack(queries_pdf["x"].to_numpy()).astype(float)
+    bq = spark.sparkContext.broadcast((qk, Q))
+    e2 = float(eps) ** 2
+
+    def part(it):
+        keys, Qm = bq.value
+        qq = (Qm * Qm).sum(1)
+        for p in it:
+            if not len(p):
+                continue
+            R = np.vstack(p["x"].to_numpy()).astype(float)
+            within = (qq[:, None] + (R * R).sum(1)[None, :] - 2.0 * Qm @ R.T) <= e2 + 1e-12
+            if mode == "count":
+                yield pd.DataFrame({"k": keys, "v": within.sum(1).astype("int64")})
+            else:
+                lab = p["label"].to_numpy().astype("int64")
+                big = np.iinfo("int64").max
+                m = np.where(within, lab[None, :], big).min(1)
+                sel = m < big
+                yield pd.DataFrame({"k": keys[sel], "v": m[sel]})
+    cols = ["x"] + (["label"] if mode != "count" else [])
+    return reference.select(*cols).mapInPandas(part, "k bigint, v bigint")
+
+
+def dbscan(emb: DataFrame, key: str = "row_id", col: str = "embedding", eps: float = 1.0, min_samples: int = 50,
+           max_iter: int = 100, max_broadcast_rows: int = 20000) -> DataFrame:
+    """ML-12: density clustering.  Core points have >= ``min_samples`` points (themselves
+    included) within ``eps``; core points within eps of each other share a cluster
+    (connected components by min-label propagation with pointer jumping, lineage cut by a
+    checkpoint every round); a border point joins the smallest-labelled core neighbour;
+    the rest is noise (-1).  Clusters are numbered 0.. by their smallest key."""
+    from ..session import cut_lineage
+    x = emb.select(F.col(key).cast("bigint").alias("k"), F.transform(col, lambda v: v.cast("double")).alias("x"))
+    x = cut_lineage(x)
+    counts = None
+    for chunk in _chunked(x, "k", max_broadcast_rows):
+        part = _eps_scan(chunk, x, eps, "count")
+        counts = part if counts is None else counts.unionByName(part)
+    cnt = counts.groupBy("k").agg(F.sum("v").alias("n"))
+    pts = cut_lineage(x.join(cnt, "k").withColumn("core", F.col("n") >= min_samples))
+    core = pts.where("core").select("k", "x", F.col("k").alias("label"))
+    core = cut_lineage(core)
+    for _ in range(max_iter):
+        mins = None
+        for chunk in _chunked(core.select("k", "x"), "k", max_broadcast_rows):
+            part = _eps_scan(chunk, core, eps, "minlabel")
+            mins = part if mins is None else mins.unionByName(part)
+        if mins is None:
+            break
+        best = mins.groupBy("k").agg(F.min("v").alias("m"))
+        step = core.join(best, "k", "left").withColumn("new", F.least("label", F.coalesce("m", "label"))).drop("m")
+        # pointer jumping: take the label of the label (one row per core point, equi-join)
+        hop = step.select(F.col("k").alias("j"), F.col("new").alias("nn"))
+        step = step.join(hop, step["new"] == hop["j"], "left").withColumn("new", F.least("new", F.coalesce("nn", "new"))) \
+                   .drop("j", "nn")
+        changed = step.where(F.col("new") != F.col("label")).limit(1).count()
+        core = cut_lineage(step.select("k", "x", F.col("new").alias("label")))
+        if not changed:
+            break
+    border_src = pts.where(~F.col("core")).select("k", "x")
+    border = None
+    for chunk in _chunked(border_src, "k", max_broadcast_rows):
+        part = _eps_scan(chunk, core, eps, "minlabel")
+        border = part if border is None else border.unionByName(part)
+    labels = core.select("k", "label")
+    if border is not None:
+        labels = labels.unionByName(border.groupBy("k").agg(F.min("v").alias("label")))
+    ids = labels.select("label").distinct()
+    ids = ids.withColumn("cluster", (F.row_number().over(W.orderBy("label")) - 1).cast("int"))  # one row per cluster
+    out = x.select("k").join(labels, "k", "left").join(F.broadcast(ids), "label", "left")
+    return out.select(F.col("k").alias(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"))

@@ -245,6 +245,15 @@ def _fit(method):
     return fn
 
 
+@query("ml12_dbscan")
+def ml12_dbscan(spark, sf_dir):
+    """Density clustering of the reduced cohort embedding, eps 1.2, min_samples 50 (rows-only;
+    checked against a brute-force implementation in tests)."""
+    from ..session import cut_lineage
+    emb = cut_lineage(reduced(spark, sf_dir))
+    return CL.dbscan(emb, "row_id", "embedding", 1.2, 50)
+
+
 for _id, _m in (("ml08_kmeans", "kmeans"), ("ml09_gmm", "gmm"), ("ml10_birch_microclusters", "birch"),
                 ("ml11_ward_microclusters", "agglomerative")):
     query(_id)(_fit(_m))

@@ -314,3 +314,33 @@ def test_history_upsert_keeps_latest(spark):
     new = spark.createDataFrame([("b", "2024-03-01", 4)], "request_id string, updated_at string, v int")
     got = {r["request_id"]: r["v"] for r in CX.upsert(log, new).collect()}
     assert got == {"a": 2, "b": 4}
+
+
+def test_dbscan_matches_bruteforce(spark):
+    rng = np.random.default_rng(7)
+    X = np.vstack([rng.normal(0, 0.3, (40, 2)), rng.normal(3, 0.3, (40, 2)), rng.uniform(-2, 5, (10, 2))])
+    df = spark.createDataFrame([(i, X[i].tolist()) for i in range(len(X))], "row_id long, embedding array<double>")
+    eps, ms = 0.5, 5
+    got = {r["row_id"]: r["cluster"] for r in CL.dbscan(df, eps=eps, min_samples=ms, max_broadcast_rows=30).collect()}
+    D = np.linalg.norm(X[:, None] - X[None], axis=2)
+    core = (D <= eps).sum(1) >= ms
+    comp = -np.ones(len(X), int)
+    cid = 0
+    for i in range(len(X)):
+        if core[i] and comp[i] < 0:
+            stack, comp[i] = [i], cid
+            while stack:
+                j = stack.pop()
+                for t in np.where((D[j] <= eps) & core & (comp < 0))[0]:
+                    comp[t] = cid
+                    stack.append(t)
+            cid += 1
+    for i in range(len(X)):
+        if core[i]:
+            continue
+        nb = [comp[j] for j in np.where((D[i] <= eps) & core)[0]]
+        comp[i] = min(nb, key=lambda c: min(np.where(comp == c)[0])) if nb else -1
+    # same partition up to renumbering
+    pairs = {(got[i], comp[i]) for i in range(len(X))}
+    assert len(pairs) == len(set(got.values())) == len(set(comp))
+    assert sum(1 for i in range(len(X)) if got[i] == -1) == sum(1 for c in comp if c == -1)
