@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import chi2_sf_col
-from .ranks import average_rank, ranked_value_counts
+from .ranks import ranked_value_counts
 
 
 def _melt(df: DataFrame, keys: list[str], cols: list[str], as_string: bool) -> DataFrame:
@@ -119,6 +119,11 @@ def spearman(df: DataFrame, cols: list[str]) -> DataFrame:
                         F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs]
     stacked = df.select(F.explode(F.array(*structs)).alias("s")).select("s.*").where(
         F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
-    stacked = average_rank(stacked, "x", ["var_a", "var_b"], out="rx")
-    stacked = average_rank(stacked, "y", ["var_a", "var_b"], out="ry")
-    return stacked.groupBy("var_a", "var_b").agg(F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    pair = ["var_a", "var_b"]
+
+    def rank_table(value, out):
+        # counts per (pair, value) -> average rank per value; independent of the other side
+        counts = stacked.groupBy(*pair, value).agg(F.count(F.lit(1)).alias("__n"))
+        return ranked_value_counts(counts, pair, value, "__n").select(*pair, value, F.col("avg_rank").alias(out))
+    ranked = stacked.join(rank_table("x", "rx"), [*pair, "x"]).join(rank_table("y", "ry"), [*pair, "y"])
+    return ranked.groupBy(*pair).agg(F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
