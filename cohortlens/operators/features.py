@@ -18,7 +18,6 @@ import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.quantiles import exact_flags, median, quantiles
 
@@ -207,5 +206,3 @@ def to_vector(df: DataFrame, col: str = "embedding", out: str = "features") -> D
     """array<double> -> ML vector column for Spark ML estimators."""
     return df.withColumn(out, array_to_vector(F.col(col)))
 
-
-_ = T

@@ -149,4 +149,4 @@ def ag26_contingency_wide(spark, sf_dir):
     return A.contingency_wide(clustered_cohort(spark, sf_dir), "cluster", "cat_priority")
 
 
-_ = F  # keep import for helpers used by other modules
+

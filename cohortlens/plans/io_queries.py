@@ -465,8 +465,6 @@ def st01_scoring_stream(spark, sf_dir):
     return spark.read.parquet(out + "/scored")
 
 
-_ = TX
-
 
 @query("prj06_numeric_columns", "SELECT * FROM (VALUES (0, 'totalprice'), (1, 'acctbal'), (2, 'quantity_max')) t(position, variable)")
 def prj06_numeric_columns(spark, sf_dir):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import profile as P
 from ..operators import profile_tables as PT
-from ..sources.tables import clustered_cohort, cohort, with_cohort
+from ..sources.tables import clustered_cohort, with_cohort
 from .profile_queries import (ATLP_SQL, BINARY, CATEGORICAL, NUMERIC, PROFILE_NUMS, PROFILES_SQL, SUMMARY_MEANS,
                               SUMMARY_SQL_BODY, atlp, summary)
 from .registry import query
@@ -236,5 +236,3 @@ def sc15_cluster_label(spark, sf_dir):
 def prj11_noise_filter(spark, sf_dir):
     return clustered_cohort(spark, sf_dir, True).where(F.col("cluster") != -1).select("row_id", "cluster")
 
-
-_ = cohort

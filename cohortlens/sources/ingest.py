@@ -8,7 +8,6 @@ then a projection: no driver-side parsing of data.
 from __future__ import annotations
 
 import json
-import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -179,5 +178,3 @@ def run_metadata(spark: SparkSession, run_id: str, info: dict) -> DataFrame:
     """SRC-11: one-row run record (lists and maps kept as JSON text)."""
     return spark.createDataFrame([(run_id, json.dumps(info, sort_keys=True, default=str))], "run_id string, metadata string")
 
-
-_ = os
