@@ -520,3 +520,14 @@ def jn06_first_match_lookup(spark, sf_dir):
     return c.select("row_id", "cluster_label").join(F.broadcast(first), "cluster_label", "left")
 
 
+
+
+@query("src05_file_cardinality_guard", with_cohort(
+    "SELECT CAST(count(*) AS BIGINT) AS n_rows FROM cohort GROUP BY cat_priority HAVING count(*) <> 1", clustered=False))
+def src05_file_cardinality_guard(spark, sf_dir):
+    """Per input file: orders written one file per priority, read back; every file that does
+    not hold exactly one record is reported."""
+    c = cohort(spark, sf_dir).select("row_id", "cat_priority", "totalprice")
+    path = IO.scratch_path(spark, "guard")
+    c.repartition("cat_priority").write.partitionBy("cat_priority").parquet(path)
+    return IO.cardinality_violations(spark.read.parquet(path)).select("n_rows")
