@@ -102,7 +102,7 @@ ONEHOT_SQL = with_cohort(f"""
 , imp AS (SELECT row_id, {", ".join(f"coalesce(CAST({c} AS VARCHAR), {_mode(c)}) AS {c}" for c in CATS)} FROM cohort)
 SELECT row_id, 'cat__' || variable || '_' || level AS feature,
        CASE WHEN (variable = 'cat_priority' AND cat_priority = level) OR (variable = 'has_return' AND has_return = level)
-            THEN 1.0 ELSE 0.0 END AS value
+            THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value
 FROM imp, lv
 """, clustered=False)
 
@@ -307,7 +307,7 @@ def _fixed_experiments_sql():
         rows.append(
             f"SELECT 'fixed|labels={name}' AS experiment_id, 'fixed' AS method, '{{\"labels\": \"{name}\"}}' AS config, "
             f"(SELECT CAST(count(DISTINCT {expr}) AS DOUBLE) FROM embeddings WHERE label <> -1) AS n_clusters, "
-            f"0.0 AS noise_ratio, 1.0 AS coverage, NULL::DOUBLE AS silhouette, "
+            f"0.0::DOUBLE AS noise_ratio, 1.0::DOUBLE AS coverage, NULL::DOUBLE AS silhouette, "
             f"(SELECT calinski_harabasz FROM ({_labelled(CH_SQL, expr)})) AS calinski_harabasz, "
             f"(SELECT davies_bouldin FROM ({_labelled(DB_SQL, expr)})) AS davies_bouldin, NULL::DOUBLE AS mortality_separation")
     return " UNION ALL ".join(rows)

@@ -60,11 +60,12 @@ def _sql_fields():
     cols["mbp_max"] = mbp
     age = _sql_first([TX.AGE])
     cols["admission_age"] = f"CASE WHEN {age} BETWEEN 0 AND 120 THEN {age} END"
-    cols["sepsis3"] = f"CASE WHEN regexp_matches(text, '(?i)' || '{TX.SEPSIS}') THEN 1.0 END"
+    cols["sepsis3"] = f"CASE WHEN regexp_matches(text, '(?i)' || '{TX.SEPSIS}') THEN 1.0::DOUBLE END"
     g = f"lower(nullif(regexp_extract(text, '(?i)' || '{TX.GENDER}', 1), ''))"
     male = ", ".join(f"'{w}'" for w in TX.GENDER_MALE)
     female = ", ".join(f"'{w}'" for w in TX.GENDER_FEMALE)
-    cols["gender"] = f"CASE WHEN {g} IN ({male}) THEN 1.0 WHEN {g} IN ({female}) THEN 0.0 WHEN {g} IS NOT NULL THEN 2.0 END"
+    cols["gender"] = (f"CASE WHEN {g} IN ({male}) THEN 1.0::DOUBLE WHEN {g} IN ({female}) THEN 0.0::DOUBLE "
+                     f"WHEN {g} IS NOT NULL THEN 2.0::DOUBLE END")
     return cols
 
 
@@ -267,8 +268,8 @@ FORM_SQL = with_cohort(f"""
                cat_region, cat_priority FROM reports)
 SELECT row_id,
        CASE WHEN quantity_min IS NOT NULL THEN quantity_min + 50 ELSE age END AS admission_age,
-       CASE WHEN cat_priority = '3-MEDIUM' THEN 2.0 WHEN cat_priority LIKE '1%' THEN 1.0 WHEN cat_priority LIKE '2%' THEN 0.0
-            ELSE gender END AS gender,
+       CASE WHEN cat_priority = '3-MEDIUM' THEN 2.0::DOUBLE WHEN cat_priority LIKE '1%' THEN 1.0::DOUBLE
+            WHEN cat_priority LIKE '2%' THEN 0.0::DOUBLE ELSE gender END AS gender,
        CASE WHEN regexp_matches(cat_region, '^[0-9]+$') THEN cat_region END AS ethnicity,
        coalesce(age, quantity_min + 50) AS legacy_admission_age
 FROM x
