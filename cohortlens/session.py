@@ -69,11 +69,17 @@ _SHIPPED: set[int] = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``cohortlens`` importable on executors (Arrow UDFs, mapInPandas helpers).
 
-    Zips the package once per driver process and registers it with ``addPyFile``,
-    which distributes it to every executor; a no-op when already shipped."""
+    In local mode (tests, bench, the verify harness) the package is zipped once per driver
+    process and registered with ``addPyFile``.  On a cluster the package is expected to be
+    submitted with ``--py-files`` or installed in the image; set
+    ``spark.cohortlens.shipPackage=true`` to ship it from the driver anyway."""
     sc = spark.sparkContext
     if id(sc) in _SHIPPED:
         return
+    forced = spark.conf.get("spark.cohortlens.shipPackage", "false").lower() == "true"
+    if not (sc.master.startswith("local") or forced):
+        _SHIPPED.add(id(sc))
+        return
     import zipfile
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
