@@ -21,10 +21,8 @@ FEATURE_CANDIDATES = ["cat_priority", "cat_segment", "cat_region", "totalprice",
 
 
 def prep(spark, sf_dir):
-    # fitting makes several passes (planner, medians, quartiles, categories, Gram matrix,
-    # scaler): read the derived cohort once from a checkpoint in the shared folder
-    from ..session import cut_lineage
-    df = cut_lineage(cohort(spark, sf_dir))
+    # fitting makes several passes; the cohort is a materialised table (sources.tables)
+    df = cohort(spark, sf_dir)
     return df, FT.Preprocessor.fit(df, NUMS, CATS)
 
 

@@ -35,10 +35,8 @@ def summary(spark, sf_dir, noise=False):
 
 
 def atlp(spark, sf_dir):
-    # the profile reads its input ~6 times (planner, global and per-cluster statistics,
-    # categories, severity): materialise the derived cohort once in the shared folder
-    from ..session import cut_lineage
-    df = cut_lineage(clustered_cohort(spark, sf_dir))
+    # the profile reads its input ~6 times; the cohort is a materialised table (sources.tables)
+    df = clustered_cohort(spark, sf_dir)
     sev = P.cluster_summary(df, "cluster", "target")
     return P.atlp_summary(df, NUMERIC, BINARY, CATEGORICAL, severity=sev,
                           rules=C.rules_frame(spark, STANDIN_RULES), invert=INVERT)

@@ -9,6 +9,10 @@ Orders without line items give genuine NULL measures.
 
 from __future__ import annotations
 
+import hashlib
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +40,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_MATERIALIZED: dict[tuple, str] = {}
+
+
+def _fingerprint(sf_dir: str, names: list[str]) -> str:
+    """Identity of the input files (size + mtime when locally visible, else the path)."""
+    parts = []
+    for n in names:
+        p = f"{sf_dir.rstrip('/')}/{n}.parquet"
+        try:
+            st = os.stat(p)
+            parts.append(f"{p}:{st.st_size}:{int(st.st_mtime)}")
+        except OSError:
+            parts.append(p)
+    return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
+
+
+def materialized(spark: SparkSession, name: str, sf_dir: str, inputs: list[str], build) -> DataFrame:
+    """Write a derived table once per session and input fingerprint into the shared
+    checkpoint folder, then read it as parquet (pruning and pushdown apply).  Queries that
+    use it never re-run the joins that produced it; lineage is cut by the write."""
+    from ..session import ensure_checkpoint_dir
+    key = (id(spark.sparkContext), name, _fingerprint(sf_dir, inputs))
+    path = _MATERIALIZED.get(key)
+    if path is None:
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{key[2]}-{uuid.uuid4().hex[:8]}"
+        build().write.mode("overwrite").parquet(path)
+        _MATERIALIZED[key] = path
+    return spark.read.parquet(path)
+
+
 def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per order (materialised once per session; see ``build_cohort``)."""
+    return materialized(spark, "cohort", sf_dir, ["orders", "customer", "nation", "lineitem"],
+                        lambda: build_cohort(spark, sf_dir))
+
+
+def build_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order; see FIXTURES.md §2.1 for the equivalent SQL."""
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
