@@ -61,12 +61,16 @@ def materialized(spark: SparkSession, name: str, sf_dir: str, inputs: list[str],
     checkpoint folder, then read it as parquet (pruning and pushdown apply).  Queries that
     use it never re-run the joins that produced it; lineage is cut by the write."""
     from ..session import ensure_checkpoint_dir
-    key = (id(spark.sparkContext), name, _fingerprint(sf_dir, inputs))
+    key = (id(spark.sparkContext), name, sf_dir, _fingerprint(sf_dir, inputs))
     path = _MATERIALIZED.get(key)
-    if path is None:
-        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{key[2]}-{uuid.uuid4().hex[:8]}"
-        build().write.mode("overwrite").parquet(path)
-        _MATERIALIZED[key] = path
+    if path is not None:
+        try:
+            return spark.read.parquet(path)
+        except Exception:  # files removed since (e.g. a cleaned checkpoint folder): rebuild
+            _MATERIALIZED.pop(key, None)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{key[3]}-{uuid.uuid4().hex[:8]}"
+    build().write.mode("overwrite").parquet(path)
+    _MATERIALIZED[key] = path
     return spark.read.parquet(path)
 
 
