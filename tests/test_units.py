@@ -367,3 +367,45 @@ def test_history_stream_incremental_equals_batch(spark):
     assert v3.count() == batch.count()
     log = spark.read.parquet(out + "/log")
     assert log.count() == ev.count()
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.none(), st.integers(-3, 3).map(float)), min_size=1, max_size=30),
+       st.booleans())
+def test_property_percentile_rank(spark, vals, higher):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id int, v double")
+    got = {r["id"]: r["p"] for r in percentile_rank(df, "v", higher, out="p").collect()}
+    nn = [v for v in vals if v is not None]
+    keyed = [v if higher else -v for v in nn]
+    ranks = avg_rank(keyed) if nn else []
+    j = 0
+    for i, v in enumerate(vals):
+        if v is None:
+            assert got[i] is None
+        else:
+            assert got[i] == pytest.approx(ranks[j] / len(nn))
+            j += 1
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.floats(-1e3, 1e3, allow_nan=False), min_size=2, max_size=40))
+def test_property_iqr(spark, vals):
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    r = Q.iqr_outliers(df, ["x"]).first()
+    q1, q3 = np.percentile(vals, [25, 75])
+    lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+    assert r["q1"] == pytest.approx(q1) and r["q3"] == pytest.approx(q3)
+    assert r["n_outliers"] == sum(1 for v in vals if v < lo or v > hi)
+
+
+def test_more_goldens():
+    # IQR upper fence of the published apsiii_prob row and the published test-set size
+    assert 0.126615606 + 1.5 * 0.082060912 == pytest.approx(0.249707, abs=1e-6)
+    assert math.ceil(0.2 * 53493) == 10699
+    # red hex at u = 0.2507: 80 + 125(1-u) + 50(1-u)^2 -> 202 -> 'ca'
+    y = 1 - 0.2507
+    assert round(80 + 125 * y + 50 * y * y) == 0xCA
