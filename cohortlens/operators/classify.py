@@ -102,9 +102,8 @@ def average_precision(scored: DataFrame, label: str = "true_label", prob: str =
     pos_above = ranked_value_counts(c.select(prob, "pos"), [], prob, "pos", descending=True) \
         .select(prob, "pos", (F.col("before") + F.col("pos")).alias("cum_pos"))
     t = rows_above.join(pos_above, prob).where(F.col("pos") > 0)
-    n1 = c.agg(F.sum("pos").alias("n1"))  # one row: the positive count
-    t = t.withColumn("__k", F.lit(0)).join(F.broadcast(n1.withColumn("__k", F.lit(0))), "__k")
-    return t.agg(F.sum(F.col("pos") / F.col("n1") * (F.col("cum_pos") / F.col("cum_n"))).alias("average_precision"))
+    n1 = float(c.agg(F.sum("pos")).first()[0] or 0)  # one number: inlined, no join
+    return t.agg(F.sum(F.col("pos") / F.lit(n1) * (F.col("cum_pos") / F.col("cum_n"))).alias("average_precision"))
 
 
 def brier(scored: DataFrame, label: str = "true_label", prob: str = "predicted_probability") -> DataFrame:

@@ -63,16 +63,19 @@ def calinski_harabasz(df: DataFrame, col: str = "embedding", cluster: str = "clu
     d = _dim(real, col)
     s = _cluster_sums(real, col, cluster, d)
     cent = s.select("cluster", "n", "sxx", F.transform("sx", lambda v: v / F.col("n")).alias("c"))
+    s = s.cache()
     tot = s.agg(F.sum("n").alias("ntot"), F.array(*[F.sum(F.col("sx")[i]) for i in range(d)]).alias("sx"),
-                F.count(F.lit(1)).alias("k"))
-    g = tot.select(F.lit(0).alias("__k"), "ntot", "k", F.transform("sx", lambda v: v / F.col("ntot")).alias("g"))
-    j = cent.withColumn("__k", F.lit(0)).join(F.broadcast(g), "__k")  # one global row, keyed equi-join
+                F.count(F.lit(1)).alias("k")).first()
+    # the global centroid is one row of d numbers: inlined as literals (no join)
+    ntot, k = tot["ntot"], tot["k"]
+    g = F.array(*[F.lit(float(v) / ntot) for v in tot["sx"]])
     sq = lambda arr: F.aggregate(arr, F.lit(0.0), lambda a, v: a + v * v)
-    j = j.select("ntot", "k", (F.col("n") * sq(F.zip_with("c", "g", lambda a, b: a - b))).alias("b"),
-                 (F.col("sxx") - F.col("n") * sq(F.col("c"))).alias("w"))
-    r = j.groupBy("ntot", "k").agg(F.sum("b").alias("between"), F.sum("w").alias("within"))
-    return r.select(F.when((F.col("k") > 1) & (F.col("within") != 0),
-                           (F.col("between") / (F.col("k") - 1)) / (F.col("within") / (F.col("ntot") - F.col("k"))))
+    j = cent.select((F.col("n") * sq(F.zip_with("c", g, lambda a, b: a - b))).alias("b"),
+                    (F.col("sxx") - F.col("n") * sq(F.col("c"))).alias("w"))
+    r = j.agg(F.sum("b").alias("between"), F.sum("w").alias("within"))
+    s.unpersist()
+    return r.select(F.when((F.lit(k) > 1) & (F.col("within") != 0),
+                           (F.col("between") / (k - 1)) / (F.col("within") / (ntot - k)))
                     .otherwise(F.lit(1.0)).alias("calinski_harabasz"))
 
 
@@ -86,10 +89,12 @@ def davies_bouldin(df: DataFrame, col: str = "embedding", cluster: str = "cluste
     dist = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v))
     xs = real.select(F.col(cluster).alias("cluster"), F.transform(col, lambda v: v.cast("double")).alias("x"))
     spread = xs.join(F.broadcast(cent), "cluster").groupBy("cluster").agg(F.avg(dist(F.col("x"), F.col("c"))).alias("s"))
-    cs = cent.join(spread, "cluster").withColumn("__k", F.lit(0))
-    # the k centroids as one array (k rows by definition), attached to every centroid
-    allc = cs.groupBy("__k").agg(F.collect_list(F.struct("cluster", "c", "s")).alias("others"))
-    j = cs.join(F.broadcast(allc), "__k")
+    cs = cent.join(spread, "cluster")
+    # the k centroids (k rows by definition) are inlined as a literal array of structs
+    rows = cs.collect()
+    allc = F.array(*[F.struct(F.lit(r["cluster"]).alias("cluster"), F.array(*[F.lit(float(v)) for v in r["c"]]).alias("c"),
+                              F.lit(float(r["s"])).alias("s")) for r in rows])
+    j = cs.withColumn("others", allc)
     others = F.filter("others", lambda o: o["cluster"] != F.col("cluster"))
 
     def ratio(o):

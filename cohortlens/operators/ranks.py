@@ -76,15 +76,21 @@ def ranked_value_counts(counts: DataFrame, groups: list[str], value: str, weight
                 bounds.unpersist()
                 ranges = need
                 bounds = bounds_for(ranges)
-        # bounds: one row per group (#variables / #pairs) of <= MAX_RANGES numbers
-        c = c.join(F.broadcast(bounds.drop("__cnt")), groups, "left")
-        c = c.withColumn("__r", _range_index(F.col("__b"), F.col("__k"), ranges - 1)).drop("__b")
+        if drop_g:
+            # a single group: its bounds are one row of <= MAX_RANGES numbers, inlined as a literal
+            row = bounds.first()
+            b = F.array(*[F.lit(float(v)) for v in (row["__b"] or [])]) if row else F.array().cast("array<double>")
+            c = c.withColumn("__r", _range_index(b, F.col("__k"), ranges - 1))
+        else:
+            # bounds: one row per group (#variables / #pairs) of <= MAX_RANGES numbers
+            c = c.join(F.broadcast(bounds.drop("__cnt")), groups, "left")
+            c = c.withColumn("__r", _range_index(F.col("__b"), F.col("__k"), ranges - 1)).drop("__b")
     else:
         c = c.withColumn("__r", F.lit(0))
     tot = c.groupBy(*groups, "__r").agg(F.sum(weight).alias("__t"))
     wo = W.partitionBy(*groups).orderBy("__r").rowsBetween(W.unboundedPreceding, -1)
     tot = tot.withColumn("__off", F.coalesce(F.sum("__t").over(wo), F.lit(0))).drop("__t")
-    c = c.join(tot, [*groups, "__r"])
+    c = c.join(tot.drop("__g") if drop_g else tot, ["__r"] if drop_g else [*groups, "__r"])
     wl = W.partitionBy(*groups, "__r").orderBy("__k", *tie_break).rowsBetween(W.unboundedPreceding, -1)
     c = c.withColumn("before", F.col("__off") + F.coalesce(F.sum(weight).over(wl), F.lit(0)))
     c = c.withColumn("avg_rank", F.col("before") + (F.col(weight) + 1) / 2.0)
