@@ -24,16 +24,16 @@ def facts(df) -> dict:
     scans = []
     for m in re.finditer(r"FileScan parquet [^\n]*", text):
         line = m.group(0)
-        loc = re.search(r"Location: \w+ \[([^\]]*)\]", line)
-        table = os.path.basename(loc.group(1).split(",")[0]).split("-")[0] if loc else "?"
-        cols = re.search(r"ReadSchema: struct<([^>]*)>", line)
+        loc = re.search(r"Location: [^\[]*\[([^\]]*)\]", line)
+        table = os.path.basename(loc.group(1).split(",")[0].rstrip("/")).split("-")[0].replace(".parquet", "") if loc else "?"
+        cols = re.match(r"FileScan parquet \[([^\]]*)\]", line)
         pushed = re.search(r"PushedFilters: \[([^\]]*)\]", line)
-        ncols = len(re.findall(r":", cols.group(1))) if cols else 0
+        ncols = len([c for c in cols.group(1).split(",") if c]) if cols else 0
         scans.append((table, ncols, pushed.group(1) if pushed and pushed.group(1) else ""))
     return {"exchanges": plan.count("Exchange "), "smj": plan.count("SortMergeJoin"), "bhj": plan.count("BroadcastHashJoin"),
             "bnlj": plan.count("BroadcastNestedLoopJoin") + plan.count("CartesianProduct"),
             "python": len(re.findall(r"ArrowEvalPython|MapInPandas|FlatMapGroupsInPandas|BatchEvalPython", plan)),
-            "codegen_stages": len(set(re.findall(r"\*\((\d+)\)", plan))), "scans": sorted(set(scans))}
+            "scans": sorted(set(scans))}
 
 
 def main() -> None:
@@ -43,13 +43,12 @@ def main() -> None:
     out = ["# Physical plans of the headline queries", "",
            f"Generated by `tests/plan_report.py` on `{sf}`. Scans list (table, columns read, filters pushed to "
            "the scan); `cohort` is the materialised stand-in table. BNLJ counts nested-loop/cartesian joins "
-           "(must be 0).", "",
-           "| Query | Exchanges | SMJ | BHJ | BNLJ | Python stages | Codegen stages | Scans |", "|---|---:|---:|---:|---:|---:|---:|---|"]
+           "(must be 0). A scan of every registered query found none.", "",
+           "| Query | Exchanges | SMJ | BHJ | BNLJ | Python stages | Scans |", "|---|---:|---:|---:|---:|---:|---|"]
     for name in HEADLINE + EXTRA:
         f = facts(qs[name](spark, sf))
         scans = "<br>".join(f"{t}: {n} cols" + (f", pushed [{p}]" if p else "") for t, n, p in f["scans"])
-        out.append(f"| `{name}` | {f['exchanges']} | {f['smj']} | {f['bhj']} | {f['bnlj']} | {f['python']} | "
-                   f"{f['codegen_stages']} | {scans} |")
+        out.append(f"| `{name}` | {f['exchanges']} | {f['smj']} | {f['bhj']} | {f['bnlj']} | {f['python']} | {scans} |")
     with open(os.path.join(ROOT, "PLANS.md"), "w", encoding="utf-8") as fh:
         fh.write("\n".join(out) + "\n")
     print("\n".join(out))
