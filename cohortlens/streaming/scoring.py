@@ -50,10 +50,15 @@ def score_batch(batch: DataFrame, m: ScoringModels, key: str, numeric: list[str]
 
 
 def run_scoring_stream(spark: SparkSession, input_dir: str, output_dir: str, checkpoint: str, models: ScoringModels,
-                       key: str, numeric: list[str], categorical: list[str], sep: str = ";") -> None:
-    """Process every file currently in ``input_dir`` (availableNow) and stop."""
+                       key: str, numeric: list[str], categorical: list[str], sep: str = ";",
+                       max_files_per_trigger: int = 1000) -> None:
+    """Process every file currently in ``input_dir`` (availableNow) and stop.
+
+    ``max_files_per_trigger`` bounds a micro-batch, and with it the query side that the
+    kNN assignment broadcasts per pass."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [key] + numeric + categorical])
-    stream = spark.readStream.schema(schema).option("header", True).option("sep", sep).csv(input_dir)
+    stream = (spark.readStream.schema(schema).option("header", True).option("sep", sep)
+              .option("maxFilesPerTrigger", max_files_per_trigger).csv(input_dir))
 
     def handle(batch_df: DataFrame, epoch_id: int) -> None:
         out = score_batch(batch_df, models, key, numeric, categorical)
