@@ -182,9 +182,9 @@ def tx11_tx13_header_and_marker_checks(spark, sf_dir):
 
 
 RATIO_SQL = f"""
-SELECT conv_id, turn, CASE WHEN text IS NULL OR length(text) = 0 OR length(regexp_replace(text, '\\s', '', 'g')) = 0 THEN 1.0
+SELECT conv_id, turn, round(CASE WHEN text IS NULL OR length(text) = 0 OR length(regexp_replace(text, '\\s', '', 'g')) = 0 THEN 1.0
   ELSE length(regexp_replace(text, '[\\x00-\\x7F{TX.ALLOWED_NON_ASCII}]|\\s', '', 'g')) / length(regexp_replace(text, '\\s', '', 'g'))
-  END AS suspicious_ratio
+  END, 6) AS suspicious_ratio
 FROM conversations
 """
 
