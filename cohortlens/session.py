@@ -8,7 +8,9 @@ shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,17 +46,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared (HDFS/S3/...) folder and is
-    used as is.  Only when it is unset (local tests) do we create one under /tmp.
+    used as is; a cluster without one is an error, because a folder of one machine is
+    not visible to the others.  Only a ``local`` master (tests) gets a folder of its
+    own, which is removed when the process ends.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="cohortlens-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    if spark.sparkContext.getCheckpointDir() is None:
+    current = spark.sparkContext.getCheckpointDir()
+    if not configured and not current:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="cohortlens-ckpt-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
+    if current is None:
         spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    return configured or current
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
