@@ -5,25 +5,66 @@ from __future__ import annotations
 import public_tokenizers
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bin_packing, token_counts, token_output
+from . import (bin_packing, class_lm, decontamination, fertility, license_scan, near_duplicates, pii_surrogates,
+               token_counts, token_output, toxicity)
 from .common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
+PII_KEY = "surrogate-key-1"
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(spark, table(spark, sf_dir, "documents"), WORD_BPE, end_id=2)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    labels = table(spark, sf_dir, "labels").filter(~toxicity.held_out(F.col("doc_id")))
+    return toxicity.train(docs, labels)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity_model(spark, docs, sf_dir)).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op4_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.fertility(table(spark, sf_dir, "documents"), PIECE_BPE)
+
+
 def op5_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE, end_id=1)
 
 
+def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.class_lm_scores(table(spark, sf_dir, "documents"), class_lm.by_crc(F.col("doc_id")))
+
+
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_surrogates.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY, "n_entities")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), PIECE_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op5_bin_packing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (
+    op1_token_output, op2_decontamination, op3_toxicity, op4_fertility, op5_bin_packing, op6_class_lm,
+    op7_near_duplicates, op8_license_scan, op9_pii_surrogates, op10_token_counts)}
 ORACLE: dict[str, str] = {}
