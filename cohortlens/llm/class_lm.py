@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_arrow, crc32_mod, ship_package, utf8, written
+from .common import crc32_mod, most_frequent, ship_package, utf8, written
 
 HEAD = 1 << 14
 CLASSES = 64
@@ -111,30 +111,41 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def best_class(matrix: np.ndarray, own: int, after: np.ndarray, before: np.ndarray, movable: int) -> int:
-    """The class among the first ``movable`` that gives the class bigrams the highest likelihood for a word that is
-    in class ``own`` now, with ``after[c]`` tokens of class c after it and ``before[c]`` before it.  Only the
-    classes beside the word change a term, so the work follows their number."""
-    beside_after, beside_before = np.flatnonzero(after), np.flatnonzero(before)
-    to = matrix[:, beside_after]  # the matrix without the word: its class's row and column shrink
-    to[own] -= after[beside_after]
-    to[:, beside_after == own] -= before[:, None]
-    from_ = matrix[beside_before]
-    from_[:, own] -= before[beside_before]
-    from_[beside_before == own] -= after
-    diagonal = np.diag(matrix).copy()
-    diagonal[own] -= after[own] + before[own]
-    rows, columns = matrix.sum(axis=1) - before, matrix.sum(axis=0) - after
-    rows[own] -= after.sum()
-    columns[own] -= before.sum()
-    to, from_, diagonal, rows, columns = (np.maximum(x, 0) for x in (to, from_, diagonal, rows, columns))
-    same = _xlogx(diagonal)
-    gain = ((_xlogx(to + after[beside_after]) - _xlogx(to)).sum(axis=1) - (_xlogx(diagonal + after) - same)
-            + (_xlogx(from_ + before[beside_before][:, None]) - _xlogx(from_)).sum(axis=0) - (_xlogx(diagonal + before) - same)
-            + _xlogx(diagonal + after + before) - same
-            - _xlogx(rows + after.sum()) + _xlogx(rows) - _xlogx(columns + before.sum()) + _xlogx(columns))
-    best = int(np.argmax(gain[:movable]))
-    return best if gain[best] > gain[own] + 1e-9 else own
+def best_classes(matrix: np.ndarray, own: np.ndarray, after: np.ndarray, before: np.ndarray, movable: int) -> np.ndarray:
+    """For each word, the class among the first ``movable`` that gives the class bigrams the highest likelihood, the
+    other words staying where they are.  ``own``: the words' classes; ``after[w, c]`` and ``before[w, c]``: tokens of
+    class c after and before them.  Only the classes beside a word change a term, so the work follows their number."""
+    words = np.arange(len(own))
+
+    def side(m: np.ndarray, here: np.ndarray, there: np.ndarray) -> np.ndarray:
+        """Change of sum(m log m) over the rows' cells in the columns beside each word, for each row it may join."""
+        w, c = np.nonzero(here)
+        cells, n = m[:, c], here[w, c]
+        cells[own[w], np.arange(len(w))] -= n  # the matrix without the word
+        crossing = c == own[w]
+        cells[:, crossing] -= there[w[crossing]].T
+        cells = np.maximum(cells, 0)
+        change = _xlogx(cells + n) - _xlogx(cells)
+        out = np.zeros((len(own), len(m)))
+        if len(w):
+            first = np.flatnonzero(np.diff(w, prepend=-1))
+            out[w[first]] = np.add.reduceat(change, first, axis=1).T
+        return out
+
+    def total(sums: np.ndarray, here: np.ndarray) -> np.ndarray:
+        n = here.sum(axis=1)
+        rest = np.tile(sums, (len(own), 1))
+        rest[words, own] -= n
+        return _xlogx(rest + n[:, None]) - _xlogx(np.maximum(rest, 0))
+
+    diagonal = np.tile(np.diag(matrix), (len(own), 1))
+    diagonal[words, own] -= after[words, own] + before[words, own]
+    diagonal = np.maximum(diagonal, 0)
+    crossing = _xlogx(diagonal + after + before) - _xlogx(diagonal + after) - _xlogx(diagonal + before) + _xlogx(diagonal)
+    gain = (side(matrix, after, before) + side(matrix.T, before, after) + crossing
+            - total(matrix.sum(axis=1), after) - total(matrix.sum(axis=0), before))
+    best = gain[:, :movable].argmax(axis=1)
+    return np.where(gain[words, best] > gain[words, own] + 1e-9, best, own)
 
 
 def class_matrix(beside: DataFrame, classes: np.ndarray, n_classes: int) -> np.ndarray:
@@ -176,16 +187,15 @@ def exchange(pairs: DataFrame, n_words: int, end: int, n_classes: int, rounds: i
             rows = rows.sort_values("word")
             word, other, n = (rows[c].to_numpy() for c in ("word", "other", "n"))
             side = rows["is_after"].to_numpy().astype(int)
-            edges = np.flatnonzero(np.diff(word, prepend=-1, append=-1))
-            out = []
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                vectors = np.zeros((2, total))
-                vectors[side[a:b], other[a:b]] = n[a:b]
-                now = int(own[word[a]])
-                best = best_class(matrix, now, vectors[1], vectors[0], n_classes)
-                if best != now:
-                    out.append((word[a], best))
-            return pd.DataFrame(out, columns=["word", "best"]).astype("int32")
+            index = np.cumsum(np.diff(word, prepend=word[0]) != 0)
+            named = word[np.flatnonzero(np.diff(word, prepend=-1))]
+            vectors = np.zeros((2, len(named), total))
+            vectors[side, index, other] = n
+            now = own[named]
+            best = np.concatenate([best_classes(matrix, now[at:at + 256], vectors[1, at:at + 256], vectors[0, at:at + 256], n_classes)
+                                   for at in range(0, len(named), 256)])
+            moved = best != now
+            return pd.DataFrame({"word": named[moved].astype("int32"), "best": best[moved].astype("int32")})
 
         half = beside.filter((F.col("word") < n_words) & (F.col("word") != end) & (F.pmod(F.hash("word"), F.lit(2)) == turn % 2))
         # A group is at most HEAD / 128 words with two vectors each.
@@ -225,7 +235,7 @@ def fit(training: DataFrame, counts: DataFrame, head_size: int, n_classes: int,
     if not n_tokens:  # no training text: everything is unknown
         return ClassModel([(END, 0)], np.array([n_classes, n_classes + 1]), np.zeros((n_classes + 2,) * 2), 0, 0), 0
     short = counts.filter((F.octet_length("word") <= MAX_HEAD_WORD) | (F.col("word") == F.lit(bytearray(END))))
-    head = [(bytes(w), c) for w, c in short.orderBy(F.desc("c"), "word").limit(head_size).collect()]
+    head = [(bytes(w), c) for w, c in most_frequent(short, "word", "c", head_size).collect()]
     if END not in [w for w, _ in head]:
         head[-1] = (END, counts.filter(F.col("word") == F.lit(bytearray(END))).first()["c"])
     end = [w for w, _ in head].index(END)

@@ -92,3 +92,17 @@ def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else; null is the empty text."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.translate(F.coalesce(text, F.lit("")), upper, upper.lower())
+
+
+def most_frequent(counts: DataFrame, name: str, count: str, k: int) -> DataFrame:
+    """The ``k`` rows with the largest ``count`` (ties by ``name``).  A histogram of the counts' magnitudes, of a
+    bounded number of rows, gives a floor first, so that partitions do not each send ``k`` rows."""
+    magnitude = F.floor(F.log2(F.col(count)) * 4)
+    floor, seen = None, 0
+    for at, n in sorted(counts.groupBy(magnitude.alias("m")).count().collect(), reverse=True):
+        floor, seen = at, seen + n
+        if seen >= k:
+            break
+    if floor is not None:
+        counts = counts.filter(magnitude >= floor)
+    return counts.orderBy(F.desc(count), name).limit(k)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_arrow, ship_package, texts
+from .common import by_arrow, most_frequent, ship_package, texts, written
 from .tokenizing import MAX_PART, CACHE_PARTS, piece_bpe
 
 FREQUENT = 1 << 14
@@ -84,7 +84,7 @@ def frequent_pretokens(docs: DataFrame, model: str, top: int = FREQUENT, summary
 
     ship_package(docs.sparkSession)
     merged = docs.select("text").mapInArrow(summarise, "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
-    return [r[0] for r in merged.orderBy(F.desc("n"), "part").limit(top).select("part").collect()]
+    return [r[0] for r in most_frequent(written(merged, "summaries"), "part", "n", top).select("part").collect()]
 
 
 def count_tokens(docs: DataFrame, model: str, limit: int = 4096, top: int = FREQUENT) -> DataFrame:
