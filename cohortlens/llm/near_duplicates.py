@@ -2,10 +2,10 @@
 
 1. Every text gets its set of word shingles, a MinHash signature and band keys, in one pass over the texts.
    Texts with equal sets are one class (an aggregation on the set's digest); only one of each class goes on.
-2. Classes that share a band key are candidates.  A bucket is never expanded into its pairs: each round, every
-   bucket names a hub and its other members are compared with the hub only.  Members that are already in one
-   component need no comparison, so after a few rounds few buckets hold more than one component, and what is left
-   between different components is then compared pair by pair.
+2. Classes that share a band key are candidates.  First, every bucket names a hub and its other members are compared
+   with the hub only.  Members that are already in one component need no comparison, so after ``HUB_ROUNDS`` rounds
+   few buckets hold more than one component.  Those are compared in blocks of ``BLOCK`` members: a task compares two
+   blocks in memory and emits the pairs that survive, never a bucket's pairs.
 3. A candidate pair is compared signature batch by signature batch.  After each batch the posterior probability of a
    similarity at or above the threshold, given the matches so far (uniform prior), must exceed the chosen miss
    probability; survivors of all batches are verified exactly on the full sets.
@@ -18,11 +18,12 @@ similarity 0.8 meets in no band with probability 5e-7.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_arrow, utf8, written
@@ -32,7 +33,8 @@ PERCENT = 80
 BANDS, ROWS = 48, 6
 COMPARED, BATCH = 256, 32
 MISS = 1e-6
-HUB_ROUNDS = 4
+HUB_ROUNDS = 2
+BLOCK = 512
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -139,23 +141,92 @@ def least_matches(percent: int, miss: float, compared: int = COMPARED, batch: in
     return out
 
 
-def probable(pairs: DataFrame, percent: int, miss: float) -> DataFrame:
-    """Pairs (a, b, signature_a, signature_b) that no batch rules out: a, b."""
+def survivors(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, least: list[int]) -> np.ndarray:
+    """Positions of the pairs (row ``i`` of ``left``, row ``j`` of ``right``) that no batch rules out."""
+    alive, matches = np.arange(len(i)), np.zeros(len(i), np.int64)
+    for k, bound in enumerate(least):
+        part = slice(k * BATCH, (k + 1) * BATCH)
+        matches = matches + (left[i[alive], part] == right[j[alive], part]).sum(axis=1)
+        passed = matches >= bound
+        alive, matches = alive[passed], matches[passed]
+        if not len(alive):
+            break
+    return alive
+
+
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COMPARED)
+
+
+def near_hub(members: DataFrame, percent: int, miss: float, *salt) -> DataFrame:
+    """Pairs a < b of a member and its bucket's hub that the signatures do not rule out.  ``members``: key, id, size,
+    component, signature.  The hub is the member with the smallest hash of its id and ``salt``."""
+    columns = ["id", "size", "component", "signature"]
+    hubs = members.groupBy("key").agg(F.min_by(F.struct(*columns), F.xxhash64("id", *salt)).alias("h")).select(
+        "key", *[F.col(f"h.{c}").alias(f"{c}_h") for c in columns])
+    close = 100 * F.least("size", "size_h") >= percent * F.greatest("size", "size_h")
+    met = members.join(hubs, "key").filter((F.col("component") != F.col("component_h")) & close)
     least = least_matches(percent, miss)
 
     def run(batch: pa.RecordBatch):
-        left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, COMPARED) for k in (2, 3))
-        alive = np.arange(batch.num_rows)
-        matches = np.zeros(batch.num_rows, np.int64)
-        for k, bound in enumerate(least):
-            part = slice(k * BATCH, (k + 1) * BATCH)
-            matches = matches + (left[alive, part] == right[alive, part]).sum(axis=1)
-            passed = matches >= bound
-            alive, matches = alive[passed], matches[passed]
-        kept = pa.array(alive)
-        return [batch.column(0).take(kept), batch.column(1).take(kept)]
+        every = np.arange(batch.num_rows)
+        alive = pa.array(survivors(_signatures(batch.column(2)), _signatures(batch.column(3)), every, every, least))
+        return [batch.column(0).take(alive), batch.column(1).take(alive)]
+
+    ordered = met.select(F.least("id", "id_h").alias("a"), F.greatest("id", "id_h").alias("b"), "signature", "signature_h")
+    return by_arrow(ordered, run, "a long, b long").distinct()
+
+
+def in_blocks(members: DataFrame, percent: int, miss: float, block: int) -> DataFrame:
+    """Pairs a < b of members of different components in one bucket that the signatures do not rule out.  A bucket of
+    n members has n / ``block`` blocks; a task holds two of them."""
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own",
+                         "id", "size", "component", "signature")
+    least = least_matches(percent, miss)
 
-    return by_arrow(pairs.select("a", "b", "signature_a", "signature_b"), run, "a long, b long")
+    def compare(rows: pa.RecordBatch, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        own, ids, size, component = (rows.column(k).to_numpy() for k in (3, 4, 5, 6))
+        first, second = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        small, large = np.minimum.outer(size[first], size[second]), np.maximum.outer(size[first], size[second])
+        wanted = (component[first][:, None] != component[second]) & (100 * small >= percent * large)
+        if low == high:
+            wanted = np.triu(wanted, 1)
+        x, y = np.nonzero(wanted)
+        if not len(x):
+            return ids[:0], ids[:0]
+        signatures = _signatures(rows.column(7))
+        x, y = first[x], second[y]
+        alive = survivors(signatures, signatures, x, y, least)
+        x, y = ids[x[alive]], ids[y[alive]]
+        return np.minimum(x, y), np.maximum(x, y)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def result(rows: pa.RecordBatch):
+            keys = np.stack([rows.column(k).to_numpy().astype(np.int64) for k in range(3)])
+            edges = np.flatnonzero(np.any(np.diff(keys, axis=1) != 0, axis=0)) + 1
+            found = [compare(rows.slice(a, b - a), int(keys[1, a]), int(keys[2, a]))
+                     for a, b in zip([0, *edges.tolist()], [*edges.tolist(), rows.num_rows])]
+            return pa.RecordBatch.from_pydict({n: pa.array(np.concatenate([f[k] for f in found]), pa.int64())
+                                               for k, n in enumerate("ab")})
+
+        rest = None  # the last group may go on in the next batch
+        for batch in batches:
+            rows = batch if rest is None else pa.concat_batches([rest, batch])
+            last = tuple(rows.column(k)[-1].as_py() for k in range(3))
+            at = rows.num_rows
+            while at and tuple(rows.column(k)[at - 1].as_py() for k in range(3)) == last:
+                at -= 1
+            rest = rows.slice(at)
+            if at:
+                yield result(rows.slice(0, at))
+        if rest is not None and rest.num_rows:
+            yield result(rest)
+
+    together = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return together.mapInArrow(run, "a long, b long").distinct()
 
 
 def exact(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -201,7 +272,7 @@ def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, miss: float = MISS,
-                    hub_rounds: int = HUB_ROUNDS) -> DataFrame:
+                    hub_rounds: int = HUB_ROUNDS, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links, its own included) and kept (doc_id =
     component_id) of every row of ``docs`` (doc_id, text).
 
@@ -214,73 +285,53 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     classes = written(full.groupBy("set_id").agg(F.min_by(F.struct("doc_id", "n_shingles", "signature", "bands"), "doc_id").alias("c"))
                       .select("set_id", F.col("c.doc_id").alias("id"), F.col("c.n_shingles").alias("size"),
                               F.col("c.signature").alias("signature"), F.col("c.bands").alias("bands")), "classes")
-    keyed = classes.select("id", "size", F.explode("bands").alias("key"))
+    keyed = classes.select("id", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     members = written(keyed.join(shared, "key"), "members")
-
     wanted = members.select("id").distinct()
+    known = classes.select("id", "size", "signature")
     texts = None
-    signatures = classes.select("id", "signature").join(wanted, "id")
     links = tested = labels = None
     for turn in range(hub_rounds + 1):
-        pairs = candidates(members, labels, turn, turn < hub_rounds, percent)
+        here = known.withColumn("component", F.col("id")) if labels is None else (
+            known.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+        if labels is not None:
+            members = mixed(members, here)
+        here = members.join(here, "id")
+        # The first round's hub is the same in all buckets of a group, so its pairs are few; the next ones differ.
+        alive = (in_blocks(here, percent, miss, block) if turn == hub_rounds
+                 else near_hub(here, percent, miss, *([F.col("key"), F.lit(turn)] if turn else [])))
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        tested = pairs if tested is None else tested.union(pairs)
-        signed = (pairs.join(signatures.select(F.col("id").alias("a"), F.col("signature").alias("signature_a")), "a")
-                  .join(signatures.select(F.col("id").alias("b"), F.col("signature").alias("signature_b")), "b"))
-        alive = written(probable(signed, percent, miss), "probable")
+            alive = alive.join(tested, ["a", "b"], "left_anti")
+        alive = written(alive, "alive")
         if alive.isEmpty():
-            if turn == 0:
-                continue
-            if turn == hub_rounds:
-                break
             continue
+        tested = alive if tested is None else tested.union(alive)
         if texts is None:
-            texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
+            texts = written(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi"), "texts")
         found = written(exact(alive, texts, shingle, percent), "found")
-        if found.isEmpty():
-            continue
-        links = found if links is None else links.union(found)
-        labels = components(links, labels)
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            labels = components(links, labels)
 
     rows = full.select("doc_id", "n_shingles", "set_id")
-    known = classes.select("set_id", "id")
+    named = classes.select("set_id", "id")
     if labels is not None:
-        known = known.join(labels.withColumnRenamed("node", "id"), "id", "left")
-        known = known.select("set_id", F.coalesce("component", "id").alias("component_id"))
+        named = named.join(labels.withColumnRenamed("node", "id"), "id", "left")
+        named = named.select("set_id", F.coalesce("component", "id").alias("component_id"))
     else:
-        known = known.withColumnRenamed("id", "component_id")
-    linked = rows.join(known, "set_id").select("doc_id", "n_shingles", "component_id")
+        named = named.withColumnRenamed("id", "component_id")
+    linked = rows.join(named, "set_id").select("doc_id", "n_shingles", "component_id")
     alone = sketched.filter("n_shingles = 0 or doc_id is null").select(
         "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def candidates(members: DataFrame, labels: DataFrame | None, turn: int, hubs: bool, percent: int) -> DataFrame:
-    """Distinct pairs a < b of one round.  ``members``: id, size, key.  Buckets with one component are done.  With
-    ``hubs`` each bucket's members meet its hub only, else all members of other components."""
-    if labels is not None:
-        members = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn(
-            "component", F.coalesce("component", "id"))
-        mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        members = written(members.join(mixed.filter("low < high").select("key"), "key"), "mixed")
-    else:
-        members = members.withColumn("component", F.col("id"))
-    columns = ["id", "size", "component"]
-    if hubs:
-        # The first round's hub is the same in all buckets of a group, so its pairs are few; later ones differ.
-        order = F.xxhash64("id") if turn == 0 else F.xxhash64("id", "key", F.lit(turn))
-        other = members.groupBy("key").agg(F.min_by(F.struct(*columns), order).alias("h")).select("key", "h.*")
-    else:
-        other = members
-    other = other.select("key", *[F.col(c).alias(f"{c}_h") for c in columns])
-    close = 100 * F.least("size", "size_h") >= percent * F.greatest("size", "size_h")
-    met = members.join(other, "key").filter((F.col("component") != F.col("component_h")) & close)
-    return met.select(F.least("id", "id_h").alias("a"), F.greatest("id", "id_h").alias("b")).distinct()
+def mixed(members: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (id, key) of the buckets that hold more than one component."""
+    placed = members.join(known.select("id", "component"), "id")
+    keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    return written(members.join(keys.select("key"), "key", "left_semi"), "mixed")
 
 
 def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
