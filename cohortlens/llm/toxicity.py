@@ -1,6 +1,6 @@
 """Toxicity: a character n-gram linear classifier on features scaled by naive Bayes log-count ratios.
 
-Features are the distinct hashed character n-grams of 3 to 5 characters of the lower-cased text (white space is one
+Features are the distinct hashed character n-grams of 4 to 7 characters of the lower-cased text (white space is one
 space character; the text has a space before and after).  A feature's value is the log ratio of its smoothed document
 frequencies in toxic and other training texts; logistic regression with an L2 penalty gives the weights.
 
@@ -19,13 +19,14 @@ from pyspark.sql import functions as F
 
 from .common import by_arrow, crc32_mod, texts
 
-SHORTEST, LONGEST = 3, 5
-BITS = 18
-PER_CLASS = 3000
+SHORTEST, LONGEST = 4, 7
+BITS = 19
+PER_CLASS = 2000
 SMOOTHING = 1.0
 PENALTY = 1e-3
-STEPS = 40
+STEPS = 25
 PART = 1 << 20  # characters whose n-grams are hashed at once
+CHUNK = 500  # training texts whose n-grams are summed at once
 
 
 def ngram_slots(text: str, seen: np.ndarray) -> np.ndarray:
@@ -102,19 +103,24 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray) -> Model:
     if not len(rows) or toxic.min() == toxic.max():
         share = (float((weight * toxic).sum()) + 0.5) / (float(total) + 1.0) if len(rows) else 0.0
         return Model(np.zeros(size), float(np.log(share / (1 - share))) if share else -50.0)
-    slots = np.concatenate(rows)
-    lengths = np.array([len(r) for r in rows])
-    owner = np.repeat(np.arange(len(rows)), lengths)
-    in_toxic = np.bincount(slots, (weight * toxic)[owner], size) + SMOOTHING
-    in_other = np.bincount(slots, (weight * (1 - toxic))[owner], size) + SMOOTHING
+    chunks = [slice(at, at + CHUNK) for at in range(0, len(rows), CHUNK)]  # bounds the memory of each sum
+
+    def per_slot(amount: np.ndarray) -> np.ndarray:
+        """For each slot, the sum of ``amount`` over the texts that have it."""
+        out = np.zeros(size)
+        for part in chunks:
+            out += np.bincount(np.concatenate(rows[part]), np.repeat(amount[part], [len(r) for r in rows[part]]), size)
+        return out
+
+    in_toxic, in_other = per_slot(weight * toxic) + SMOOTHING, per_slot(weight * (1 - toxic)) + SMOOTHING
     ratio = np.log(in_toxic / ((weight * toxic).sum() + 2 * SMOOTHING)) - np.log(in_other / ((weight * (1 - toxic)).sum() + 2 * SMOOTHING))
-    values = ratio[slots]
 
     def loss(w):
-        z = np.bincount(owner, values * w[slots], len(rows)) + w[-1]
+        scaled = ratio * w[:-1]
+        z = np.array([scaled[r].sum() for r in rows]) + w[-1]
         p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
         error = weight * (p - toxic)
-        gradient = np.bincount(slots, values * error[owner], size) / total + PENALTY * w[:-1]
+        gradient = per_slot(error) * ratio / total + PENALTY * w[:-1]
         return (float((weight * (np.logaddexp(0, z) - toxic * z)).sum() / total + PENALTY / 2 * (w[:-1] @ w[:-1])),
                 np.append(gradient, error.sum() / total))
 
