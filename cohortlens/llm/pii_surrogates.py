@@ -33,7 +33,7 @@ GIVEN = {"f": ["Mary", "Patricia", "Jennifer", "Elizabeth", "Susan", "Jessica",
 LATIN = ["ba", "ce", "di", "fo", "gu", "la", "me", "ni", "po", "ru", "sa", "te", "vi", "zo", "ka", "le"]
 CYRILLIC = ["ба", "ве", "ди", "го", "ку", "ла", "ме", "ни", "по", "ру", "са", "те", "ви", "зо", "ка", "ле"]
 
-_NAME = r"\p{Lu}[\p{Ll}'’]+(?:-\p{Lu}\p{Ll}+)?"
+_NAME = r"\p{Lu}(?:[\p{Ll}'’]+|\p{Lu}{2,})(?:-\p{Lu}\p{Ll}+)?"
 _TITLE = "|".join(t for g in TITLES.values() for t in g)
 _LISTED = "|".join(n for g in GIVEN.values() for n in g)
 _EDGE = r"(?<![\p{L}\p{N}_])"
@@ -44,8 +44,8 @@ TYPES = [  # in order of priority
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
     ("card", r"(?<![0-9A-Za-z+])\d(?:[ -]?\d){12,18}(?![0-9A-Za-z])"),
     ("ssn", r"(?<![0-9A-Za-z-])\d{3}-\d{2}-\d{4}(?![0-9A-Za-z-])"),
-    ("phone", r"(?<![0-9A-Za-z])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?|\(\d{3}\)[ .-]?)\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?![0-9A-Za-z])"
-              r"|(?<![0-9A-Za-z])\d{3}[.-]\d{3}[.-]\d{4}(?![0-9A-Za-z])"),
+    ("phone", r"(?<![0-9A-Za-z+])(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\+(?!1)\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}"
+              r"|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![0-9A-Za-z])"),
     ("name", rf"{_EDGE}(?:(?:{_TITLE})\.? {_NAME}(?: {_NAME})?|(?:{_LISTED}) {_NAME})(?![\p{{L}}\p{{N}}])"),
 ]
 PATTERN = "|".join(f"(?:{p})" for _, p in TYPES)
@@ -97,8 +97,8 @@ def _syllables(hexes: Column, n: Column, table: list[str]) -> Column:
 
 
 def surrogate(key: str, kind: Column, canon: Column, salt: Column) -> Column:
-    """Canonical surrogate of a canonical entity.  ``kind`` of a name's word: given_f, given_m, given_n, surname_f,
-    surname_m or surname_n."""
+    """Canonical surrogate of a canonical entity.  ``kind`` of a name's word: given_f, given_m, given_n, surname,
+    or surname_f, surname_m, surname_n where it has a gender."""
     hexes = digest(key, kind, canon, salt)
     long = F.concat(hexes, digest(key, F.concat(kind, F.lit("2")), canon, salt))
     digits = F.translate(long, "abcdef", "072583")
@@ -185,7 +185,8 @@ def parts_of(kind: Column, surface: Column) -> Column:
 
     def one(i):
         kind = (F.when(i < first, F.lit(None).cast("string")).when((i == first) & (n > first), F.concat(F.lit("given_"), gender))
-                .otherwise(F.concat(F.lit("surname_"), gender)))
+                # Only Cyrillic surnames agree in gender; others are the same for all who bear them.
+                .otherwise(F.when(F.element_at(words, i).rlike(r"\p{IsCyrillic}"), F.concat(F.lit("surname_"), gender)).otherwise("surname")))
         return F.struct(F.concat(F.element_at(words, i), F.when(i < n, " ").otherwise("")).alias("text"), kind.alias("kind"))
 
     return F.when(kind == "name", F.transform(F.sequence(F.lit(1), n), one).cast(piece)).otherwise(whole)
