@@ -1,53 +1,47 @@
-"""Quantile planning: exact where it is cheap, bounded sketch where it is not.
+"""Exact quantiles at every size, from counts per distinct value.
 
-Spark's exact ``percentile`` keeps a value -> count map per group and merges
-it in one task per group, so its memory grows with the number of DISTINCT
-values (fine for clinical measures recorded with limited precision,
-unbounded for continuous values at 100 TB).  ``exact_flags`` decides per
-column with one HyperLogLog pass:
-
-* ``spark.cohortlens.quantileMode`` = ``auto`` (default) | ``exact`` | ``approx``
-* ``spark.cohortlens.exactQuantileMaxDistinct`` (default 1,000,000)
-
-In ``auto`` a column is exact when its estimated distinct count is within
-the bound, else it uses ``percentile_approx`` (accuracy 10,000, relative
-rank error 1e-4).  Every choice is visible in ``last_plan``.
+Rows are reduced to (keys, variable, value, count) with map-side aggregation, the counts get their position by the
+distributed prefix sum of ``operators.ranks`` (value ranges, no task holds a whole variable), and a quantile is read
+off the one or two values around its position, with linear interpolation.  Nulls and NaN do not count.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_DISTINCT = 1_000_000
-APPROX_ACCURACY = 10_000
-last_plan: dict[str, bool] = {}
-
-
-def _conf(df: DataFrame, key: str, default: str) -> str:
-    return df.sparkSession.conf.get(key, default)
-
-
-def exact_flags(df: DataFrame, cols: list[str]) -> dict[str, bool]:
-    """Per column: True = exact percentile, False = sketch."""
-    mode = _conf(df, "spark.cohortlens.quantileMode", "auto")
-    if mode == "exact" or not cols:
-        flags = {c: True for c in cols}
-    elif mode == "approx":
-        flags = {c: False for c in cols}
-    else:
-        limit = int(_conf(df, "spark.cohortlens.exactQuantileMaxDistinct", str(DEFAULT_MAX_DISTINCT)))
-        est = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-        flags = {c: est[f"d{i}"] <= limit for i, c in enumerate(cols)}
-    last_plan.update(flags)
-    return flags
-
-
-def quantiles(col: Column, probs: list[float], exact: bool) -> Column:
-    """array of quantiles (linear interpolation when exact)."""
-    arr = F.array(*[F.lit(float(p)) for p in probs])
-    return F.percentile(col.cast("double"), arr) if exact else F.percentile_approx(col.cast("double"), arr, APPROX_ACCURACY)
-
 
-def median(col: Column, exact: bool) -> Column:
-    return F.median(col.cast("double")) if exact else F.percentile_approx(col.cast("double"), F.lit(0.5), APPROX_ACCURACY).cast("double")
+def value_counts(df: DataFrame, cols: list[str], keys: list[str] = ()) -> DataFrame:
+    """keys, variable, x, n: how often each value of each numeric column occurs."""
+    melted = df.select(*keys, *[F.col(f"`{c}`").cast("double").alias(c) for c in cols]).unpivot(
+        list(keys), list(cols), "variable", "x")
+    return melted.where(F.col("x").isNotNull() & ~F.isnan("x")).groupBy(*keys, "variable", "x").agg(F.count(F.lit(1)).alias("n"))
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], keys: list[str] = ()) -> DataFrame:
+    """keys, variable, q (array, one per probability), n_values (non-null), n_distinct.  A column (or group) without
+    values has no row."""
+    from ..operators.ranks import ranked_value_counts
+    groups = [*keys, "variable"]
+    counts = value_counts(df, cols, keys)
+    totals = counts.groupBy(*groups).agg(F.sum("n").alias("n_values"), F.count(F.lit(1)).alias("n_distinct"))
+    ranked = ranked_value_counts(counts, groups, "x", "n").join(totals, groups)
+
+    def at(position):
+        return F.max(F.when((F.col("before") <= position) & (position < F.col("before") + F.col("n")), F.col("x")))
+
+    found = []
+    for i, p in enumerate(probs):
+        position = F.lit(float(p)) * (F.col("n_values") - 1)
+        found += [at(F.floor(position)).alias(f"lo{i}"), at(F.ceil(position)).alias(f"hi{i}")]
+    picked = ranked.groupBy(*groups, "n_values", "n_distinct").agg(*found)
+    values = []
+    for i, p in enumerate(probs):
+        position = F.lit(float(p)) * (F.col("n_values") - 1)
+        values.append(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (position - F.floor(position)))
+    return picked.select(*groups, F.array(*values).alias("q"), "n_values", "n_distinct")
+
+
+def column_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float]]:
+    """Quantiles per column on the driver (one row per column); a column without values is missing."""
+    return {r["variable"]: list(r["q"]) for r in exact_quantiles(df, cols, probs).collect()} if cols else {}

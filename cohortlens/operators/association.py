@@ -98,8 +98,9 @@ def kruskal_wallis(df: DataFrame, cluster: str, cols: list[str]) -> DataFrame:
     h = h.join(ties, "variable").where(F.col("groups") >= 2)
     N = F.col("N").cast("double")
     raw = 12.0 / (N * (N + 1)) * F.col("ssr") - 3 * (N + 1)
-    corr = 1 - F.col("tie") / (F.pow(N, 3) - N)
-    h = h.withColumn("kruskal_h", raw / corr)
+    corr = 1 - F.try_divide(F.col("tie"), F.pow(N, 3) - N)
+    # all values equal: no ranks to compare, the variable is left out (the others stay)
+    h = h.where((F.col("N") > 1) & (corr > 0)).withColumn("kruskal_h", raw / corr)
     totals = df.agg(F.count(F.lit(1)).alias("n_all"), F.countDistinct(cluster).alias("k_all"))
     # one row of two numbers: inlined as literals
     h = h.withColumns({k: F.lit(v) for k, v in totals.first().asDict().items()})

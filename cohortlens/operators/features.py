@@ -19,7 +19,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import exact_flags, median, quantiles
+from ..functions.quantiles import column_quantiles
 
 
 def select_feature_columns(df: DataFrame, target: str | None, categorical: list[str], ids: list[str],
@@ -48,6 +48,9 @@ def constant_column_report(df: DataFrame, cols: list[str]) -> DataFrame:
     return row.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
 
 
+MAX_LEVELS = 10_000  # one output column per level
+
+
 @dataclass
 class Preprocessor:
     """ML-01..05: median impute + robust scale numeric; mode impute + one-hot categorical."""
@@ -64,23 +67,27 @@ class Preprocessor:
     def fit(cls, df: DataFrame, numeric: list[str], categorical: list[str]) -> "Preprocessor":
         p = cls(list(numeric), list(categorical))
         if numeric:
-            ex = exact_flags(df, numeric)
-            med = df.agg(*[median(F.col(c), ex[c]).alias(c) for c in numeric]).first()
-            p.medians = {c: med[c] for c in numeric}
+            med = column_quantiles(df, numeric, [0.5])
+            p.medians = {c: med[c][0] if c in med else None for c in numeric}
             # quartiles of the IMPUTED column (the scaler is fitted after the imputer)
-            q = df.agg(*[quantiles(F.coalesce(F.col(c).cast("double"), F.lit(p.medians[c])), [0.25, 0.75], ex[c]).alias(c)
-                         for c in numeric]).first()
-            p.q1 = {c: (q[c][0] if q[c] else None) for c in numeric}
-            p.q3 = {c: (q[c][1] if q[c] else None) for c in numeric}
+            imputed = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(p.medians[c])).alias(c) for c in numeric])
+            q = column_quantiles(imputed, numeric, [0.25, 0.75])
+            p.q1 = {c: q[c][0] if c in q else None for c in numeric}
+            p.q3 = {c: q[c][1] if c in q else None for c in numeric}
         if categorical:
-            # one pass: mode, distinct levels (bounded by the column's cardinality), null count
-            m = df.agg(*[F.mode(F.col(c).cast("string"), True).alias(f"m{i}") for i, c in enumerate(categorical)],
-                       *[F.collect_set(F.col(c).cast("string")).alias(f"l{i}") for i, c in enumerate(categorical)],
-                       *[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(categorical)]).first()
-            p.modes = {c: m[f"m{i}"] for i, c in enumerate(categorical)}
-            # levels after imputation: observed values plus the mode standing in for nulls
-            p.levels = {c: sorted(set(m[f"l{i}"] or []) | ({p.modes[c]} if m[f"n{i}"] and p.modes[c] is not None else set()))
-                        for i, c in enumerate(categorical)}
+            # counts per (column, level); the mode (smallest on ties) is a level, so it adds none
+            counts = df.select(*[F.col(c).cast("string").alias(c) for c in categorical]).unpivot(
+                [], categorical, "variable", "level").where(F.col("level").isNotNull()).groupBy("variable", "level").count()
+            first = F.min_by("level", F.struct((-F.col("count")).alias("neg"), F.col("level")))
+            per = {r["variable"]: r for r in counts.groupBy("variable").agg(first.alias("mode"), F.count(F.lit(1)).alias("n")).collect()}
+            wide = [c for c, r in per.items() if r["n"] > MAX_LEVELS]
+            if wide:
+                raise ValueError(f"one-hot columns with more than {MAX_LEVELS} levels: {wide}; group rare levels first")
+            levels: dict[str, list[str]] = {c: [] for c in categorical}
+            for r in counts.collect():  # at most MAX_LEVELS rows per column
+                levels[r["variable"]].append(r["level"])
+            p.modes = {c: per[c]["mode"] if c in per else None for c in categorical}
+            p.levels = {c: sorted(v) for c, v in levels.items()}
         return p
 
     # -- transform --------------------------------------------------------

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import colors as C
-from ..functions.quantiles import exact_flags, median, quantiles
+from ..functions.quantiles import exact_quantiles
 
 SEVERITY_CANDIDATES = ["mortality_rate", "mean_apsiii_prob", "mean_apsiii"]
 
@@ -155,18 +155,16 @@ def candidate_variables(summary: DataFrame, profiles: DataFrame, columns: list[s
 # ------------------------------------------------------------------ aTLP ---
 
 def global_stats(df: DataFrame, numeric: list[str], categorical: list[str],
-                 low: float = C.LOW_PERCENTILE, high: float = C.HIGH_PERCENTILE,
-                 flags: dict[str, bool] | None = None) -> tuple[DataFrame, DataFrame]:
+                 low: float = C.LOW_PERCENTILE, high: float = C.HIGH_PERCENTILE) -> tuple[DataFrame, DataFrame]:
     """AG-20: (numeric: median, mean, p_low, p_high, sd) and (categorical: mode, share).
 
     Categorical values are strings with null -> 'nan'; the mode is the most
     frequent value, smallest on ties."""
     pl, ph = low / 100.0, high / 100.0
-    ex = flags if flags is not None else exact_flags(df, numeric)
-    num = df.agg(*[quantiles(F.col(c), [0.5, pl, ph], ex[c]).alias(f"q__{c}") for c in numeric],
-                 *[F.avg(c).alias(f"mean__{c}") for c in numeric],
+    num = df.agg(*[F.avg(c).alias(f"mean__{c}") for c in numeric],
                  *[F.stddev_samp(c).alias(f"sd__{c}") for c in numeric])
-    num_long = _melt_row(num, [], numeric, {"q": "array<double>", "mean": "double", "sd": "double"}).select(
+    moments = _melt_row(num, [], numeric, {"mean": "double", "sd": "double"})
+    num_long = moments.join(exact_quantiles(df, numeric, [0.5, pl, ph]), "variable", "left").select(
         "variable", F.col("q")[0].alias("median"), "mean", F.col("q")[1].alias("p_low"), F.col("q")[2].alias("p_high"),
         F.col("sd").alias("std"))
     counts = _cat_counts(df, None, categorical)
@@ -224,17 +222,17 @@ def atlp_summary(df: DataFrame, numeric: list[str], binary: list[str], categoric
     summary's own ranking; ``rules`` defaults to the clinical rule table."""
     spark = df.sparkSession
     nb = numeric + binary
-    ex = exact_flags(df, nb)  # one quantile plan for the global and the per-cluster statistics
-    gnum, gcat = global_stats(df, nb, categorical, low, high, ex)
+    gnum, gcat = global_stats(df, nb, categorical, low, high)
 
     pieces = []
     if nb:
         per = df.groupBy(F.col(cluster).alias("cluster")).agg(
-            *[median(F.col(c), ex[c]).alias(f"med__{c}") for c in nb],
             *[F.avg(F.col(c).cast("double")).alias(f"mean__{c}") for c in nb],
             *[F.stddev_samp(F.col(c).cast("double")).alias(f"sd__{c}") for c in nb],
             *[F.count(c).alias(f"n__{c}") for c in nb])
-        long = _melt_row(per, ["cluster"], nb, {"med": "double", "mean": "double", "sd": "double", "n": "bigint"})
+        long = _melt_row(per, ["cluster"], nb, {"mean": "double", "sd": "double", "n": "bigint"})
+        medians = exact_quantiles(df.withColumn("cluster", F.col(cluster)), nb, [0.5], ["cluster"])
+        long = long.join(medians.select("cluster", "variable", F.col("q")[0].alias("med")), ["cluster", "variable"], "left")
         g = gnum.select("variable", F.col("median").alias("g_median"), F.col("mean").alias("g_mean"),
                         "p_low", "p_high", F.col("std").alias("g_std"))
         long = long.join(F.broadcast(g), "variable")  # one row per variable
@@ -304,17 +302,15 @@ def atlp_summary(df: DataFrame, numeric: list[str], binary: list[str], categoric
 
 def older_uncertainty(df: DataFrame, numeric: list[str], cluster: str = "cluster") -> DataFrame:
     """AG-36: the earlier release's numeric uncertainty per cluster × variable."""
-    ex = exact_flags(df, numeric)
     per = df.groupBy(F.col(cluster).alias("cluster")).agg(
         *[F.stddev_samp(F.col(c).cast("double")).alias(f"sd__{c}") for c in numeric],
         *[F.avg(F.col(c).cast("double")).alias(f"mean__{c}") for c in numeric],
-        *[quantiles(F.col(c), [0.25, 0.5, 0.75], ex[c]).alias(f"q__{c}") for c in numeric],
         *[F.min(F.col(c).cast("double")).alias(f"min__{c}") for c in numeric],
         *[F.max(F.col(c).cast("double")).alias(f"max__{c}") for c in numeric],
-        *[F.countDistinct(c).alias(f"nd__{c}") for c in numeric],
         *[F.count(c).alias(f"n__{c}") for c in numeric])
-    long = _melt_row(per, ["cluster"], numeric, {"sd": "double", "mean": "double", "q": "array<double>", "min": "double",
-                                                 "max": "double", "nd": "bigint", "n": "bigint"})
+    long = _melt_row(per, ["cluster"], numeric, {"sd": "double", "mean": "double", "min": "double", "max": "double", "n": "bigint"})
+    spread = exact_quantiles(df.withColumn("cluster", F.col(cluster)), numeric, [0.25, 0.5, 0.75], ["cluster"])
+    long = long.join(spread, ["cluster", "variable"], "left").withColumn("nd", F.coalesce("n_distinct", F.lit(0)))
     u = older_numeric_uncertainty(F.col("sd"), F.col("mean"), F.col("q")[1], F.col("q")[0], F.col("q")[2],
                                   F.col("min"), F.col("max"), F.col("nd"), F.col("n"))
     return long.select("cluster", "variable", u.alias("uncertainty"))

@@ -8,9 +8,8 @@ multiplies.  Where a second pass needs the first pass's numbers (fences,
 means), those numbers are at most a few per column and are inlined as
 literals, which keeps the second pass inside whole-stage codegen.
 
-Quantiles use Spark's exact ``percentile`` (linear interpolation, the same
-definition as the reference) when a column's distinct count is bounded and
-the ``percentile_approx`` sketch otherwise; see ``functions.quantiles``.
+Quantiles are exact at every size (linear interpolation, the same definition
+as the reference); see ``functions.quantiles``.  NaN is no value.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.quantiles import exact_flags, quantiles
+from ..functions.quantiles import column_quantiles, exact_quantiles
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -36,10 +35,6 @@ def numeric_columns(df: DataFrame, suggested: list[str] | None = None, exclude:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, _NUMERIC) and f.name not in exclude]
 
 
-def _quantiles(col: str, probs: list[float], exact: bool):
-    return quantiles(F.col(col), probs, exact)
-
-
 def _melt_one_row(row_df: DataFrame, cols: list[str], fields: list[str]) -> DataFrame:
     """Turn a one-row frame with ``{col}__{field}`` columns into one row per column."""
     structs = [
@@ -49,18 +44,15 @@ def _melt_one_row(row_df: DataFrame, cols: list[str], fields: list[str]) -> Data
     return row_df.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
 
 
-def iqr_outliers(df: DataFrame, cols: list[str], factor: float = 1.5, exact: bool | None = None) -> DataFrame:
-    """AG-12: q1/q3 (linear), fences q ± factor·IQR, outlier count and % of ALL rows.
-
-    ``exact=None`` lets the quantile planner choose per column (see functions.quantiles)."""
+def iqr_outliers(df: DataFrame, cols: list[str], factor: float = 1.5) -> DataFrame:
+    """AG-12: q1/q3 (linear), fences q ± factor·IQR, outlier count and % of ALL rows.  NaN is no value."""
     if not cols:
         raise ValueError("no columns")
-    flags = exact_flags(df, cols) if exact is None else {c: exact for c in cols}
-    quart = df.agg(*[_quantiles(c, [0.25, 0.75], flags[c]).alias(c) for c in cols]).first()
+    quart = column_quantiles(df, cols, [0.25, 0.75])
     stats = {}
     for c in cols:
-        q = quart[c]
-        if q is None or q[0] is None:  # empty after dropping nulls: skipped
+        q = quart.get(c)
+        if q is None:  # empty after dropping nulls: skipped
             continue
         q1, q3 = float(q[0]), float(q[1])
         iqr = q3 - q1
@@ -69,7 +61,7 @@ def iqr_outliers(df: DataFrame, cols: list[str], factor: float = 1.5, exact: boo
         return df.sparkSession.createDataFrame([], _IQR_SCHEMA)
     counts = df.agg(
         F.count(F.lit(1)).alias("__n"),
-        *[F.count_if((F.col(c) < lo) | (F.col(c) > hi)).alias(c) for c, (_, _, _, lo, hi) in stats.items()],
+        *[F.count_if(((F.col(c) < lo) | (F.col(c) > hi)) & ~F.isnan(F.col(c).cast("double"))).alias(c) for c, (_, _, _, lo, hi) in stats.items()],
     )
     structs = [
         F.struct(
@@ -96,7 +88,10 @@ _IQR_SCHEMA = T.StructType([
 
 def zscore_outliers(df: DataFrame, cols: list[str], threshold: float = 3.0) -> DataFrame:
     """AG-13: |x - mean| / sd > threshold with sample sd; columns with sd 0 or empty skipped."""
-    moments = df.agg(*[F.avg(c).alias(f"{c}__m") for c in cols], *[F.stddev_samp(c).alias(f"{c}__s") for c in cols]).first()
+    def value(c):
+        return F.when(~F.isnan(F.col(c).cast("double")), F.col(c))  # NaN is no value
+
+    moments = df.agg(*[F.avg(value(c)).alias(f"{c}__m") for c in cols], *[F.stddev_samp(value(c)).alias(f"{c}__s") for c in cols]).first()
     keep = {c: (moments[f"{c}__m"], moments[f"{c}__s"]) for c in cols
             if moments[f"{c}__s"] is not None and moments[f"{c}__s"] != 0}
     if not keep:
@@ -104,7 +99,7 @@ def zscore_outliers(df: DataFrame, cols: list[str], threshold: float = 3.0) -> D
                                                    "threshold double, n_outliers bigint, pct_outliers double")
     counts = df.agg(
         F.count(F.lit(1)).alias("__n"),
-        *[F.count_if(F.abs((F.col(c) - F.lit(m)) / F.lit(s)) > threshold).alias(c) for c, (m, s) in keep.items()],
+        *[F.count_if(F.abs((value(c) - F.lit(m)) / F.lit(s)) > threshold).alias(c) for c, (m, s) in keep.items()],
     )
     structs = [
         F.struct(
@@ -195,8 +190,7 @@ def boxplot_stats(df: DataFrame, cols: list[str], by: str | None = None, factor:
     keys = [by] if by else []
     melted = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
         keys, cols, "variable", "x").where(F.col("x").isNotNull() & ~F.isnan("x"))
-    exact = all(exact_flags(df, cols).values())
-    quart = melted.groupBy(*keys, "variable").agg(quantiles(F.col("x"), [0.25, 0.5, 0.75], exact).alias("q"))
+    quart = exact_quantiles(df, cols, [0.25, 0.5, 0.75], keys)
     quart = quart.select(*keys, "variable", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     quart = quart.withColumn("lo", F.col("q1") - factor * (F.col("q3") - F.col("q1"))) \
                  .withColumn("hi", F.col("q3") + factor * (F.col("q3") - F.col("q1")))

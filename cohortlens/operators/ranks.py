@@ -65,17 +65,12 @@ def ranked_value_counts(counts: DataFrame, groups: list[str], value: str, weight
     def bounds_for(r):
         probs = [i / r for i in range(1, r)]
         return c.groupBy(*groups).agg(
-            F.percentile_approx("__k", F.array(*[F.lit(p) for p in probs]), max(1000, 4 * r)).alias("__b"),
-            F.count(F.lit(1)).alias("__cnt"))
+            F.percentile_approx("__k", F.array(*[F.lit(p) for p in probs]), max(1000, 4 * r)).alias("__b"))
     if ranges > 1:
-        bounds = bounds_for(ranges).cache()
-        if auto:  # the same pass measured the groups: re-split only when one range would be too big
-            largest = bounds.agg(F.max("__cnt")).first()[0] or 1
-            need = int(min(MAX_RANGES, max(64, math.ceil(largest / ROWS_PER_RANGE))))
-            if need > ranges:
-                bounds.unpersist()
-                ranges = need
-                bounds = bounds_for(ranges)
+        if auto:  # more ranges only when one of 64 would be too big
+            largest = c.groupBy(*groups).count().agg(F.max("count")).first()[0] or 1
+            ranges = int(min(MAX_RANGES, max(64, math.ceil(largest / ROWS_PER_RANGE))))
+        bounds = bounds_for(ranges)
         if drop_g:
             # a single group: its bounds are one row of <= MAX_RANGES numbers, inlined as a literal
             row = bounds.first()
@@ -83,7 +78,7 @@ def ranked_value_counts(counts: DataFrame, groups: list[str], value: str, weight
             c = c.withColumn("__r", _range_index(b, F.col("__k"), ranges - 1))
         else:
             # bounds: one row per group (#variables / #pairs) of <= MAX_RANGES numbers
-            c = c.join(F.broadcast(bounds.drop("__cnt")), groups, "left")
+            c = c.join(F.broadcast(bounds), groups, "left")
             c = c.withColumn("__r", _range_index(F.col("__b"), F.col("__k"), ranges - 1)).drop("__b")
     else:
         c = c.withColumn("__r", F.lit(0))

@@ -59,17 +59,16 @@ def src03_blank_header(spark, sf_dir):
     return IO.load_delimited(spark, _blank_header_file(spark, sf_dir), blank_header="rename")
 
 
-ROWID_SQL = with_cohort("SELECT CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS min_id, CAST(count(*) - 1 AS BIGINT) AS max_id, "
-                        "CAST(count(*) AS BIGINT) AS n_distinct FROM cohort", clustered=False)
+ROWID_SQL = with_cohort("SELECT row_id, CAST(row_number() OVER (ORDER BY row_id) - 1 AS BIGINT) AS rid FROM cohort", clustered=False)
 
 
 @query("src04_row_id", ROWID_SQL)
 def src04_row_id(spark, sf_dir):
-    """Consecutive file-order row ids 0..n-1 on a multi-file read (no gaps, no repeats)."""
-    _, path = _roundtrip(spark, sf_dir, ";", ",")
-    r = IO.with_row_id(IO.load_delimited(spark, path), "rid")
-    return r.agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("min_id"), F.max("rid").alias("max_id"),
-                 F.countDistinct("rid").alias("n_distinct"))
+    """File-order row ids 0..n-1 on a multi-file read, for files of unequal size written in key order."""
+    path = IO.scratch_path(spark, "ordered")
+    ordered = cohort(spark, sf_dir).select("row_id", F.repeat(F.lit("x"), (F.col("row_id") % 7).cast("int")).alias("pad"))
+    ordered.repartitionByRange(5, "row_id").sortWithinPartitions("row_id").write.option("header", True).csv(path)
+    return IO.with_row_id(spark.read.option("header", True).csv(path), "rid").select(F.col("row_id").cast("bigint"), "rid")
 
 
 @query("src05_cardinality_guard", with_cohort(
@@ -110,8 +109,14 @@ def _template_sql():
     cols = ["heart_rate_max", "admission_age", "gender"]
     body = REPORTS_CTE + ", ex AS (SELECT row_id, " + ", ".join(f"{FIELDS_SQL[c]} AS {c}" for c in cols) + " FROM reports)\n"
     body += ", t AS (SELECT * FROM ex WHERE row_id = (SELECT min(row_id) FROM ex WHERE heart_rate_max IS NOT NULL))\n"
+
+    def shown(c, value):
+        if c == "gender":
+            return f"CAST({value} AS VARCHAR)"
+        return (f"CASE WHEN {value} = floor({value}) THEN CAST(CAST({value} AS BIGINT) AS VARCHAR) "
+                f"ELSE replace(printf('%.6g', {value}), '.', ',') END")
     return body + "SELECT ex.row_id, " + ", ".join(
-        f"coalesce(CAST(ex.{c} AS VARCHAR), (SELECT CAST({c} AS VARCHAR) FROM t)) AS {c}" for c in cols) + " FROM ex"
+        f"coalesce({shown(c, 'ex.' + c)}, (SELECT {shown(c, c)} FROM t)) AS {c}" for c in cols) + " FROM ex"
 
 
 @query("src09_template_fill", _template_sql())
@@ -125,13 +130,15 @@ def src09_template_fill(spark, sf_dir):
     return IO.fill_from_template(ex, template, cols)
 
 
-@query("src10_text_scan")
+@query("src10_text_scan", "SELECT doc_id, CAST(length(coalesce(text, '')) AS INTEGER) AS n_chars, md5(coalesce(text, '')) AS digest FROM documents")
 def src10_text_scan(spark, sf_dir):
-    """Documents written as text files and scanned back whole (one row per file; rows-only)."""
-    d = table(spark, sf_dir, "documents").select("text")
+    """Documents written as one text file each and scanned back whole: one row per file."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     path = IO.scratch_path(spark, "texts")
-    d.repartition(4).write.text(path)
-    return IO.read_texts(spark, path).select("path", F.length("value").alias("n_chars"))
+    d.write.partitionBy("doc_id").text(path)
+    whole = F.expr("substring(value, 1, length(value) - 1)")  # the sink ends each file with a line break
+    doc_id = F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("bigint").alias("doc_id")
+    return IO.read_texts(spark, path).select(doc_id, F.length(whole).alias("n_chars"), F.md5(whole).alias("digest"))
 
 
 @query("src11_run_metadata")

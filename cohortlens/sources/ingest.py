@@ -44,18 +44,22 @@ def infer_types(df: DataFrame, decimal: str = ".") -> DataFrame:
     parse as integers becomes bigint, as numbers becomes double, else stays string."""
     cols = df.columns
 
-    def num(c):
+    def text(c):
         s = F.col(f"`{c}`")
+        return F.when(~F.trim(s).isin(NULL_TOKENS), s)  # the shared null spellings, "nan" among them
+
+    def num(c):
+        s = text(c)
         return (F.regexp_replace(s, ",", ".") if decimal == "," else s).try_cast("double")
-    stats = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(cols)],
-                   *[F.count_if(F.col(f"`{c}`").isNotNull() & num(c).isNull()).alias(f"b{i}") for i, c in enumerate(cols)],
-                   *[F.count_if(F.col(f"`{c}`").isNotNull() & ~F.col(f"`{c}`").rlike(r"^\s*[-+]?\d+\s*$")).alias(f"f{i}")
+    stats = df.agg(*[F.count(text(c)).alias(f"n{i}") for i, c in enumerate(cols)],
+                   *[F.count_if(text(c).isNotNull() & (num(c).isNull() | F.isnan(num(c)))).alias(f"b{i}") for i, c in enumerate(cols)],
+                   *[F.count_if(text(c).isNotNull() & ~(text(c).rlike(r"^\s*[-+]?\d+\s*$") & F.trim(text(c)).try_cast("bigint").isNotNull())).alias(f"f{i}")
                      for i, c in enumerate(cols)]).first()
     out = []
     for i, c in enumerate(cols):
         if stats[f"n{i}"] > 0 and stats[f"b{i}"] == 0:
-            t = "bigint" if stats[f"f{i}"] == 0 else "double"
-            out.append(num(c).cast(t).alias(c))
+            # integers are cast from their text: a double holds 53 bits only
+            out.append((F.trim(text(c)).cast("bigint") if stats[f"f{i}"] == 0 else num(c)).alias(c))
         else:
             out.append(F.col(f"`{c}`"))
     return df.select(*out)
@@ -92,18 +96,20 @@ def load_with_fallback(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """SRC-04: consecutive 0..n-1 in file order without gaps.
+    """SRC-04: consecutive 0..n-1 in file order without gaps, for a frame read from files (not shuffled since).
 
-    Per-partition counts (one row per partition) give offsets; each row adds its index
-    inside the partition.  Equivalent to zipWithIndex, DataFrame-only."""
-    tagged = df.withColumn("__pid", F.spark_partition_id()).withColumn("__mid", F.monotonically_increasing_id())
-    tagged = tagged.withColumn("__local", F.col("__mid") - F.shiftleft(F.col("__pid").cast("bigint"), 33))
-    counts = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
+    The order is (file path, offset of the block in the file, row in the block): Spark packs blocks into tasks by
+    size, so the task number says nothing, but a task reads each block as a whole and in order.  One row per block
+    (its number of rows and its first task-wide id) gives the offsets."""
     from pyspark.sql import Window as W
+    block = ["__file", "__start"]
+    tagged = (df.withColumn("__file", F.input_file_name()).withColumn("__start", F.input_file_block_start())
+              .withColumn("__mid", F.monotonically_increasing_id()))
+    counts = tagged.groupBy(*block).agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__first"))
     offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(
-        W.orderBy("__pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # #partitions rows
-    out = tagged.join(F.broadcast(offsets.select("__pid", "__off")), "__pid")
-    return out.withColumn(name, F.col("__off") + F.col("__local")).drop("__pid", "__mid", "__local", "__off")
+        W.orderBy(*block).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # one row per block of a file
+    out = tagged.join(offsets.drop("__n"), block)
+    return out.withColumn(name, F.col("__off") + F.col("__mid") - F.col("__first")).drop(*block, "__mid", "__first", "__off")
 
 
 def cardinality_violations(df: DataFrame, expected: int = 1) -> DataFrame:
@@ -150,19 +156,23 @@ def write_json(df: DataFrame, path: str) -> str:
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """SRC-10: one row per file with its whole decoded text."""
-    return spark.read.option("wholetext", True).text(path).withColumn("path", F.input_file_name())
+    return spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
 
 
 def fill_from_template(found: DataFrame, template: DataFrame, columns: list[str]) -> DataFrame:
     """SRC-09: start from the one-row template and overwrite the fields that were found.
 
-    The template is a single row (checked) and is inlined as literals."""
+    Found numbers are written by the reference's number format (TX-03: ``80``, ``36,6``).  The template is a single
+    row (checked) and is inlined as literals, its numbers in the same format."""
     rows = template.limit(2).collect()
     if len(rows) != 1:
         raise ValueError("template must have exactly one row")
-    t = rows[0].asDict()
+    from ..functions.text import format_number
+    numeric = {c for c, t in found.dtypes if t in ("double", "float")}
+    shown = template.select(*[format_number(F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in template.dtypes])
+    t = shown.first().asDict()
     keep = [c for c in found.columns if c not in columns]
-    return found.select(*keep, *[F.coalesce(F.col(c).cast("string") if c in found.columns else F.lit(None),
+    return found.select(*keep, *[F.coalesce((format_number(F.col(c)) if c in numeric else F.col(c).cast("string")) if c in found.columns else F.lit(None),
                                             F.lit(None if t.get(c) is None else str(t.get(c)))).alias(c) for c in columns])
 
 

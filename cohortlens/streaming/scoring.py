@@ -23,7 +23,7 @@ from ..operators import classify as CF
 from ..operators.context import iso_utc, latest_versions
 from ..operators.features import Preprocessor, Reducer
 from ..operators.schema import ensure_columns
-from ..sources.ingest import coerce_numeric
+from ..sources.ingest import coerce_numeric, sniff_format
 
 
 @dataclass
@@ -37,10 +37,10 @@ class ScoringModels:
 
 
 def score_batch(batch: DataFrame, m: ScoringModels, key: str, numeric: list[str], categorical: list[str]) -> DataFrame:
-    """One micro-batch: align, coerce, score, assign; rows without a key are dropped as invalid."""
+    """One micro-batch: align, coerce, score, assign the rows that have a key (see ``rejected_rows`` for the rest)."""
     cols = [key] + numeric + categorical
     b = ensure_columns(batch, cols, {c: "string" for c in cols})
-    b = b.select(F.col(key).cast("bigint").alias(key), *[coerce_numeric(F.col(c)).alias(c) for c in numeric],
+    b = b.select(F.col(key).try_cast("bigint").alias(key), *[coerce_numeric(F.col(c)).alias(c) for c in numeric],
                  *[F.col(c).cast("string").alias(c) for c in categorical]).where(F.col(key).isNotNull())
     x = CF.to_features(m.preprocessor.transform(b, [key]))
     scored = CF.score(m.model, x, [key])
@@ -49,18 +49,31 @@ def score_batch(batch: DataFrame, m: ScoringModels, key: str, numeric: list[str]
     return scored.join(assigned, key, "left")
 
 
+def rejected_rows(batch: DataFrame, key: str) -> DataFrame:
+    """Rows that cannot be scored: their key is missing or is no whole number."""
+    return batch.where(F.col(key).try_cast("bigint").isNull())
+
+
 def run_scoring_stream(spark: SparkSession, input_dir: str, output_dir: str, checkpoint: str, models: ScoringModels,
-                       key: str, numeric: list[str], categorical: list[str], sep: str = ";",
+                       key: str, numeric: list[str], categorical: list[str], sep: str | None = None,
                        max_files_per_trigger: int = 1000) -> None:
     """Process every file currently in ``input_dir`` (availableNow) and stop.
 
     ``max_files_per_trigger`` bounds a micro-batch, and with it the query side that the
     kNN assignment broadcasts per pass."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [key] + numeric + categorical])
-    stream = (spark.readStream.schema(schema).option("header", True).option("sep", sep)
+    found_sep, _ = sniff_format(spark, input_dir)
+    sep = sep or found_sep
+    header = spark.read.option("header", True).option("sep", sep).csv(input_dir).columns
+    missing = [c for c in [key] + numeric + categorical if c not in header]
+    if missing:
+        raise ValueError(f"the input has no columns {missing}")
+    # Columns go by the header's names and order; a file with another header is an error, never read by position.
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    stream = (spark.readStream.schema(schema).option("header", True).option("sep", sep).option("enforceSchema", False)
               .option("maxFilesPerTrigger", max_files_per_trigger).csv(input_dir))
 
     def handle(batch_df: DataFrame, epoch_id: int) -> None:
+        rejected_rows(batch_df, key).write.mode("overwrite").parquet(f"{output_dir}/rejected/batch_id={epoch_id}")
         path = f"{output_dir}/scored/batch_id={epoch_id}"
         score_batch(batch_df, models, key, numeric, categorical).write.mode("overwrite").parquet(path)
         out = batch_df.sparkSession.read.parquet(path)  # scored once; the history reads the written batch
