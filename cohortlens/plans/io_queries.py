@@ -110,13 +110,11 @@ def _template_sql():
     body = REPORTS_CTE + ", ex AS (SELECT row_id, " + ", ".join(f"{FIELDS_SQL[c]} AS {c}" for c in cols) + " FROM reports)\n"
     body += ", t AS (SELECT * FROM ex WHERE row_id = (SELECT min(row_id) FROM ex WHERE heart_rate_max IS NOT NULL))\n"
 
-    def shown(c, value):
-        if c == "gender":
-            return f"CAST({value} AS VARCHAR)"
+    def shown(value):
         return (f"CASE WHEN {value} = floor({value}) THEN CAST(CAST({value} AS BIGINT) AS VARCHAR) "
                 f"ELSE replace(printf('%.6g', {value}), '.', ',') END")
     return body + "SELECT ex.row_id, " + ", ".join(
-        f"coalesce({shown(c, 'ex.' + c)}, (SELECT {shown(c, c)} FROM t)) AS {c}" for c in cols) + " FROM ex"
+        f"coalesce({shown('ex.' + c)}, (SELECT {shown(c)} FROM t)) AS {c}" for c in cols) + " FROM ex"
 
 
 @query("src09_template_fill", _template_sql())
