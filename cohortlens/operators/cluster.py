@@ -210,22 +210,17 @@ def config_id(config: dict) -> str:
 
 
 def evaluate(emb: DataFrame, labels: DataFrame, key: str = "row_id", sample_size: int = 5000, seed: int = 42) -> dict:
-    """Partition stats on all rows; silhouette / CH / DB on the seeded metric sample
-    of the non-noise rows (as in the reference)."""
+    """Partition stats, Calinski-Harabasz and Davies-Bouldin on all rows; the silhouette, whose cost is quadratic, on
+    the seeded metric sample of the non-noise rows (its definition in the reference)."""
     j = emb.join(labels, key)
     st = partition_stats(j).first().asDict()
     real = j.where(F.col("cluster") != -1)
     out = dict(st, silhouette=None, calinski_harabasz=None, davies_bouldin=None)
     if st["n_clusters"] < 2:
         return out
-    smp = metric_sample(real, key, sample_size, seed).cache()
-    try:
-        if smp.select("cluster").distinct().count() >= 2:
-            out["silhouette"] = silhouette(smp, max_rows=sample_size).first()[0]
-            out["calinski_harabasz"] = calinski_harabasz(smp).first()[0]
-            out["davies_bouldin"] = davies_bouldin(smp).first()[0]
-    finally:
-        smp.unpersist()
+    out["silhouette"] = silhouette(metric_sample(real, key, sample_size, seed), max_rows=sample_size).first()[0]
+    out["calinski_harabasz"] = calinski_harabasz(real).first()[0]
+    out["davies_bouldin"] = davies_bouldin(real).first()[0]
     return out
 
 
@@ -235,6 +230,7 @@ def sweep(emb: DataFrame, outcome: DataFrame | None, methods: list[str], ks: lis
     """ML-13: fit every (method, k) on the (checkpointed) embedding frame, keep
     configurations with >= 2 clusters, collect metrics and outcome dispersion.
     Returns (experiments table, {experiment_id: labels frame})."""
+    from ..session import cut_lineage
     vec = emb.withColumn("features", array_to_vector("embedding"))
     rows, labels = [], {}
     for method in methods:
@@ -242,10 +238,9 @@ def sweep(emb: DataFrame, outcome: DataFrame | None, methods: list[str], ks: lis
         for k in grid:
             config = {"eps": k[0], "min_samples": k[1]} if method == "dbscan" else {"n_clusters": k}
             lab, _info = fit_labels(vec, method, k, key, seed, n_init)
-            lab = lab.cache()
+            lab = cut_lineage(lab)
             m = evaluate(emb, lab, key, sample_size, seed)
             if m["n_clusters"] < 2:
-                lab.unpersist()
                 continue
             sep = None
             if outcome is not None and target:
@@ -334,11 +329,11 @@ def _eps_scan(queries_pdf: pd.DataFrame, reference: DataFrame, eps: float, mode:
 
 
 def dbscan(emb: DataFrame, key: str = "row_id", col: str = "embedding", eps: float = 1.0, min_samples: int = 50,
-           max_iter: int = 100, max_broadcast_rows: int = 20000) -> DataFrame:
+           max_broadcast_rows: int = 20000) -> DataFrame:
     """ML-12: density clustering.  Core points have >= ``min_samples`` points (themselves
     included) within ``eps``; core points within eps of each other share a cluster
-    (connected components by min-label propagation with pointer jumping, lineage cut by a
-    checkpoint every round); a border point joins the smallest-labelled core neighbour;
+    (connected components by min-label propagation with pointer jumping until no label
+    changes, lineage cut by a checkpoint every round); a border point joins the smallest-labelled core neighbour;
     the rest is noise (-1).  Clusters are numbered 0.. by their smallest key."""
     from ..session import cut_lineage
     x = emb.select(F.col(key).cast("bigint").alias("k"), F.transform(col, lambda v: v.cast("double")).alias("x"))
@@ -351,7 +346,7 @@ def dbscan(emb: DataFrame, key: str = "row_id", col: str = "embedding", eps: flo
     pts = cut_lineage(x.join(cnt, "k").withColumn("core", F.col("n") >= min_samples))
     core = pts.where("core").select("k", "x", F.col("k").alias("label"))
     core = cut_lineage(core)
-    for _ in range(max_iter):
+    while True:
         mins = None
         for chunk in _chunked(core.select("k", "x"), "k", max_broadcast_rows):
             part = _eps_scan(chunk, core, eps, "minlabel")

@@ -275,11 +275,12 @@ def frequency_codes(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def encode_categories(df: DataFrame, cols: list[str]) -> DataFrame:
-    """PRE-04: replace categories by their frequency codes (broadcast of a #categories table)."""
+    """PRE-04: replace categories by their frequency codes.  The code table grows with the categories, so it is joined
+    plainly: Spark broadcasts it only below its size threshold and splits hot categories otherwise."""
     codes = frequency_codes(df, cols)
     out = df
     for c in cols:
-        m = F.broadcast(codes.where(F.col("variable") == c).select(F.col("value").alias(f"__v_{c}"), F.col("code").alias(f"__c_{c}")))
+        m = codes.where(F.col("variable") == c).select(F.col("value").alias(f"__v_{c}"), F.col("code").alias(f"__c_{c}"))
         out = out.join(m, F.col(c).cast("string") == F.col(f"__v_{c}"), "left").drop(c, f"__v_{c}").withColumnRenamed(f"__c_{c}", c)
     return out
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import classify as CF
 from ..operators import features as FT
+from ..session import cut_lineage
 from ..sources.tables import cohort, segment_cluster, with_cohort
 from .registry import query
 
@@ -293,11 +294,11 @@ def gbt_run(spark, sf_dir, max_iter=30):
 
 def _gbt_fit(spark, sf_dir, max_iter):
     df = cohort(spark, sf_dir)
-    split = CF.stratified_split(df, "row_id", "target", 0.2, 42).cache()
+    split = cut_lineage(CF.stratified_split(df, "row_id", "target", 0.2, 42))
     train = split.where(~F.col("is_test"))
     nums = ["totalprice", "acctbal", "quantity_min", "quantity_max", "price_max", "discount_max", "tax_max"]
     pre = FT.Preprocessor.fit(train, nums, ["cat_priority", "cat_region"])
-    w = train.agg(F.sum(1 - F.col("target")) / F.sum("target")).first()[0] or 1.0
+    w = train.agg(F.try_divide(F.sum(1 - F.col("target")), F.sum("target"))).first()[0] or 1.0
     tr = CF.to_features(CF.with_class_weight(pre.transform(train, ["row_id", "target"]), "target", w))
     model = CF.fit_gbt(tr, "target", weight="weight", max_iter=max_iter)
     te = CF.to_features(pre.transform(split.where("is_test"), ["row_id", "target"]))
