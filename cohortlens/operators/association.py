@@ -122,9 +122,17 @@ def spearman(df: DataFrame, cols: list[str]) -> DataFrame:
         F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
     pair = ["var_a", "var_b"]
 
+    # One row per distinct (x, y) of a pair: a hot value is a few weighted rows in everything that follows.
+    cells = stacked.groupBy(*pair, "x", "y").agg(F.count(F.lit(1)).alias("__c"))
+
     def rank_table(value, out):
         # counts per (pair, value) -> average rank per value; independent of the other side
-        counts = stacked.groupBy(*pair, value).agg(F.count(F.lit(1)).alias("__n"))
+        counts = cells.groupBy(*pair, value).agg(F.sum("__c").alias("__n"))
         return ranked_value_counts(counts, pair, value, "__n").select(*pair, value, F.col("avg_rank").alias(out))
-    ranked = stacked.join(rank_table("x", "rx"), [*pair, "x"]).join(rank_table("y", "ry"), [*pair, "y"])
-    return ranked.groupBy(*pair).agg(F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    totals = cells.groupBy(*pair).agg(F.sum("__c").alias("n"))
+    ranked = cells.join(rank_table("x", "rx"), [*pair, "x"]).join(rank_table("y", "ry"), [*pair, "y"]).join(totals, pair)
+    mean = (F.col("n") + 1) / 2.0  # of average ranks, whatever the ties
+    dx, dy, c = F.col("rx") - mean, F.col("ry") - mean, F.col("__c")
+    return ranked.groupBy(*pair, "n").agg(F.sum(c * dx * dy).alias("xy"), F.sum(c * dx * dx).alias("xx"),
+                                          F.sum(c * dy * dy).alias("yy")).select(
+        *pair, F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy"))).alias("rho"), "n")

@@ -192,14 +192,12 @@ def ag16_histogram(spark, sf_dir):
 def _kde_sql(src, expr):
     return f"""
 SELECT '{src}' AS source, g AS grid_index, gx AS x, sum(k) / max(n) AS density FROM (
-  SELECT g, gx, n, cnt * exp(-0.5 * ((gx - c) / h) ** 2) / (h * sqrt(2 * pi())) AS k FROM (
-    SELECT b.*, g.g, lo - 3 * h + g.g * (hi - lo + 6 * h) / 63 AS gx FROM (
-      SELECT bin, n, h, lo, hi, w, count(*) AS cnt, lo + (bin + 0.5) * w AS c FROM (
-        SELECT n, h, lo, hi, w, least(floor((x - lo) / w), 511) AS bin FROM (
-          SELECT {expr} AS x FROM cohort) v,
-          (SELECT count(x) AS n, stddev_samp(x) * pow(count(x), -0.2) AS h, min(x) AS lo, max(x) AS hi,
-                  greatest((max(x) - min(x)) / 512, 1e-12) AS w FROM (SELECT {expr} AS x FROM cohort) q) s
-        WHERE x IS NOT NULL) GROUP BY ALL) b, range(64) g(g)))
+  SELECT g, gx, n, exp(-0.5 * ((gx - x) / h) ** 2) / (h * sqrt(2 * pi())) AS k FROM (
+    SELECT v.x, n, h, g.g, lo - 3 * h + g.g * (hi - lo + 6 * h) / 63 AS gx FROM
+      (SELECT {expr} AS x FROM cohort) v,
+      (SELECT count(x) AS n, stddev_samp(x) * pow(count(x), -0.2) AS h, min(x) AS lo, max(x) AS hi
+       FROM (SELECT {expr} AS x FROM cohort) q) s, range(64) g(g)
+    WHERE v.x IS NOT NULL))
 GROUP BY g, gx"""
 
 

@@ -10,7 +10,6 @@ Orders without line items give genuine NULL measures.
 from __future__ import annotations
 
 import hashlib
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,16 +42,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _MATERIALIZED: dict[tuple, str] = {}
 
 
-def _fingerprint(sf_dir: str, names: list[str]) -> str:
-    """Identity of the input files (size + mtime when locally visible, else the path)."""
+def _fingerprint(spark: SparkSession, sf_dir: str, names: list[str]) -> str:
+    """Identity of the input files: path, size and time of change of each, as the store lists them."""
     parts = []
     for n in names:
         p = f"{sf_dir.rstrip('/')}/{n}.parquet"
-        try:
-            st = os.stat(p)
-            parts.append(f"{p}:{st.st_size}:{int(st.st_mtime)}")
-        except OSError:
-            parts.append(p)
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        parts += sorted(f"{s.getPath()}:{s.getLen()}:{s.getModificationTime()}" for s in store.listStatus(path))
     return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
 
 
@@ -61,7 +58,7 @@ def materialized(spark: SparkSession, name: str, sf_dir: str, inputs: list[str],
     checkpoint folder, then read it as parquet (pruning and pushdown apply).  Queries that
     use it never re-run the joins that produced it; lineage is cut by the write."""
     from ..session import ensure_checkpoint_dir
-    key = (id(spark.sparkContext), name, sf_dir, _fingerprint(sf_dir, inputs))
+    key = (id(spark.sparkContext), name, sf_dir, _fingerprint(spark, sf_dir, inputs))
     path = _MATERIALIZED.get(key)
     if path is not None:
         try:
