@@ -3,7 +3,8 @@
 1. Every text gets its set of word shingles, a MinHash signature and band keys, in one pass over the texts.
    Texts with equal sets are one class (an aggregation on the set's digest); only one of each class goes on.
 2. Classes that share a band key are candidates.  First, every bucket names a hub and its other members are compared
-   with the hub only.  Members that are already in one component need no comparison, so after ``HUB_ROUNDS`` rounds
+   with the hub only.  The hub is the member that meets most others over all its bands: in a group of edited copies
+   that is the text they were made from, which is closer to each copy than the copies are to each other.  Members that are already in one component need no comparison, so after ``HUB_ROUNDS`` rounds
    few buckets hold more than one component.  Those are compared in blocks of ``BLOCK`` members: a task compares two
    blocks in memory and emits the pairs that survive, never a bucket's pairs.
 3. A candidate pair is compared signature batch by signature batch.  After each batch the posterior probability of a
@@ -23,7 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_arrow, utf8, written
@@ -158,11 +159,11 @@ def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COMPARED)
 
 
-def near_hub(members: DataFrame, percent: int, miss: float, *salt) -> DataFrame:
+def near_hub(members: DataFrame, percent: int, miss: float, order: Column) -> DataFrame:
     """Pairs a < b of a member and its bucket's hub that the signatures do not rule out.  ``members``: key, id, size,
-    component, signature.  The hub is the member with the smallest hash of its id and ``salt``."""
+    component, signature.  The hub is the member with the highest ``order``."""
     columns = ["id", "size", "component", "signature"]
-    hubs = members.groupBy("key").agg(F.min_by(F.struct(*columns), F.xxhash64("id", *salt)).alias("h")).select(
+    hubs = members.groupBy("key").agg(F.max_by(F.struct(*columns), order).alias("h")).select(
         "key", *[F.col(f"h.{c}").alias(f"{c}_h") for c in columns])
     close = 100 * F.least("size", "size_h") >= percent * F.greatest("size", "size_h")
     met = members.join(hubs, "key").filter((F.col("component") != F.col("component_h")) & close)
@@ -286,10 +287,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
                       .select("set_id", F.col("c.doc_id").alias("id"), F.col("c.n_shingles").alias("size"),
                               F.col("c.signature").alias("signature"), F.col("c.bands").alias("bands")), "classes")
     keyed = classes.select("id", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members = written(keyed.join(shared, "key"), "members")
-    wanted = members.select("id").distinct()
-    known = classes.select("id", "size", "signature")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    met = written(keyed.join(shared, "key"), "members")
+    members = met.select("id", "key")
+    wanted = written(met.groupBy("id").agg(F.sum("n").alias("degree")), "degrees")
+    known = classes.select("id", "size", "signature").join(wanted, "id")
     texts = None
     links = tested = labels = None
     for turn in range(hub_rounds + 1):
@@ -299,8 +301,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
             members = mixed(members, here)
         here = members.join(here, "id")
         # The first round's hub is the same in all buckets of a group, so its pairs are few; the next ones differ.
-        alive = (in_blocks(here, percent, miss, block) if turn == hub_rounds
-                 else near_hub(here, percent, miss, *([F.col("key"), F.lit(turn)] if turn else [])))
+        order = F.struct(F.lit(0) if turn else F.col("degree"), F.xxhash64("id", *([F.col("key"), F.lit(turn)] if turn else [])))
+        alive = in_blocks(here, percent, miss, block) if turn == hub_rounds else near_hub(here, percent, miss, order)
         if tested is not None:
             alive = alive.join(tested, ["a", "b"], "left_anti")
         alive = written(alive, "alive")
@@ -337,8 +339,7 @@ def mixed(members: DataFrame, known: DataFrame) -> DataFrame:
 def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` without those that are near-duplicates of a row that stays.  One row stays of rows that
     repeat a doc_id; rows without a doc_id stay."""
-    if "kept" in docs.columns:
-        raise ValueError("docs must not have a column kept")
     kept = near_duplicates(docs, shingle, percent).filter("kept and doc_id is not null").select("doc_id").distinct()
-    with_id = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    with_id = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    with_id = with_id.select(*[F.col(f"`{c}`") for c in docs.columns])
     return with_id.union(docs.filter("doc_id is null"))
