@@ -100,41 +100,40 @@ def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, rank_rows: int = RANK_ROWS) -> DataFrame:
     """Add sequence_id and offset to ``pieces`` (doc_id, piece, length and any other columns; every length from 1
-    to ``capacity``).  Rows that repeat doc_id and piece are packed one by one.  An empty table gives no rows.
+    to ``capacity``); columns of these two names are replaced.  Rows that repeat doc_id and piece are packed one by one.  An empty table gives no rows.
 
     The plan has a bounded number of rows (each pattern uses up a length), so it is broadcast.  A length that a
     third of the pieces share is ranked in buckets of about ``rank_rows`` rows whose first ranks come from their
     counts.
     """
     spark = pieces.sparkSession
-    if set(pieces.columns) & {"bucket", "rank"}:
-        raise ValueError("pieces must not have columns bucket or rank")
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    names = pieces.columns
+    # The caller's columns travel in a struct, so their names cannot clash with the ones used here.
+    whole = pieces.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("length").cast("long").alias("length"))
+    histogram = {r["length"]: r["n"] for r in whole.groupBy("length").agg(F.count("*").alias("n")).collect()}
     if histogram and not 1 <= min(histogram) <= max(histogram) <= capacity:
         raise ValueError("a length is outside 1 to capacity")
     plan = spark.createDataFrame(
         plan_bins(histogram, capacity),
-        "length long, from_rank long, to_rank long, times long, first_bin long, bins long, pattern_offset long")
+        "plan_length long, from_rank long, to_rank long, times long, first_bin long, bins long, pattern_offset long")
     per_length = spark.createDataFrame(
         [(size, -(-n // rank_rows)) for size, n in histogram.items()], "length long, buckets long")
 
-    keys = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in pieces.columns]
-    dealt = written(pieces.join(F.broadcast(per_length), "length").withColumn(
+    keys = [F.col("row").getField(c) for c in ("doc_id", "piece", "start", "ids_crc32") if c in names]
+    dealt = written(whole.join(F.broadcast(per_length), "length").withColumn(
         "bucket", F.pmod(F.xxhash64(*keys), F.col("buckets"))).drop("buckets"), "dealt")
     sizes = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     inside = Window.partitionBy("length", "bucket").orderBy(*keys)
-    ranked = (dealt.withColumn("rank", F.row_number().over(inside) - 1)
-              .join(offsets, ["length", "bucket"])
-              .withColumn("rank", F.col("rank") + F.col("before")).drop("bucket", "before"))
+    ranked = (dealt.withColumn("local", F.row_number().over(inside) - 1).join(offsets, ["length", "bucket"])
+              .select("row", "length", (F.col("local") + F.col("before")).alias("rank")))
     nth = F.col("rank") - F.col("from_rank")
-    return (ranked.join(F.broadcast(plan.withColumnRenamed("length", "plan_length")),
-                        (F.col("length") == F.col("plan_length")) & (F.col("rank") >= F.col("from_rank"))
-                        & (F.col("rank") < F.col("to_rank")))
-            .withColumn("sequence_id", F.col("first_bin") + F.floor(nth / F.col("times")).cast("long"))
-            .withColumn("offset", F.col("pattern_offset") + nth % F.col("times") * F.col("length"))
-            .drop("rank", "plan_length", "from_rank", "to_rank", "times", "first_bin", "bins", "pattern_offset"))
+    kept = [F.col("row").getField(c).alias(c) for c in names if c not in ("sequence_id", "offset")]
+    return ranked.join(F.broadcast(plan), (F.col("length") == F.col("plan_length")) & (F.col("rank") >= F.col("from_rank"))
+                       & (F.col("rank") < F.col("to_rank"))).select(
+        *kept, (F.col("first_bin") + F.floor(nth / F.col("times")).cast("long")).alias("sequence_id"),
+        (F.col("pattern_offset") + nth % F.col("times") * F.col("length")).alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:

@@ -83,6 +83,14 @@ def by_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, out)
 
 
+def map_rows(docs: DataFrame, run) -> DataFrame:
+    """``mapInArrow`` over all columns of ``docs``, with the same columns out; ``run`` finds them by place.  The
+    columns have plain names meanwhile, because theirs may hold dots."""
+    ship_package(docs.sparkSession)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def crc32_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as decimal text, modulo ``n`` (a null id counts as the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, by_arrow, open_fs, put_file, ship_package, shared_path, utf8, written
+from .common import ALNUM, by_arrow, map_rows, open_fs, put_file, ship_package, shared_path, utf8, written
 
 WINDOW = 10
 BLOCK_BYTES = 2 << 20
@@ -305,5 +305,4 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
                 columns[k] = pa.array(n_chars, batch.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
 
-    ship_package(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

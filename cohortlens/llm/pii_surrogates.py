@@ -214,18 +214,18 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
 
 def pseudonymise(docs: DataFrame, key: str, count: str | None = None) -> DataFrame:
     """``docs`` with surrogates in its texts; all other columns stay (an ``n_chars`` column is set to the new
-    length).  ``count`` names a column for the number of entities in a text.
+    length).  ``count`` names a column for the number of entities in a text; one of that name in ``docs`` is
+    replaced.
 
     Null texts stay null; texts without an entity are unchanged.  Repeated rows give equal rows.  The same key gives
     the same surrogates for the same data; another key gives others.
     """
-    names = docs.columns
-    if count in names:
-        raise ValueError(f"docs has a column {count} already")
+    names = [c for c in docs.columns if c != count]
     hinted = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
     other = docs.filter(~hinted)
+    # The other columns travel in a struct, so their names cannot clash with the ones used here.
     apart = docs.filter(hinted).select(
-        F.struct(*[F.col(f"`{c}`") for c in names if c != "text"], F.lit(0).alias("_")).alias("rest"),
+        F.struct(*[F.col(f"`{c}`") if c != "text" else F.lit(None).cast("string").alias(c) for c in names]).alias("rest"),
         F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("found"),
         F.split("text", PATTERN, -1).alias("gaps"))
     apart = written(apart.withColumn("row", F.monotonically_increasing_id()), "apart")
@@ -247,12 +247,17 @@ def pseudonymise(docs: DataFrame, key: str, count: str | None = None) -> DataFra
         F.when(p["part"] == 0, F.element_at("gaps", p["nth"] + 1)).otherwise(""), p["text"]))
     text = F.when(F.col("parts").isNull(), F.element_at("gaps", 1)).otherwise(
         F.concat(F.array_join(pieces, ""), F.element_at("gaps", -1)))
-    rebuilt = joined.select("rest.*", text.alias("text"), F.size("found").alias("n_found")).drop("_")
-    out = {c: F.col(f"`{c}`") for c in names}
-    changed = dict(out)
-    if "n_chars" in names:
-        changed["n_chars"] = F.when(F.col("n_found") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"])
-    extra = [F.col("n_found").cast("long").alias(count)] if count else []
-    none = [F.lit(0).cast("long").alias(count)] if count else []
-    return (other.select(*[c.alias(n) for n, c in out.items()], *none)
-            .union(rebuilt.select(*[c.alias(n) for n, c in changed.items()], *extra)))
+    n_found = F.size("found")
+    out, changed = [], []
+    for c in names:
+        old = F.col("rest").getField(c)
+        if c == "text":
+            old = text
+        elif c == "n_chars":
+            old = F.when(n_found > 0, F.length(text)).otherwise(old).cast(dict(docs.dtypes)[c])
+        out.append(F.col(f"`{c}`"))
+        changed.append(old.alias(c))
+    if count:
+        out.append(F.lit(0).cast("long").alias(count))
+        changed.append(n_found.cast("long").alias(count))
+    return other.select(*out).union(joined.select(*changed))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_arrow, crc32_mod, texts
+from .common import by_arrow, crc32_mod, map_rows, texts
 
 SHORTEST, LONGEST = 4, 7
 BITS = 19
@@ -173,7 +173,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([fitted.probability(t, seen) < 0.5 for t in texts(batch.column(at))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -20,7 +20,8 @@ HARD_TEXTS = [
 @pytest.fixture()
 def hard_docs(spark):
     """Null, empty, very long and repeated rows, and columns whose names clash with the operators' own."""
-    rows = [(i, t, "en", "s", 0, 1, 2.0, "x") for i, t in enumerate(HARD_TEXTS)]
-    rows += [(3, HARD_TEXTS[3], "en", "s", 0, 1, 2.0, "x"), (None, "no id", None, None, None, 1, 2.0, "x")]
+    clash = (1, 2.0, "x", 3, True, "y")
+    rows = [(i, t, "en", "s", 0, *clash) for i, t in enumerate(HARD_TEXTS)]
+    rows += [(3, HARD_TEXTS[3], "en", "s", 0, *clash), (None, "no id", None, None, None, *clash)]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, "
-                                       "n_tokens long, score double, text_ string").repartition(3)
+                                       "n_tokens long, score double, found string, row long, kept boolean, `a.b` string").repartition(3)
