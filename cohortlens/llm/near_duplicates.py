@@ -6,7 +6,7 @@
    with the hub only.  The hub is the member that meets most others over all its bands: in a group of edited copies
    that is the text they were made from, which is closer to each copy than the copies are to each other.  Members that are already in one component need no comparison, so after ``HUB_ROUNDS`` rounds
    few buckets hold more than one component.  Those are compared in blocks of ``BLOCK`` members: a task compares two
-   blocks in memory and emits the pairs that survive, never a bucket's pairs.
+   blocks in memory and emits the links alone, never a bucket's pairs.
 3. A candidate pair is compared signature batch by signature batch.  After each batch the posterior probability of a
    similarity at or above the threshold, given the matches so far (uniform prior), must exceed the chosen miss
    probability; survivors of all batches are verified exactly on the full sets.
@@ -98,7 +98,8 @@ def minhash(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, set_id (digest of the set), signature (bytes), bands (keys); empty sets have nulls."""
+    """doc_id, n_shingles, set_id (digest of the set), signature (bytes), bands (keys), marks (the keys' low 32 bits);
+    empty sets have nulls."""
 
     def run(batch: pa.RecordBatch):
         sizes, digests, signatures, minima = [], [], [], []
@@ -120,10 +121,11 @@ def sketch(docs: DataFrame, shingle: int) -> DataFrame:
                 key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, k])
             keys = iter(key.astype(np.int64))
         bands = [next(keys) if d is not None else None for d in digests]
-        return [batch.column(0), sizes, digests, signatures, bands]
+        marks = [None if b is None else b.astype(np.uint32).tobytes() for b in bands]
+        return [batch.column(0), sizes, digests, signatures, bands, marks]
 
     return by_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run,
-                    "doc_id long, n_shingles long, set_id binary, signature binary, bands array<long>")
+                    "doc_id long, n_shingles long, set_id binary, signature binary, bands array<long>, marks binary")
 
 
 @lru_cache(maxsize=8)
@@ -178,56 +180,92 @@ def near_hub(members: DataFrame, percent: int, miss: float, order: Column) -> Da
     return by_arrow(ordered, run, "a long, b long").distinct()
 
 
-def in_blocks(members: DataFrame, percent: int, miss: float, block: int) -> DataFrame:
-    """Pairs a < b of members of different components in one bucket that the signatures do not rule out.  A bucket of
-    n members has n / ``block`` blocks; a task holds two of them."""
+def _marks(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, BANDS)
+
+
+def _alive(rows: pa.RecordBatch, percent: int, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs of one block pair that are compared here and not ruled out by their signatures.
+
+    ``rows``: key, low, high, own, id, size, component, signature, marks.  Members of one component are not compared,
+    and a pair is compared only in the first of the bands that it shares."""
+    key, low, high = (rows.column(k)[0].as_py() for k in range(3))
+    own, size, component = (rows.column(k).to_numpy() for k in (3, 5, 6))
+    first, second = np.flatnonzero(own == low), np.flatnonzero(own == high)
+    small, large = np.minimum.outer(size[first], size[second]), np.maximum.outer(size[first], size[second])
+    wanted = (component[first][:, None] != component[second]) & (100 * small >= percent * large)
+    if low == high:
+        wanted = np.triu(wanted, 1)
+    x, y = np.nonzero(wanted)
+    if not len(x):
+        return x, y
+    signatures, marks = _signatures(rows.column(7)), _marks(rows.column(8))
+    x, y = first[x], second[y]
+    alive = survivors(signatures, signatures, x, y, least)
+    x, y = x[alive], y[alive]
+    here = np.flatnonzero(marks[0] == np.uint32(key & 0xFFFFFFFF))
+    mine = np.isin((marks[x] == marks[y]).argmax(axis=1), here)
+    return x[mine], y[mine]
+
+
+def _by_block(batches: Iterator[pa.RecordBatch], fn) -> Iterator[pa.RecordBatch]:
+    """``fn`` of the rows of each (key, low, high), the first three columns, by which the rows are sorted; the last
+    group of a batch may go on in the next."""
+    def groups(rows: pa.RecordBatch, whole: bool):
+        keys = np.stack([rows.column(k).to_numpy().astype(np.int64) for k in range(3)])
+        edges = [0, *(np.flatnonzero(np.any(np.diff(keys, axis=1) != 0, axis=0)) + 1).tolist(), rows.num_rows]
+        done = edges if whole else edges[:-1]
+        found = [f for f in (fn(rows.slice(a, b - a)) for a, b in zip(done, done[1:])) if f is not None]
+        return found, rows.slice(done[-1])
+
+    rest = None
+    for batch in batches:
+        if batch.num_rows:
+            found, rest = groups(batch if rest is None else pa.concat_batches([rest, batch]), False)
+            yield from found
+    if rest is not None and rest.num_rows:
+        yield from groups(rest, True)[0]
+
+
+def in_blocks(members: DataFrame, texts: DataFrame, shingle: int, percent: int, miss: float, block: int) -> DataFrame:
+    """Links a < b between members of different components in one bucket: signatures first, then the full sets.
+
+    A bucket of n members has n / ``block`` blocks; a task holds two of them.  A first pass names the members with a
+    pair that the signatures do not rule out; only these bring their texts to the second pass, in which the task that
+    compares two blocks verifies their pairs.  No pair leaves a task unless it is a link."""
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own",
-                         "id", "size", "component", "signature")
+                         "id", "size", "component", "signature", "marks")
     least = least_matches(percent, miss)
 
-    def compare(rows: pa.RecordBatch, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-        own, ids, size, component = (rows.column(k).to_numpy() for k in (3, 4, 5, 6))
-        first, second = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        small, large = np.minimum.outer(size[first], size[second]), np.maximum.outer(size[first], size[second])
-        wanted = (component[first][:, None] != component[second]) & (100 * small >= percent * large)
-        if low == high:
-            wanted = np.triu(wanted, 1)
-        x, y = np.nonzero(wanted)
+    def name(rows: pa.RecordBatch):
+        x, y = _alive(rows, percent, least)
         if not len(x):
-            return ids[:0], ids[:0]
-        signatures = _signatures(rows.column(7))
-        x, y = first[x], second[y]
-        alive = survivors(signatures, signatures, x, y, least)
-        x, y = ids[x[alive]], ids[y[alive]]
-        return np.minimum(x, y), np.maximum(x, y)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def result(rows: pa.RecordBatch):
-            keys = np.stack([rows.column(k).to_numpy().astype(np.int64) for k in range(3)])
-            edges = np.flatnonzero(np.any(np.diff(keys, axis=1) != 0, axis=0)) + 1
-            found = [compare(rows.slice(a, b - a), int(keys[1, a]), int(keys[2, a]))
-                     for a, b in zip([0, *edges.tolist()], [*edges.tolist(), rows.num_rows])]
-            return pa.RecordBatch.from_pydict({n: pa.array(np.concatenate([f[k] for f in found]), pa.int64())
-                                               for k, n in enumerate("ab")})
-
-        rest = None  # the last group may go on in the next batch
-        for batch in batches:
-            rows = batch if rest is None else pa.concat_batches([rest, batch])
-            last = tuple(rows.column(k)[-1].as_py() for k in range(3))
-            at = rows.num_rows
-            while at and tuple(rows.column(k)[at - 1].as_py() for k in range(3)) == last:
-                at -= 1
-            rest = rows.slice(at)
-            if at:
-                yield result(rows.slice(0, at))
-        if rest is not None and rest.num_rows:
-            yield result(rest)
-
-    together = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return together.mapInArrow(run, "a long, b long").distinct()
+            return None
+        return pa.RecordBatch.from_arrays([rows.column(k).take(pa.array(np.unique(np.concatenate([x, y])))) for k in range(9)],
+                                          schema=rows.schema)
+
+    def verify(rows: pa.RecordBatch):
+        x, y = _alive(rows, percent, least)
+        sets = [shingle_hashes(t, shingle) for t in utf8(rows.column(9))]
+        ids, links = rows.column(4).to_numpy(), []
+        for i, j in zip(x.tolist(), y.tolist()):
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                links.append((i, j))
+        if not links:
+            return None
+        i, j = np.array(links).T
+        return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(ids[i], ids[j])), "b": pa.array(np.maximum(ids[i], ids[j]))})
+
+    blocks = ["key", "low", "high"]
+    named = written(dealt.repartition(*blocks).sortWithinPartitions(*blocks).mapInArrow(
+        lambda batches: _by_block(batches, name), dealt.schema), "named")
+    full = named.join(texts.select("id", "text"), "id").select(*dealt.columns, "text")
+    return full.repartition(*blocks).sortWithinPartitions(*blocks).mapInArrow(
+        lambda batches: _by_block(batches, verify), "a long, b long").distinct()
 
 
 def exact(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -283,15 +321,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     sketched = written(sketch(docs, shingle), "sketches")
     full = sketched.filter("n_shingles > 0 and doc_id is not null")
     # One row per set: equal sets are linked by definition.
-    classes = written(full.groupBy("set_id").agg(F.min_by(F.struct("doc_id", "n_shingles", "signature", "bands"), "doc_id").alias("c"))
+    classes = written(full.groupBy("set_id").agg(F.min_by(F.struct("doc_id", "n_shingles", "signature", "bands", "marks"), "doc_id").alias("c"))
                       .select("set_id", F.col("c.doc_id").alias("id"), F.col("c.n_shingles").alias("size"),
-                              F.col("c.signature").alias("signature"), F.col("c.bands").alias("bands")), "classes")
+                              F.col("c.signature").alias("signature"), F.col("c.bands").alias("bands"), F.col("c.marks").alias("marks")), "classes")
     keyed = classes.select("id", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     met = written(keyed.join(shared, "key"), "members")
     members = met.select("id", "key")
     wanted = written(met.groupBy("id").agg(F.sum("n").alias("degree")), "degrees")
-    known = classes.select("id", "size", "signature").join(wanted, "id")
+    known = classes.select("id", "size", "signature", "marks").join(wanted, "id")
     texts = None
     links = tested = labels = None
     for turn in range(hub_rounds + 1):
@@ -300,18 +338,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         if labels is not None:
             members = mixed(members, here)
         here = members.join(here, "id")
-        # The first round's hub is the same in all buckets of a group, so its pairs are few; the next ones differ.
-        order = F.struct(F.lit(0) if turn else F.col("degree"), F.xxhash64("id", *([F.col("key"), F.lit(turn)] if turn else [])))
-        alive = in_blocks(here, percent, miss, block) if turn == hub_rounds else near_hub(here, percent, miss, order)
-        if tested is not None:
-            alive = alive.join(tested, ["a", "b"], "left_anti")
-        alive = written(alive, "alive")
-        if alive.isEmpty():
-            continue
-        tested = alive if tested is None else tested.union(alive)
         if texts is None:
             texts = written(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi"), "texts")
-        found = written(exact(alive, texts, shingle, percent), "found")
+        if turn == hub_rounds:
+            found = in_blocks(here, texts, shingle, percent, miss, block)
+        else:
+            # The first round's hub is the same in all buckets of a group, so its pairs are few; the next ones differ.
+            order = F.struct(F.lit(0) if turn else F.col("degree"), F.xxhash64("id", *([F.col("key"), F.lit(turn)] if turn else [])))
+            alive = near_hub(here, percent, miss, order)
+            if tested is not None:
+                alive = alive.join(tested, ["a", "b"], "left_anti")
+            alive = written(alive, "alive")
+            if alive.isEmpty():
+                continue
+            tested = alive if tested is None else tested.union(alive)
+            found = exact(alive, texts, shingle, percent)
+        found = written(found, "found")
         if not found.isEmpty():
             links = found if links is None else links.union(found)
             labels = components(links, labels)
