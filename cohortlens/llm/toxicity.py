@@ -21,7 +21,8 @@ from .common import by_arrow, crc32_mod, map_rows, texts
 
 SHORTEST, LONGEST = 4, 7
 BITS = 19
-PER_CLASS = 2000
+PER_CLASS = 1500
+TRAINING_BYTES = 1 << 18  # longer texts are not learned from
 SMOOTHING = 1.0
 PENALTY = 1e-3
 STEPS = 25
@@ -129,25 +130,25 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """Fit on ``labels`` (doc_id, toxic 0/1; a null label is no label) and the texts of ``docs``.  The texts' n-grams
-    are made by tasks; the driver gets at most 2 * ``per_class`` of them."""
+    """Fit on ``labels`` (doc_id, toxic 0/1; a null label is no label) and the texts of ``docs``: at most
+    2 * ``per_class`` texts of at most ``TRAINING_BYTES`` bytes each."""
     marked = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     totals = dict(marked.groupBy("toxic").count().collect())
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = marked.filter("toxic = 0").orderBy(*order).limit(per_class).union(
         marked.filter("toxic = 1").orderBy(*order).limit(per_class)).select(F.col("doc_id").alias("label_id"), "toxic")
 
-    def grams(batch: pa.RecordBatch):
-        seen = np.zeros(1 << BITS, bool)
-        return batch.column(0), [ngram_slots(t, seen).tobytes() for t in texts(batch.column(1))]
-
     # ``chosen`` has at most 2 * per_class rows.
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
-    found = by_arrow(picked.select("toxic", "text"), grams, "toxic int, slots binary").collect()
-    toxic = np.array([r["toxic"] for r in found], float)
+    short = picked.select("toxic", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= TRAINING_BYTES)
+    seen, rows, marks = np.zeros(1 << BITS, bool), [], []
+    for r in short.toLocalIterator():
+        rows.append(ngram_slots(r["text"], seen))
+        marks.append(r["toxic"])
+    toxic = np.array(marks, float)
     read = {k: max(1, int((toxic == k).sum())) for k in (0, 1)}
     weight = np.array([totals.get(int(t), 0) / read[int(t)] for t in toxic])
-    return fit([np.frombuffer(r["slots"], np.int32) for r in found], toxic, weight)
+    return fit(rows, toxic, weight)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
