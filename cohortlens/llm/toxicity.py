@@ -22,7 +22,7 @@ from .common import by_arrow, crc32_mod, map_rows, texts
 SHORTEST, LONGEST = 4, 7
 BITS = 19
 PER_CLASS = 1500
-TRAINING_BYTES = 1 << 18  # longer texts are not learned from
+TRAINING_BYTES = 1 << 16  # longer texts are not learned from
 SMOOTHING = 1.0
 PENALTY = 1e-3
 STEPS = 25
@@ -142,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
     short = picked.select("toxic", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= TRAINING_BYTES)
     seen, rows, marks = np.zeros(1 << BITS, bool), [], []
-    for r in short.toLocalIterator():
+    for r in short.collect():
         rows.append(ngram_slots(r["text"], seen))
         marks.append(r["toxic"])
     toxic = np.array(marks, float)
