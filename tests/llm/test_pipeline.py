@@ -9,8 +9,7 @@ from test_native_operators import found
 from test_token_operators import check_packing, crc, encode
 
 
-def test_stages(spark):
-    sf = "/root/testdata/sf0.01"
+def test_stages(spark, sf):
     docs = table(spark, sf, "documents")
     columns, tables = docs.columns, [docs]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "pii", "packing"]
