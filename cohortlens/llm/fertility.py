@@ -36,10 +36,10 @@ class Band:
 
 # Bands by language code, then by script.
 LANGUAGES = {
-    "en": Band(1.9, 8.0, 0.10, 4.5),
-    "de": Band(1.9, 8.0, 0.10, 4.5),
-    "fr": Band(1.75, 8.0, 0.10, 4.5),
-    "es": Band(1.75, 8.0, 0.10, 4.5),
+    "en": Band(1.85, 8.0, 0.10, 4.5),
+    "de": Band(1.85, 8.0, 0.10, 4.5),
+    "fr": Band(1.65, 8.0, 0.10, 4.5),
+    "es": Band(1.7, 8.0, 0.10, 4.5),
 }
 SCRIPTS = {
     "latin": Band(1.6, 9.0, 0.15, 4.0),
