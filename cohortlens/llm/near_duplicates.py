@@ -35,7 +35,7 @@ BANDS, ROWS = 48, 6
 COMPARED, BATCH = 256, 32
 MISS = 1e-6
 HUB_ROUNDS = 2
-BLOCK = 512
+BLOCK = 1024
 
 
 def words_of(text: bytes) -> list[bytes]:
