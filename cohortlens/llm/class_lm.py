@@ -2,25 +2,29 @@
 
 ``log10 P(text) = sum over tokens of log10 P(class | previous class) + log10 P(word | class)``.
 
-* Counts of all training words are aggregated by Spark (tasks pre-aggregate).  The ``HEAD`` most frequent words are
-  the ones that exchange clustering assigns to classes; every other word, known or not, is in one class for rare
-  words, in which it still has an emission probability from its own count.
-* Exchange clustering: each round, the counts of every head word with the classes before and after it are
-  aggregated from the table of word pairs, and every word of the round's half moves to the class that raises the
-  likelihood of class bigrams most, given the other words' classes.  Words are dealt to tasks; the driver holds the
-  class of each head word and the matrix of class pairs, both of fixed size.
-* Scoring needs the head words only (a broadcast of at most ``HEAD`` words).  Rare words of a document are joined
-  with the counts afterwards.
+* Counts of all training words are aggregated by Spark (tasks pre-aggregate).  Every training word has an id: its
+  rank among the ``HEAD`` most frequent, or a negative 63-bit digest, with a seed that tells all words apart.
+* Exchange clustering: each round, the counts of every word with the classes before and after it are aggregated from
+  the table of word pairs, and every word of the round's half moves to the class that raises the likelihood of class
+  bigrams most, given the other words' classes.  The classes are a table keyed by id; words are dealt to tasks; the
+  driver holds the matrix of class pairs, of fixed size.
+* Scoring has the head words at hand (a broadcast of at most ``HEAD`` words).  The other words of a document are joined
+  with their counts and classes, and the transitions beside them are added afterwards.  A word that training does not
+  have gets its base probability after any class.
 """
 
 from __future__ import annotations
 
+import gc
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
+from itertools import count as numbers
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +38,7 @@ PRIOR = 50.0  # weight of the classes' unigram distribution in a transition
 END = b"\n"  # no word can hold a line break
 PENDING = 500_000
 MAX_HEAD_WORD = 100  # bytes; with HEAD this bounds the broadcast
+SHARE = 2048  # words that a task moves at once
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -77,33 +82,65 @@ class _Ids(dict):
         return self.rare
 
 
-def count_pairs(docs: DataFrame, sent, end: int) -> DataFrame:
+def digest_id(word: bytes, seed: int) -> int:
+    """Negative 64-bit id of a word outside the head."""
+    return int.from_bytes(blake2b(word, digest_size=8, salt=seed.to_bytes(16, "little")).digest(), "little") % (1 << 63) - (1 << 63)
+
+
+class _Places(dict):
+    """word -> place in ``ids``, the words' ids; new words get the next place."""
+
+    def __init__(self, head: list[bytes], seed: int):
+        super().__init__((w, i) for i, w in enumerate(head))
+        self.ids, self.seed = list(range(len(head))), seed
+
+    def __missing__(self, word):
+        self[word] = place = len(self.ids)
+        self.ids.append(digest_id(word, self.seed))
+        return place
+
+
+def numbered(counts: DataFrame, sent, n_distinct: int) -> tuple[DataFrame, int]:
+    """id, word, c of all training words, and the seed of their digests."""
+    spark = counts.sparkSession
+    for seed in numbers():
+        def run(batches: Iterator[pa.RecordBatch], seed=seed) -> Iterator[pa.RecordBatch]:
+            head = {w: i for i, w in enumerate(sent.value)}
+            for batch in batches:
+                ids = [head[w] if w in head else digest_id(w, seed) for w in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column(0), batch.column(1)], names=["id", "word", "c"])
+
+        vocabulary = written(counts.select("word", "c").mapInArrow(run, "id long, word binary, c long"), "vocabulary")
+        if vocabulary.select("id").distinct().count() == n_distinct:
+            return vocabulary, seed
+
+
+def count_pairs(docs: DataFrame, sent, end: int, seed: int) -> DataFrame:
     """before, after, n over ids of all training tokens; an end stands before a text's first token."""
-    size = len(sent.value) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, waiting, n = _Ids(sent.value), [], 0
+        places, waiting, n = _Places(sent.value, seed), [], 0
 
         def flush():
             codes, counts = np.unique(np.concatenate(waiting), return_counts=True)
-            return pa.RecordBatch.from_pydict({"before": pa.array((codes // size).astype(np.int32)),
-                                               "after": pa.array((codes % size).astype(np.int32)),
+            ids = np.array(places.ids, np.int64)
+            return pa.RecordBatch.from_pydict({"before": pa.array(ids[codes >> 32]), "after": pa.array(ids[codes & 0xFFFFFFFF]),
                                                "n": pa.array(counts.astype(np.int64))})
 
         for batch in batches:
             for text in utf8(batch.column(0)):
                 words = words_of(text)
                 row = np.full(len(words) + 2, end, np.int64)
-                row[1:-1] = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-                waiting.append(row[:-1] * size + row[1:])
+                row[1:-1] = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
+                waiting.append(row[:-1] << 32 | row[1:])
                 n += len(row)
-                if n > 8 * PENDING:
+                if n > 8 * PENDING or len(places) > 2 * PENDING:
                     yield flush()
-                    waiting, n = [], 0
+                    places, waiting, n = _Places(sent.value, seed), [], 0
         if waiting:
             yield flush()
 
-    return (docs.select("text").mapInArrow(run, "before int, after int, n long")
+    return (docs.select("text").mapInArrow(run, "before long, after long, n long")
             .groupBy("before", "after").agg(F.sum("n").alias("n")))
 
 
@@ -148,101 +185,147 @@ def best_classes(matrix: np.ndarray, own: np.ndarray, after: np.ndarray, before:
     return np.where(gain[words, best] > gain[words, own] + 1e-9, best, own)
 
 
-def class_matrix(beside: DataFrame, classes: np.ndarray, n_classes: int) -> np.ndarray:
-    """Tokens of each pair of classes, from the words' counts beside classes (at most n_classes rows a word)."""
-    by = _with_class(beside.filter("is_after"), classes, "word", "own").groupBy("own", "other").agg(F.sum("n").alias("n"))
-    matrix = np.zeros((n_classes, n_classes))
-    for own, other, n in by.collect():
-        matrix[own, other] = n
-    return matrix
+def free_shuffles(spark) -> None:
+    """Let Spark remove the shuffle files of queries that are done: it does so when the driver collects their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
 
+def _with_class(df: DataFrame, classes: DataFrame, word: str, name: str) -> DataFrame:
+    """Join the class of an id column.  The head's classes (a fixed bound, with all very frequent words) are sent to
+    the tasks; the other words' are joined by id."""
+    lookup = classes.select(F.col("id").alias(word), F.col("class").alias(name))
+    head = df.filter(F.col(word) >= 0).join(F.broadcast(lookup.filter(F.col(word) >= 0)), word)
+    return head.unionByName(df.filter(F.col(word) < 0).join(lookup.filter(F.col(word) < 0), word))
 
-def _with_class(df: DataFrame, classes: np.ndarray, word: str, name: str) -> DataFrame:
-    """Join the class of an id column; ``classes`` has one row per head word, a fixed bound."""
-    lookup = df.sparkSession.createDataFrame(pd.DataFrame({word: np.arange(len(classes), dtype=np.int32),
-                                                           name: classes.astype(np.int32)}))
-    return df.join(F.broadcast(lookup), word)
+
+def class_matrix(pairs: DataFrame, classes: DataFrame, n_classes: int) -> np.ndarray:
+    """Tokens of each pair of classes (at most n_classes squared rows)."""
+    by = _with_class(_with_class(pairs, classes, "after", "other"), classes, "before", "own").groupBy("own", "other").agg(F.sum("n").alias("n"))
+    matrix = np.zeros((n_classes, n_classes))
+    for row in by.collect():
+        matrix[row["own"], row["other"]] = row["n"]
+    return matrix
 
 
-def beside_classes(pairs: DataFrame, classes: np.ndarray) -> DataFrame:
-    """word, other, is_after, n: tokens of class ``other`` after (or before) the word."""
-    after = _with_class(pairs.withColumnRenamed("before", "word"), classes, "after", "other")
-    before = _with_class(pairs.withColumnRenamed("after", "word"), classes, "before", "other")
-    return (after.select("word", "other", F.lit(True).alias("is_after"), "n")
-            .union(before.select("word", "other", F.lit(False), "n"))
-            .groupBy("word", "other", "is_after").agg(F.sum("n").alias("n")))
+def beside_classes(pairs: DataFrame, classes: DataFrame, half) -> DataFrame:
+    """word, other, side, n of the words that ``half`` (of a column) takes: tokens of class ``other`` before (side 0)
+    and after (side 1) the word."""
+    after = _with_class(pairs.filter(half(F.col("before"))).withColumnRenamed("before", "word"), classes, "after", "other")
+    before = _with_class(pairs.filter(half(F.col("after"))).withColumnRenamed("after", "word"), classes, "before", "other")
+    return (after.select("word", "other", F.lit(1).alias("side"), "n").union(before.select("word", "other", F.lit(0), "n"))
+            .groupBy("word", "other", "side").agg(F.sum("n").alias("n")))
 
 
-def exchange(pairs: DataFrame, n_words: int, end: int, n_classes: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of the head words (the end token and the rare words have classes of their own) and the matrix."""
+def exchange(pairs: DataFrame, vocabulary: DataFrame, n_words: int, end: int, n_classes: int, rounds: int) -> tuple[DataFrame, np.ndarray]:
+    """id, class of all training words (the end token and unknown words have classes of their own) and the matrix.
+    Rounds end early when neither half of the words has a move."""
     total = n_classes + 2
-    classes = np.arange(n_words + 1) % n_classes  # ids are by falling frequency
-    classes[end], classes[n_words] = n_classes, n_classes + 1
+    start = F.when(F.col("id") == end, n_classes).otherwise(F.pmod("id", F.lit(n_classes)))  # head ids are by falling frequency
+    classes = written(vocabulary.select("id", start.cast("byte").alias("class") if total < 128 else start.cast("int").alias("class")), "classes")
+    shares, still = max(128, -(-n_words // SHARE)), 0
     for turn in range(rounds):
-        beside = written(beside_classes(pairs, classes), "beside")
-        matrix = class_matrix(beside, classes, total)
-        own = classes.copy()
+        matrix = class_matrix(pairs, classes, total)
 
         def move(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values("word")
-            word, other, n = (rows[c].to_numpy() for c in ("word", "other", "n"))
-            side = rows["is_after"].to_numpy().astype(int)
-            index = np.cumsum(np.diff(word, prepend=word[0]) != 0)
-            named = word[np.flatnonzero(np.diff(word, prepend=-1))]
-            vectors = np.zeros((2, len(named), total))
-            vectors[side, index, other] = n
-            now = own[named]
-            best = np.concatenate([best_classes(matrix, now[at:at + 256], vectors[1, at:at + 256], vectors[0, at:at + 256], n_classes)
-                                   for at in range(0, len(named), 256)])
+            rows = rows.sort_values("word", kind="stable")
+            word, other, side, n = (rows[c].to_numpy() for c in ("word", "other", "side", "n"))
+            named, index = np.unique(word, return_inverse=True)
+            now = np.zeros(len(named), np.int64)
+            now[index[side == 2]] = other[side == 2]
+            beside = side < 2
+            index, other, side, n = index[beside], other[beside], side[beside], n[beside]
+            best = []
+            for at in range(0, len(named), 256):
+                here = slice(*np.searchsorted(index, (at, at + 256)))
+                vectors = np.zeros((2, len(now[at:at + 256]), total))
+                vectors[side[here], index[here] - at, other[here]] = n[here]
+                best.append(best_classes(matrix, now[at:at + 256], vectors[1], vectors[0], n_classes))
+            best = np.concatenate(best)
             moved = best != now
-            return pd.DataFrame({"word": named[moved].astype("int32"), "best": best[moved].astype("int32")})
-
-        half = beside.filter((F.col("word") < n_words) & (F.col("word") != end) & (F.pmod(F.hash("word"), F.lit(2)) == turn % 2))
-        # A group is at most HEAD / 128 words with two vectors each.
-        moves = half.groupBy(F.pmod(F.xxhash64("word"), F.lit(128)).alias("share")).applyInPandas(move, "word int, best int").collect()
-        for word, best in moves:
-            classes[word] = best
-        if not moves:
+            return pd.DataFrame({"id": named[moved], "best": best[moved].astype("int32")})
+
+        def half(word: Column, turn=turn) -> Column:
+            return (word != end) & (F.pmod(F.hash(word), F.lit(2)) == turn % 2)
+
+        # Side 2 gives a word's own class.  A group has about SHARE / 2 words, of at most 2 * total + 1 rows.
+        own = classes.filter(half(F.col("id"))).select(F.col("id").alias("word"), F.col("class").alias("other"), F.lit(2).alias("side"), F.lit(0).cast("long").alias("n"))
+        rows = beside_classes(pairs, classes, half).union(own).select("word", F.col("other").cast("int").alias("other"), "side", "n")
+        moves = written(rows.groupBy(F.pmod(F.xxhash64("word"), F.lit(shares)).alias("share")).applyInPandas(move, "id long, best int"), "moves")
+        del own, rows
+        free_shuffles(pairs.sparkSession)
+        still = still + 1 if moves.isEmpty() else 0
+        if still == 2:
             break
-    return classes, class_matrix(beside_classes(pairs, classes), classes, total)
+        if not still:
+            classes = written(classes.join(moves, "id", "left").select(
+                "id", F.coalesce(F.col("best").cast(classes.schema["class"].dataType), "class").alias("class")), "classes")
+    return classes, class_matrix(pairs, classes, total)
 
 
 class ClassModel:
     """Log10 tables of a fitted model; all of fixed size."""
 
-    def __init__(self, head: list[tuple[bytes, int]], classes: np.ndarray, matrix: np.ndarray, n_tokens: int, n_distinct: int):
+    def __init__(self, head: list[tuple[bytes, int]], classes: np.ndarray, matrix: np.ndarray, n_tokens: int, n_distinct: int,
+                 members: tuple[np.ndarray, np.ndarray] | None = None):
+        """``classes``: the classes of the head words and of a word outside.  ``members``: tokens and distinct words of
+        each class when all training words have one; the last class is then that of unknown words."""
         counts = np.array([c for _, c in head], float)
         n_classes = len(matrix)
-        rare_tokens, rare_words = n_tokens - counts.sum(), max(0, n_distinct - len(head))
-        in_class = np.bincount(classes[:-1], counts, n_classes)
-        in_class[-1] = rare_tokens
-        words = np.bincount(classes[:-1], minlength=n_classes).astype(float)
-        words[-1] = rare_words + 1
-        unigram = (in_class + ADD) / (in_class + ADD).sum()
-        self.transition = np.log10((matrix + PRIOR * unigram) / (matrix.sum(axis=1, keepdims=True) + PRIOR))
+        self.base_total = float(n_tokens + ADD * (n_distinct + 1))
+        if members is None:
+            in_class = np.bincount(classes[:-1], counts, n_classes)
+            in_class[-1] = n_tokens - counts.sum()
+            words = np.bincount(classes[:-1], minlength=n_classes).astype(float)
+            words[-1] = max(0, n_distinct - len(head)) + 1
+            unigram = (in_class + ADD) / (in_class + ADD).sum()
+        else:
+            in_class, words = members[0].copy(), members[1].copy()
+            words[-1] = 1
+            unigram = in_class + ADD
+            unigram[-1] = 0
+            unigram /= unigram.sum()
+        transition = (matrix + PRIOR * unigram) / (matrix.sum(axis=1, keepdims=True) + PRIOR)
+        if members is not None:  # an unknown word has its base probability after any class
+            unknown = ADD / self.base_total
+            transition *= 1 - unknown
+            transition[:, -1] = unknown
+        self.transition = np.log10(transition)
         total = in_class + ADD * words
         self.rare_total = float(total[-1])
+        self.log_total = np.log10(np.maximum(total, 1e-300))  # a class may be empty
         # The class of the end token has no other word: its emission is 1.
         self.emission = np.append(np.log10((counts + ADD) / total[classes[:-1]]), 0.0)
-        self.base_total = float(n_tokens + ADD * (n_distinct + 1))
         self.base = np.append(np.log10((counts + ADD) / self.base_total), 0.0)
         self.classes = classes
         self.words = [w for w, _ in head]
 
 
-def fit(training: DataFrame, counts: DataFrame, head_size: int, n_classes: int, rounds: int) -> tuple[ClassModel, int]:
+def fit(training: DataFrame, counts: DataFrame, head_size: int, n_classes: int, rounds: int) -> tuple[ClassModel, int, DataFrame]:
+    """The model, the number of training tokens, and word, c, class of the training words outside the head."""
     n_tokens, n_distinct = counts.agg(F.sum("c"), F.count("*")).first()
     if not n_tokens:  # no training text: everything is unknown
-        return ClassModel([(END, 0)], np.array([n_classes, n_classes + 1]), np.zeros((n_classes + 2,) * 2), 0, 0), 0
+        nothing = counts.select("word", "c", F.lit(n_classes + 1).alias("class"))
+        return ClassModel([(END, 0)], np.array([n_classes, n_classes + 1]), np.zeros((n_classes + 2,) * 2), 0, 0), 0, nothing
     short = counts.filter((F.octet_length("word") <= MAX_HEAD_WORD) | (F.col("word") == F.lit(bytearray(END))))
     head = [(bytes(w), c) for w, c in most_frequent(short, "word", "c", head_size).collect()]
     if END not in [w for w, _ in head]:
         head[-1] = (END, counts.filter(F.col("word") == F.lit(bytearray(END))).first()["c"])
     end = [w for w, _ in head].index(END)
     sent = training.sparkSession.sparkContext.broadcast([w for w, _ in head])
-    pairs = written(count_pairs(training, sent, end), "pairs")
-    classes, matrix = exchange(pairs, len(head), end, n_classes, rounds)
-    return ClassModel(head, classes, matrix, n_tokens, n_distinct), n_tokens
+    vocabulary, seed = numbered(counts, sent, n_distinct)
+    pairs = written(count_pairs(training, sent, end, seed), "pairs")
+    free_shuffles(training.sparkSession)
+    classes, matrix = exchange(pairs, vocabulary, n_distinct, end, n_classes, rounds)
+    lexicon = written(vocabulary.join(classes, "id").select("id", "word", "c", "class"), "lexicon")
+    members = np.zeros((2, n_classes + 2))
+    free_shuffles(training.sparkSession)
+    for k, tokens, words in lexicon.groupBy("class").agg(F.sum("c"), F.count("*")).collect():
+        members[:, k] = tokens, words
+    of_head = dict(lexicon.filter("id >= 0").select("id", "class").collect())  # at most head_size rows
+    head_classes = np.array([*(of_head[i] for i in range(len(head))), n_classes + 1])
+    model = ClassModel(head, head_classes, matrix, n_tokens, n_distinct, (members[0], members[1]))
+    return model, n_tokens, lexicon.filter("id < 0").select("word", "c", F.col("class").cast("int").alias("class"))
 
 
 def class_lm_scores(docs: DataFrame, held_out: Column, head_size: int = HEAD, n_classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
@@ -256,48 +339,81 @@ def class_lm_scores(docs: DataFrame, held_out: Column, head_size: int = HEAD, n_
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"))
     training = rows.filter(~F.col("held_out"))
     counts = written(count_words(training), "counts")
-    model, n_tokens = fit(training, counts, head_size, n_classes, rounds)
+    model, n_tokens, lexicon = fit(training, counts, head_size, n_classes, rounds)
     sent = spark.sparkContext.broadcast(model)
     known_head = n_tokens > 0
+    n_codes = n_classes + 2
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = sent.value
         ids = _Ids(fitted.words)
         end, rare = ids[END], ids.rare
         for batch in batches:
-            n_all, n_head, base, own, tails = [], [], [], [], []
+            n_all, n_head, base, own, tails, chains = [], [], [], [], [], []
             for text in utf8(batch.column(1)):
                 words = words_of(text)
                 row = np.full(len(words) + 2, end, np.int64)
                 row[1:-1] = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-                classes, tokens = fitted.classes[row], row[1:]
+                codes, tokens = fitted.classes[row], row[1:]
                 n_all.append(len(tokens))
                 outside = np.flatnonzero(tokens == rare)
                 n_head.append((len(tokens) - len(outside)) * known_head)
                 base.append(float(fitted.base[tokens].sum()))
-                own.append(float(fitted.transition[classes[:-1], classes[1:]].sum() + fitted.emission[tokens].sum()))
-                tails.append([{"word": w, "n": n} for w, n in Counter(map(words.__getitem__, outside.tolist())).items()])
+                tail = row == rare
+                known = ~tail[:-1] & ~tail[1:]
+                own.append(float(fitted.transition[codes[:-1][known], codes[1:][known]].sum() + fitted.emission[tokens].sum()))
+                # A word outside the head has a code after the classes; the chain holds these words and those beside them.
+                seen = Counter(map(words.__getitem__, outside.tolist()))
+                place = {w: i for i, w in enumerate(seen)}
+                codes[tail] = np.fromiter((n_codes + place[words[i]] for i in outside.tolist()), np.int64, len(outside))
+                beside = tail.copy()
+                beside[:-1] |= tail[1:]
+                beside[1:] |= tail[:-1]
+                chain = codes[beside]
+                wide = n_codes + len(seen) > 1 << 16
+                chains.append((b"\4" + chain.astype("<u4").tobytes()) if wide else (b"\2" + chain.astype("<u2").tobytes()))
+                tails.append([{"place": i, "word": w, "n": n} for i, (w, n) in enumerate(seen.items())])
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(2), pa.array(n_all, pa.int64()), pa.array(n_head, pa.int64()),
                 pa.array(base, pa.float64()), pa.array(own, pa.float64()),
-                pa.array(tails, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))],
-                names=["doc_id", "held_out", "n_tokens", "n_head", "head_base", "head_score", "tail"])
+                pa.array(tails, pa.list_(pa.struct([("place", pa.int32()), ("word", pa.binary()), ("n", pa.int64())]))),
+                pa.array(chains, pa.binary())],
+                names=["doc_id", "held_out", "n_tokens", "n_head", "head_base", "head_score", "tail", "chain"])
 
-    scored = written(rows.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_head long, head_base double, "
-                                            "head_score double, tail array<struct<word: binary, n: long>>")
+    scored = written(rows.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_head long, head_base double, head_score double, "
+                                            "tail array<struct<place: int, word: binary, n: long>>, chain binary")
                      .withColumn("row", F.monotonically_increasing_id()), "scored")
-    tail = scored.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.n").join(counts, "word", "left")
+    tail = scored.select("row", F.explode("tail").alias("t")).select("row", "t.place", "t.word", "t.n").join(lexicon, "word", "left")
     by_row = tail.groupBy("row").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("tail_known"),
         F.sum("n").alias("tail_n"),
-        F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + ADD)).alias("tail_log"))
-    none = F.lit(0.0)
-    n_tail, log = F.coalesce("tail_n", F.lit(0)), F.coalesce("tail_log", none)
-    return scored.drop("tail").join(by_row, "row", "left").select(
+        F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + ADD)).alias("tail_log"),
+        F.transform(F.sort_array(F.collect_list(F.struct("place", F.coalesce("class", F.lit(n_classes + 1)).alias("class")))),
+                    lambda x: x["class"]).alias("classes"))
+
+    def add_tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = sent.value
+        for batch in batches:
+            added = []
+            for chain, classes in zip(batch.column("chain").to_pylist(), batch.column("classes")):
+                codes = np.frombuffer(chain, f"<u{chain[0]}", offset=1).astype(np.int64)
+                found = classes.values.to_numpy() if classes.is_valid else np.zeros(0, np.int64)
+                class_of = np.concatenate([np.arange(n_codes), found]).astype(np.int64)
+                outside, own = codes >= n_codes, class_of[codes]
+                links = outside[:-1] | outside[1:]
+                added.append(float(fitted.transition[own[:-1][links], own[1:][links]].sum() - fitted.log_total[own[outside]].sum()))
+            score = pc.add(batch.column("head_score"), pa.array(added, pa.float64()))
+            yield pa.RecordBatch.from_arrays([score if c == "head_score" else batch.column(c) for c in kept], names=kept)
+
+    n_tail, log = F.coalesce("tail_n", F.lit(0)), F.coalesce("tail_log", F.lit(0.0))
+    joined = scored.drop("tail").join(by_row, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
-        F.lit(n_tokens).cast("long").alias("train_tokens"),
         (F.col("head_base") + log - n_tail * F.log10(F.lit(model.base_total))).alias("base_score"),
-        (F.col("head_score") + log - n_tail * F.log10(F.lit(model.rare_total))).alias("score"),
+        (F.col("head_score") + log).alias("head_score"), "chain", "classes")
+    kept = [c for c in joined.columns if c not in ("chain", "classes")]
+    return joined.mapInArrow(add_tail, joined.select(*kept).schema).select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score",
+        F.col("head_score").alias("score"),
     ).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
