@@ -15,7 +15,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -28,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, most_frequent, ship_package, utf8, written
+from .common import crc32_mod, free_shuffles, most_frequent, ship_package, utf8, written
 
 HEAD = 1 << 14
 CLASSES = 64
@@ -185,12 +184,6 @@ def best_classes(matrix: np.ndarray, own: np.ndarray, after: np.ndarray, before:
     return np.where(gain[words, best] > gain[words, own] + 1e-9, best, own)
 
 
-def free_shuffles(spark) -> None:
-    """Let Spark remove the shuffle files of queries that are done: it does so when the driver collects their plans."""
-    gc.collect()
-    spark.sparkContext._jvm.java.lang.System.gc()
-
-
 def _with_class(df: DataFrame, classes: DataFrame, word: str, name: str) -> DataFrame:
     """Join the class of an id column.  The head's classes (a fixed bound, with all very frequent words) are sent to
     the tasks; the other words' are joined by id."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -39,6 +40,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of queries that are done: it does so when the driver collects their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def open_fs(path: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a URI or an absolute path; used inside tasks."""
     return fs.FileSystem.from_uri(path)

@@ -2,32 +2,35 @@
 
 Features are the distinct hashed character n-grams of 4 to 7 characters of the lower-cased text (white space is one
 space character; the text has a space before and after).  A feature's value is the log ratio of its smoothed document
-frequencies in toxic and other training texts; logistic regression with an L2 penalty gives the weights.
+frequencies in toxic and other training texts, and each text's features are scaled to one length, the same for
+all; logistic regression with an L2 penalty gives the weights.
 
-Training reads at most ``PER_CLASS`` labelled texts per class, chosen by a hash of their ids; a class of which only a
-part is read counts with its full weight.  Scoring reads every whole text and keeps one text's n-grams at a time.
+Training reads every labelled text, whole.  Its slots are written once; each step of the fit sums losses and gradients
+in tasks, by blocks of slots, and only vectors of the size of the weights reach the driver.  Scoring reads every whole
+text and keeps one text's n-grams at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_arrow, crc32_mod, map_rows, texts
+from .common import by_arrow, crc32_mod, free_shuffles, map_rows, texts, written
 
 SHORTEST, LONGEST = 4, 7
 BITS = 19
-PER_CLASS = 1500
-TRAINING_BYTES = 1 << 16  # longer texts are not learned from
 SMOOTHING = 1.0
 PENALTY = 1e-3
-STEPS = 25
+STEPS = 40
 PART = 1 << 20  # characters whose n-grams are hashed at once
-CHUNK = 500  # training texts whose n-grams are summed at once
+CHUNK = 1 << 20  # slots of training texts that are summed at once
+BLOCKS = 16  # parts of a vector that are summed apart
 
 
 def ngram_slots(text: str, seen: np.ndarray) -> np.ndarray:
@@ -51,15 +54,81 @@ def ngram_slots(text: str, seen: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Weights of the scaled features (log ratio times regression weight) and the intercept."""
+    """Weights of the features (log ratio times regression weight), the log ratios (over the common length) that give a
+    text's length, and the intercept."""
 
     weights: np.ndarray
+    ratio: np.ndarray
     bias: float
 
     def probability(self, text: str, seen: np.ndarray) -> float:
-        z = float(self.weights[ngram_slots(text, seen)].sum()) + self.bias
+        slots = ngram_slots(text, seen)
+        length = float(np.sqrt(np.square(self.ratio[slots], dtype=np.float64).sum()))
+        z = (float(self.weights[slots].sum(dtype=np.float64)) / length if length else 0.0) + self.bias
         return float(1 / (1 + np.exp(-max(-700.0, min(700.0, z)))))
 
+    def small(self) -> Model:
+        return Model(self.weights.astype(np.float32), self.ratio.astype(np.float32), self.bias)
+
+
+def packed(slots: np.ndarray) -> bytes:
+    """Sorted slots as the steps between them, the low bytes of all before the next ones, which are mostly zero."""
+    return np.diff(slots, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    steps = np.frombuffer(data, np.uint8).reshape(3, -1).astype(np.int32)
+    return np.cumsum(steps[0] | steps[1] << 8 | steps[2] << 16, dtype=np.int64)
+
+
+def slots_of(texts_: DataFrame) -> DataFrame:
+    """toxic, slots of labelled texts (toxic, text)."""
+    def run(batch: pa.RecordBatch):
+        seen = np.zeros(1 << BITS, bool)
+        return batch.column(0), [packed(ngram_slots(t, seen)) for t in texts(batch.column(1))]
+
+    return by_arrow(texts_, run, "toxic int, slots binary")
+
+
+def summed(rows: DataFrame, size: int, part) -> np.ndarray:
+    """Sum over all ``rows`` of the vectors of ``size`` that ``part(toxic, index, flat)`` gives: the labels of some texts,
+    and for each slot of theirs the text's number and the slot."""
+    block = -(-size // BLOCKS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+
+        def add(marks, slots):
+            nonlocal total
+            index = np.repeat(np.arange(len(slots)), [len(x) for x in slots])
+            vector = part(np.array(marks, float), index, np.concatenate(slots))
+            total = vector if total is None else total + vector
+
+        for batch in batches:
+            marks, slots, n = [], [], 0
+            for mark, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                marks.append(mark)
+                slots.append(unpacked(data.as_py()))
+                n += len(slots[-1])
+                if n > CHUNK:
+                    add(marks, slots)
+                    marks, slots, n = [], [], 0
+            if marks:
+                add(marks, slots)
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"block": pa.array(range(BLOCKS), pa.int32()), "vector": pa.array(
+                [total[i * block:(i + 1) * block].tobytes() for i in range(BLOCKS)], pa.binary())})
+
+    def add_up(some: pd.DataFrame) -> pd.DataFrame:
+        vectors = iter(some["vector"])
+        total = np.frombuffer(next(vectors)).copy()
+        for v in vectors:
+            total += np.frombuffer(v)
+        return pd.DataFrame({"block": some["block"].iloc[:1], "vector": [total.tobytes()]})
+
+    blocks = rows.mapInArrow(run, "block int, vector binary").groupBy("block").applyInPandas(add_up, "block int, vector binary").collect()
+    return np.concatenate([np.frombuffer(r["vector"]) for r in sorted(blocks, key=lambda r: r["block"])])
+
 
 def minimise(f, w: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
     """L-BFGS with backtracking for a smooth convex ``f(w) -> (value, gradient)``."""
@@ -96,64 +165,68 @@ def minimise(f, w: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
     return w
 
 
-def fit(rows: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray) -> Model:
-    """Fit on the n-gram slots of training texts, their labels and their weights.  With one class only, every text
-    gets that class's smoothed share."""
-    size = 1 << BITS
-    total = weight.sum()
-    if not len(rows) or toxic.min() == toxic.max():
-        share = (float((weight * toxic).sum()) + 0.5) / (float(total) + 1.0) if len(rows) else 0.0
-        return Model(np.zeros(size), float(np.log(share / (1 - share))) if share else -50.0)
-    chunks = [slice(at, at + CHUNK) for at in range(0, len(rows), CHUNK)]  # bounds the memory of each sum
+def fit(rows: DataFrame, weight: dict[int, float], read: dict[int, int]) -> Model:
+    """Fit on toxic, slots of the training texts; ``weight`` and ``read`` have each class's weight of a text and number
+    of texts.  With one class only, every text gets that class's smoothed share."""
+    size, context = 1 << BITS, rows.sparkSession.sparkContext
+    of_class = {k: weight[k] * read[k] for k in read}
+    total = sum(of_class.values())
+    if len(read) < 2:
+        share = (of_class.get(1, 0.0) + 0.5) / (total + 1.0) if read else 0.0
+        return Model(np.zeros(size), np.zeros(size), float(np.log(share / (1 - share))) if share else -50.0)
 
-    def per_slot(amount: np.ndarray) -> np.ndarray:
-        """For each slot, the sum of ``amount`` over the texts that have it."""
-        out = np.zeros(size)
-        for part in chunks:
-            out += np.bincount(np.concatenate(rows[part]), np.repeat(amount[part], [len(r) for r in rows[part]]), size)
-        return out
+    def count(toxic, index, flat):
+        return np.concatenate([np.bincount(flat[toxic[index] == k], minlength=size).astype(float) for k in (0, 1)])
 
-    in_toxic, in_other = per_slot(weight * toxic) + SMOOTHING, per_slot(weight * (1 - toxic)) + SMOOTHING
-    ratio = np.log(in_toxic / ((weight * toxic).sum() + 2 * SMOOTHING)) - np.log(in_other / ((weight * (1 - toxic)).sum() + 2 * SMOOTHING))
+    counts = summed(rows, 2 * size, count)
+    in_other, in_toxic = counts[:size] * weight[0] + SMOOTHING, counts[size:] * weight[1] + SMOOTHING
+    ratio = np.log(in_toxic / (of_class[1] + 2 * SMOOTHING)) - np.log(in_other / (of_class[0] + 2 * SMOOTHING))
+    # All texts get the same length, the root mean square of the training texts', which is what ``PENALTY`` is set for.
+    lengths = ratio / max(1e-9, float(np.sqrt((ratio ** 2 @ (counts[:size] * weight[0] + counts[size:] * weight[1])) / total)))
+    sent_ratio = context.broadcast(lengths)
 
     def loss(w):
-        scaled = ratio * w[:-1]
-        z = np.array([scaled[r].sum() for r in rows]) + w[-1]
-        p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-        error = weight * (p - toxic)
-        gradient = per_slot(error) * ratio / total + PENALTY * w[:-1]
-        return (float((weight * (np.logaddexp(0, z) - toxic * z)).sum() / total + PENALTY / 2 * (w[:-1] @ w[:-1])),
-                np.append(gradient, error.sum() / total))
+        sent, bias = context.broadcast(ratio * w[:-1]), float(w[-1])
+
+        def part(toxic, index, flat):
+            n = len(toxic)
+            length = np.sqrt(np.bincount(index, np.square(sent_ratio.value[flat]), n))
+            scale = np.divide(1.0, length, out=np.zeros(n), where=length > 0)
+            z = np.bincount(index, sent.value[flat], n) * scale + bias
+            of = np.where(toxic == 1, weight[1], weight[0])
+            error = of * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - toxic)
+            return np.concatenate([np.bincount(flat, (error * scale)[index], size), [error.sum(), (of * (np.logaddexp(0, z) - toxic * z)).sum()]])
+
+        out = summed(rows, size + 2, part)
+        sent.destroy()
+        free_shuffles(rows.sparkSession)
+        gradient = np.append(out[:size] * ratio / total + PENALTY * w[:-1], out[size] / total)
+        return float(out[-1] / total + PENALTY / 2 * (w[:-1] @ w[:-1])), gradient
 
     w = minimise(loss, np.zeros(size + 1), STEPS)
-    return Model(ratio * w[:-1], float(w[-1]))
-
-
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """Fit on ``labels`` (doc_id, toxic 0/1; a null label is no label) and the texts of ``docs``: at most
-    2 * ``per_class`` texts of at most ``TRAINING_BYTES`` bytes each."""
-    marked = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    totals = dict(marked.groupBy("toxic").count().collect())
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = marked.filter("toxic = 0").orderBy(*order).limit(per_class).union(
-        marked.filter("toxic = 1").orderBy(*order).limit(per_class)).select(F.col("doc_id").alias("label_id"), "toxic")
-
-    # ``chosen`` has at most 2 * per_class rows.
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
-    short = picked.select("toxic", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= TRAINING_BYTES)
-    seen, rows, marks = np.zeros(1 << BITS, bool), [], []
-    for r in short.collect():
-        rows.append(ngram_slots(r["text"], seen))
-        marks.append(r["toxic"])
-    toxic = np.array(marks, float)
-    read = {k: max(1, int((toxic == k).sum())) for k in (0, 1)}
-    weight = np.array([totals.get(int(t), 0) / read[int(t)] for t in toxic])
-    return fit(rows, toxic, weight)
+    sent_ratio.destroy()
+    return Model(ratio * w[:-1], lengths, float(w[-1]))
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int | None = None) -> Model:
+    """Fit on ``labels`` (doc_id, toxic 0/1; a null label is no label) and the texts of ``docs``.  With ``per_class``,
+    at most so many texts per class are read, chosen by a hash of their ids, and count for all of their class."""
+    marked = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    chosen = marked
+    if per_class is not None:
+        order = [F.xxhash64("doc_id"), F.col("doc_id")]
+        chosen = marked.filter("toxic = 0").orderBy(*order).limit(per_class).union(marked.filter("toxic = 1").orderBy(*order).limit(per_class))
+    chosen = chosen.select(F.col("doc_id").alias("label_id"), "toxic")
+    picked = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("label_id")).select("toxic", "text")
+    rows = written(slots_of(picked), "slots")
+    read = dict(rows.groupBy("toxic").count().collect())
+    totals = read if per_class is None else dict(marked.groupBy("toxic").count().collect())
+    return fit(rows, {k: totals[k] / read[k] for k in read}, read)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted of every row of ``docs`` (doc_id, text).  A null text is scored as the empty one."""
-    sent = docs.sparkSession.sparkContext.broadcast(Model(model.weights.astype(np.float32), model.bias))
+    sent = docs.sparkSession.sparkContext.broadcast(model.small())
 
     def run(batch: pa.RecordBatch):
         seen, fitted = np.zeros(1 << BITS, bool), sent.value
@@ -166,7 +239,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that score below 0.5, with all their columns."""
-    sent = docs.sparkSession.sparkContext.broadcast(Model(model.weights.astype(np.float32), model.bias))
+    sent = docs.sparkSession.sparkContext.broadcast(model.small())
     at = docs.columns.index("text")
 
     def run(batches):
