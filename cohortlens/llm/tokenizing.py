@@ -13,7 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE_PARTS = 400_000
+CACHE_PARTS = 200_000
 MAX_PART = 64  # longer parts are encoded but not remembered
 
 
@@ -74,7 +74,7 @@ class WordBpe:
         return ids
 
     def _letters(self, word: str) -> str:
-        return word if word.isascii() else "".join(map(self.alphabet.__getitem__, word.encode()))
+        return word if word.isascii() and word.isprintable() else "".join(map(self.alphabet.__getitem__, word.encode()))
 
     def ids(self, text: str) -> bytes:
         """Ids of the whole text as native uint32."""

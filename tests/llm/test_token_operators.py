@@ -157,3 +157,13 @@ def test_token_counts(spark, sf, hard_docs):
     check_counts(token_counts.count_tokens(hard_docs, PIECE, top=5).collect(),
                  [(r.doc_id, r.text) for r in hard_docs.collect()])
     assert token_counts.count_tokens(hard_docs.limit(0), PIECE).collect() == []
+
+
+def test_ids_of_every_character_below_u0250():
+    """Control characters too, in several places of a word and of a text, for both tokenizers."""
+    from cohortlens.llm import tokenizing
+    word, piece = tokenizing.word_bpe(queries.WORD_BPE), tokenizing.piece_bpe(queries.PIECE_BPE)
+    for c in map(chr, range(0x250)):
+        for text in (c, f"a{c}b", f"a {c} b", f"{c}word", f"Word{c}", f"it{c}s {c}{c}"):
+            assert np.frombuffer(word.ids(text), np.uint32).tolist() == word.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+            assert np.frombuffer(piece.ids(text), np.uint32).tolist() == piece.model.encode(text), repr(text)
