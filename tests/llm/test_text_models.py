@@ -25,14 +25,25 @@ SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 
 # Operator 3 ---------------------------------------------------------------------------------------------------
 
+def toxic_words(spark, sf):
+    """Words of at least 20 toxic labelled texts and of no other labelled text."""
+    words = (table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+             .select("doc_id", "toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("word")))
+    return {r.word for r in words.groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).filter("t = n and t >= 20").collect()}
+
+
 def test_toxicity_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     got = queries.op3_toxicity(spark, sf).join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id").join(
-        table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+        table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id")
     rows = [r for r in got.collect() if r.held_out]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows) and len(rows) > 300
     assert np.mean([r.predicted == r.toxic for r in rows]) > 0.95
-    assert np.mean([r.predicted for r in rows if r.toxic and r.lang == "en"]) > 0.85  # measured 0.91; the others have few examples here
+    # 5 of the 58 English toxic texts hold no word that marks toxic texts (measured: 0.897 of all, 0.981 of the others).
+    assert np.mean([r.predicted for r in rows if r.toxic and r.lang == "en"]) > 0.88
+    marked = toxic_words(spark, sf)
+    assert np.mean([r.predicted for r in rows if r.toxic and r.lang == "en" and marked & set((r.text or "").lower().split())]) > 0.95
+    assert np.mean([r.predicted for r in rows if r.toxic]) > 0.85
     assert np.mean([r.toxic for r in rows if r.predicted]) > 0.95
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
 
@@ -56,12 +67,18 @@ def test_toxicity_sample_is_weighted(spark):
     assert scores[0] > 0.9 and scores[1] < 0.1
 
 
-def test_slots_do_not_depend_on_parts(monkeypatch):
-    seen = np.zeros(1 << toxicity.BITS, bool)
+def test_ngrams_do_not_depend_on_parts(monkeypatch):
     text = "some words, Überall and more\nwords " * 30
-    whole = toxicity.ngram_slots(text, seen)
+    distinct = lambda: np.unique(np.concatenate(list(toxicity.ngram_hashes(text)))).tolist()
+    whole = distinct()
     monkeypatch.setattr(toxicity, "PART", 50)
-    assert toxicity.ngram_slots(text, seen).tolist() == whole.tolist() and not seen.any()
+    assert distinct() == whole
+
+
+def test_clashing_labels_count_as_toxic(spark):
+    docs = spark.createDataFrame([(i, "you are a moron" if i % 2 else "a nice day") for i in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(i, 0) for i in range(100)], "doc_id long, toxic int")
+    assert all(r.predicted == r.doc_id % 2 for r in toxicity.score(docs, toxicity.train(docs, labels)).collect())
 
 
 # Operator 4 ---------------------------------------------------------------------------------------------------
