@@ -1,11 +1,11 @@
 """PII surrogates: every detected entity gets a keyed replacement of its own type, in DataFrame functions only.
 
-* Detection: one ordered pattern for e-mail addresses, hexadecimal secrets, IPv4 addresses, IBANs, payment cards,
+* Detection: one ordered pattern for e-mail addresses, hexadecimal secrets, IPv4 and IPv6 addresses, IBANs, payment cards,
   national ids, phone numbers and names of persons.  Names are found by a title or a listed given name.
 * An entity's canonical form (digits of a phone number, lower-case e-mail address, one word of a name, ...) gets its
   surrogate, so all its mentions in all documents get the same one, in each mention's own format.
 * The surrogate comes from a keyed digest.  Names keep script, gender and case; numbers keep their length and
-  punctuation, cards their valid check digit and first digit, phone numbers their country code, e-mail addresses the
+  punctuation, cards and IBANs a valid check, phone numbers their country code or first 0, e-mail addresses the
   pattern of their local part.
 * Collision checks: two entities of a type never share a surrogate, and a surrogate is never itself an entity of the
   data.  Those that collide take the next digest until none does.
@@ -38,17 +38,25 @@ _TITLE = "|".join(t for g in TITLES.values() for t in g)
 _LISTED = "|".join(n for g in GIVEN.values() for n in g)
 _EDGE = r"(?<![\p{L}\p{N}_])"
 TYPES = [  # in order of priority
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    # Local part, label and number of labels have the lengths that the format allows; the repeats give nothing back,
+    # so a match takes time in proportion to the text and a fixed depth of the matcher's stack.
+    ("email", r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,126}+"),
     ("secret", r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|(?:sk|gh[pousr])[-_][0-9A-Za-z]{20,64})(?![0-9A-Za-z])"),
     ("ip", r"(?<![0-9.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"),
+    ("ipv6", r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]{0,40}\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}"
+             r"|::(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,7}:)(?![0-9A-Za-z:])"),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"),
     ("card", r"(?<![0-9A-Za-z+])\d(?:[ -]?\d){12,18}(?![0-9A-Za-z])"),
     ("ssn", r"(?<![0-9A-Za-z-])\d{3}-\d{2}-\d{4}(?![0-9A-Za-z-])"),
     ("phone", r"(?<![0-9A-Za-z+])(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\+(?!1)\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}"
-              r"|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![0-9A-Za-z])"),
+              r"|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}"
+              # national forms with spaces: 212 555 0187; 01 23 45 67 89; 030 12345678; 612 345 678; 912 34 56 78
+              r"|(?<![.,-])(?:\d{3} \d{3} \d{4}|0[1-9](?:[ .-]\d{2}){4}|0[1-9]\d{1,3}[ /-]\d{5,8}|[6-9]\d{2}(?: \d{3}){2}|[89]\d{2}(?: \d{2}){3})(?![ .-]\d))"
+              r"(?![0-9A-Za-z])"),
     ("name", rf"{_EDGE}(?:(?:{_TITLE})\.? {_NAME}(?: {_NAME})?|(?:{_LISTED}) {_NAME})(?![\p{{L}}\p{{N}}])"),
 ]
 PATTERN = "|".join(f"(?:{p})" for _, p in TYPES)
+MAX_ROUNDS = 64  # of collision checks: a form whose replacements are used up is an error, not an endless loop
 HINT = rf"[0-9@]|{_EDGE}(?:{_TITLE}|{_LISTED})\.? \p{{Lu}}"
 
 
@@ -83,6 +91,15 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(places, F.lit(0), lambda total, i: total + F.coalesce(value(i), F.lit(0)))
 
 
+def mod97(text: Column) -> Column:
+    """Remainder by 97 of digits and letters, where A is 10 and Z is 35."""
+    def add(total, i):
+        c = F.substring(text, i, F.lit(1))
+        return F.when(c.rlike("[0-9]"), (total * 10 + c.cast("int")) % 97).otherwise((total * 100 + F.ascii(c) - 55) % 97)
+
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), F.lit(0), lambda t, i: F.coalesce(add(t, i), t))
+
+
 def canonical(kind: Column, surface: Column) -> Column:
     return (F.when(kind.isin("card", "phone", "ssn"), F.concat(digits_only(surface), F.when(surface.startswith("+"), "+").otherwise("")))
             .when(kind == "iban", F.replace(surface, F.lit(" "), F.lit("")))
@@ -110,7 +127,8 @@ def surrogate(key: str, kind: Column, canon: Column, salt: Column) -> Column:
     same = F.substring(digits, F.lit(100), F.lit(1))
     card = F.concat(body, F.when(luhn_sum(number) % 10 == 0, check).otherwise(same))
     # Phones: the digits of the country code stay (one for +1 and +7, else two); no digit group starts with 0.
-    code = F.when(~canon.endswith("+"), 0).when(F.substring(number, 1, 1).isin("1", "7"), 1).otherwise(2)
+    # A national number keeps its first 0.
+    code = F.when(~canon.endswith("+"), F.when(canon.startswith("0"), 1).otherwise(0)).when(F.substring(number, 1, 1).isin("1", "7"), 1).otherwise(2)
     first = F.translate(F.substring(digits, 1, 1), "01", "98")
     phone = F.concat(F.substring(number, F.lit(1), code), first, F.substring(digits, F.lit(2), size - code - 1),
                      F.when(canon.endswith("+"), "+").otherwise(""))
@@ -134,7 +152,9 @@ def surrogate(key: str, kind: Column, canon: Column, salt: Column) -> Column:
               .when(canon.rlike(r"\A[0-9A-F]+\z"), F.upper(F.substring(long, F.lit(1), F.length(canon))))
               .otherwise(F.concat(F.regexp_extract(canon, r"\A(AKIA|sk[-_]|gh[pousr][-_])", 1),
                                   refill(F.regexp_replace(canon, r"\A(AKIA|sk[-_]|gh[pousr][-_])", ""), 5))))
-    iban = F.concat(F.substring(canon, 1, 2), refill(F.substring(canon, F.lit(3), F.length(canon) - 2), 3))
+    country, account = F.substring(canon, 1, 2), refill(F.substring(canon, F.lit(5), F.length(canon) - 4), 3)
+    iban = F.concat(country, F.lpad((98 - mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0"), account)
+    ipv6 = F.concat(F.lit("fd"), F.substring(hexes, 1, 2), *[F.concat(F.lit(":"), F.substring(hexes, 4 * i, 4)) for i in range(1, 8)])
     cyrillic = canon.rlike(r"\p{IsCyrillic}")
     given, surname = F.lit(2) + salt.cast("int"), F.lit(3) + salt.cast("int")
     gender = F.substring(kind, -1, 1)
@@ -143,7 +163,7 @@ def surrogate(key: str, kind: Column, canon: Column, salt: Column) -> Column:
             .when(cyrillic, F.concat(_syllables(hexes, surname, CYRILLIC), F.when(gender == "f", "ва").otherwise("в")))
             .when(kind.startswith("given"), F.concat(_syllables(hexes, given, LATIN), F.when(gender == "f", "na").otherwise("n")))
             .otherwise(F.concat(_syllables(hexes, surname, LATIN), F.lit("r"))))
-    return (F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "ip", ip).when(kind == "iban", iban)
+    return (F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "ip", ip).when(kind == "ipv6", ipv6).when(kind == "iban", iban)
             .when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", F.substring(digits, F.lit(1), size))
             .otherwise(name))
 
@@ -197,7 +217,7 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     text (the words of names) are checked together."""
     space = F.when(F.col("kind").rlike("^(given|surname)"), F.lit("name")).otherwise(F.col("kind"))
     open_ = entities.select("kind", "canon", space.alias("space"), F.lit(0).alias("salt"))
-    while True:
+    for _ in range(MAX_ROUNDS):
         tried = written(open_.withColumn("surrogate", surrogate(key, F.col("kind"), F.col("canon"), F.col("salt"))), "tried")
         first = F.min(F.struct("canon", "kind"))
         winner = tried.groupBy("space", "surrogate").agg(first.alias("first"), F.count("*").alias("n"))
@@ -210,6 +230,8 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
         if checked.filter("lost").isEmpty():
             return checked.select("kind", "canon", "surrogate")
         open_ = checked.select("kind", "canon", "space", (F.col("salt") + F.col("lost").cast("int")).alias("salt"))
+    left = sorted(r.kind for r in checked.filter("lost").select("kind").distinct().collect())
+    raise ValueError(f"no distinct surrogates are left for {', '.join(left)} after {MAX_ROUNDS} rounds")
 
 
 def pseudonymise(docs: DataFrame, key: str, count: str | None = None) -> DataFrame:

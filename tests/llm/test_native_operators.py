@@ -164,3 +164,41 @@ def test_pii_hard_rows(spark, hard_docs):
     assert P.pseudonymise(empty, "k").first().text is None
     long = "x" * 100_000 + " 17.252.227.210 " + "17.252.227.210 " * 5000
     assert len(set(re.findall(r"\d+(?:\.\d+){3}", one(spark, long)))) == 1
+
+
+def test_pii_national_phones_and_ipv6(spark):
+    text = "call 212 555 0187 or 01 23 45 67 89 or 030 12345678, 612 345 678; 2001:db8::1 and FE80:0:0:0:202:B3FF:FE1E:8329 end"
+    new = one(spark, text)
+    m = re.fullmatch(r"call (\d{3} \d{3} \d{4}) or (0\d(?: \d\d){4}) or (0\d\d \d{8}), (\d{3} \d{3} \d{3}); (fd\S+) and (fd\S+) end", new)
+    assert m and not {"212 555 0187", "01 23 45 67 89", "030 12345678", "612 345 678"} & set(m.groups())
+    assert m[5] != m[6] and all(len(x.split(":")) == 8 for x in m.groups()[4:])
+    for plain in ("std::vector a::b", "12:30:45", "add::bad", "in 100 000 000 years", "v1.212 555 0187"):
+        assert one(spark, plain) == plain
+
+
+def test_pii_iban_check_digits(spark):
+    for old in ("DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR1420041010050500013M02606"):
+        new = one(spark, f"pay {old} now")[4:-4].replace(" ", "")
+        assert new != old.replace(" ", "") and new[:2] == old[:2]
+        assert int("".join(str(int(c, 36)) for c in new[4:] + new[:4])) % 97 == 1
+
+
+def test_pii_long_runs_take_linear_time(spark):
+    import time
+    one(spark, "warm up a@b.org")
+    for text in ("a" * 1_000_000, "a@b" + ".a" * 500_000, "7" * 1_000_000, "a" * 1_000_000 + "@x.org", "1:" * 500_000, "a.b@" * 250_000):
+        start = time.time()
+        assert len(one(spark, text)) > 900_000
+        assert time.time() - start < 60, text[:10]
+
+
+def test_pii_used_up_space_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(P, "MAX_ROUNDS", 2)
+    monkeypatch.setattr(P, "surrogate", lambda key, kind, canon, salt: P.F.lit("same"))
+    entities = spark.createDataFrame([("ssn", "1"), ("ssn", "2")], "kind string, canon string")
+    try:
+        P.assign(entities, "k")
+    except ValueError as e:
+        assert "ssn" in str(e)
+    else:
+        raise AssertionError("no error")
