@@ -2,14 +2,14 @@
 
 ``log10 P(text) = sum over tokens of log10 P(class | previous class) + log10 P(word | class)``.
 
-* Counts of all training words are aggregated by Spark (tasks pre-aggregate).  Every training word has an id: its
-  rank among the ``HEAD`` most frequent, or a negative 63-bit digest, with a seed that tells all words apart.
-* Exchange clustering: each round, the counts of every word with the classes before and after it are aggregated from
-  the table of word pairs, and every word of the round's half moves to the class that raises the likelihood of class
-  bigrams most, given the other words' classes.  The classes are a table keyed by id; words are dealt to tasks; the
-  driver holds the matrix of class pairs, of fixed size.
-* Scoring has the head words at hand (a broadcast of at most ``HEAD`` words).  The other words of a document are joined
-  with their counts and classes, and the transitions beside them are added afterwards.  A word that training does not
+* Counts of all training words are aggregated by Spark (tasks pre-aggregate).
+* Exchange clustering starts with the ``HEAD`` most frequent words.  Their neighbours' counts are one table of bounded
+  size; in each half round every word of one half moves to the class that raises the likelihood of class bigrams most,
+  given the other words' classes, until a round raises the likelihood by less than ``STILL``.
+* Every other training word is then exchanged in turn: tasks gather the classes beside all its tokens, and it moves to
+  its best class among those of the head words; ``TAIL_ROUNDS`` further half rounds see the other words' classes too.
+* Class bigrams are counted over all training tokens with the classes of all words.  Words outside the head get
+  their classes by a join on the word; they travel in the documents' class sequences.  A word that training does not
   have gets its base probability after any class.
 """
 
@@ -18,7 +18,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
-from itertools import count as numbers
 
 import numpy as np
 import pandas as pd
@@ -27,11 +26,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, free_shuffles, most_frequent, ship_package, utf8, written
+from .common import crc32_mod, most_frequent, ship_package, utf8, written
 
 HEAD = 1 << 14
 CLASSES = 64
-ROUNDS = 6
+ROUNDS = 12  # at most, of two half rounds each, over the head words
+STILL = 0.002  # nats a token that a round must gain for another to follow
+TAIL_ROUNDS = 2  # half rounds over the words outside the head, after their first move
+PARTS = 16  # partitions of the table of the head's neighbours, which is bounded by HEAD
 ADD = 0.1
 PRIOR = 50.0  # weight of the classes' unigram distribution in a transition
 END = b"\n"  # no word can hold a line break
@@ -81,68 +83,67 @@ class _Ids(dict):
         return self.rare
 
 
-def digest_id(word: bytes, seed: int) -> int:
-    """Negative 64-bit id of a word outside the head."""
-    return int.from_bytes(blake2b(word, digest_size=8, salt=seed.to_bytes(16, "little")).digest(), "little") % (1 << 63) - (1 << 63)
-
-
 class _Places(dict):
-    """word -> place in ``ids``, the words' ids; new words get the next place."""
-
-    def __init__(self, head: list[bytes], seed: int):
-        super().__init__((w, i) for i, w in enumerate(head))
-        self.ids, self.seed = list(range(len(head))), seed
+    """word -> place; new words get the next place."""
 
     def __missing__(self, word):
-        self[word] = place = len(self.ids)
-        self.ids.append(digest_id(word, self.seed))
+        self[word] = place = len(self)
         return place
 
 
-def numbered(counts: DataFrame, sent, n_distinct: int) -> tuple[DataFrame, int]:
-    """id, word, c of all training words, and the seed of their digests."""
-    spark = counts.sparkSession
-    for seed in numbers():
-        def run(batches: Iterator[pa.RecordBatch], seed=seed) -> Iterator[pa.RecordBatch]:
-            head = {w: i for i, w in enumerate(sent.value)}
-            for batch in batches:
-                ids = [head[w] if w in head else digest_id(w, seed) for w in batch.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column(0), batch.column(1)], names=["id", "word", "c"])
-
-        vocabulary = written(counts.select("word", "c").mapInArrow(run, "id long, word binary, c long"), "vocabulary")
-        if vocabulary.select("id").distinct().count() == n_distinct:
-            return vocabulary, seed
-
-
-def count_pairs(docs: DataFrame, sent, end: int, seed: int) -> DataFrame:
-    """before, after, n over ids of all training tokens; an end stands before a text's first token."""
+def count_head_pairs(docs: DataFrame, sent, end: int) -> DataFrame:
+    """before, after, n over ids of all training tokens: places in the head, or ``len(head)`` for the other words; an
+    end stands before a text's first token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, waiting, n = _Places(sent.value, seed), [], 0
+        ids, waiting, n = _Ids(sent.value), [], 0
 
         def flush():
             codes, counts = np.unique(np.concatenate(waiting), return_counts=True)
-            ids = np.array(places.ids, np.int64)
-            return pa.RecordBatch.from_pydict({"before": pa.array(ids[codes >> 32]), "after": pa.array(ids[codes & 0xFFFFFFFF]),
+            return pa.RecordBatch.from_pydict({"before": pa.array((codes >> 32).astype(np.int32)), "after": pa.array((codes & 0xFFFFFFFF).astype(np.int32)),
                                                "n": pa.array(counts.astype(np.int64))})
 
         for batch in batches:
             for text in utf8(batch.column(0)):
-                words = words_of(text)
-                row = np.full(len(words) + 2, end, np.int64)
-                row[1:-1] = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
+                row = _row(words_of(text), ids, end)
                 waiting.append(row[:-1] << 32 | row[1:])
                 n += len(row)
-                if n > 8 * PENDING or len(places) > 2 * PENDING:
+                if n > 8 * PENDING:
                     yield flush()
-                    places, waiting, n = _Places(sent.value, seed), [], 0
+                    waiting, n = [], 0
         if waiting:
             yield flush()
 
-    return (docs.select("text").mapInArrow(run, "before long, after long, n long")
+    return (docs.select("text").mapInArrow(run, "before int, after int, n long")
             .groupBy("before", "after").agg(F.sum("n").alias("n")))
 
 
+def _row(words: list[bytes], ids: dict, end: int) -> np.ndarray:
+    row = np.full(len(words) + 2, end, np.int64)
+    row[1:-1] = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+    return row
+
+
+def neighbours(pairs: DataFrame) -> DataFrame:
+    """word, others, counts (bytes) per head word and side 0 (before it) or 1 (after it): at most ``HEAD`` + 1 numbers a
+    row and 2 * (``HEAD`` + 1) rows, however large the corpus is."""
+    sides = (pairs.select(F.col("after").alias("word"), F.lit(0).alias("side"), F.col("before").alias("other"), "n")
+             .union(pairs.select(F.col("before").alias("word"), F.lit(1).alias("side"), F.col("after").alias("other"), "n")))
+    grouped = sides.groupBy("word", "side").agg(F.collect_list(F.struct("other", "n")).alias("beside"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            others, counts = [], []
+            for cell in batch.column(2):
+                others.append(cell.values.field("other").to_numpy().astype("<i4").tobytes())
+                counts.append(cell.values.field("n").to_numpy().astype("<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(others, pa.binary()), pa.array(counts, pa.binary())],
+                                             names=["word", "side", "others", "counts"])
+
+    packed = grouped.mapInArrow(pack, "word int, side int, others binary, counts binary")
+    return written(packed.repartition(PARTS, "word"), "neighbours")
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
@@ -184,232 +185,378 @@ def best_classes(matrix: np.ndarray, own: np.ndarray, after: np.ndarray, before:
     return np.where(gain[words, best] > gain[words, own] + 1e-9, best, own)
 
 
-def _with_class(df: DataFrame, classes: DataFrame, word: str, name: str) -> DataFrame:
-    """Join the class of an id column.  The head's classes (a fixed bound, with all very frequent words) are sent to
-    the tasks; the other words' are joined by id."""
-    lookup = classes.select(F.col("id").alias(word), F.col("class").alias(name))
-    head = df.filter(F.col(word) >= 0).join(F.broadcast(lookup.filter(F.col(word) >= 0)), word)
-    return head.unionByName(df.filter(F.col(word) < 0).join(lookup.filter(F.col(word) < 0), word))
+class Exchange:
+    """Rounds of exchange over the head words; the driver holds their classes and the matrix, both of fixed size."""
 
+    def __init__(self, beside: DataFrame, n_head: int, end: int, n_classes: int):
+        self.beside, self.end, self.n_classes, self.total = beside, end, n_classes, n_classes + 2
+        self.classes = np.append(np.arange(n_head) % n_classes, n_classes + 1)  # head ids are by falling frequency
+        self.classes[end] = n_classes
+        self.matrix = self.count()
 
-def class_matrix(pairs: DataFrame, classes: DataFrame, n_classes: int) -> np.ndarray:
-    """Tokens of each pair of classes (at most n_classes squared rows)."""
-    by = _with_class(_with_class(pairs, classes, "after", "other"), classes, "before", "own").groupBy("own", "other").agg(F.sum("n").alias("n"))
-    matrix = np.zeros((n_classes, n_classes))
-    for row in by.collect():
-        matrix[row["own"], row["other"]] = row["n"]
-    return matrix
+    def vectors(self, batch: pa.RecordBatch, classes: np.ndarray):
+        """Ids of the batch's words and their tokens of each class before (0) and after (1) them."""
+        word, at = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+        out = np.zeros((2, len(word), self.total))
+        for place, side, others, counts in zip(at.tolist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            out[side, place] += np.bincount(classes[np.frombuffer(others, "<i4")], np.frombuffer(counts, "<i8"), self.total)
+        return word, out
 
+    def count(self) -> np.ndarray:
+        """Tokens of each pair of classes; every task sends one matrix."""
+        classes, total, vectors = self.classes, self.total, self.vectors
 
-def beside_classes(pairs: DataFrame, classes: DataFrame, half) -> DataFrame:
-    """word, other, side, n of the words that ``half`` (of a column) takes: tokens of class ``other`` before (side 0)
-    and after (side 1) the word."""
-    after = _with_class(pairs.filter(half(F.col("before"))).withColumnRenamed("before", "word"), classes, "after", "other")
-    before = _with_class(pairs.filter(half(F.col("after"))).withColumnRenamed("after", "word"), classes, "before", "other")
-    return (after.select("word", "other", F.lit(1).alias("side"), "n").union(before.select("word", "other", F.lit(0), "n"))
-            .groupBy("word", "other", "side").agg(F.sum("n").alias("n")))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matrix = np.zeros((total, total))
+            for batch in batches:
+                word, beside = vectors(batch, classes)
+                np.add.at(matrix, classes[word], beside[1])
+            yield pa.RecordBatch.from_pydict({"matrix": pa.array([matrix.tobytes()], pa.binary())})
+
+        plan = self.beside.mapInArrow(run, "matrix binary")
+        return sum((np.frombuffer(r["matrix"]).reshape(total, total) for r in plan.collect()), np.zeros((total, total)))
+
+    def half_round(self, half: int) -> None:
+        """Move the words of one half to their best classes."""
+        classes, total, movable, end, matrix, vectors = self.classes, self.total, self.n_classes, self.end, self.matrix, self.vectors
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts = [[np.zeros(0, np.int64), np.zeros((2, 0, total))]]
+            for batch in batches:
+                parts.append(vectors(batch, classes))
+            # both sides of a word lie in one partition, but not always in one batch
+            word, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            beside = np.zeros((2, len(word), total))
+            for side in (0, 1):
+                np.add.at(beside[side], at, np.concatenate([p[1][side] for p in parts]))
+            mine = np.flatnonzero((word != end) & (word < len(classes) - 1) & ((word * 0x9E3779B1 >> 7) % 2 == half))
+            for k in range(0, len(mine), 256):
+                some = mine[k:k + 256]
+                own = classes[word[some]]
+                best = best_classes(matrix, own, beside[1][some], beside[0][some], movable)
+                moved = best != own
+                yield pa.RecordBatch.from_pydict({"id": pa.array(word[some][moved], pa.int64()), "best": pa.array(best[moved], pa.int32())})
+
+        moves = self.beside.mapInArrow(run, "id long, best int").collect()  # at most the head's words
+        self.classes = self.classes.copy()
+        for r in moves:
+            self.classes[r["id"]] = r["best"]
+        self.matrix = self.count()
+
+    def likelihood(self) -> float:
+        """Of the class bigrams, in nats a token."""
+        m = self.matrix
+        return float((_xlogx(m).sum() - _xlogx(m.sum(axis=0)).sum() - _xlogx(m.sum(axis=1)).sum()) / max(1.0, m.sum()))
+
+    def run(self, rounds: int) -> None:
+        """Until a round raises the likelihood by less than ``STILL``, or ``rounds`` are over; a round that lowers it is
+        taken back (words that move at the same time can get in each other's way)."""
+        self.gains = []
+        for _ in range(rounds):
+            before = self.classes, self.matrix, self.likelihood()
+            for half in (0, 1):
+                self.half_round(half)
+            self.gains.append(self.likelihood() - before[2])
+            if self.gains[-1] < 0:
+                self.classes, self.matrix = before[:2]
+            if self.gains[-1] < STILL:
+                break
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "beside"}
+
+
+def gathered(ids_of, classes_of, total: int):
+    """A function from batches to rows (word, own, beside): for each word outside the head its class before the move
+    and, for each side and class, its tokens; one short row per word and task, whatever the word's frequency."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, waiting, n, own = _Places(), [], 0, {}
+
+        def flush():
+            codes, counts = np.unique(np.concatenate(waiting), return_counts=True)
+            place, code = np.divmod(codes, 2 * total)
+            starts = np.searchsorted(place, np.arange(len(places) + 1))
+            code, counts = code.astype(np.uint8), counts.astype("<u4")
+            beside = [code[a:b].tobytes() + counts[a:b].tobytes() for a, b in zip(starts, starts[1:])]
+            return pa.RecordBatch.from_pydict({"word": pa.array(list(places), pa.binary()), "own": pa.array([own[w] for w in places], pa.int32()),
+                                               "beside": pa.array(beside, pa.binary())})
+
+        find = ids_of()
+        for batch in batches:
+            for words, outside, codes in classes_of(batch, find):
+                if len(outside):
+                    own.update(zip(words, codes[outside].tolist()))
+                    place = np.fromiter(map(places.__getitem__, words), np.int64, len(words)) * (2 * total)
+                    waiting.append(np.concatenate([place + codes[outside - 1], place + total + codes[outside + 1]]))
+                    n += 2 * len(outside)
+                    if n > 8 * PENDING or len(places) > PENDING:
+                        yield flush()
+                        places, waiting, n, own = _Places(), [], 0, {}
+        if waiting:
+            yield flush()
+
+    return run
 
 
-def exchange(pairs: DataFrame, vocabulary: DataFrame, n_words: int, end: int, n_classes: int, rounds: int) -> tuple[DataFrame, np.ndarray]:
-    """id, class of all training words (the end token and unknown words have classes of their own) and the matrix.
-    Rounds end early when neither half of the words has a move."""
+def moved_tail(rows: DataFrame, matrix: np.ndarray, n_classes: int, n_tail: int, half: int | None) -> DataFrame:
+    """word, c, class of the words outside the head after each of one half (None: all) has moved to its best class.
+    Words are dealt by hash, about ``SHARE`` to a group."""
     total = n_classes + 2
-    start = F.when(F.col("id") == end, n_classes).otherwise(F.pmod("id", F.lit(n_classes)))  # head ids are by falling frequency
-    classes = written(vocabulary.select("id", start.cast("byte").alias("class") if total < 128 else start.cast("int").alias("class")), "classes")
-    shares, still = max(128, -(-n_words // SHARE)), 0
-    for turn in range(rounds):
-        matrix = class_matrix(pairs, classes, total)
-
-        def move(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values("word", kind="stable")
-            word, other, side, n = (rows[c].to_numpy() for c in ("word", "other", "side", "n"))
-            named, index = np.unique(word, return_inverse=True)
-            now = np.zeros(len(named), np.int64)
-            now[index[side == 2]] = other[side == 2]
-            beside = side < 2
-            index, other, side, n = index[beside], other[beside], side[beside], n[beside]
-            best = []
-            for at in range(0, len(named), 256):
-                here = slice(*np.searchsorted(index, (at, at + 256)))
-                vectors = np.zeros((2, len(now[at:at + 256]), total))
-                vectors[side[here], index[here] - at, other[here]] = n[here]
-                best.append(best_classes(matrix, now[at:at + 256], vectors[1], vectors[0], n_classes))
-            best = np.concatenate(best)
-            moved = best != now
-            return pd.DataFrame({"id": named[moved], "best": best[moved].astype("int32")})
-
-        def half(word: Column, turn=turn) -> Column:
-            return (word != end) & (F.pmod(F.hash(word), F.lit(2)) == turn % 2)
-
-        # Side 2 gives a word's own class.  A group has about SHARE / 2 words, of at most 2 * total + 1 rows.
-        own = classes.filter(half(F.col("id"))).select(F.col("id").alias("word"), F.col("class").alias("other"), F.lit(2).alias("side"), F.lit(0).cast("long").alias("n"))
-        rows = beside_classes(pairs, classes, half).union(own).select("word", F.col("other").cast("int").alias("other"), "side", "n")
-        moves = written(rows.groupBy(F.pmod(F.xxhash64("word"), F.lit(shares)).alias("share")).applyInPandas(move, "id long, best int"), "moves")
-        del own, rows
-        free_shuffles(pairs.sparkSession)
-        still = still + 1 if moves.isEmpty() else 0
-        if still == 2:
-            break
-        if not still:
-            classes = written(classes.join(moves, "id", "left").select(
-                "id", F.coalesce(F.col("best").cast(classes.schema["class"].dataType), "class").alias("class")), "classes")
-    return classes, class_matrix(pairs, classes, total)
+    shares = max(128, -(-n_tail // SHARE))
+
+    def move(some: pd.DataFrame) -> pd.DataFrame:
+        some = some.sort_values("word", kind="stable")
+        named, first, index = np.unique(some["word"].to_numpy(), return_index=True, return_inverse=True)
+        now = some["own"].to_numpy()[first].astype(np.int64)
+        best, c, cells = now.copy(), np.zeros(len(named), np.int64), some["beside"].to_numpy()
+        mine = np.array([half is None or hash_of(w) % 2 == half for w in named])
+        for at in range(0, len(named), 256):
+            here = slice(at, min(at + 256, len(named)))
+            low, high = np.searchsorted(index, (here.start, here.stop))
+            vectors = np.zeros((here.stop - here.start, 2 * total))
+            for place, cell in zip((index[low:high] - at).tolist(), cells[low:high]):
+                k = len(cell) // 5
+                vectors[place] += np.bincount(np.frombuffer(cell, np.uint8, k), np.frombuffer(cell, "<u4", k, k), 2 * total)
+            before, after = vectors[:, :total], vectors[:, total:]
+            c[here] = after.sum(axis=1)
+            chosen = best_classes(matrix, now[here], after, before, n_classes)
+            # a word that no class gains from at first (all words beside it are outside the head) goes by its hash
+            chosen = np.where(chosen > n_classes, [hash_of(w) // 2 % n_classes for w in named[here]], chosen)
+            best[here] = np.where(mine[here], chosen, now[here])
+        return pd.DataFrame({"word": named, "c": c, "class": best.astype(np.int8)})
+
+    return written(rows.groupBy(F.pmod(F.xxhash64("word"), F.lit(shares)).alias("share")).applyInPandas(move, "word binary, c long, class byte"),
+                   "lexicon")
+
+
+def hash_of(word: bytes) -> int:
+    return int.from_bytes(blake2b(word, digest_size=4).digest(), "little")
+
+
+TAIL_ROWS = "word binary, own int, beside binary"
+
+
+def beside_in_texts(docs: DataFrame, sent, end: int, classes: np.ndarray, total: int) -> DataFrame:
+    """The tokens beside the words outside the head, these words themselves in one class of their own."""
+    def classes_of(batch, ids):
+        for text in utf8(batch.column(0)):
+            words = words_of(text)
+            row = _row(words, ids, end)
+            outside = np.flatnonzero(row == ids.rare)
+            yield [words[i - 1] for i in outside.tolist()], outside, classes[row]
+
+    return docs.select("text").mapInArrow(gathered(lambda: _Ids(sent.value), classes_of, total), TAIL_ROWS)
+
+
+def beside_in_chains(joined: DataFrame, n_codes: int) -> DataFrame:
+    """The same from the documents' class sequences, where all words have their classes."""
+    def classes_of(batch, _):
+        for chain, found, words in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            codes, own = resolved(chain, found, n_codes)
+            outside = np.flatnonzero(codes >= n_codes)
+            yield [words[i] for i in (codes[outside] - n_codes).tolist()], outside, own
+
+    training = joined.filter(~F.col("held_out")).select("chain", "classes", "words")
+    return training.mapInArrow(gathered(lambda: None, classes_of, n_codes), TAIL_ROWS)
+
+
+def resolved(chain: bytes, found: pa.Scalar, n_codes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of a document's sequence and the classes they stand for."""
+    codes = np.frombuffer(chain, f"<u{chain[0]}", offset=1).astype(np.int64)
+    tail = found.values.to_numpy(zero_copy_only=False) if found.is_valid else np.zeros(0, np.int64)
+    return codes, np.concatenate([np.arange(n_codes), tail]).astype(np.int64)[codes]
+
+
+def count_classes(joined: DataFrame, n_codes: int) -> np.ndarray:
+    """Training tokens of each pair of classes.  A task sends the cells that it met; they are summed by cell, so the
+    driver gets ``n_codes`` squared numbers."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix = np.zeros(n_codes * n_codes, np.int64)
+        for batch in batches:
+            for chain, found in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = resolved(chain, found, n_codes)[1]
+                matrix += np.bincount(own[:-1] * n_codes + own[1:], minlength=n_codes * n_codes)
+        cells = np.flatnonzero(matrix)
+        yield pa.RecordBatch.from_pydict({"cell": pa.array(cells, pa.int64()), "n": pa.array(matrix[cells])})
+
+    training = joined.filter(~F.col("held_out")).select("chain", "classes")
+    matrix = np.zeros(n_codes * n_codes)
+    for cell, n in training.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
+        matrix[cell] = n
+    return matrix.reshape(n_codes, n_codes)
 
 
 class ClassModel:
     """Log10 tables of a fitted model; all of fixed size."""
 
     def __init__(self, head: list[tuple[bytes, int]], classes: np.ndarray, matrix: np.ndarray, n_tokens: int, n_distinct: int,
-                 members: tuple[np.ndarray, np.ndarray] | None = None):
+                 members: tuple[np.ndarray, np.ndarray]):
         """``classes``: the classes of the head words and of a word outside.  ``members``: tokens and distinct words of
-        each class when all training words have one; the last class is then that of unknown words."""
+        each class; the last class is that of unknown words."""
         counts = np.array([c for _, c in head], float)
-        n_classes = len(matrix)
         self.base_total = float(n_tokens + ADD * (n_distinct + 1))
-        if members is None:
-            in_class = np.bincount(classes[:-1], counts, n_classes)
-            in_class[-1] = n_tokens - counts.sum()
-            words = np.bincount(classes[:-1], minlength=n_classes).astype(float)
-            words[-1] = max(0, n_distinct - len(head)) + 1
-            unigram = (in_class + ADD) / (in_class + ADD).sum()
-        else:
-            in_class, words = members[0].copy(), members[1].copy()
-            words[-1] = 1
-            unigram = in_class + ADD
-            unigram[-1] = 0
-            unigram /= unigram.sum()
-        transition = (matrix + PRIOR * unigram) / (matrix.sum(axis=1, keepdims=True) + PRIOR)
-        if members is not None:  # an unknown word has its base probability after any class
-            unknown = ADD / self.base_total
-            transition *= 1 - unknown
-            transition[:, -1] = unknown
-        self.transition = np.log10(transition)
+        in_class, words = members[0].copy(), members[1].copy()
+        words[-1] = 1
+        self.unigram = in_class + ADD
+        self.unigram[-1] = 0
+        self.unigram /= self.unigram.sum()
         total = in_class + ADD * words
-        self.rare_total = float(total[-1])
         self.log_total = np.log10(np.maximum(total, 1e-300))  # a class may be empty
         # The class of the end token has no other word: its emission is 1.
         self.emission = np.append(np.log10((counts + ADD) / total[classes[:-1]]), 0.0)
         self.base = np.append(np.log10((counts + ADD) / self.base_total), 0.0)
         self.classes = classes
         self.words = [w for w, _ in head]
+        self.transition = self.transitions(matrix)
+
+    def transitions(self, matrix: np.ndarray) -> np.ndarray:
+        """Log10 of the next class's probability, smoothed by the classes' shares; an unknown word has its base
+        probability after any class."""
+        transition = (matrix + PRIOR * self.unigram) / (matrix.sum(axis=1, keepdims=True) + PRIOR)
+        unknown = ADD / self.base_total if self.base_total > ADD else 0.5  # without training: either known or not
+        transition *= 1 - unknown
+        transition[:, -1] = unknown
+        return np.log10(transition)
+
+
+class Fitted:
+    """Head words with their counts and classes, the number of tokens and distinct words of the training texts, and
+    ``lexicon``: word, c, class of the other words."""
+
+    def __init__(self, training: DataFrame, counts: DataFrame, head_size: int, n_classes: int, rounds: int):
+        self.n_classes, self.n_codes = n_classes, n_classes + 2
+        self.n_tokens, self.n_distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+        if not self.n_tokens:  # no training text: everything is unknown
+            self.head, self.classes = [(END, 0)], np.array([n_classes, n_classes + 1])
+            self.lexicon = counts.select("word", "c", F.lit(n_classes + 1).cast("byte").alias("class"))
+            self.gains = []
+            return
+        short = counts.filter((F.octet_length("word") <= MAX_HEAD_WORD) | (F.col("word") == F.lit(bytearray(END))))
+        self.head = [(bytes(w), c) for w, c in most_frequent(short, "word", "c", head_size).collect()]
+        if END not in [w for w, _ in self.head]:
+            self.head[-1] = (END, counts.filter(F.col("word") == F.lit(bytearray(END))).first()["c"])
+        end = [w for w, _ in self.head].index(END)
+        sent = training.sparkSession.sparkContext.broadcast([w for w, _ in self.head])
+        pairs = count_head_pairs(training, sent, end)
+        exchange = Exchange(neighbours(pairs), len(self.head), end, n_classes)
+        exchange.run(rounds)
+        self.classes, self.gains = exchange.classes, exchange.gains
+        beside = beside_in_texts(training, sent, end, self.classes, self.n_codes)
+        self.lexicon = moved_tail(beside, exchange.matrix, n_classes, self.n_distinct - len(self.head), None)
+
+    def model(self, matrix: np.ndarray) -> ClassModel:
+        """The tables for the lexicon's present classes; each class's sums are at most ``n_codes`` rows."""
+        members = np.zeros((2, self.n_codes))
+        if self.n_tokens:
+            for (_, c), k in zip(self.head, self.classes):
+                members[:, k] += c, 1
+            for k, tokens, words in self.lexicon.groupBy("class").agg(F.sum("c"), F.count("*")).collect():
+                members[:, k] += tokens, words
+        return ClassModel(self.head, self.classes, matrix, self.n_tokens, self.n_distinct if self.n_tokens else 0, (members[0], members[1]))
+
+
+def sequences(rows: DataFrame, fitted: Fitted) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_head, head_log (sum of log10(c + 0.1) of head words), row,
+    tail (place, word, n of the distinct other words) and chain: the classes of all tokens, or for another word
+    its place after them."""
+    n_codes, known = fitted.n_codes, fitted.n_tokens > 0
+    log = np.append(np.log10(np.array([c for _, c in fitted.head], float) + ADD), 0.0)
+    sent = rows.sparkSession.sparkContext.broadcast(([w for w, _ in fitted.head], fitted.classes, log))
 
-
-def fit(training: DataFrame, counts: DataFrame, head_size: int, n_classes: int, rounds: int) -> tuple[ClassModel, int, DataFrame]:
-    """The model, the number of training tokens, and word, c, class of the training words outside the head."""
-    n_tokens, n_distinct = counts.agg(F.sum("c"), F.count("*")).first()
-    if not n_tokens:  # no training text: everything is unknown
-        nothing = counts.select("word", "c", F.lit(n_classes + 1).alias("class"))
-        return ClassModel([(END, 0)], np.array([n_classes, n_classes + 1]), np.zeros((n_classes + 2,) * 2), 0, 0), 0, nothing
-    short = counts.filter((F.octet_length("word") <= MAX_HEAD_WORD) | (F.col("word") == F.lit(bytearray(END))))
-    head = [(bytes(w), c) for w, c in most_frequent(short, "word", "c", head_size).collect()]
-    if END not in [w for w, _ in head]:
-        head[-1] = (END, counts.filter(F.col("word") == F.lit(bytearray(END))).first()["c"])
-    end = [w for w, _ in head].index(END)
-    sent = training.sparkSession.sparkContext.broadcast([w for w, _ in head])
-    vocabulary, seed = numbered(counts, sent, n_distinct)
-    pairs = written(count_pairs(training, sent, end, seed), "pairs")
-    free_shuffles(training.sparkSession)
-    classes, matrix = exchange(pairs, vocabulary, n_distinct, end, n_classes, rounds)
-    lexicon = written(vocabulary.join(classes, "id").select("id", "word", "c", "class"), "lexicon")
-    members = np.zeros((2, n_classes + 2))
-    free_shuffles(training.sparkSession)
-    for k, tokens, words in lexicon.groupBy("class").agg(F.sum("c"), F.count("*")).collect():
-        members[:, k] = tokens, words
-    of_head = dict(lexicon.filter("id >= 0").select("id", "class").collect())  # at most head_size rows
-    head_classes = np.array([*(of_head[i] for i in range(len(head))), n_classes + 1])
-    model = ClassModel(head, head_classes, matrix, n_tokens, n_distinct, (members[0], members[1]))
-    return model, n_tokens, lexicon.filter("id < 0").select("word", "c", F.col("class").cast("int").alias("class"))
-
-
-def class_lm_scores(docs: DataFrame, held_out: Column, head_size: int = HEAD, n_classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every row of ``docs``
-    (doc_id, text); rows with ``held_out`` take no part in the counts.
-
-    A null text is empty: one end token.  Repeated rows are scored one by one and each counts in training.  Without
-    any training row the counts are 0 and every token but the end is unknown.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"))
-    training = rows.filter(~F.col("held_out"))
-    counts = written(count_words(training), "counts")
-    model, n_tokens, lexicon = fit(training, counts, head_size, n_classes, rounds)
-    sent = spark.sparkContext.broadcast(model)
-    known_head = n_tokens > 0
-    n_codes = n_classes + 2
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = sent.value
-        ids = _Ids(fitted.words)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_of_head, classes, head_log = sent.value
+        ids = _Ids(words_of_head)
         end, rare = ids[END], ids.rare
         for batch in batches:
-            n_all, n_head, base, own, tails, chains = [], [], [], [], [], []
+            n_all, n_head, logs, tails, chains = [], [], [], [], []
             for text in utf8(batch.column(1)):
                 words = words_of(text)
-                row = np.full(len(words) + 2, end, np.int64)
-                row[1:-1] = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-                codes, tokens = fitted.classes[row], row[1:]
+                row = _row(words, ids, end)
+                codes, tokens = classes[row], row[1:]
+                outside = np.flatnonzero(row == rare)
                 n_all.append(len(tokens))
-                outside = np.flatnonzero(tokens == rare)
-                n_head.append((len(tokens) - len(outside)) * known_head)
-                base.append(float(fitted.base[tokens].sum()))
-                tail = row == rare
-                known = ~tail[:-1] & ~tail[1:]
-                own.append(float(fitted.transition[codes[:-1][known], codes[1:][known]].sum() + fitted.emission[tokens].sum()))
-                # A word outside the head has a code after the classes; the chain holds these words and those beside them.
-                seen = Counter(map(words.__getitem__, outside.tolist()))
+                n_head.append((len(tokens) - len(outside)) * known)
+                logs.append(float(head_log[tokens].sum()))
+                seen = Counter([words[i - 1] for i in outside.tolist()])
                 place = {w: i for i, w in enumerate(seen)}
-                codes[tail] = np.fromiter((n_codes + place[words[i]] for i in outside.tolist()), np.int64, len(outside))
-                beside = tail.copy()
-                beside[:-1] |= tail[1:]
-                beside[1:] |= tail[:-1]
-                chain = codes[beside]
+                codes[outside] = np.fromiter((n_codes + place[words[i - 1]] for i in outside.tolist()), np.int64, len(outside))
                 wide = n_codes + len(seen) > 1 << 16
-                chains.append((b"\4" + chain.astype("<u4").tobytes()) if wide else (b"\2" + chain.astype("<u2").tobytes()))
+                chains.append((b"\4" + codes.astype("<u4").tobytes()) if wide else (b"\2" + codes.astype("<u2").tobytes()))
                 tails.append([{"place": i, "word": w, "n": n} for i, (w, n) in enumerate(seen.items())])
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(2), pa.array(n_all, pa.int64()), pa.array(n_head, pa.int64()),
-                pa.array(base, pa.float64()), pa.array(own, pa.float64()),
+                batch.column(0), batch.column(2), pa.array(n_all, pa.int64()), pa.array(n_head, pa.int64()), pa.array(logs, pa.float64()),
                 pa.array(tails, pa.list_(pa.struct([("place", pa.int32()), ("word", pa.binary()), ("n", pa.int64())]))),
-                pa.array(chains, pa.binary())],
-                names=["doc_id", "held_out", "n_tokens", "n_head", "head_base", "head_score", "tail", "chain"])
+                pa.array(chains, pa.binary())], names=["doc_id", "held_out", "n_tokens", "n_head", "head_log", "tail", "chain"])
+
+    schema = ("doc_id long, held_out boolean, n_tokens long, n_head long, head_log double, "
+              "tail array<struct<place: int, word: binary, n: long>>, chain binary")
+    return written(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "sequences")
+
 
-    scored = written(rows.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_head long, head_base double, head_score double, "
-                                            "tail array<struct<place: int, word: binary, n: long>>, chain binary")
-                     .withColumn("row", F.monotonically_increasing_id()), "scored")
-    tail = scored.select("row", F.explode("tail").alias("t")).select("row", "t.place", "t.word", "t.n").join(lexicon, "word", "left")
+def with_classes(scored: DataFrame, lexicon: DataFrame, n_classes: int, words: bool) -> DataFrame:
+    """The sequences with the classes of their other words, n_known and log_all, the sum of log10(c + 0.1) of all tokens.
+    No word is a hot key: a document sends each of its words once, and frequent words are in the head."""
+    tail = (scored.select("row", F.explode("tail").alias("t")).select("row", "t.place", "t.word", "t.n")
+            .join(lexicon, "word", "left"))
     by_row = tail.groupBy("row").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("tail_known"),
-        F.sum("n").alias("tail_n"),
         F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + ADD)).alias("tail_log"),
-        F.transform(F.sort_array(F.collect_list(F.struct("place", F.coalesce("class", F.lit(n_classes + 1)).alias("class")))),
+        F.transform(F.sort_array(F.collect_list(F.struct("place", F.coalesce("class", F.lit(n_classes + 1).cast("byte")).alias("class")))),
                     lambda x: x["class"]).alias("classes"))
+    kept = [F.transform("tail", lambda t: t["word"]).alias("words")] if words else []
+    return written(scored.join(by_row, "row", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
+        (F.col("head_log") + F.coalesce("tail_log", F.lit(0.0))).alias("log_all"), "chain", "classes", *kept), "classes")
+
+
+def class_lm_scores(docs: DataFrame, held_out: Column, head_size: int = HEAD, n_classes: int = CLASSES, rounds: int = ROUNDS,
+                    tail_rounds: int = TAIL_ROUNDS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every row of ``docs``
+    (doc_id, text); rows with ``held_out`` take no part in the counts.
+
+    A null text is empty: one end token.  Repeated rows are scored one by one and each counts in training.  Without
+    any training row the counts are 0 and every token but the end is unknown.  Between equally good classes the first
+    one holds; a word stays where it is unless another class is better.
+    """
+    joined, fitted, model = fitted_classes(docs, held_out, head_size, n_classes, rounds, tail_rounds)
+    sent = docs.sparkSession.sparkContext.broadcast((model.transition, model.log_total))
+    kept, n_codes = ["doc_id", "held_out", "n_tokens", "n_known", "log_all"], fitted.n_codes
 
-    def add_tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = sent.value
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        transition, log_total = sent.value
         for batch in batches:
             added = []
-            for chain, classes in zip(batch.column("chain").to_pylist(), batch.column("classes")):
-                codes = np.frombuffer(chain, f"<u{chain[0]}", offset=1).astype(np.int64)
-                found = classes.values.to_numpy() if classes.is_valid else np.zeros(0, np.int64)
-                class_of = np.concatenate([np.arange(n_codes), found]).astype(np.int64)
-                outside, own = codes >= n_codes, class_of[codes]
-                links = outside[:-1] | outside[1:]
-                added.append(float(fitted.transition[own[:-1][links], own[1:][links]].sum() - fitted.log_total[own[outside]].sum()))
-            score = pc.add(batch.column("head_score"), pa.array(added, pa.float64()))
-            yield pa.RecordBatch.from_arrays([score if c == "head_score" else batch.column(c) for c in kept], names=kept)
-
-    n_tail, log = F.coalesce("tail_n", F.lit(0)), F.coalesce("tail_log", F.lit(0.0))
-    joined = scored.drop("tail").join(by_row, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
-        (F.col("head_base") + log - n_tail * F.log10(F.lit(model.base_total))).alias("base_score"),
-        (F.col("head_score") + log).alias("head_score"), "chain", "classes")
-    kept = [c for c in joined.columns if c not in ("chain", "classes")]
-    return joined.mapInArrow(add_tail, joined.select(*kept).schema).select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score",
-        F.col("head_score").alias("score"),
+            for chain, found in zip(batch.column("chain").to_pylist(), batch.column("classes")):
+                own = resolved(chain, found, n_codes)[1]
+                added.append(float(transition[own[:-1], own[1:]].sum() - log_total[own[1:]].sum()))
+            score = pc.add(batch.column("log_all"), pa.array(added, pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), score], names=[*kept, "score"])
+
+    scored = joined.select(*kept, "chain", "classes").mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, log_all double, score double")
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(fitted.n_tokens).cast("long").alias("train_tokens"),
+        (F.col("log_all") - F.col("n_tokens") * F.log10(F.lit(model.base_total))).alias("base_score"), "score",
     ).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
+def fitted_classes(docs: DataFrame, held_out: Column, head_size: int, n_classes: int, rounds: int, tail_rounds: int) -> tuple[DataFrame, Fitted, ClassModel]:
+    """The documents' class sequences, the classes and the model after all rounds."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"))
+    training = rows.filter(~F.col("held_out"))
+    fitted = Fitted(training, written(count_words(training), "counts"), head_size, n_classes, rounds)
+    scored = sequences(rows, fitted)
+    if not fitted.n_tokens:
+        tail_rounds = 0
+    joined = with_classes(scored, fitted.lexicon, n_classes, tail_rounds > 0)
+    matrix = count_classes(joined, fitted.n_codes)
+    for turn in range(tail_rounds):
+        beside = beside_in_chains(joined, fitted.n_codes)
+        fitted.lexicon = moved_tail(beside, matrix, n_classes, fitted.n_distinct - len(fitted.head), turn % 2)
+        joined = with_classes(scored, fitted.lexicon, n_classes, turn + 1 < tail_rounds)
+        matrix = count_classes(joined, fitted.n_codes)
+    return joined, fitted, fitted.model(matrix)
+
+
 def by_crc(doc_id: Column) -> Column:
     """Held out: crc32 of the id as text is a multiple of 10."""
     return crc32_mod(doc_id, 10) == 0

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator
 
@@ -20,6 +19,9 @@ ALNUM = bytes(LOWER[c] if c >= 128 or chr(c).isalnum() else 32 for c in range(25
 """``bytes.translate`` table: lower-case A-Z, every ASCII byte outside 0-9a-zA-Z becomes a space, so that
 ``split()`` gives the words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``."""
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+"""Setting of a session: a query's shuffle files are removed when it ends."""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, read by Spark only (the folder may be in any store)."""
@@ -34,16 +36,32 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and a lost executor costs only
-    the tasks it ran."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    the tasks it ran.  The shuffle files of the write go as soon as it ends: nobody reads them again."""
+    spark = df.sparkSession
+    path, before = shared_path(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_CACHES: dict[str, object] = {}
+
+
+def cache_of(owner: str, clear) -> None:
+    """Register what empties a module's cache; Python workers outlive the stage that filled it."""
+    _CACHES[owner] = clear
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of queries that are done: it does so when the driver collects their plans."""
-    gc.collect()
-    spark.sparkContext._jvm.java.lang.System.gc()
+def claim_cache(owner: str) -> None:
+    """Called by the tasks of a module that is about to fill its cache: those of other modules are emptied, so a
+    worker holds one module's cache at a time."""
+    for other, clear in _CACHES.items():
+        if other != owner:
+            clear()
+    pa.default_memory_pool().release_unused()
 
 
 def open_fs(path: str) -> tuple[fs.FileSystem, str]:

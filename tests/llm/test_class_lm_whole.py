@@ -5,17 +5,18 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cohortlens.llm import class_lm
-from cohortlens.llm.common import table, written
+from cohortlens.llm.common import table
 
 
 def test_words_outside_the_head_are_clustered(spark):
     rng = random.Random(3)
     texts = [" ".join(f"x{rng.randrange(30)} y{rng.randrange(30)}" for _ in range(40)) for _ in range(60)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = class_lm.class_lm_scores(docs, F.col("doc_id") % 10 == 0, head_size=1, n_classes=2, rounds=8).collect()
+    rows = class_lm.class_lm_scores(docs, F.col("doc_id") % 10 == 0, head_size=1, n_classes=2, rounds=8, tail_rounds=8).collect()
     held = [r for r in rows if r.held_out]
     gain = sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held)
     assert gain > 0.8 * math.log10(2)  # x and y alternate; one class for both gives no gain
@@ -23,13 +24,20 @@ def test_words_outside_the_head_are_clustered(spark):
 
 def test_scores_are_the_model_s(spark, sf, hard_docs):
     for docs in (table(spark, sf, "documents"), hard_docs):
-        rows = docs.select("doc_id", "text", class_lm.by_crc(F.col("doc_id")).alias("held_out"))
-        training = rows.filter(~F.col("held_out"))
-        counts = written(class_lm.count_words(training), "counts")
-        model, n, lexicon = class_lm.fit(training, counts, 50, 4, 3)
+        held_out = class_lm.by_crc(F.col("doc_id"))
+        rows = docs.select("doc_id", "text", held_out.alias("held_out"))
+        _, fitted, model = class_lm.fitted_classes(docs, held_out, 50, 4, 3, 2)
+        lexicon, counts = fitted.lexicon, class_lm.count_words(rows.filter(~F.col("held_out")))
         head = {w: i for i, w in enumerate(model.words)}
         tail = {bytes(r.word): (r["c"], r["class"]) for r in lexicon.collect()}
-        assert len(head) + len(tail) == counts.count() and not head.keys() & tail.keys()
+        every = {bytes(r.word): r["c"] for r in counts.collect()}
+        assert dict(fitted.head) | {w: c for w, (c, _) in tail.items()} == every and not head.keys() & tail.keys()
+        matrix = np.zeros((6, 6))
+        for r in rows.filter(~F.col("held_out")).collect():  # class bigrams over all training tokens
+            words = [class_lm.END, *class_lm.words_of((r.text or "").encode()), class_lm.END]
+            of = [model.classes[head[w]] if w in head else tail[w][1] for w in words]
+            np.add.at(matrix, (of[:-1], of[1:]), 1)
+        assert np.allclose(model.transitions(matrix), model.transition)
 
         def plain(text):
             before, total = model.classes[head[class_lm.END]], 0.0
@@ -43,6 +51,14 @@ def test_scores_are_the_model_s(spark, sf, hard_docs):
                 before = now
             return total
 
-        got = class_lm.class_lm_scores(docs, class_lm.by_crc(F.col("doc_id")), 50, 4, 3).collect()
+        got = class_lm.class_lm_scores(docs, class_lm.by_crc(F.col("doc_id")), 50, 4, 3, 2).collect()
         want = sorted((str(r.doc_id), round(plain(r.text), 5)) for r in rows.collect())
         assert sorted((str(r.doc_id), round(r.score, 5)) for r in got) == want
+
+
+def test_rounds_of_the_head_come_to_rest(spark, sf):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    counts = class_lm.count_words(docs)
+    fitted = class_lm.Fitted(docs, counts, 2000, 16, class_lm.ROUNDS)
+    assert len(fitted.gains) < class_lm.ROUNDS and fitted.gains[-1] < class_lm.STILL < min(fitted.gains[:-1])
+    assert sorted(set(fitted.classes[:-1].tolist())) == list(range(17))

@@ -200,8 +200,10 @@ def test_class_model_is_a_distribution():
     head = [(b"the", 50), (b"\n", 20), (b"a", 10), (b"of", 5)]
     classes = np.array([0, 3, 1, 1, 4])  # classes 0 to 2, the end, the rare
     matrix = np.arange(25.0).reshape(5, 5)
-    model = class_lm.ClassModel(head, classes, matrix, n_tokens=100, n_distinct=9)
+    matrix[-1] = matrix[:, -1] = 0  # no training word is unknown
+    tokens, words = np.array([50.0, 15, 15, 20, 0]), np.array([1.0, 2, 5, 1, 0])  # class 2 has 5 words outside the head
+    model = class_lm.ClassModel(head, classes, matrix, 100, 9, (tokens, words))
     assert np.allclose((10 ** model.transition).sum(axis=1), 1)
     emission = 10 ** model.emission[:-1]
     assert np.allclose([emission[classes[:-1] == c].sum() for c in (0, 1)], 1)
-    assert np.isclose(sum(c + 0.1 for c in (5, 4, 3, 2, 1)) / model.rare_total + 0.1 / model.rare_total, 1)
+    assert np.isclose(sum(c + 0.1 for c in (5, 4, 3, 2, 1)) / 10 ** model.log_total[2], 1)
