@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, by_arrow, map_rows, open_fs, put_file, ship_package, shared_path, utf8, written
+from .common import ALNUM, by_arrow, cache_of, claim_cache, map_rows, open_fs, put_file, ship_package, shared_path, utf8, written
 
 WINDOW = 10
 BLOCK_BYTES = 2 << 20
@@ -215,6 +215,9 @@ def automaton(path: str, window: int) -> SuffixAutomaton:
     return SuffixAutomaton([(i, words_of(t)) for i, t in zip(block["item_id"].to_pylist(), utf8(block["text"].combine_chunks()))], window)
 
 
+cache_of("decontamination", automaton.cache_clear)
+
+
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -227,6 +230,7 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def scan_texts(texts: list[bytes], blocks: list[str], window: int):
     """Words, hit spans and items of each text, over all blocks."""
+    claim_cache("decontamination")
     words = [words_of(t) for t in texts]
     spans: list[list[tuple[int, int]]] = [[] for _ in words]
     items: list[set[str]] = [set() for _ in words]

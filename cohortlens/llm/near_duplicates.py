@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_arrow, utf8, written
+from .common import by_arrow, cache_of, claim_cache, utf8, written
 
 SHINGLE = 5
 PERCENT = 80
@@ -50,11 +50,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class _WordHashes(dict):
-    """word -> 64-bit hash, the same in every worker; emptied when it holds a million words."""
+    """word -> 64-bit hash, the same in every worker; emptied when it holds 400,000 words."""
 
     def __missing__(self, word):
         h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(self) >= 1_000_000:
+        if len(self) >= 400_000:
             self.clear()
         if len(word) <= 64:
             self[word] = h
@@ -62,6 +62,7 @@ class _WordHashes(dict):
 
 
 _HASHES = _WordHashes()
+cache_of("near_duplicates", _HASHES.clear)
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -102,6 +103,7 @@ def sketch(docs: DataFrame, shingle: int) -> DataFrame:
     empty sets have nulls."""
 
     def run(batch: pa.RecordBatch):
+        claim_cache("near_duplicates")
         sizes, digests, signatures, minima = [], [], [], []
         for text in utf8(batch.column(1)):
             hashes = shingle_hashes(text, shingle)

@@ -13,6 +13,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from .common import cache_of, claim_cache
+
 CACHE_PARTS = 200_000
 MAX_PART = 64  # longer parts are encoded but not remembered
 
@@ -131,13 +133,31 @@ class PieceBpe:
         return b"".join(map(self.parts.__getitem__, units))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
+def _word_bpe(path: str) -> WordBpe:
+    return WordBpe(path)
+
+
+@lru_cache(maxsize=1)
+def _piece_bpe(path: str) -> PieceBpe:
+    return PieceBpe(path)
+
+
+def _clear() -> None:
+    _word_bpe.cache_clear()
+    _piece_bpe.cache_clear()
+
+
+cache_of("tokenizing", _clear)
+
+
 def word_bpe(path: str) -> WordBpe:
     """One tokenizer and cache per worker."""
-    return WordBpe(path)
+    claim_cache("tokenizing")
+    return _word_bpe(path)
 
 
-@lru_cache(maxsize=4)
 def piece_bpe(path: str) -> PieceBpe:
     """One tokenizer and cache per worker."""
-    return PieceBpe(path)
+    claim_cache("tokenizing")
+    return _piece_bpe(path)
