@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import neighbours as NB
 from .ranks import percentile_rank_small
 
 
@@ -286,92 +287,110 @@ def best_experiment(ranked: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ DBSCAN --
 
-def _chunked(df: DataFrame, key: str, max_rows: int):
-    """Split a frame into hash chunks of at most ~max_rows rows, yielding pandas frames."""
-    n = df.count()
-    chunks = max(1, -(-n // max_rows))
-    for c in range(chunks):
-        sub = df if chunks == 1 else df.where(F.pmod(F.xxhash64(key), F.lit(chunks)) == c)
-        pdf = sub.toPandas()
-        if len(pdf) > 2 * max_rows:
-            raise ValueError("chunk above the broadcast bound")
-        if len(pdf):
-            yield pdf
-
-
-def _eps_scan(queries_pdf: pd.DataFrame, reference: DataFrame, eps: float, mode: str) -> DataFrame:
-    """For every broadcast query, per reference task: ``count`` of points within eps, or the
-    ``minlabel`` among them.  One row per (query, task) at most; no pair rows."""
-    spark = reference.sparkSession
-    qk = queries_pdf["k"].to_numpy()
-    Q = np.vstack(queries_pdf["x"].to_numpy()).astype(float)
-    bq = spark.sparkContext.broadcast((qk, Q))
-    e2 = float(eps) ** 2
-
-    def part(it):
-        keys, Qm = bq.value
-        qq = (Qm * Qm).sum(1)
-        for p in it:
-            if not len(p):
+def _neighbour_counts(some: pd.DataFrame, who: pd.DataFrame, e2: float) -> pd.DataFrame:
+    """k, n: rows (copies counted) of ``who`` within the radius of each row of ``some``."""
+    if not len(some) or not len(who):
+        return pd.DataFrame({"k": [], "n": []})
+    x, y, copies = NB.matrix(some["x"]), NB.matrix(who["x"]), who["copies"].to_numpy().astype(float)
+    n = [(NB.squared(x[at:at + NB.SLICE], y) <= e2) @ copies for at in range(0, len(x), NB.SLICE)]
+    return pd.DataFrame({"k": some["k"].to_numpy(), "n": np.concatenate(n).astype("int64")})
+
+
+def _local_components(some: pd.DataFrame, who: pd.DataFrame, e2: float) -> pd.DataFrame:
+    """k, label, border: union-find over the core rows of ``some`` and ``who`` that lie within the radius; a component's
+    label is its smallest key.  A row of ``some`` that is not core gets one row per component it touches."""
+    who = who[who["core"].to_numpy()]
+    if not len(some) or not len(who):
+        return pd.DataFrame({"k": [], "label": [], "border": []}).astype({"border": bool})
+    keys = np.unique(np.concatenate([some["k"].to_numpy(), who["k"].to_numpy()]))
+    parent = np.arange(len(keys))
+
+    def roots(at):
+        up = parent[at]
+        while True:
+            top = parent[up]
+            if (top == up).all():
+                return up
+            up = top
+
+    x, y = NB.matrix(some["x"]), NB.matrix(who["x"])
+    mine, other, core = np.searchsorted(keys, some["k"]), np.searchsorted(keys, who["k"]), some["core"].to_numpy()
+    touched, borders = [], []
+    for at in range(0, len(x), NB.SLICE):
+        near = NB.squared(x[at:at + NB.SLICE], y) <= e2
+        for i, row in enumerate(near, at):
+            found = other[row]
+            if not len(found):
                 continue
-            R = np.vstack(p["x"].to_numpy()).astype(float)
-            within = (qq[:, None] + (R * R).sum(1)[None, :] - 2.0 * Qm @ R.T) <= e2 + 1e-12
-            if mode == "count":
-                yield pd.DataFrame({"k": keys, "v": within.sum(1).astype("int64")})
+            if core[i]:
+                found = np.append(found, mine[i])
+                top = np.unique(roots(found))
+                parent[top[1:]] = top[0]  # the smallest key is the root
+                parent[found] = top[0]
+                touched.append(found)
             else:
-                lab = p["label"].to_numpy().astype("int64")
-                big = np.iinfo("int64").max
-                m = np.where(within, lab[None, :], big).min(1)
-                sel = m < big
-                yield pd.DataFrame({"k": keys[sel], "v": m[sel]})
-    cols = ["x"] + (["label"] if mode != "count" else [])
-    return reference.select(*cols).mapInPandas(part, "k bigint, v bigint")
+                borders.append((mine[i], np.unique(found)))
+    inner = np.unique(np.concatenate(touched)) if touched else np.zeros(0, np.int64)
+    k, label, border = [keys[inner]], [keys[roots(inner)] if len(inner) else keys[:0]], [np.zeros(len(inner), bool)]
+    for i, found in borders:
+        top = np.unique(roots(found))
+        k.append(np.repeat(keys[i], len(top)))
+        label.append(keys[top])
+        border.append(np.ones(len(top), bool))
+    return pd.DataFrame({"k": np.concatenate(k), "label": np.concatenate(label), "border": np.concatenate(border)})
+
+
+def _merged_labels(edges: DataFrame) -> DataFrame:
+    """label, root: the smallest label that each one is joined to by ``edges`` (a, b).  Least labels spread along the
+    edges and jump to their own least label until none changes; lineage is cut every round."""
+    from ..session import cut_lineage
+    both = cut_lineage(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    nodes = cut_lineage(both.select(F.col("a").alias("label")).distinct().withColumn("root", F.col("label")))
+    while True:
+        least = both.join(nodes, F.col("b") == F.col("label")).groupBy("a").agg(F.min("root").alias("least"))
+        step = nodes.join(least, F.col("label") == F.col("a"), "left").select("label", "root", F.least("root", F.coalesce("least", "root")).alias("new"))
+        hop = step.select(F.col("label").alias("at"), F.col("new").alias("further"))
+        step = cut_lineage(step.join(hop, F.col("new") == F.col("at"), "left").select("label", "root", F.least("new", F.coalesce("further", "new")).alias("new")))
+        nodes = step.select("label", F.col("new").alias("root"))
+        if step.where("new <> root").isEmpty():
+            return nodes
 
 
 def dbscan(emb: DataFrame, key: str = "row_id", col: str = "embedding", eps: float = 1.0, min_samples: int = 50,
-           max_broadcast_rows: int = 20000) -> DataFrame:
-    """ML-12: density clustering.  Core points have >= ``min_samples`` points (themselves
-    included) within ``eps``; core points within eps of each other share a cluster
-    (connected components by min-label propagation with pointer jumping until no label
-    changes, lineage cut by a checkpoint every round); a border point joins the smallest-labelled core neighbour;
-    the rest is noise (-1).  Clusters are numbered 0.. by their smallest key."""
+           n_pivots: int | None = None, block: int = NB.BLOCK_ROWS) -> DataFrame:
+    """ML-12: density clustering.  Core points have >= ``min_samples`` points (themselves included) within ``eps``; core
+    points within eps of each other share a cluster; a border point joins the cluster with the smallest label among its
+    core neighbours; the rest is noise (-1), rows without a whole vector too.  Clusters are numbered 0.. by their
+    smallest key.
+
+    Copies of a point are one row with a count.  Points lie in pivot cells and visit the cells within eps as halo rows;
+    blocks of a cell count neighbours, then join core points by union-find.  A point that several blocks have seen ties
+    their labels together, and only the labels' graph is merged in rounds."""
     from ..session import cut_lineage
-    x = emb.select(F.col(key).cast("bigint").alias("k"), F.transform(col, lambda v: v.cast("double")).alias("x"))
-    x = cut_lineage(x)
-    counts = None
-    for chunk in _chunked(x, "k", max_broadcast_rows):
-        part = _eps_scan(chunk, x, eps, "count")
-        counts = part if counts is None else counts.unionByName(part)
-    cnt = counts.groupBy("k").agg(F.sum("v").alias("n"))
-    pts = cut_lineage(x.join(cnt, "k").withColumn("core", F.col("n") >= min_samples))
-    core = pts.where("core").select("k", "x", F.col("k").alias("label"))
-    core = cut_lineage(core)
-    while True:
-        mins = None
-        for chunk in _chunked(core.select("k", "x"), "k", max_broadcast_rows):
-            part = _eps_scan(chunk, core, eps, "minlabel")
-            mins = part if mins is None else mins.unionByName(part)
-        if mins is None:
-            break
-        best = mins.groupBy("k").agg(F.min("v").alias("m"))
-        step = core.join(best, "k", "left").withColumn("new", F.least("label", F.coalesce("m", "label"))).drop("m")
-        # pointer jumping: take the label of the label (one row per core point, equi-join)
-        hop = step.select(F.col("k").alias("j"), F.col("new").alias("nn"))
-        step = step.join(hop, step["new"] == hop["j"], "left").withColumn("new", F.least("new", F.coalesce("nn", "new"))) \
-                   .drop("j", "nn")
-        changed = step.where(F.col("new") != F.col("label")).limit(1).count()
-        core = cut_lineage(step.select("k", "x", F.col("new").alias("label")))
-        if not changed:
-            break
-    border_src = pts.where(~F.col("core")).select("k", "x")
-    border = None
-    for chunk in _chunked(border_src, "k", max_broadcast_rows):
-        part = _eps_scan(chunk, core, eps, "minlabel")
-        border = part if border is None else border.unionByName(part)
-    labels = core.select("k", "label")
-    if border is not None:
-        labels = labels.unionByName(border.groupBy("k").agg(F.min("v").alias("label")))
-    ids = labels.select("label").distinct()
-    ids = ids.withColumn("cluster", (F.row_number().over(W.orderBy("label")) - 1).cast("int"))  # one row per cluster
-    out = x.select("k").join(labels, "k", "left").join(F.broadcast(ids), "label", "left")
+    every = emb.select(F.col(key).cast("bigint").alias("k"), col)
+    x = cut_lineage(NB.points(every, "k", col))
+    reps = x.groupBy("x").agg(F.min("k").alias("k"), F.count(F.lit(1)).alias("copies"))
+    pivots = NB.pivots_of(reps, n_pivots)
+    if not len(pivots):
+        return every.select(F.col("k").alias(key), F.lit(-1).alias("cluster"))
+    rows, cells = NB.in_cells(reps, pivots)
+    halo = NB.within_visits(rows, cells, eps)
+    e2 = float(eps) ** 2 + 1e-12
+    counts = NB.by_blocks(rows, halo, cells, lambda a, b: _neighbour_counts(a, b, e2), "k bigint, n bigint", block)
+    core = cut_lineage(counts.groupBy("k").agg((F.sum("n") >= min_samples).alias("core")))
+    marked, visiting = (cut_lineage(side.join(core, "k")) for side in (rows, halo))
+    found = cut_lineage(NB.by_blocks(marked, visiting, cells, lambda a, b: _local_components(a, b, e2),
+                                     "k bigint, label bigint, border boolean", block))
+    own = found.where("NOT border").groupBy("k").agg(F.min("label").alias("least"))
+    edges = found.where("NOT border").join(own, "k").select(F.col("label").alias("a"), F.col("least").alias("b")).distinct()
+    roots = _merged_labels(edges)
+    of_core = cut_lineage(own.join(roots, F.col("least") == F.col("label")).select("k", "root"))
+    # the label that a border point met is the key of a core point
+    met = of_core.select(F.col("k").alias("label"), "root")
+    of_border = found.where("border").select("k", "label").join(met, "label").groupBy("k").agg(F.min("root").alias("root"))
+    labels = cut_lineage(of_core.union(of_border))
+    ids = labels.select("root").distinct()
+    ids = ids.withColumn("cluster", (F.row_number().over(W.orderBy("root")) - 1).cast("int"))  # one row per cluster
+    by_point = rows.select("k", "x").join(labels, "k").join(F.broadcast(ids), "root").select("x", "cluster")
+    out = every.select("k").join(x.join(by_point, "x").select("k", "cluster"), "k", "left")
     return out.select(F.col("k").alias(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"))

@@ -168,7 +168,7 @@ def test_knn_matches_bruteforce(spark):
     rng = np.random.default_rng(1)
     X = rng.normal(size=(80, 4))
     df = spark.createDataFrame([(i, X[i].tolist(), i % 3) for i in range(80)], "id long, embedding array<double>, cluster int")
-    nb = AS.knn(df.select("id", "embedding"), df, "id", "id", "embedding", 5, exclude_self=True, max_broadcast_rows=30)
+    nb = AS.knn(df.select("id", "embedding"), df, "id", "id", "embedding", 5, exclude_self=True)
     got = {}
     for r in nb.collect():
         got.setdefault(r["id"], []).append((r["rank"], r["ref_key"]))
@@ -321,7 +321,7 @@ def test_dbscan_matches_bruteforce(spark):
     X = np.vstack([rng.normal(0, 0.3, (40, 2)), rng.normal(3, 0.3, (40, 2)), rng.uniform(-2, 5, (10, 2))])
     df = spark.createDataFrame([(i, X[i].tolist()) for i in range(len(X))], "row_id long, embedding array<double>")
     eps, ms = 0.5, 5
-    got = {r["row_id"]: r["cluster"] for r in CL.dbscan(df, eps=eps, min_samples=ms, max_broadcast_rows=30).collect()}
+    got = {r["row_id"]: r["cluster"] for r in CL.dbscan(df, eps=eps, min_samples=ms, n_pivots=7, block=30).collect()}
     D = np.linalg.norm(X[:, None] - X[None], axis=2)
     core = (D <= eps).sum(1) >= ms
     comp = -np.ones(len(X), int)
