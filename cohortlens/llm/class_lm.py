@@ -7,7 +7,7 @@
   size; in each half round every word of one half moves to the class that raises the likelihood of class bigrams most,
   given the other words' classes, until a round raises the likelihood by less than ``STILL``.
 * Every other training word is then exchanged in turn: tasks gather the classes beside all its tokens, and it moves to
-  its best class among those of the head words; ``TAIL_ROUNDS`` further half rounds see the other words' classes too.
+  its best class among those of the head words; ``TAIL_ROUNDS`` further half rounds may see the other words' classes too.
 * Class bigrams are counted over all training tokens with the classes of all words.  Words outside the head get
   their classes by a join on the word; they travel in the documents' class sequences.  A word that training does not
   have gets its base probability after any class.
@@ -32,14 +32,15 @@ HEAD = 1 << 14
 CLASSES = 64
 ROUNDS = 12  # at most, of two half rounds each, over the head words
 STILL = 0.002  # nats a token that a round must gain for another to follow
-TAIL_ROUNDS = 2  # half rounds over the words outside the head, after their first move
+TAIL_ROUNDS = 0  # half rounds over the words outside the head, after their first move
 PARTS = 16  # partitions of the table of the head's neighbours, which is bounded by HEAD
 ADD = 0.1
 PRIOR = 50.0  # weight of the classes' unigram distribution in a transition
 END = b"\n"  # no word can hold a line break
 PENDING = 500_000
 MAX_HEAD_WORD = 100  # bytes; with HEAD this bounds the broadcast
-SHARE = 2048  # words that a task moves at once
+SHARE = 8192  # words that a task moves at once
+FEW = 3  # different neighbours of a word whose choice is remembered
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -303,26 +304,42 @@ def moved_tail(rows: DataFrame, matrix: np.ndarray, n_classes: int, n_tail: int,
     Words are dealt by hash, about ``SHARE`` to a group."""
     total = n_classes + 2
     shares = max(128, -(-n_tail // SHARE))
+    known: dict[tuple, int] = {}  # class by own class and tokens beside, of words with few tokens; one per task
 
     def move(some: pd.DataFrame) -> pd.DataFrame:
         some = some.sort_values("word", kind="stable")
         named, first, index = np.unique(some["word"].to_numpy(), return_index=True, return_inverse=True)
         now = some["own"].to_numpy()[first].astype(np.int64)
-        best, c, cells = now.copy(), np.zeros(len(named), np.int64), some["beside"].to_numpy()
+        c, cells = np.zeros(len(named), np.int64), some["beside"].to_numpy()
         mine = np.array([half is None or hash_of(w) % 2 == half for w in named])
-        for at in range(0, len(named), 256):
-            here = slice(at, min(at + 256, len(named)))
-            low, high = np.searchsorted(index, (here.start, here.stop))
-            vectors = np.zeros((here.stop - here.start, 2 * total))
-            for place, cell in zip((index[low:high] - at).tolist(), cells[low:high]):
-                k = len(cell) // 5
-                vectors[place] += np.bincount(np.frombuffer(cell, np.uint8, k), np.frombuffer(cell, "<u4", k, k), 2 * total)
+        ends = np.searchsorted(index, np.arange(len(named) + 1))
+        lone = (np.diff(ends) == 1) & np.array([len(x) <= 5 * FEW for x in cells[ends[:-1]]], bool)
+        keys = [(o, cells[e]) if one else None for o, e, one in zip(now.tolist(), ends[:-1].tolist(), lone.tolist())]
+        new = {k: i for i, k in enumerate(keys) if k is not None and k not in known}
+        ask = np.array(sorted([*np.flatnonzero(~lone).tolist(), *new.values()]), np.int64)
+        chosen = np.zeros(len(named), np.int64)
+        for at in range(0, len(ask), 256):
+            here = ask[at:at + 256]
+            vectors = np.zeros((len(here), 2 * total))
+            for place, i in enumerate(here.tolist()):
+                for cell in cells[ends[i]:ends[i + 1]]:
+                    k = len(cell) // 5
+                    vectors[place] += np.bincount(np.frombuffer(cell, np.uint8, k), np.frombuffer(cell, "<u4", k, k), 2 * total)
             before, after = vectors[:, :total], vectors[:, total:]
-            c[here] = after.sum(axis=1)
-            chosen = best_classes(matrix, now[here], after, before, n_classes)
-            # a word that no class gains from at first (all words beside it are outside the head) goes by its hash
-            chosen = np.where(chosen > n_classes, [hash_of(w) // 2 % n_classes for w in named[here]], chosen)
-            best[here] = np.where(mine[here], chosen, now[here])
+            chosen[here] = best_classes(matrix, now[here], after, before, n_classes)
+        known.update((k, int(chosen[i])) for k, i in new.items())
+        for i in range(len(named)):
+            if keys[i] is not None:
+                chosen[i] = known[keys[i]]
+            for cell in cells[ends[i]:ends[i + 1]]:  # every token has one neighbour after it
+                k = len(cell) // 5
+                c[i] += np.frombuffer(cell, "<u4", k, k)[np.frombuffer(cell, np.uint8, k) >= total].sum()
+        # a word that no class gains from at first (all words beside it are outside the head) goes by its hash
+        lost = np.flatnonzero(chosen > n_classes)
+        chosen[lost] = [hash_of(w) // 2 % n_classes for w in named[lost]]
+        best = np.where(mine, chosen, now)
+        if len(known) > PENDING:
+            known.clear()
         return pd.DataFrame({"word": named, "c": c, "class": best.astype(np.int8)})
 
     return written(rows.groupBy(F.pmod(F.xxhash64("word"), F.lit(shares)).alias("share")).applyInPandas(move, "word binary, c long, class byte"),
