@@ -8,10 +8,7 @@ Inputs are frames of (key, array<double> embedding, cluster).  Metrics:
   sample (<= 5000 rows by default): the sample is broadcast once and every
   task computes its rows' distances to it with numpy; no pair rows exist.
 
-Fitting uses Spark ML (KMeans, GaussianMixture).  BIRCH and Ward are
-re-aimed as micro-clusters (KMeans with many centres, distributed) followed
-by a weighted Ward merge of the micro-centroid table (<= a few hundred rows)
-on the driver.
+Fitting is in ``fits``: all cluster counts and starts of a method share their passes over the rows.
 """
 
 from __future__ import annotations
@@ -20,12 +17,11 @@ import json
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import GaussianMixture, KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import fits
 from . import neighbours as NB
 from .ranks import percentile_rank_small
 
@@ -148,61 +144,14 @@ def silhouette(sample: DataFrame, col: str = "embedding", cluster: str = "cluste
 
 # ------------------------------------------------------------------ fitting --
 
-def _ward_merge(centroids: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-    """Weighted Ward agglomeration of micro-centroids down to k groups; returns the
-    group id (0..k-1, ordered by first micro-cluster) for every micro-centroid."""
-    groups = [[i] for i in range(len(centroids))]
-    c = [centroids[i].astype(float) for i in range(len(centroids))]
-    w = [float(weights[i]) for i in range(len(centroids))]
-    while len(groups) > k:
-        best, pair = np.inf, None
-        for i in range(len(groups)):
-            for j in range(i + 1, len(groups)):
-                cost = w[i] * w[j] / (w[i] + w[j]) * float(((c[i] - c[j]) ** 2).sum())
-                if cost < best:
-                    best, pair = cost, (i, j)
-        i, j = pair
-        c[i] = (w[i] * c[i] + w[j] * c[j]) / (w[i] + w[j])
-        w[i] += w[j]
-        groups[i] += groups[j]
-        del groups[j], c[j], w[j]
-    out = np.zeros(len(centroids), dtype=int)
-    for gid, members in enumerate(sorted(groups, key=min)):
-        out[members] = gid
-    return out
-
-
-def fit_labels(vec: DataFrame, method: str, k: int, key: str = "row_id", seed: int = 42, n_init: int = 3,
-               micro: int = 100) -> tuple[DataFrame, dict]:
-    """ML-08..11: fit one configuration on (key, features vector); returns (key, cluster) and info."""
-    if method == "kmeans":
-        best = None
-        for i in range(n_init):
-            m = KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster", maxIter=50).fit(vec)
-            if best is None or m.summary.trainingCost < best.summary.trainingCost:
-                best = m
-        return best.transform(vec).select(key, "cluster"), {"cost": best.summary.trainingCost}
-    if method == "gmm":
-        best = None
-        for i in range(n_init):
-            m = GaussianMixture(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster", maxIter=100).fit(vec)
-            if best is None or m.summary.logLikelihood > best.summary.logLikelihood:
-                best = m
-        return best.transform(vec).select(key, "cluster"), {"log_likelihood": best.summary.logLikelihood}
-    if method in ("birch", "agglomerative"):
-        m = KMeans(k=micro, seed=seed, featuresCol="features", predictionCol="micro", maxIter=30).fit(vec)
-        counts = m.transform(vec).groupBy("micro").count().collect()  # <= micro rows
-        centers = np.array(m.clusterCenters())
-        ids = sorted(r["micro"] for r in counts)
-        weights = np.array([next(r["count"] for r in counts if r["micro"] == i) for i in ids])
-        mapping = _ward_merge(centers[ids], weights, min(k, len(ids)))
-        lut = F.create_map(*[F.lit(x) for i, g in zip(ids, mapping) for x in (int(i), int(g))])
-        return m.transform(vec).select(key, F.element_at(lut, F.col("micro")).alias("cluster")), {"micro": len(ids)}
+def fit_labels(emb: DataFrame, method: str, k, key: str = "row_id", seed: int = 42, n_init: int | None = None,
+               micro: int = 500, threshold: float = 0.5) -> tuple[DataFrame, dict]:
+    """ML-08..12: fit one configuration on (key, embedding); returns (key, cluster) and info.  ``k`` is (eps, min_samples)
+    for dbscan; ``n_init`` defaults to 20 starts of k-means and 5 of the mixture."""
     if method == "dbscan":
-        eps, ms = (k if isinstance(k, tuple) else (1.0, 50))
-        lab = dbscan(vec.select(key, "embedding"), key, "embedding", eps, ms)
-        return lab, {"eps": eps, "min_samples": ms}
-    raise ValueError(f"unknown method {method}")
+        eps, ms = k
+        return dbscan(emb.select(key, "embedding"), key, "embedding", eps, ms), {"eps": eps, "min_samples": ms}
+    return fits.fit_grid(emb, method, [k], key, "embedding", seed, n_init, threshold, micro)[k]
 
 
 def config_id(config: dict) -> str:
@@ -225,20 +174,25 @@ def evaluate(emb: DataFrame, labels: DataFrame, key: str = "row_id", sample_size
     return out
 
 
-def sweep(emb: DataFrame, outcome: DataFrame | None, methods: list[str], ks: list[int], key: str = "row_id",
-          target: str | None = None, seed: int = 42, n_init: int = 3, sample_size: int = 5000,
+METHODS = ("kmeans", "gmm", "birch", "agglomerative", "dbscan")
+
+
+def sweep(emb: DataFrame, outcome: DataFrame | None, methods: list[str] = METHODS, ks: list[int] = tuple(range(3, 9)),
+          key: str = "row_id", target: str | None = None, seed: int = 42, n_init: int | None = None, sample_size: int = 5000,
           dbscan_grid: list[tuple[float, int]] = ((1.0, 50), (1.2, 50))) -> tuple[DataFrame, dict]:
     """ML-13: fit every (method, k) on the (checkpointed) embedding frame, keep
     configurations with >= 2 clusters, collect metrics and outcome dispersion.
+    All k and starts of a method share their passes over the rows.
     Returns (experiments table, {experiment_id: labels frame})."""
     from ..session import cut_lineage
-    vec = emb.withColumn("features", array_to_vector("embedding"))
     rows, labels = [], {}
     for method in methods:
-        grid = dbscan_grid if method == "dbscan" else ks
-        for k in grid:
-            config = {"eps": k[0], "min_samples": k[1]} if method == "dbscan" else {"n_clusters": k}
-            lab, _info = fit_labels(vec, method, k, key, seed, n_init)
+        if method == "dbscan":
+            grid = [({"eps": e, "min_samples": m}, fit_labels(emb, method, (e, m), key)[0]) for e, m in dbscan_grid]
+        else:
+            fitted = fits.fit_grid(emb, method, list(ks), key, "embedding", seed, n_init)
+            grid = [({"n_clusters": k}, fitted[k][0]) for k in ks]
+        for config, lab in grid:
             lab = cut_lineage(lab)
             m = evaluate(emb, lab, key, sample_size, seed)
             if m["n_clusters"] < 2:

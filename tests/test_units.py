@@ -202,12 +202,6 @@ def test_silhouette_ch_db_bruteforce(spark):
     assert CL.davies_bouldin(df).first()[0] == pytest.approx(db)
 
 
-def test_ward_merge_two_groups():
-    cents = np.array([[0.0], [0.1], [10.0], [10.2]])
-    out = CL._ward_merge(cents, np.array([5, 5, 5, 5]), 2)
-    assert list(out) == [0, 0, 1, 1]
-
-
 def test_svd_reducer_orthogonal_and_scaled(spark):
     rng = np.random.default_rng(3)
     X = rng.normal(size=(50, 6))
