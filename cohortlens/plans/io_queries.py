@@ -228,13 +228,13 @@ def _contexts(spark, sf_dir):
     return c.select(F.concat(F.lit("req-"), F.col("row_id").cast("string")).alias("request_id"),
                     F.when(F.col("acctbal") > 5000, F.col("row_id")).alias("row_id"),
                     F.when(F.col("acctbal") <= 5000, F.col("subject_id")).when(F.col("acctbal") > 8000, F.col("subject_id"))
-                    .alias("subject_id")).where(F.col("acctbal") > -500)
+                    .alias("subject_id"))
 
 
 MATCH_SQL = with_cohort("""
 , ctx AS (SELECT 'req-' || row_id AS request_id, CASE WHEN acctbal > 5000 THEN row_id END AS row_id,
                  CASE WHEN acctbal <= 5000 THEN subject_id WHEN acctbal > 8000 THEN subject_id END AS subject_id
-          FROM cohort WHERE acctbal > -500)
+          FROM cohort)
 , m AS (SELECT ctx.request_id, d.row_id, d.subject_id, d.totalprice,
                row_number() OVER (PARTITION BY ctx.request_id ORDER BY d.row_id) AS r
         FROM ctx JOIN cohort d ON (ctx.row_id IS NOT NULL OR ctx.subject_id IS NOT NULL)
