@@ -177,35 +177,119 @@ def evaluate(emb: DataFrame, labels: DataFrame, key: str = "row_id", sample_size
 METHODS = ("kmeans", "gmm", "birch", "agglomerative", "dbscan")
 
 
+def evaluate_all(wide: DataFrame, n_configs: int, key: str, sample_size: int = 5000, seed: int = 42) -> list[dict]:
+    """``evaluate`` for all configurations in shared passes over (key, x, labels, target): sums per cluster, distances to
+    the centroids, and one metric sample for all configurations without noise.  ``mortality_separation`` is the spread of the
+    clusters' target rates.  The driver holds one row of sums per cluster."""
+    dim = _dim(wide, "x")
+    sums = fits.partition_sums(wide, dim)
+    of = {c: g.set_index("cluster").sort_index() for c, g in sums.groupby("config")}
+    centroids = {(c, n): row[[f"v{i}" for i in range(1, dim + 1)]].to_numpy(float) / row["v0"] for c, g in of.items() for n, row in g.iterrows() if n != -1}
+    away = fits.centroid_distances(wide, centroids)
+    sample, noisy, out = None, [], []
+    for c in range(n_configs):
+        g = of.get(c, pd.DataFrame({f"v{i}": [] for i in range(dim + 4)}))
+        total, real = g["v0"].sum(), g[g.index != -1]
+        m = {"n_clusters": float(len(real)), "noise_ratio": float(1 - real["v0"].sum() / total) if total else None,
+             "coverage": float(real["v0"].sum() / total) if total else None,
+             "silhouette": None, "calinski_harabasz": None, "davies_bouldin": None, "mortality_separation": None}
+        out.append(m)
+        if len(real) < 2:
+            continue
+        n, k = real["v0"].to_numpy(float), len(real)
+        centre = np.array([centroids[c, i] for i in real.index])
+        middle = (n[:, None] * centre).sum(axis=0) / n.sum()
+        between = float((n * ((centre - middle) ** 2).sum(axis=1)).sum())
+        within = float((real[f"v{dim + 1}"].to_numpy(float) - n * (centre ** 2).sum(axis=1)).sum())
+        m["calinski_harabasz"] = float(between / (k - 1) / (within / (n.sum() - k))) if within != 0 else 1.0
+        spread = np.array([away[c, i] for i in real.index]) / n
+        gaps = np.sqrt(((centre[:, None] - centre[None]) ** 2).sum(axis=2))
+        with np.errstate(divide="ignore"):
+            ratio = np.where(gaps > 0, (spread[:, None] + spread[None]) / np.where(gaps > 0, gaps, 1), np.inf)
+        np.fill_diagonal(ratio, -np.inf)
+        m["davies_bouldin"] = float(ratio.max(axis=1).mean())
+        rated = real[real[f"v{dim + 3}"] > 0]
+        if len(rated):
+            m["mortality_separation"] = float(np.std(rated[f"v{dim + 2}"] / rated[f"v{dim + 3}"]))
+        if len(real) < len(g):
+            noisy.append(c)
+    plain = [c for c in range(n_configs) if out[c]["n_clusters"] >= 2 and c not in noisy]
+    for some in ([plain] if plain else []) + [[c] for c in noisy]:  # noise rows are left out of a sample
+        rows = wide if some is plain else wide.where(F.col("labels")[some[0]] != -1)
+        for c, value in zip(some, silhouettes(metric_sample(rows.select(key, "x", "labels"), key, sample_size, seed), some)):
+            out[c]["silhouette"] = value
+    return out
+
+
+def silhouettes(sample: DataFrame, configs: list[int]) -> list[float | None]:
+    """AG-31 for several labellings of one bounded metric sample (x, labels), whose distances are computed once."""
+    pdf = sample.select("x", "labels").toPandas()  # the sample's bound
+    x, labels = np.vstack(pdf["x"]).astype(float), np.vstack(pdf["labels"])[:, configs]
+    spark = sample.sparkSession
+    sent = spark.sparkContext.broadcast((x, labels))
+
+    def part(it):
+        every, names = sent.value
+        square = (every * every).sum(1)
+        for p in it:
+            at = p["at"].to_numpy()
+            for low in range(0, len(at), 512):
+                i = at[low:low + 512]
+                d = np.sqrt(np.maximum(square[i, None] + square[None] - 2.0 * every[i] @ every.T, 0.0))
+                for c in range(names.shape[1]):
+                    uniq, own = np.unique(names[:, c], return_inverse=True)
+                    sizes, sums = np.bincount(own), d @ np.eye(len(uniq))[own]
+                    row, mine = np.arange(len(i)), own[i]
+                    a = sums[row, mine] / np.maximum(sizes[mine] - 1, 1)
+                    means = sums / sizes
+                    means[row, mine] = np.inf
+                    b = means.min(axis=1)
+                    with np.errstate(invalid="ignore"):
+                        s = np.where(sizes[mine] > 1, (b - a) / np.maximum(a, b), 0.0)
+                    yield pd.DataFrame({"c": [c], "s": [float(s.sum())]})
+
+    n = len(x)
+    places = spark.range(n).withColumnRenamed("id", "at").repartition(max(1, min(64, n // 200 + 1)))
+    found = dict(places.mapInPandas(part, "c int, s double").groupBy("c").agg(F.sum("s")).collect())
+    return [found[c] / n if n >= 3 and len(np.unique(labels[:, c])) >= 2 else None for c in range(len(configs))]
+
+
+METHODS = ("kmeans", "gmm", "birch", "agglomerative", "dbscan")
+
+
 def sweep(emb: DataFrame, outcome: DataFrame | None, methods: list[str] = METHODS, ks: list[int] = tuple(range(3, 9)),
           key: str = "row_id", target: str | None = None, seed: int = 42, n_init: int | None = None, sample_size: int = 5000,
           dbscan_grid: list[tuple[float, int]] = ((1.0, 50), (1.2, 50))) -> tuple[DataFrame, dict]:
     """ML-13: fit every (method, k) on the (checkpointed) embedding frame, keep
     configurations with >= 2 clusters, collect metrics and outcome dispersion.
-    All k and starts of a method share their passes over the rows.
+    All k and starts of a method share their passes over the rows, and all configurations those of the metrics.
     Returns (experiments table, {experiment_id: labels frame})."""
     from ..session import cut_lineage
-    rows, labels = [], {}
+    configs, fitted, scans = [], [], []
     for method in methods:
         if method == "dbscan":
-            grid = [({"eps": e, "min_samples": m}, fit_labels(emb, method, (e, m), key)[0]) for e, m in dbscan_grid]
+            scans += [({"eps": e, "min_samples": m}, dbscan(emb, key, "embedding", e, m)) for e, m in dbscan_grid]
         else:
-            fitted = fits.fit_grid(emb, method, list(ks), key, "embedding", seed, n_init)
-            grid = [({"n_clusters": k}, fitted[k][0]) for k in ks]
-        for config, lab in grid:
-            lab = cut_lineage(lab)
-            m = evaluate(emb, lab, key, sample_size, seed)
-            if m["n_clusters"] < 2:
-                continue
-            sep = None
-            if outcome is not None and target:
-                rates = lab.join(outcome.select(key, target), key).where("cluster <> -1").groupBy("cluster").agg(
-                    F.avg(target).alias("r"))
-                sep = rates.agg(F.stddev_pop("r")).first()[0]
-            eid = f"{method}|{config_id(config)}"
-            labels[eid] = lab
-            rows.append((eid, method, json.dumps(config, sort_keys=True), float(m["n_clusters"]), m["noise_ratio"],
-                         m["coverage"], m["silhouette"], m["calinski_harabasz"], m["davies_bouldin"], sep))
+            found = fits.fit_all(emb, method, list(ks), key, "embedding", seed, n_init)
+            configs += [(method, {"n_clusters": k}) for k in ks]
+            fitted += [found[k] for k in ks]
+    wide = fits.label_arrays(emb, key, "embedding", fitted)
+    for config, labels in scans:
+        configs.append(("dbscan", config))
+        wide = wide.join(labels.withColumnRenamed("cluster", "scanned"), key).withColumn("labels", F.concat("labels", F.array("scanned"))).drop("scanned")
+    if outcome is not None and target:
+        wide = wide.join(outcome.select(key, F.col(target).cast("double").alias("target")), key, "left")
+    else:
+        wide = wide.withColumn("target", F.lit(None).cast("double"))
+    wide = cut_lineage(wide)
+    rows, labels = [], {}
+    for i, ((method, config), m) in enumerate(zip(configs, evaluate_all(wide, len(configs), key, sample_size, seed))):
+        if m["n_clusters"] < 2:
+            continue
+        eid = f"{method}|{config_id(config)}"
+        labels[eid] = wide.select(key, F.col("labels")[i].alias("cluster"))
+        rows.append((eid, method, json.dumps(config, sort_keys=True), m["n_clusters"], m["noise_ratio"],
+                     m["coverage"], m["silhouette"], m["calinski_harabasz"], m["davies_bouldin"], m["mortality_separation"]))
     if not rows:
         raise RuntimeError("no clustering produced at least two clusters")
     schema = ("experiment_id string, method string, config string, n_clusters double, noise_ratio double, coverage double, "

@@ -342,21 +342,35 @@ def labels_by(emb: DataFrame, key: str, col: str, label) -> DataFrame:
     return rows.mapInPandas(run, f"`{key}` {dict(rows.dtypes)[key]}, cluster int")
 
 
+@dataclass
+class Fit:
+    """``label(X)`` gives the clusters of rows; ``facts`` of the fit."""
+
+    label: object
+    facts: dict
+
+
 def fit_grid(emb: DataFrame, method: str, ks: list[int], key: str = "row_id", col: str = "embedding", seed: int = 42,
              starts: int | None = None, threshold: float = 0.5, micro: int = 500, max_micro: int = MAX_MICRO) -> dict[int, tuple[DataFrame, dict]]:
     """ML-08..11: labels (key, cluster) and facts of the fit for every k, fitted together."""
+    found = fit_all(emb, method, ks, key, col, seed, starts, threshold, micro, max_micro)
+    return {k: (labels_by(emb, key, col, f.label), f.facts) for k, f in found.items()}
+
+
+def fit_all(emb: DataFrame, method: str, ks: list[int], key: str, col: str, seed: int, starts: int | None = None, threshold: float = 0.5,
+            micro: int = 500, max_micro: int = MAX_MICRO) -> dict[int, Fit]:
+    """The fits of one method for every k."""
     if method == "kmeans":
         found = k_means(emb, key, col, ks, starts or STARTS[method], seed)
-        return {k: (labels_by(emb, key, col, lambda x, c=c: nearest(x, c)[0]), {"cost": cost, "centers": c}) for k, (c, cost) in found.items()}
+        return {k: Fit(lambda x, c=c: nearest(x, c)[0], {"cost": cost, "centers": c}) for k, (c, cost) in found.items()}
     if method == "gmm":
         found = gaussian_mixtures(emb, key, col, ks, starts or STARTS[method], seed)
-        return {k: (labels_by(emb, key, col, lambda x, m=m: m.log_joint(x).argmax(axis=1)), {"log_likelihood": v, "mixture": m})
-                for k, (m, v) in found.items()}
+        return {k: Fit(lambda x, m=m: m.log_joint(x).argmax(axis=1), {"log_likelihood": v, "mixture": m}) for k, (m, v) in found.items()}
     if method == "birch":
         cf = clustering_features(emb, col, threshold, max_micro)
         groups = ward(cf.centroids, np.maximum(cf.n, 1), ks)
-        return {k: (labels_by(emb, key, col, lambda x, g=g, t=cf.tree: g[t.micro(x)]),
-                    {"micro": len(cf.n), "threshold": cf.threshold, "radius": float(cf.radius.max())}) for k, g in groups.items()}
+        facts = {"micro": len(cf.n), "threshold": cf.threshold, "radius": float(cf.radius.max())}
+        return {k: Fit(lambda x, g=g, t=cf.tree: g[t.micro(x)], facts) for k, g in groups.items()}
     if method == "agglomerative":
         distinct = emb.groupBy(F.transform(col, lambda v: v.cast("double")).alias("x")).count().orderBy("x").limit(micro + 1).collect()
         if len(distinct) <= micro:
@@ -370,5 +384,69 @@ def fit_grid(emb: DataFrame, method: str, ks: list[int], key: str = "row_id", co
             weights = one_pass(emb, col, 1, len(centres), part)[:, 0]
             centres, weights = centres[weights > 0], weights[weights > 0]
         groups = ward(centres, weights, ks)
-        return {k: (labels_by(emb, key, col, lambda x, g=g: g[nearest(x, centres)[0]]), {"micro": len(centres)}) for k, g in groups.items()}
+        return {k: Fit(lambda x, g=g: g[nearest(x, centres)[0]], {"micro": len(centres)}) for k, g in groups.items()}
     raise ValueError(f"unknown method {method}")
+
+
+def label_arrays(emb: DataFrame, key: str, col: str, fits: list[Fit]) -> DataFrame:
+    """key, x and labels: the clusters of every row under all fits, in one pass."""
+    ship_package(emb.sparkSession)
+
+    def run(it):
+        for p in it:
+            if len(p):
+                x = np.vstack(p["x"].to_numpy()).astype(float)
+                labels = np.column_stack([np.concatenate([f.label(x[at:at + SLICE]) for at in range(0, len(x), SLICE)]) for f in fits]) \
+                    if fits else np.zeros((len(x), 0))
+                yield p.assign(labels=list(labels.astype("int32")))
+
+    rows = emb.select(key, F.transform(col, lambda v: v.cast("double")).alias("x"))
+    return rows.mapInPandas(run, f"`{key}` {dict(rows.dtypes)[key]}, x array<double>, labels array<int>")
+
+
+def partition_sums(wide: DataFrame, dim: int) -> pd.DataFrame:
+    """For each configuration and cluster, noise too: n, sum of x, of its squares, of the target and of its rows; one row
+    per cluster.  Every task adds up its rows first."""
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.vstack(batch.column(0).to_numpy(zero_copy_only=False)).astype(float)
+            labels = np.vstack(batch.column(1).to_numpy(zero_copy_only=False))
+            target = batch.column(2).to_numpy(zero_copy_only=False).astype(float)
+            known = ~np.isnan(target)
+            values = np.column_stack([np.ones(len(x)), x, (x * x).sum(axis=1), np.where(known, target, 0), known])
+            out = []
+            for c in range(labels.shape[1]):
+                names, at = np.unique(labels[:, c], return_inverse=True)
+                sums = np.zeros((len(names), values.shape[1]))
+                np.add.at(sums, at, values)
+                out += [(c, int(n), s.tolist()) for n, s in zip(names, sums)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()),
+                                              pa.array([o[2] for o in out], pa.list_(pa.float64()))], names=["config", "cluster", "v"])
+
+    width = dim + 4
+    rows = wide.select("x", "labels", "target").mapInArrow(run, "config int, cluster int, v array<double>")
+    return rows.groupBy("config", "cluster").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(width)]).toPandas()
+
+
+def centroid_distances(wide: DataFrame, centroids: dict[tuple[int, int], np.ndarray]) -> dict[tuple[int, int], float]:
+    """Sum of the distances of each configuration's rows to their cluster's centroid."""
+    sent = wide.sparkSession.sparkContext.broadcast(centroids)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.vstack(batch.column(0).to_numpy(zero_copy_only=False)).astype(float)
+            labels = np.vstack(batch.column(1).to_numpy(zero_copy_only=False))
+            out = []
+            for c in range(labels.shape[1]):
+                for n in np.unique(labels[:, c]).tolist():
+                    if n != -1:
+                        out.append((c, n, float(np.sqrt(((x[labels[:, c] == n] - sent.value[c, n]) ** 2).sum(axis=1)).sum())))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.float64()))],
+                                             names=["config", "cluster", "s"])
+
+    rows = wide.select("x", "labels").mapInArrow(run, "config int, cluster int, s double").groupBy("config", "cluster").agg(F.sum("s").alias("s"))
+    return {(r["config"], r["cluster"]): r["s"] for r in rows.collect()}

@@ -113,3 +113,21 @@ def test_mixture_separates_shapes(spark):
     joint = info["mixture"].log_joint(x)
     assert np.isclose(np.logaddexp.reduce(joint, axis=1).mean(), info["log_likelihood"], atol=0.02)
     assert np.isclose(info["mixture"].weights.sum(), 1)
+
+
+def test_shared_metrics_equal_the_single_ones(spark):
+    from pyspark.sql import functions as F
+
+    from cohortlens.operators import cluster as CL
+    x = blobs(8, 160, 3, 2, 5.0)
+    df = frame(spark, x)
+    outcome = spark.createDataFrame([(i, i % 3 == 0) for i in range(160)], "row_id long, dead boolean").withColumn("dead", F.col("dead").cast("int"))
+    exp, labels = CL.sweep(df, outcome, ks=[2, 3], key="row_id", target="dead", n_init=2, dbscan_grid=[(0.9, 6)], sample_size=100)
+    assert {r["method"] for r in exp.collect()} == set(CL.METHODS)
+    for r in exp.collect():
+        lab = labels[r["experiment_id"]]
+        one = CL.evaluate(df, lab, "row_id", 100)
+        for name in ("n_clusters", "noise_ratio", "coverage", "silhouette", "calinski_harabasz", "davies_bouldin"):
+            assert r[name] == pytest.approx(one[name], rel=1e-6, abs=1e-9), (r["experiment_id"], name)
+        rates = lab.join(outcome, "row_id").where("cluster <> -1").groupBy("cluster").agg(F.avg("dead").alias("r"))
+        assert r["mortality_separation"] == pytest.approx(rates.agg(F.stddev_pop("r")).first()[0])
