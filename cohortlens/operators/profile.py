@@ -39,6 +39,19 @@ def _melt_row(df: DataFrame, keys: list[str], cols: list[str], fields: dict[str,
     return df.select(*keys, F.explode(F.array(*structs)).alias("s")).select(*keys, "s.*")
 
 
+def modes(df: DataFrame, cluster: str, cols: list[str]) -> DataFrame:
+    """AG-02: cluster and, per column, its most frequent non-null value (the smallest on ties) as ``mode_<column>``.
+
+    Values are counted per (cluster, column, value) first, so no buffer holds a cluster's distinct values; a cell takes the
+    least (-count, value) of its counts."""
+    out = df.select(F.col(cluster).alias("cluster")).distinct()
+    for c in cols:
+        counts = df.where(F.col(c).isNotNull()).groupBy(F.col(cluster).alias("__c"), F.col(c).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+        best = counts.groupBy("__c").agg(F.min_by("__v", F.struct((-F.col("__n")).alias("n"), F.col("__v").alias("v"))).alias(f"mode_{c}"))
+        out = out.join(best, out["cluster"].eqNullSafe(best["__c"]), "left").drop("__c")
+    return out
+
+
 # ---------------------------------------------------------------- summary ---
 
 def cluster_summary(df: DataFrame, cluster: str = "cluster", target: str | None = None,
@@ -50,8 +63,10 @@ def cluster_summary(df: DataFrame, cluster: str = "cluster", target: str | None
     if target and target in df.columns:
         aggs.append(F.avg(target).alias("mortality_rate"))
     aggs += [F.avg(c).alias(f"mean_{c}") for c in mean_cols]
-    aggs += [F.mode(c, True).alias(f"mode_{c}") for c in mode_cols]
     s = df.groupBy(F.col(cluster).alias("cluster")).agg(*aggs)
+    if mode_cols:  # one row per cluster
+        found = modes(df, cluster, list(mode_cols)).withColumnRenamed("cluster", "__k")
+        s = s.join(found, s["cluster"].eqNullSafe(found["__k"]), "left").drop("__k")
     s = s.withColumn("cluster_label", cluster_label(F.col("cluster")))
     # the summary has one row per cluster; windows over it are tiny
     s = s.withColumn("size_pct", F.col("n_patients") / F.sum("n_patients").over(W.partitionBy()))

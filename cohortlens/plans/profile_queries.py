@@ -85,8 +85,7 @@ FROM cohort c1
 @query("ag02_safe_mode", MODE_SQL)
 def ag02_safe_mode(spark, sf_dir):
     """Most frequent non-null value, smallest on ties."""
-    return clustered_cohort(spark, sf_dir).groupBy("cluster").agg(
-        F.mode("cat_priority", True).alias("mode_cat_priority"), F.mode("quantity_max", True).alias("mode_quantity_max"))
+    return P.modes(clustered_cohort(spark, sf_dir), "cluster", ["cat_priority", "quantity_max"])
 
 
 SHARE_SQL = with_cohort("""
