@@ -38,6 +38,7 @@ ADD = 0.1
 PRIOR = 50.0  # weight of the classes' unigram distribution in a transition
 END = b"\n"  # no word can hold a line break
 PENDING = 500_000
+GATHERED = 100_000  # words whose neighbours a task holds before it sends them on
 MAX_HEAD_WORD = 100  # bytes; with HEAD this bounds the broadcast
 SHARE = 8192  # words that a task moves at once
 FEW = 3  # different neighbours of a word whose choice is remembered
@@ -109,7 +110,7 @@ def count_head_pairs(docs: DataFrame, sent, end: int) -> DataFrame:
                 row = _row(words_of(text), ids, end)
                 waiting.append(row[:-1] << 32 | row[1:])
                 n += len(row)
-                if n > 8 * PENDING:
+                if n > 2 * PENDING:
                     yield flush()
                     waiting, n = [], 0
         if waiting:
@@ -290,7 +291,7 @@ def gathered(ids_of, classes_of, total: int):
                     place = np.fromiter(map(places.__getitem__, words), np.int64, len(words)) * (2 * total)
                     waiting.append(np.concatenate([place + codes[outside - 1], place + total + codes[outside + 1]]))
                     n += 2 * len(outside)
-                    if n > 8 * PENDING or len(places) > PENDING:
+                    if n > 2 * PENDING or len(places) > GATHERED:
                         yield flush()
                         places, waiting, n, own = _Places(), [], 0, {}
         if waiting:
