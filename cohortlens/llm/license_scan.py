@@ -5,8 +5,9 @@ done.  For the others, each keyword found brings the rules that need it, each ru
 matches, and the words between the matches give their places.
 
 Detections of one text are ordered by start, longest first, then priority.  One that lies inside an earlier one is
-suppressed (of equal intervals, the first priority stays).  Where two of the rest overlap, the one of worse priority
-is suppressed.  Base phrases are reported at all their places, whatever is suppressed.
+suppressed (of equal intervals, the first priority stays).  The rest are taken by priority, then start: one stays unless
+it overlaps one that already stays, so a detection that is itself suppressed suppresses nothing.  Base phrases are
+reported at all their places, whatever is suppressed.
 """
 
 from __future__ import annotations
@@ -72,8 +73,71 @@ FAMILIES = [
     ("non-commercial", "commercial", r"(?:for )?non commercial use only", ("",)),
 ]
 GRANTS = [  # words that introduce a license; they make the detection longer and surer
-    r"licensed under(?: the)?(?: terms of)?(?: the)?",
-    r"(?:released|distributed|available|published) under(?: the)?(?: terms of)?(?: the)?",
+    r"licensed under(?: the| an?)?(?: terms of)?(?: the)?",
+    r"(?:released|distributed|available|published) under(?: the| an?)?(?: terms of)?(?: the)?",
+]
+
+# SPDX identifiers of licenses without a version.
+SPDX_PLAIN = ["0bsd", "beerware", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause", "curl", "ftl", "hpnd", "icu", "ijg", "isc", "json",
+              "libpng", "mit", "mit-0", "ms-pl", "ms-rl", "ncsa", "openssl", "postgresql", "ruby", "sleepycat", "tcl", "unlicense",
+              "vim", "wtfpl", "x11", "zlib"]
+
+ANY = r"(?: \S+){1,12}?"  # words that a notice leaves open, such as a holder's name
+
+# Keyword, sentence of the license's text or notice, label, priority, confidence.
+NOTICES = [
+    ("permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy", "mit", 30, 0.95),
+    ("permission notice", r"the above copyright notice and this permission notice(?: including the next paragraph)? shall be included"
+                          r" in all copies or substantial portions", "mit", 30, 0.95),
+    ("permission is hereby granted", r"permission is hereby granted free of charge to any person or organization obtaining a copy", "bsl-1.0", 30, 0.95),
+    ("with or without fee", r"permission to use copy modify and(?: or)? distribute this software(?: and its documentation)? for any purpose"
+                            r" with or without fee is hereby granted", "isc", 30, 0.95),
+    ("source and binary forms", r"redistribution and use in source and binary forms with or without modification are permitted", "bsd", 30, 0.9),
+    ("endorse or promote", rf"neither the names? of{ANY} may be used to endorse or promote products", "bsd-3-clause", 25, 0.95),
+    ("endorse or promote", rf"the names? of{ANY} may not be used to endorse or promote products", "bsd-3-clause", 28, 0.9),
+    ("advertising materials", r"all advertising materials mentioning features or use of this software must display", "bsd-4-clause", 25, 0.95),
+    ("altered source versions", r"altered source versions must be plainly marked as such", "zlib", 30, 0.95),
+    ("origin of this software", r"the origin of this software must not be misrepresented", "zlib", 30, 0.95),
+    ("free and unencumbered", r"this is free and unencumbered software released into the public domain", "unlicense", 20, 1.0),
+    ("compliance with the license", r"you may not use this file except in compliance with the license", "apache-2.0", 30, 0.9),
+    ("applicable law", r"unless required by applicable law or agreed to in writing software distributed under the license"
+                       r" is distributed on an as is basis", "apache-2.0", 30, 0.95),
+    ("perpetual worldwide", r"grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable", "apache-2.0", 35, 0.8),
+    ("gnu general", r"under the terms of(?: version \d of)? the gnu general public licen[sc]e as published by the free software foundation", "gpl", 25, 0.95),
+    ("gnu general", r"under the terms of the gnu general public licen[sc]e as published by the free software foundation"
+                    r" (?:either )?version 2(?: of the licen[sc]e)?", "gpl-2", 15, 1.0),
+    ("gnu general", r"under the terms of the gnu general public licen[sc]e as published by the free software foundation"
+                    r" (?:either )?version 3(?: of the licen[sc]e)?", "gpl-3", 15, 1.0),
+    ("gnu lesser", r"under the terms of the gnu lesser general public licen[sc]e as published by the free software foundation"
+                   r" (?:either )?version 2 1(?: of the licen[sc]e)?", "lgpl-2.1", 15, 1.0),
+    ("gnu lesser", r"under the terms of the gnu lesser general public licen[sc]e as published by the free software foundation"
+                   r" (?:either )?version 3(?: of the licen[sc]e)?", "lgpl-3", 15, 1.0),
+    ("gnu affero", r"under the terms of the gnu affero general public licen[sc]e as published by the free software foundation"
+                   r" (?:either )?version 3(?: of the licen[sc]e)?", "agpl-3", 15, 1.0),
+    ("free documentation", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation"
+                           r" licen[sc]e", "gfdl", 20, 1.0),
+    ("source code form", r"this source code form is subject to the terms of the mozilla public licen[sc]e v 2 0", "mpl-2.0", 15, 1.0),
+    ("mozilla public", r"the contents of this file are subject to the mozilla public licen[sc]e version 1 1", "mpl-1.1", 15, 1.0),
+    ("eclipse public", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e"
+                       r"(?: v1 0| v 1 0)", "epl-1.0", 15, 1.0),
+    ("eclipse public", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e"
+                       r"(?: v2 0| v 2 0| 2 0)", "epl-2.0", 15, 1.0),
+    ("common development", r"the contents of this file are subject to the terms of the common development and distribution licen[sc]e", "cddl", 20, 1.0),
+    ("font software", r"this font software is licensed under the sil open font licen[sc]e version 1 1", "ofl-1.1", 15, 1.0),
+    ("what the fuck", r"do what the fuck you want to public licen[sc]e", "wtfpl", 30, 1.0),
+    ("verbatim or modified", r"everyone is permitted to copy and distribute verbatim or modified copies of this licen[sc]e document", "wtfpl", 30, 0.9),
+    ("buy me a beer", r"if we meet some day and you think this stuff is worth it you can buy me a beer", "beerware", 20, 1.0),
+    ("waived all copyright", rf"to the extent possible under law{ANY} waived all copyright and related or neighbou?ring rights", "cc0", 20, 1.0),
+    ("creative commons", r"this work is licensed under(?: a| the)? creative commons licen[sc]e", "cc", 45, 0.8),
+    ("used for good", r"the software shall be used for good not evil", "json", 20, 1.0),
+    ("warranty of any kind", r"the software is provided as is without warranty of any kind express or implied", "as-is", 70, 0.5),
+    ("strictly prohibited", r"unauthorized (?:copying|use|reproduction|distribution)(?: \S+){0,12}? (?:is )?strictly prohibited", "proprietary", 30, 0.95),
+    ("confidential and proprietary", r"confidential and proprietary(?: information)?(?: of)?", "proprietary", 50, 0.8),
+    ("written permission", r"(?:without|except with)(?: the)?(?: express)?(?: prior)?(?: express)? written permission", "proprietary", 65, 0.5),
+    ("internal use only", r"for internal use only", "proprietary", 50, 0.8),
+    ("derechos reservados", r"todos los derechos reservados", "reserved", 85, 0.5),
+    ("rechte vorbehalten", r"alle rechte vorbehalten", "reserved", 85, 0.5),
+    ("tous droits", r"tous droits réservés", "reserved", 85, 0.5),
 ]
 
 
@@ -106,6 +170,9 @@ def _rules() -> list[tuple[str, str, str, int, float, bool]]:
         rules.append((" cc ", f"{GRANTS[0]} cc {_words(terms)}{tail}", label, 20 if number else 30, 1.0, False))
         rules.append(("creative commons", f"creative commons {long}{tail}", label, 40 if number else 60, 0.9, False))
         rules.append(("creativecommons", f"creativecommons org licenses {_words(terms)}{tail}", label, 35, 1.0, False))
+    for name in SPDX_PLAIN:
+        rules.append(("spdx", f"spdx license identifier {_words(name)}", name, 10, 1.0, False))
+    rules += [(*notice, False) for notice in NOTICES]
     rules.append(("cc0", r"cc0(?: 1 0)?", "cc0", 40, 0.9, False))
     rules.append(("creativecommons", r"creativecommons org publicdomain zero(?: 1 0)?", "cc0", 35, 1.0, False))
     rules.append(("copyright", r"copyright(?: c)?(?: \d{4})+", "copyright", 80, 0.4, False))
@@ -152,16 +219,26 @@ def detections(found: DataFrame) -> DataFrame:
 
 
 def surviving(found: DataFrame) -> DataFrame:
-    """Detections that are not suppressed."""
+    """Detections that are not suppressed.
+
+    What is left by containment falls into runs of detections that overlap one after the other; priorities are settled in
+    each run by itself, so an array is as long as a run and not as long as a text's list of detections."""
     order = [F.col("start"), F.desc("end"), F.col("priority"), F.col("rule")]
     by_row = Window.partitionBy("row").orderBy(*order)
     inside = F.max("end").over(by_row.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("end")
     outer = found.withColumn("inside", F.coalesce(inside, F.lit(False))).filter("not inside").drop("inside")
-    before, after = F.lag(F.struct("end", "priority")).over(by_row), F.lead(F.struct("start", "priority")).over(by_row)
-    marked = outer.withColumn("before", before).withColumn("after", after)
-    beaten = (F.coalesce((F.col("before.end") > F.col("start")) & (F.col("before.priority") <= F.col("priority")), F.lit(False))
-              | F.coalesce((F.col("after.start") < F.col("end")) & (F.col("after.priority") < F.col("priority")), F.lit(False)))
-    return marked.filter(~beaten).drop("before", "after")
+    opens = F.coalesce((F.lag("end").over(by_row) <= F.col("start")).cast("int"), F.lit(0))  # ends rise with the starts here
+    runs = outer.withColumn("opens", opens).withColumn("run", F.sum("opens").over(by_row))
+    one = F.struct("priority", "start", "rule", "end", "label", "confidence", "base")
+    ranked = runs.groupBy("row", "run").agg(F.array_sort(F.collect_list(one)).alias("ranked"))
+
+    def settle(stay: Column, d: Column) -> Column:
+        beaten = F.exists(stay, lambda k: (k["start"] < d["end"]) & (d["start"] < k["end"]))
+        return F.when(beaten, stay).otherwise(F.concat(stay, F.array(d)))
+
+    alone = F.size("ranked") == 1
+    stay = F.when(alone, F.col("ranked")).otherwise(F.aggregate("ranked", F.slice("ranked", 1, 0), settle))
+    return ranked.select("row", F.inline(stay))
 
 
 def license_scan(docs: DataFrame) -> DataFrame:

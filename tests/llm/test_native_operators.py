@@ -42,9 +42,10 @@ def plain_detections(text):
         if d[1] > end:
             outer.append(d)
             end = d[1]
-    left = [d for k, d in enumerate(outer)
-            if not (k and outer[k - 1][1] > d[0] and outer[k - 1][2] <= d[2])
-            and not (k + 1 < len(outer) and outer[k + 1][0] < d[1] and outer[k + 1][2] < d[2])]
+    left = []
+    for d in sorted(outer, key=lambda d: (d[2], d[0])):
+        if all(d[1] <= k[0] or k[1] <= d[0] for k in left):
+            left.append(d)
     shown = [*left, *(d for d in found if d[6])]
     return ",".join(sorted({d[4] for d in shown})), max((d[5] for d in shown), default=0.0), len(left)
 
@@ -78,6 +79,43 @@ def test_license_rules(spark, hard_docs):
     assert L.license_scan(hard_docs.limit(0)).collect() == []
 
 
+def test_license_chain(spark):
+    """In a chain A-B-C, C beats B; A, which B alone would beat, stays.  Ties go to the earlier one."""
+    rows = [(0, "a", 50, 0.1, False, 1, 0, 5), (0, "b", 40, 0.2, False, 2, 4, 9), (0, "c", 30, 0.3, False, 3, 8, 12),
+            (1, "d", 40, 0.1, False, 1, 0, 5), (1, "e", 40, 0.1, False, 2, 4, 9), (1, "f", 40, 0.1, False, 3, 8, 12),
+            (1, "g", 90, 0.1, False, 4, 12, 13), (1, "h", 10, 0.1, False, 5, 9, 11), (2, "i", 10, 0.1, False, 6, 3, 4), (2, "j", 20, 0.1, False, 7, 3, 4)]
+    found = spark.createDataFrame(rows, "row long, label string, priority int, confidence double, base boolean, rule int, start long, end long")
+    left = L.surviving(found)
+    assert sorted((r.row, r.label) for r in left.collect()) == [(0, "a"), (0, "c"), (1, "d"), (1, "f"), (1, "g"), (2, "i")]
+    assert L.surviving(found.limit(0)).collect() == []
+
+
+def test_license_bodies(spark):
+    """Sentences of license texts and their labels, stated by hand and not by the rules."""
+    want = {
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software": "mit",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED": "as-is",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc",
+        "Redistribution and use in source and binary forms, with or without\n * modification, are permitted": "bsd",
+        "Neither the name of the University of Somewhere nor the names of its contributors may be used to endorse or promote products": "bsd-3-clause",
+        "Altered source versions must be plainly marked as such": "zlib",
+        "This is free and unencumbered software released into the public domain.": "unlicense",
+        "you may not use this file except in compliance with the License.": "apache-2.0",
+        "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License": "gpl,gpl-2",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl-2.0",
+        "// SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: ISC": "isc", "SPDX-License-Identifier: Zlib": "zlib",
+        "SPDX-License-Identifier: Unlicense": "unlicense", "SPDX-License-Identifier: BSD-3-Clause": "bsd-3-clause",
+        "SPDX-License-Identifier: MITRE": "", "SPDX-License-Identifier: Apache-2.0": "apache-2.0",
+        "Unauthorized copying of this file, via any medium, is strictly prohibited": "proprietary",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License": "cc-by-4.0",
+        "Tous droits réservés": "reserved", "Alle Rechte vorbehalten": "reserved", "permission is hereby granted to walk the dog": "",
+    }
+    docs = list(enumerate(want))
+    rows = L.license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {docs[r.doc_id][1]: r.labels for r in rows} == want
+    check(rows, docs)
+
+
 def found(text):
     return re.findall(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\b[0-9a-f]{40}\b|\b\d{1,3}(?:\.\d{1,3}){3}\b|\b\d{15,16}\b|\+1 \(\d{3}\) \d{3}-\d{4}", text or "")
 
