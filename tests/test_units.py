@@ -275,6 +275,43 @@ def test_gbt_contributions_additive(spark):
     assert err < 1e-9
 
 
+def test_tree_contributions_equal_all_subsets():
+    """Shapley values by their definition over all sets of known features, on trees that test a feature twice on a path."""
+    from itertools import combinations
+    from cohortlens.operators import explain as EX
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 3, 7):
+        n = 2 * size + 1
+        t = {"left": -np.ones(n, int), "right": -np.ones(n, int), "feat": -np.ones(n, int), "thr": np.zeros(n), "value": rng.normal(size=n), "cover": np.zeros(n)}
+        t["cover"][0], leaves, free = 64.0, [0], 1
+        for _ in range(size):
+            at = leaves.pop(int(rng.integers(len(leaves))))
+            t["left"][at], t["right"][at], t["feat"][at], t["thr"][at] = free, free + 1, rng.integers(3), rng.normal()
+            part = rng.uniform(0.1, 0.9)
+            t["cover"][free], t["cover"][free + 1] = t["cover"][at] * part, t["cover"][at] * (1 - part)
+            leaves += [free, free + 1]
+            free += 2
+        x = np.vstack([rng.normal(size=(40, 4)), [[np.inf] * 4, [-np.inf] * 4, [np.nan] * 4]])
+
+        def known(row, features, at=0):
+            if t["left"][at] < 0:
+                return t["value"][at]
+            a, b = t["left"][at], t["right"][at]
+            if t["feat"][at] in features:
+                return known(row, features, a if row[t["feat"][at]] <= t["thr"][at] else b)
+            return (known(row, features, a) * t["cover"][a] + known(row, features, b) * t["cover"][b]) / t["cover"][at]
+
+        for rows in (x, x[:2]):
+            got = EX.tree_shap(EX.leaf_paths(t), rows)
+            for r, row in enumerate(rows):
+                for i in range(4):
+                    others = [j for j in range(4) if j != i]
+                    want = sum(math.factorial(k) * math.factorial(3 - k) / 24 * (known(row, {*s, i}) - known(row, set(s)))
+                               for k in range(4) for s in combinations(others, k))
+                    assert abs(got[r, i] - want) < 1e-9
+        assert abs(EX.expected_value(t) - known(x[0], set())) < 1e-9
+
+
 def test_text_extraction_and_formats(spark):
     text = "Paciente  edad: 70\nFC 98 lpm, Temp 38,5 C\nTA 120/80\nCreatinina: 1,4 mg/dl\nSexo: mujer. Sepsis probable."
     df = spark.createDataFrame([(text,)], "t string")
