@@ -2,7 +2,8 @@
 
 Metric and explanation operators are checked on a deterministic score and a
 deterministic additive attribution derived from the cohort (so the DuckDB
-oracle is exact); the fitted GBT path is a rows-only check.
+oracle is exact).  The same operators over the fitted trees read the stored
+outputs of one training run, which the tests check by SQL over them.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ..operators import classify as CF
 from ..operators import features as FT
-from ..session import cut_lineage
 from ..sources.tables import cohort, segment_cluster, with_cohort
 from .registry import query
 
@@ -280,56 +280,111 @@ def jn05_dedup_left_join(spark, sf_dir):
     return s.select("row_id", "true_label").join(right, "row_id", "left")
 
 
-_FITTED: dict = {}
+NUMS = ["totalprice", "acctbal", "quantity_min", "quantity_max", "price_max", "discount_max", "tax_max"]
+CATS = ["cat_priority", "cat_region"]
+TREES = 300
+_RUNS: dict[tuple, str] = {}
 
 
-def gbt_run(spark, sf_dir, max_iter=30):
-    """Fit (once per session) and score the test split; the fitted model is reused by the
-    scoring, explanation and streaming queries, as the reference reuses its saved model."""
-    key = (id(spark.sparkContext), sf_dir, max_iter)
-    if key not in _FITTED:
-        _FITTED[key] = _gbt_fit(spark, sf_dir, max_iter)
-    return _FITTED[key]
-
-
-def _gbt_fit(spark, sf_dir, max_iter):
-    df = cohort(spark, sf_dir)
-    split = cut_lineage(CF.stratified_split(df, "row_id", "target", 0.2, 42))
-    train = split.where(~F.col("is_test"))
-    nums = ["totalprice", "acctbal", "quantity_min", "quantity_max", "price_max", "discount_max", "tax_max"]
-    pre = FT.Preprocessor.fit(train, nums, ["cat_priority", "cat_region"])
-    w = train.agg(F.try_divide(F.sum(1 - F.col("target")), F.sum("target"))).first()[0] or 1.0
-    tr = CF.to_features(CF.with_class_weight(pre.transform(train, ["row_id", "target"]), "target", w))
-    model = CF.fit_gbt(tr, "target", weight="weight", max_iter=max_iter)
-    te = CF.to_features(pre.transform(split.where("is_test"), ["row_id", "target"]))
-    return model, pre, CF.score(model, te, ["row_id", F.col("target").alias("true_label")])
+def risk_run(spark, sf_dir):
+    """The training run over the whole cohort.  Its outputs are stored once per session and input, and every query below
+    reads them.  The segment clusters with their severity are its context."""
+    from ..operators import profile as PR
+    from ..operators import runs
+    from ..sources.ingest import scratch_path
+    from ..sources.tables import _fingerprint
+    mark = (id(spark.sparkContext), _fingerprint(spark, sf_dir, ["orders", "customer", "nation", "lineitem"]))
+    if mark not in _RUNS:
+        c = cohort(spark, sf_dir).withColumn("cluster", segment_cluster())
+        summary = PR.cluster_summary(c.select("cluster", "target"), "cluster", "target").select("cluster", "cluster_label", "severity_rank")
+        context = c.select("row_id", "cluster").join(F.broadcast(summary), "cluster")  # one row per segment
+        folder = scratch_path(spark, "training-run")
+        runs.training_run(c, folder, "cohort-risk", NUMS, CATS, "target", context=context, max_iter=TREES)
+        _RUNS[mark] = folder
+    return runs.Classifier.load(spark, _RUNS[mark])
 
 
 @query("ml15_gbt_scored_test_rows")
 def ml15_gbt_scored_test_rows(spark, sf_dir):
-    """Fit GBT on the stratified train split (class-weighted), score the test split (rows-only)."""
-    return gbt_run(spark, sf_dir)[2]
+    """Trees fitted on the stratified train split (class-weighted) score the test split."""
+    return risk_run(spark, sf_dir).scored.select("row_id", "true_label", "predicted_probability", "predicted_label", "predicted_risk_group")
+
+
+RUN_ROWS_SQL = with_cohort(f"""
+, split AS ({SPLIT_SQL[SPLIT_SQL.rindex("SELECT row_id, target, row_number()"):].replace("FROM h", "FROM hashed")})
+, rates AS (SELECT cluster, row_number() OVER (ORDER BY avg(target) DESC, cluster) AS severity_rank FROM cohort GROUP BY cluster)
+SELECT row_id, CAST(s.target AS INTEGER) AS true_label, CAST(cluster AS INTEGER) AS cluster, 'cluster_' || cluster AS cluster_label,
+       CAST(severity_rank AS INTEGER) AS severity_rank
+FROM split s JOIN cohort USING (row_id) JOIN rates USING (cluster) WHERE is_test
+""").replace(", split AS", """, hashed AS (SELECT row_id, target, CAST(CAST(('0x' || substr(md5(CAST(row_id AS VARCHAR) || '|42'), 1, 13)) AS BIGINT) AS DOUBLE) AS h
+        FROM cohort)
+, split AS""", 1)
+
+
+@query("ml15_run_test_rows", RUN_ROWS_SQL)
+def ml15_run_test_rows(spark, sf_dir):
+    """The rows that the run scored, with their labels and cluster context."""
+    return risk_run(spark, sf_dir).scored.select("row_id", "true_label", "cluster", "cluster_label", "severity_rank")
+
+
+RUN_CLUSTERS_SQL = f"""
+SELECT cluster_label, cluster, severity_rank, count(*) AS n_patients_test, avg(true_label) AS observed_mortality_test
+FROM ({RUN_ROWS_SQL}) t GROUP BY ALL
+"""
+
+
+@query("ag35_run_cluster_rates", RUN_CLUSTERS_SQL)
+def ag35_run_cluster_rates(spark, sf_dir):
+    """Test rows and their observed rate per cluster, from the run's stored cluster explanations."""
+    return risk_run(spark, sf_dir).clusters.select("cluster_label", "cluster", "severity_rank", "n_patients_test",
+                                                   F.round("observed_mortality_test", 6).alias("observed_mortality_test"))
+
+
+@query("ag35_run_cluster_explanations")
+def ag35_run_cluster_explanations(spark, sf_dir):
+    """Mean probability and top features of the fitted model per cluster."""
+    return risk_run(spark, sf_dir).clusters
+
+
+@query("mt01_run_metrics")
+def mt01_run_metrics(spark, sf_dir):
+    """MT-01 to MT-04 of the fitted model on the test rows."""
+    return risk_run(spark, sf_dir).metrics
+
+
+@query("mt05_run_report")
+def mt05_run_report(spark, sf_dir):
+    """MT-05 of the fitted model on the test rows."""
+    return risk_run(spark, sf_dir).report
+
+
+@query("ag34_run_importance")
+def ag34_run_importance(spark, sf_dir):
+    """AG-34 over the fitted model's contributions."""
+    return risk_run(spark, sf_dir).importance
+
 
+@query("sc18_run_cases")
+def sc18_run_cases(spark, sf_dir):
+    """WN-06, SC-18 and PRJ-13 over the fitted model: one explained row per test row."""
+    return risk_run(spark, sf_dir).cases
 
 
-def gbt_contributions(spark, sf_dir, max_iter=30):
-    from ..operators import explain as EX
-    model, pre, sc = gbt_run(spark, sf_dir, max_iter)
-    split = CF.stratified_split(cohort(spark, sf_dir), "row_id", "target", 0.2, 42)
-    te = CF.to_features(pre.transform(split.where("is_test"), ["row_id"]))
-    return EX.contributions(spark, model, te, "row_id", pre.feature_names), sc
+@query("src11_training_stages")
+def src11_training_stages(spark, sf_dir):
+    """What the training run read, wrote and found, step by step."""
+    return risk_run(spark, sf_dir).stages
 
 
 @query("ml17_tree_contributions")
 def ml17_tree_contributions(spark, sf_dir):
-    """Per-row TreeSHAP contributions of the fitted GBT on the test split (rows-only;
-    the additivity invariant is checked in tests)."""
-    return gbt_contributions(spark, sf_dir)[0]
+    """Per-row contributions of the fitted trees on the test split (the additivity invariant is checked in tests)."""
+    return risk_run(spark, sf_dir).contributions
 
 
 @query("ml16_score_rows")
 def ml16_score_rows(spark, sf_dir):
     """The fitted model scores every cohort row: probability, label, risk band (rows-only)."""
-    model, pre, _ = gbt_run(spark, sf_dir)
-    x = CF.to_features(pre.transform(cohort(spark, sf_dir), ["row_id"]))
-    return CF.score(model, x, ["row_id"])
+    run = risk_run(spark, sf_dir)
+    x = CF.to_features(run.preprocessor.transform(cohort(spark, sf_dir), ["row_id"]))
+    return CF.score(run.model, x, ["row_id"])

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
+from ..operators import classify as CF
 from ..operators import context as CX
 from ..operators import quality as Q
 from ..operators import schema as SC
@@ -299,6 +300,53 @@ def sc23_prompt_text(spark, sf_dir):
     return e.select("row_id", CX.prompt_text(F.lit("CASO CLINICO"), F.lit("(base de conocimiento)"), F.col("prompt_json")).alias("prompt"))
 
 
+def _augmented_sql():
+    from .text_queries import AUDIT_SQL
+
+    def lit(text):
+        return "'" + text.replace("'", "''") + "'"
+    head = "CASO CLINICO\n\n" + CX.KNOWLEDGE_HEADING + "\n(base de conocimiento)\n\n" + CX.CONTEXT_HEADING + "\n"
+    return f"""
+WITH a AS (SELECT * FROM ({AUDIT_SQL}) t),
+m AS (SELECT request_id, CAST(to_json(list({{'row_id': row_id, 'subject_id': subject_id}} ORDER BY row_id)) AS VARCHAR) AS found
+      FROM ({MATCH_SQL}) t GROUP BY request_id)
+SELECT 'req-' || a.row_id AS request_id,
+       {lit(head)} || '{{"row_id":' || a.row_id || '}}' || {lit(chr(10))}
+       || {lit(chr(10) * 2 + CX.FORM_HEADING)} || '{{"nombre":"req-' || a.row_id || '"}}' || {lit(chr(10))}
+       || CASE WHEN extracted_field_count = 0 THEN '' ELSE {lit(CX.EXTRACTION_HEADING)} || '{{"extracted_fields":"' || extracted_fields
+            || '","extracted_field_count":' || extracted_field_count || ',"missing_core_fields":"' || missing_core_fields || '"}}' || {lit(chr(10))} END
+       || {lit(CX.FORM_REMINDER)} || {lit(chr(10) * 2 + CX.MATCHED_HEADING)}
+       || CASE WHEN found IS NULL THEN {lit(CX.MATCHED_NONE)} ELSE {lit(CX.MATCHED_NOTE)} || found END
+       || {lit(chr(10) + CX.OUTPUT_CONTRACT + chr(10))} AS prompt
+FROM a LEFT JOIN m ON m.request_id = 'req-' || a.row_id
+"""
+
+
+@query("sc23_augmented_prompt", _augmented_sql())
+def sc23_augmented_prompt(spark, sf_dir):
+    """Prompt per request with its form, the extraction summary of its report and its matched history rows."""
+    from .text_queries import tx08_extraction_audit
+    history = cohort(spark, sf_dir).select("row_id", "subject_id")
+    matched = CX.matched_rows(SC.match_by_ids(_contexts(spark, sf_dir), history, ["row_id", "subject_id"], 3), ["row_id", "subject_id"])
+    r = tx08_extraction_audit(spark, sf_dir).withColumn("request_id", F.concat(F.lit("req-"), F.col("row_id").cast("string")))
+    r = r.join(matched, "request_id", "left")
+    base = CX.prompt_text(F.lit("CASO CLINICO"), F.lit("(base de conocimiento)"), F.to_json(F.struct("row_id")))
+    summary = F.when(F.col("extracted_field_count") > 0, F.to_json(F.struct("extracted_fields", "extracted_field_count", "missing_core_fields")))
+    form = F.to_json(F.struct(F.col("request_id").alias("nombre")))
+    return r.select("request_id", CX.with_history(CX.with_form(base, form, summary), F.col("matched_json")).alias("prompt"))
+
+
+@query("sc19_run_contexts")
+def sc19_run_contexts(spark, sf_dir):
+    """Every cohort row's context from both stored runs: the classifier's answer, its cluster with all votes, the profile."""
+    from ..operators import runs
+    from .classify_queries import risk_run
+    from .model_queries import run_bundle
+    out = runs.case_contexts(cohort(spark, sf_dir), risk_run(spark, sf_dir), run_bundle(spark, sf_dir), ["row_id", "subject_id"],
+                             ["totalprice", "acctbal", "quantity_max"])
+    return out.select("row_id", "predicted_probability", "cluster", "neighbors_used", "prompt_json")
+
+
 SC20_SQL = with_cohort("""
 SELECT row_id, CAST(row_id AS VARCHAR) AS ctx_row_id, round(1.0 / (1.0 + exp(-(totalprice / 100000.0 - 1.5))), 2) AS ctx_probability,
        'cluster_' || cluster AS ctx_cluster_label
@@ -446,14 +494,17 @@ def st01_scoring_stream(spark, sf_dir):
     aligned, scored by the fitted GBT and assigned by kNN vote (rows-only)."""
     from ..operators.features import Preprocessor, Reducer
     from ..streaming.scoring import ScoringModels, run_scoring_stream
-    from .classify_queries import gbt_run
-    model, pre, _ = gbt_run(spark, sf_dir, max_iter=10)
+    from .classify_queries import TREES
     c = cohort(spark, sf_dir)
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), F.year("o_orderdate").alias("yr"))
     last = orders.agg(F.max("yr")).first()[0]
     c = c.join(orders, "row_id")
     hist = c.where(F.col("yr") < last)
     nums = ["totalprice", "acctbal", "quantity_min", "quantity_max", "price_max", "discount_max", "tax_max"]
+    pre = Preprocessor.fit(hist, nums, ["cat_priority", "cat_region"])  # the latest year is new to the model
+    sizes = hist.agg(F.sum(1 - F.col("target")).alias("n0"), F.sum("target").alias("n1")).first()
+    train = CF.with_class_weight(pre.transform(hist, ["row_id", "target"]), "target", sizes["n0"] / sizes["n1"])
+    model = CF.fit_gbt(CF.to_features(train), "target", weight="weight", max_iter=TREES)
     cpre = Preprocessor.fit(hist, nums, ["cat_priority"])
     x = cpre.transform(hist, ["row_id"])
     red = Reducer.fit(x, "features", len(cpre.feature_names), hist.count(), 15)

@@ -275,6 +275,15 @@ def test_gbt_contributions_additive(spark):
     assert err < 1e-9
 
 
+def test_prompt_blocks(spark):
+    from cohortlens.operators import context as CX
+    found = spark.createDataFrame([("r", 7, "á"), ("r", 3, "b")], "request_id string, row_id long, v string")
+    rows = spark.createDataFrame([("r", "{}"), ("s", None)], "request_id string, audit string").join(CX.matched_rows(found, ["row_id", "v"]), "request_id", "left")
+    p = {r["request_id"]: r["p"] for r in rows.select("request_id", CX.with_history(CX.with_form(F.lit("P"), F.lit("F"), F.col("audit")), F.col("matched_json")).alias("p")).collect()}
+    assert '[{"row_id":3,"v":"b"},{"row_id":7,"v":"á"}]\n\n\nINSTRUCCION FINAL' in p["r"] and CX.EXTRACTION_HEADING + "{}\n" in p["r"]
+    assert CX.MATCHED_NONE in p["s"] and CX.MATCHED_NOTE not in p["s"] and "EXTRACCION" not in p["s"] and p["s"].startswith("P\n\nMETADATOS")
+
+
 def test_tree_contributions_equal_all_subsets():
     """Shapley values by their definition over all sets of known features, on trees that test a feature twice on a path."""
     from itertools import combinations
