@@ -328,7 +328,7 @@ def ml15_run_test_rows(spark, sf_dir):
 
 
 RUN_CLUSTERS_SQL = f"""
-SELECT cluster_label, cluster, severity_rank, count(*) AS n_patients_test, avg(true_label) AS observed_mortality_test
+SELECT cluster_label, cluster, severity_rank, count(*) AS n_patients_test, round(avg(true_label), 6) AS observed_mortality_test
 FROM ({RUN_ROWS_SQL}) t GROUP BY ALL
 """
 
