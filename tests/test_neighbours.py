@@ -105,3 +105,21 @@ def test_vote_on_the_join(spark):
     df = frame(spark, x)
     out = assign.assign_clusters(df.select("id", "embedding"), df.select(df["id"].alias("ref"), "embedding", "cluster"), "id", "ref", 1)
     assert all(r["cluster"] >= 0 and r["neighbors_used"] == 1 for r in out.collect()) and out.count() == 120
+
+
+def test_products_decide_as_exact_differences():
+    """Pairs at the radius itself, far from the origin, of tiny numbers and beyond single precision."""
+    rng = np.random.default_rng(3)
+    grid = np.round(rng.uniform(0, 3, (300, 3)), 1)
+    for x, limit in ((grid, 1.0), (grid + 1e7, 1.0), (grid * 1e-25, 1e-50), (grid * 1e30, 1e60), (grid[:5].repeat(40, axis=0), 0.0)):
+        assert (NB.decided(x[:50], x, limit) == (NB.squared(x[:50], x) <= limit)).all()
+
+
+def test_a_point_is_sent_once_for_a_group_of_cells(spark):
+    x = blobs(9, 900)
+    points = NB.points(frame(spark, x), "id", "embedding")
+    rows, cells = NB.in_cells(points, NB.pivots_of(points), 4096)
+    assert len(cells.held) == 1 < len(cells.pivots) and cells.held.sum() == len(x)
+    assert NB.within_visits(rows, cells, 50.0).count() == len(x)
+    rows, cells = NB.in_cells(points, NB.pivots_of(points), 100)
+    assert 1 < len(cells.held) < len(cells.pivots) and cells.held.max() <= max(100, cells.rows.max())
