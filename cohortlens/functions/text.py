@@ -11,6 +11,8 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,10 +78,22 @@ CONTEXT_MARKER = "CONTEXTO DEL CASO"
 
 # ------------------------------------------------------------- normalise ----
 
-@F.pandas_udf(T.StringType())
-def ascii_fold(s: pd.Series) -> pd.Series:
-    """NFKD decomposition, then drop every non-ASCII code point (Arrow batches)."""
-    return s.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode("ascii"))
+FOLDED_AT_ONCE = 64  # texts of a batch held as Python strings
+
+
+@F.arrow_udf(T.StringType())
+def ascii_fold(s: pa.Array) -> pa.Array:
+    """NFKD decomposition, then drop every non-ASCII code point (Arrow batches).  ASCII texts stay in their buffers; of the
+    others a few at a time are Python strings, so a worker holds a batch and its result, not their copies."""
+    parts = []
+    for low in range(0, len(s), FOLDED_AT_ONCE):
+        some = s.slice(low, FOLDED_AT_ONCE)
+        if pc.all(pc.string_is_ascii(some)).as_py() is not False:
+            parts.append(some)
+        else:
+            parts.append(pa.array([None if t is None else t if t.isascii() else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode("ascii")
+                                   for t in some.to_pylist()], s.type))
+    return pa.concat_arrays(parts) if parts else s
 
 
 def normalise_text(text: Column) -> Column:
