@@ -116,11 +116,11 @@ def spearman(df: DataFrame, cols: list[str]) -> DataFrame:
     Each pair is ranked on its own complete rows (average ties), as pandas does;
     rho is the Pearson correlation of the two rank columns."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    structs = [F.struct(F.lit(a).alias("var_a"), F.lit(b).alias("var_b"),
-                        F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs]
+    # a pair goes through every shuffle as its number, not as two names
+    structs = [F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for i, (a, b) in enumerate(pairs)]
     stacked = df.select(F.explode(F.array(*structs)).alias("s")).select("s.*").where(
         F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
-    pair = ["var_a", "var_b"]
+    pair = ["pair"]
 
     # One row per distinct (x, y) of a pair: a hot value is a few weighted rows in everything that follows.
     cells = stacked.groupBy(*pair, "x", "y").agg(F.count(F.lit(1)).alias("__c"))
@@ -133,6 +133,7 @@ def spearman(df: DataFrame, cols: list[str]) -> DataFrame:
     ranked = cells.join(rank_table("x", "rx"), [*pair, "x"]).join(rank_table("y", "ry"), [*pair, "y"]).join(totals, pair)
     mean = (F.col("n") + 1) / 2.0  # of average ranks, whatever the ties
     dx, dy, c = F.col("rx") - mean, F.col("ry") - mean, F.col("__c")
+    names = [F.element_at(F.array(*[F.lit(p[i]) for p in pairs]), F.col("pair") + 1).alias(n) for i, n in enumerate(("var_a", "var_b"))]
     return ranked.groupBy(*pair, "n").agg(F.sum(c * dx * dy).alias("xy"), F.sum(c * dx * dx).alias("xx"),
                                           F.sum(c * dy * dy).alias("yy")).select(
-        *pair, F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy"))).alias("rho"), "n")
+        *names, F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy"))).alias("rho"), "n")
