@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cohortlens.operators import fits
 
@@ -131,3 +132,22 @@ def test_shared_metrics_equal_the_single_ones(spark):
             assert r[name] == pytest.approx(one[name], rel=1e-6, abs=1e-9), (r["experiment_id"], name)
         rates = lab.join(outcome, "row_id").where("cluster <> -1").groupBy("cluster").agg(F.avg("dead").alias("r"))
         assert r["mortality_separation"] == pytest.approx(rates.agg(F.stddev_pop("r")).first()[0])
+
+
+def test_blocks_are_dealt_to_all_cores(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (3 * fits.SLICE + 5, 3))
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(x.tolist())], "row_id long, embedding array<double>").coalesce(1)
+    blocks = fits.packed(df, "embedding")
+    tasks = spark.sparkContext.defaultParallelism
+    held = [r["count"] for r in blocks.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(held) >= 4 and max(held) <= max(1, 2 * sum(held) / tasks)
+    total = fits.one_pass(blocks, 4, 2, lambda s: np.vstack([np.r_[len(s), s.sum(axis=0)], np.zeros(4)]))
+    assert np.allclose(total, np.vstack([np.r_[len(x), x.sum(axis=0)], np.zeros(4)]))
+
+
+def test_centres_at_one_distance_share_no_row(spark):
+    x = np.repeat([[0.0, 0.0], [5.0, 0.0]], 20, axis=0)  # fewer distinct rows than centres
+    found = fits.k_means(frame(spark, x), "row_id", "embedding", [2, 4], 3)
+    assert all(cost == pytest.approx(0) for _, cost in found.values())
+    assert {tuple(c) for c in np.round(found[4][0], 9).tolist()} == {(0.0, 0.0), (5.0, 0.0)}
