@@ -20,7 +20,6 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -42,6 +41,7 @@ GATHERED = 100_000  # words whose neighbours a task holds before it sends them o
 MAX_HEAD_WORD = 100  # bytes; with HEAD this bounds the broadcast
 SHARE = 8192  # words that a task moves at once
 FEW = 3  # different neighbours of a word whose choice is remembered
+STEP = 4096  # neighbours of the words that are compared with all classes at once
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -307,46 +307,68 @@ def moved_tail(rows: DataFrame, matrix: np.ndarray, n_classes: int, n_tail: int,
     shares = max(128, -(-n_tail // SHARE))
     known: dict[tuple, int] = {}  # class by own class and tokens beside, of words with few tokens; one per task
 
-    def move(some: pd.DataFrame) -> pd.DataFrame:
-        some = some.sort_values("word", kind="stable")
-        named, first, index = np.unique(some["word"].to_numpy(), return_index=True, return_inverse=True)
-        now = some["own"].to_numpy()[first].astype(np.int64)
-        c, cells = np.zeros(len(named), np.int64), some["beside"].to_numpy()
-        mine = np.array([half is None or hash_of(w) % 2 == half for w in named])
-        ends = np.searchsorted(index, np.arange(len(named) + 1))
-        lone = (np.diff(ends) == 1) & np.array([len(x) <= 5 * FEW for x in cells[ends[:-1]]], bool)
-        keys = [(o, cells[e]) if one else None for o, e, one in zip(now.tolist(), ends[:-1].tolist(), lone.tolist())]
-        new = {k: i for i, k in enumerate(keys) if k is not None and k not in known}
-        ask = np.array(sorted([*np.flatnonzero(~lone).tolist(), *new.values()]), np.int64)
-        chosen = np.zeros(len(named), np.int64)
-        for at in range(0, len(ask), 256):
-            here = ask[at:at + 256]
-            vectors = np.zeros((len(here), 2 * total))
-            for place, i in enumerate(here.tolist()):
-                for cell in cells[ends[i]:ends[i + 1]]:
-                    k = len(cell) // 5
-                    vectors[place] += np.bincount(np.frombuffer(cell, np.uint8, k), np.frombuffer(cell, "<u4", k, k), 2 * total)
-            before, after = vectors[:, :total], vectors[:, total:]
-            chosen[here] = best_classes(matrix, now[here], after, before, n_classes)
-        known.update((k, int(chosen[i])) for k, i in new.items())
-        for i in range(len(named)):
-            if keys[i] is not None:
-                chosen[i] = known[keys[i]]
-            for cell in cells[ends[i]:ends[i + 1]]:  # every token has one neighbour after it
-                k = len(cell) // 5
-                c[i] += np.frombuffer(cell, "<u4", k, k)[np.frombuffer(cell, np.uint8, k) >= total].sum()
+    def move(some: pa.Table) -> pa.Table:
+        some = some.combine_chunks()
+        word, own, cells = (some.column(c).chunk(0) if some.column(c).num_chunks else pa.array([], some.schema.field(c).type) for c in ("word", "own", "beside"))
+        encoded = word.dictionary_encode()
+        named, index = encoded.dictionary, encoded.indices.to_numpy()
+        now = np.zeros(len(named), np.int64)
+        now[index] = own.to_numpy()  # one class per word
+        row, code, n = opened(cells)
+        at = index[row]
+        # every token has one neighbour after it
+        c = np.bincount(at[code >= total], n[code >= total], len(named)).astype(np.int64)
+        neighbours, rows_of = np.bincount(at, minlength=len(named)), np.bincount(index, minlength=len(named))
+        alone = np.zeros(len(named), np.int64)
+        alone[index] = np.arange(len(index))  # the row of a word that has one
+        lone = np.flatnonzero((rows_of == 1) & (neighbours <= FEW))
+        texts = cells.take(pa.array(alone[lone])).dictionary_encode()
+        kinds, first, of = np.unique(now[lone] * (len(texts.dictionary) + 1) + texts.indices.to_numpy(), return_index=True, return_inverse=True)
+        values = texts.dictionary.to_pylist()
+        keys = [(o, values[i]) for o, i in zip(now[lone[first]].tolist(), texts.indices.to_numpy()[first].tolist())]
+        new = np.array([k not in known for k in keys], bool)
+        # words with few neighbours first, so that the words of a step are alike
+        ask = np.concatenate([lone[first[new]], np.setdiff1d(np.arange(len(named)), lone)]).astype(np.int64)
+        rank = np.full(len(named), -1)
+        rank[ask] = np.arange(len(ask))
+        order = np.argsort(rank[at], kind="stable")
+        order = order[np.searchsorted(rank[at[order]], 0):]
+        ranked, code, n = rank[at[order]], code[order], n[order]
+        ends = np.searchsorted(ranked, np.arange(len(ask) + 1))
+        chosen, low = np.zeros(len(named), np.int64), 0
+        while low < len(ask):
+            high = min(low + 256, max(low + 1, int(np.searchsorted(ends, ends[low] + STEP, "right")) - 1), len(ask))
+            here, of_here = ask[low:high], slice(ends[low], ends[high])
+            vectors = np.bincount((ranked[of_here] - low) * (2 * total) + code[of_here], n[of_here], len(here) * 2 * total).reshape(len(here), 2 * total)
+            chosen[here] = best_classes(matrix, now[here], vectors[:, total:], vectors[:, :total], n_classes)
+            low = high
+        known.update((keys[i], int(chosen[lone[first[i]]])) for i in np.flatnonzero(new).tolist())
+        chosen[lone] = np.array([known[k] for k in keys], np.int64)[of]
         # a word that no class gains from at first (all words beside it are outside the head) goes by its hash
         lost = np.flatnonzero(chosen > n_classes)
-        chosen[lost] = [hash_of(w) // 2 % n_classes for w in named[lost]]
-        best = np.where(mine, chosen, now)
-        if len(known) > PENDING:
+        chosen[lost] = [hash_of(w) // 2 % n_classes for w in named.take(pa.array(lost)).to_pylist()]
+        if half is not None:
+            chosen = np.where(np.array([hash_of(w) % 2 == half for w in named.to_pylist()], bool), chosen, now)
+        if len(known) > GATHERED:
             known.clear()
-        return pd.DataFrame({"word": named, "c": c, "class": best.astype(np.int8)})
+        return pa.table({"word": named, "c": c, "class": chosen.astype(np.int8)})
 
-    return written(rows.groupBy(F.pmod(F.xxhash64("word"), F.lit(shares)).alias("share")).applyInPandas(move, "word binary, c long, class byte"),
+    return written(rows.groupBy(F.pmod(F.xxhash64("word"), F.lit(shares)).alias("share")).applyInArrow(move, "word binary, c long, class byte"),
                    "lexicon")
 
 
+def opened(cells: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """row, code, n of all neighbours in a column of cells, each of which has its codes in a byte and then its counts in four."""
+    ends = np.frombuffer(cells.buffers()[1], np.int32, len(cells) + 1, 4 * cells.offset).astype(np.int64)
+    data = np.frombuffer(cells.buffers()[2] or b"", np.uint8)
+    size = np.diff(ends) // 5
+    row = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    code = data[ends[row] + place].astype(np.int64)
+    at = ends[row] + size[row] + 4 * place
+    return row, code, sum(data[at + i].astype(np.int64) << 8 * i for i in range(4))
+
+
 def hash_of(word: bytes) -> int:
     return int.from_bytes(blake2b(word, digest_size=4).digest(), "little")
 

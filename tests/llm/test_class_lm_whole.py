@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cohortlens.llm import class_lm
@@ -62,3 +63,27 @@ def test_rounds_of_the_head_come_to_rest(spark, sf):
     fitted = class_lm.Fitted(docs, counts, 2000, 16, class_lm.ROUNDS)
     assert len(fitted.gains) < class_lm.ROUNDS and fitted.gains[-1] < class_lm.STILL < min(fitted.gains[:-1])
     assert sorted(set(fitted.classes[:-1].tolist())) == list(range(17))
+
+
+def test_tail_moves_equal_single_ones(spark):
+    """Cells are opened as arrays; words with one cell, several cells and equal cells move as each alone would."""
+    rng, n_classes = np.random.default_rng(3), 4
+    total = n_classes + 2
+    matrix = rng.integers(1, 60, (total, total)).astype(float)
+    rows, vectors = [], {}
+    for i in range(150):
+        word = b"w%d" % (i % 90)
+        codes = np.sort(rng.choice(2 * total, rng.integers(1, 7), replace=False)).astype(np.uint8)
+        counts = rng.integers(1, 70_000, len(codes)).astype("<u4")
+        rows.append((bytearray(word), n_classes + 1, bytearray(codes.tobytes() + counts.tobytes())))
+        vectors.setdefault(word, np.zeros(2 * total))[codes] += counts
+    row, code, n = class_lm.opened(pa.array([bytes(r[2]) for r in rows], pa.binary()).slice(10))
+    assert n.sum() == sum(np.frombuffer(r[2], "<u4", len(r[2]) // 5, len(r[2]) // 5).sum() for r in rows[10:]) and code.max() < 2 * total
+    assert row.tolist() == sorted(row.tolist()) and row[-1] == len(rows) - 11
+    frame = spark.createDataFrame(rows, class_lm.TAIL_ROWS).repartition(3)
+    got = {bytes(r["word"]): (r["c"], r["class"]) for r in class_lm.moved_tail(frame, matrix, n_classes, 90, None).collect()}
+    want = {}
+    for word, v in vectors.items():
+        best = class_lm.best_classes(matrix, np.array([n_classes + 1]), v[None, total:], v[None, :total], n_classes)[0]
+        want[word] = (int(v[total:].sum()), int(best) if best <= n_classes else class_lm.hash_of(word) // 2 % n_classes)
+    assert got == want
