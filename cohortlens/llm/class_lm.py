@@ -17,7 +17,9 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
+from itertools import chain as chained, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,9 @@ GATHERED = 100_000  # words whose neighbours a task holds before it sends them o
 MAX_HEAD_WORD = 100  # bytes; with HEAD this bounds the broadcast
 SHARE = 8192  # words that a task moves at once
 FEW = 3  # different neighbours of a word whose choice is remembered
+AT_ONCE = 1024  # texts whose words a task holds as Python objects
 STEP = 4096  # neighbours of the words that are compared with all classes at once
+SLICES = 2  # shares of the documents whose words are looked up one after the other; the shuffle files of one lie on disk at a time
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -49,6 +53,13 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def few_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``AT_ONCE`` rows."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, AT_ONCE):
+            yield batch.slice(low, AT_ONCE)
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """word (binary), c of all tokens of ``docs``, the end of each text included."""
 
@@ -61,7 +72,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             seen.clear()
             return out
 
-        for batch in batches:
+        for batch in few_texts(batches):
             for text in utf8(batch.column(0)):
                 seen.update(words_of(text))
                 if len(seen) > PENDING:
@@ -105,7 +116,7 @@ def count_head_pairs(docs: DataFrame, sent, end: int) -> DataFrame:
             return pa.RecordBatch.from_pydict({"before": pa.array((codes >> 32).astype(np.int32)), "after": pa.array((codes & 0xFFFFFFFF).astype(np.int32)),
                                                "n": pa.array(counts.astype(np.int64))})
 
-        for batch in batches:
+        for batch in few_texts(batches):
             for text in utf8(batch.column(0)):
                 row = _row(words_of(text), ids, end)
                 waiting.append(row[:-1] << 32 | row[1:])
@@ -122,7 +133,7 @@ def count_head_pairs(docs: DataFrame, sent, end: int) -> DataFrame:
 
 def _row(words: list[bytes], ids: dict, end: int) -> np.ndarray:
     row = np.full(len(words) + 2, end, np.int64)
-    row[1:-1] = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+    row[1:-1] = np.fromiter(map(ids.get, words, repeat(ids.rare)), np.int64, len(words))
     return row
 
 
@@ -272,28 +283,28 @@ def gathered(ids_of, classes_of, total: int):
     """A function from batches to rows (word, own, beside): for each word outside the head its class before the move
     and, for each side and class, its tokens; one short row per word and task, whatever the word's frequency."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, waiting, n, own = _Places(), [], 0, {}
+        places, waiting, n, own = _Places(), [], 0, []
 
         def flush():
             codes, counts = np.unique(np.concatenate(waiting), return_counts=True)
             place, code = np.divmod(codes, 2 * total)
-            starts = np.searchsorted(place, np.arange(len(places) + 1))
-            code, counts = code.astype(np.uint8), counts.astype("<u4")
-            beside = [code[a:b].tobytes() + counts[a:b].tobytes() for a, b in zip(starts, starts[1:])]
-            return pa.RecordBatch.from_pydict({"word": pa.array(list(places), pa.binary()), "own": pa.array([own[w] for w in places], pa.int32()),
-                                               "beside": pa.array(beside, pa.binary())})
+            now = np.zeros(len(places), np.int32)
+            for at, classes in own:
+                now[at] = classes
+            return pa.RecordBatch.from_pydict({"word": pa.array(list(places), pa.binary()), "own": pa.array(now), "beside": closed(place, code, counts, len(places))})
 
         find = ids_of()
-        for batch in batches:
+        for batch in few_texts(batches):
             for words, outside, codes in classes_of(batch, find):
                 if len(outside):
-                    own.update(zip(words, codes[outside].tolist()))
-                    place = np.fromiter(map(places.__getitem__, words), np.int64, len(words)) * (2 * total)
+                    place = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
+                    own.append((place, codes[outside]))
+                    place = place * (2 * total)
                     waiting.append(np.concatenate([place + codes[outside - 1], place + total + codes[outside + 1]]))
                     n += 2 * len(outside)
                     if n > 2 * PENDING or len(places) > GATHERED:
                         yield flush()
-                        places, waiting, n, own = _Places(), [], 0, {}
+                        places, waiting, n, own = _Places(), [], 0, []
         if waiting:
             yield flush()
 
@@ -357,6 +368,21 @@ def moved_tail(rows: DataFrame, matrix: np.ndarray, n_classes: int, n_tail: int,
                    "lexicon")
 
 
+def closed(row: np.ndarray, code: np.ndarray, n: np.ndarray, rows: int) -> pa.Array:
+    """The column of cells that ``opened`` reads, from its neighbours in the order of their rows."""
+    size = np.bincount(row, minlength=rows)
+    first = np.cumsum(size) - size
+    place = np.arange(len(row)) - first[row]
+    data = np.empty(5 * len(row), np.uint8)
+    start = 5 * first[row]
+    data[start + place] = code
+    start += size[row] + 4 * place
+    for i in range(4):
+        data[start + i] = (n >> 8 * i & 255).astype(np.uint8)
+    ends = (5 * np.append(first, len(row))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
 def opened(cells: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """row, code, n of all neighbours in a column of cells, each of which has its codes in a byte and then its counts in four."""
     ends = np.frombuffer(cells.buffers()[1], np.int32, len(cells) + 1, 4 * cells.offset).astype(np.int64)
@@ -507,8 +533,8 @@ def sequences(rows: DataFrame, fitted: Fitted) -> DataFrame:
         words_of_head, classes, head_log = sent.value
         ids = _Ids(words_of_head)
         end, rare = ids[END], ids.rare
-        for batch in batches:
-            n_all, n_head, logs, tails, chains = [], [], [], [], []
+        for batch in few_texts(batches):
+            n_all, n_head, logs, chains, tail_words, tail_n, sizes = [], [], [], [], [], [], [0]
             for text in utf8(batch.column(1)):
                 words = words_of(text)
                 row = _row(words, ids, end)
@@ -517,15 +543,23 @@ def sequences(rows: DataFrame, fitted: Fitted) -> DataFrame:
                 n_all.append(len(tokens))
                 n_head.append((len(tokens) - len(outside)) * known)
                 logs.append(float(head_log[tokens].sum()))
-                seen = Counter([words[i - 1] for i in outside.tolist()])
-                place = {w: i for i, w in enumerate(seen)}
-                codes[outside] = np.fromiter((n_codes + place[words[i - 1]] for i in outside.tolist()), np.int64, len(outside))
+                found = [words[i - 1] for i in outside.tolist()]
+                seen = dict.fromkeys(found)
+                place = dict(zip(seen, range(len(seen))))
+                at = np.fromiter(map(place.__getitem__, found), np.int64, len(found))
+                codes[outside] = n_codes + at
                 wide = n_codes + len(seen) > 1 << 16
                 chains.append((b"\4" + codes.astype("<u4").tobytes()) if wide else (b"\2" + codes.astype("<u2").tobytes()))
-                tails.append([{"place": i, "word": w, "n": n} for i, (w, n) in enumerate(seen.items())])
+                tail_words.append(seen)
+                tail_n.append(np.bincount(at, minlength=len(seen)))
+                sizes.append(len(seen))
+            ends = np.cumsum(sizes)
+            places = np.arange(ends[-1]) - np.repeat(ends[:-1], sizes[1:])
+            tails = pa.StructArray.from_arrays([pa.array(places, pa.int32()), pa.array(list(chained.from_iterable(tail_words)), pa.binary()),
+                                                pa.array(np.concatenate([np.zeros(0, np.int64), *tail_n]), pa.int64())], ["place", "word", "n"])
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(2), pa.array(n_all, pa.int64()), pa.array(n_head, pa.int64()), pa.array(logs, pa.float64()),
-                pa.array(tails, pa.list_(pa.struct([("place", pa.int32()), ("word", pa.binary()), ("n", pa.int64())]))),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tails),
                 pa.array(chains, pa.binary())], names=["doc_id", "held_out", "n_tokens", "n_head", "head_log", "tail", "chain"])
 
     schema = ("doc_id long, held_out boolean, n_tokens long, n_head long, head_log double, "
@@ -535,14 +569,26 @@ def sequences(rows: DataFrame, fitted: Fitted) -> DataFrame:
 
 def with_classes(scored: DataFrame, lexicon: DataFrame, n_classes: int, words: bool) -> DataFrame:
     """The sequences with the classes of their other words, n_known and log_all, the sum of log10(c + 0.1) of all tokens.
-    No word is a hot key: a document sends each of its words once, and frequent words are in the head."""
+    Ranges of ``row``, which are whole files of the sequences, are worked one after the other, so that only one range's
+    words lie in shuffle files."""
+    last = scored.agg(F.max("row")).first()[0]
+    files = 1 if last is None else (last >> 33) + 1  # the task of a row is in the bits from the 33rd
+    steps = min(SLICES, files)
+    bounds = [(files * k // steps) << 33 for k in range(steps + 1)]
+    return reduce(DataFrame.union, [classes_of_rows(scored.filter((F.col("row") >= low) & (F.col("row") < high)), lexicon, n_classes, words)
+                                    for low, high in zip(bounds, bounds[1:])])
+
+
+def classes_of_rows(scored: DataFrame, lexicon: DataFrame, n_classes: int, words: bool) -> DataFrame:
+    """``with_classes`` for some rows.  No word is a hot key: a document sends each of its words once, and frequent words
+    are in the head.  A word's place and class travel as one number."""
     tail = (scored.select("row", F.explode("tail").alias("t")).select("row", "t.place", "t.word", "t.n")
             .join(lexicon, "word", "left"))
+    placed = F.shiftleft(F.col("place").cast("long"), 8) + F.coalesce("class", F.lit(n_classes + 1).cast("byte"))
     by_row = tail.groupBy("row").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("tail_known"),
         F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + ADD)).alias("tail_log"),
-        F.transform(F.sort_array(F.collect_list(F.struct("place", F.coalesce("class", F.lit(n_classes + 1).cast("byte")).alias("class")))),
-                    lambda x: x["class"]).alias("classes"))
+        F.transform(F.sort_array(F.collect_list(placed)), lambda x: x.bitwiseAND(255).cast("byte")).alias("classes"))
     kept = [F.transform("tail", lambda t: t["word"]).alias("words")] if words else []
     return written(scored.join(by_row, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),

@@ -87,3 +87,23 @@ def test_tail_moves_equal_single_ones(spark):
         best = class_lm.best_classes(matrix, np.array([n_classes + 1]), v[None, total:], v[None, :total], n_classes)[0]
         want[word] = (int(v[total:].sum()), int(best) if best <= n_classes else class_lm.hash_of(word) // 2 % n_classes)
     assert got == want
+
+
+def test_words_are_looked_up_for_a_range_of_files_at_a_time(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * j) % 37}" for j in range(i % 9))) for i in range(40)]
+    docs = spark.createDataFrame(rows + [(40, None)], "doc_id long, text string").repartition(4, "doc_id")
+
+    def scores(slices):
+        monkeypatch.setattr(class_lm, "SLICES", slices)
+        found = class_lm.class_lm_scores(docs, F.col("doc_id") % 10 == 0, head_size=5, n_classes=3, rounds=2)
+        return {r["doc_id"]: (r["n_tokens"], r["n_known"], round(r["base_score"], 9), round(r["score"], 9)) for r in found.collect()}
+
+    names = []
+    plain = class_lm.written
+    monkeypatch.setattr(class_lm, "written", lambda df, name: names.append(name) or plain(df, name))
+    sliced = scores(2)
+    assert names.count("classes") == 2  # the shuffle files of one lookup are gone before the next one begins
+    assert len(sliced) == 41 and sliced == scores(1)
+    row, code, n = np.array([0, 0, 2, 2, 2]), np.array([3, 130, 0, 7, 66]), np.array([1, 70000, 5, 2, 1 << 30])
+    cells = class_lm.closed(row, code, n, 4)
+    assert [a.tolist() for a in class_lm.opened(cells)] == [row.tolist(), code.tolist(), n.tolist()] and cells[1].as_py() == cells[3].as_py() == b""
