@@ -133,8 +133,7 @@ def src09_template_fill(spark, sf_dir):
 def src10_text_scan(spark, sf_dir):
     """Documents written as one text file each and scanned back whole: one row per file."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    path = IO.scratch_path(spark, "texts")
-    d.write.partitionBy("doc_id").text(path)
+    path = IO.write_texts(d, "doc_id", "text", IO.scratch_path(spark, "texts"))
     whole = F.expr("substring(value, 1, length(value) - 1)")  # the sink ends each file with a line break
     doc_id = F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("bigint").alias("doc_id")
     return IO.read_texts(spark, path).select(doc_id, F.length(whole).alias("n_chars"), F.md5(whole).alias("digest"))

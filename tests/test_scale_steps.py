@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 
 import numpy as np
@@ -67,3 +68,28 @@ def test_fold_keeps_ascii_buffers_and_folds_the_rest(spark):
     texts = [None, "", "plain", "Añb ﬁ ½ ㎏ 漢 é", "e\u0301x"] * 40
     got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1).select("i", TX.ascii_fold(F.col("t")).alias("t")).orderBy("i").collect()
     assert [r["t"] for r in got] == [None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode() for t in texts]
+
+
+def test_texts_are_written_to_few_folders(spark, tmp_path, monkeypatch):
+    """A folder, a checksum and two renames per text took longer than the texts; tasks now fill folders of many files."""
+    from cohortlens.plans.io_queries import src10_text_scan
+    from cohortlens.sources import ingest
+    rows = [(i, None if i == 3 else "é\nline\n" * (i % 4)) for i in range(25)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(ingest, "TEXT_FILES", 10)
+    monkeypatch.setattr(ingest, "TEXT_BYTES", 8)
+    monkeypatch.setattr(ingest, "scratch_path", lambda spark, name: f"{tmp_path}/{name}")
+    found = {r["doc_id"]: (r["n_chars"], r["digest"]) for r in src10_text_scan(spark, str(tmp_path)).collect()}
+    assert found == {i: (len(t or ""), hashlib.md5((t or "").encode()).hexdigest()) for i, t in rows}
+    folders = sorted(p.name for p in (tmp_path / "texts").iterdir())
+    assert folders == [f"part-00000-0000{i}" for i in range(3)]
+    assert [len(list((tmp_path / "texts" / f).iterdir())) for f in folders] == [10, 10, 5]
+
+
+def test_written_texts_keep_rows_without_key_and_repeated_keys(spark, tmp_path):
+    from cohortlens.sources import ingest
+    df = spark.createDataFrame([("b/c", "x"), (None, "y"), ("b/c", "z")], "name string, text string").coalesce(1)
+    path = ingest.write_texts(df, "name", "text", str(tmp_path / "t"))
+    assert sorted(r["value"] for r in ingest.read_texts(spark, path).collect()) == ["x\nz\n", "y\n"]
+    none = ingest.write_texts(df.where("text = 'none'"), "name", "text", str(tmp_path / "none"))
+    assert ingest.read_texts(spark, none).count() == 0
