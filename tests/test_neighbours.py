@@ -123,3 +123,55 @@ def test_a_point_is_sent_once_for_a_group_of_cells(spark):
     assert NB.within_visits(rows, cells, 50.0).count() == len(x)
     rows, cells = NB.in_cells(points, NB.pivots_of(points), 100)
     assert 1 < len(cells.held) < len(cells.pivots) and cells.held.max() <= max(100, cells.rows.max())
+
+
+def test_dbscan_stores_each_row_a_few_times(spark, monkeypatch):
+    """Every row used to be stored once for each group of cells within its reach, which filled the disk."""
+    from cohortlens import session
+    from cohortlens.operators import density
+    stored, plain = [], session.cut_lineage
+
+    def counted(df):
+        out = plain(df)
+        stored.append(out.count())
+        return out
+
+    for module in (session, NB, density):
+        monkeypatch.setattr(module, "cut_lineage", counted, raising=False)
+    x = np.random.default_rng(5).random((600, 6))
+    got = {r["id"]: r["cluster"] for r in cluster.dbscan(frame(spark, x), "id", "embedding", 0.45, 5, 24, 25).collect()}
+    assert [got[i] for i in range(len(x))] == plain_dbscan(x, 0.45, 5)
+    assert sum(stored) <= 3 * len(x)
+
+
+def test_dbscan_with_a_large_graph_of_labels(spark, monkeypatch):
+    """More edges than the driver merges: Spark merges them, and the roots go to files."""
+    from cohortlens.operators import density
+    monkeypatch.setattr(density, "EDGES", 2)
+    x = blobs(3, 220, 2, 100)
+    got = {r["id"]: r["cluster"] for r in cluster.dbscan(frame(spark, x), "id", "embedding", 0.4, 4, 20, 10).collect()}
+    assert [got[i] for i in range(len(x))] == plain_dbscan(x, 0.4, 4)
+
+
+def test_blocks_of_density_hold_bounded_rows(spark, tmp_path):
+    """Copies of one point and a cell with most of the rows are cut into blocks; counts and keys add up."""
+    from cohortlens.operators import density
+    x = np.vstack([np.zeros((700, 2)), np.random.default_rng(1).random((300, 2))])
+    points = NB.points(frame(spark, x), "id", "embedding")
+    cells, blocks = density.packed(points, np.array([[0.0, 0.0], [50.0, 50.0]]), str(tmp_path), 10)
+    parts = [density._points(b, 2) for b in blocks]
+    members = [np.frombuffer(density._get(b.members), np.int64).reshape(-1, 2) for b in blocks]
+    assert max(b.n for b in blocks) <= 2 * 10 and max(p[3].sum() for p in parts) <= (density.COPIES + 1) * 10
+    assert sum(p[3].sum() for p in parts) == 1000 and cells.rows.sum() == sum(b.n for b in blocks)
+    assert sorted(np.concatenate([m[:, 1] for m in members]).tolist()) == list(range(1000))
+    for (points_, _, keys, _), m in zip(parts, members):
+        assert (points_[m[:, 0]] == x[m[:, 1]]).all() and (keys == [m[m[:, 0] == i, 1].min() for i in range(len(keys))]).all()
+
+
+def test_dbscan_with_null_and_repeated_keys(spark):
+    """Rows without a key count as neighbours and are in no cluster; every row of a repeated key has its cluster."""
+    from pyspark.sql import functions as F
+    rows = [(1, 0.0), (1, 0.0), (None, 0.0), (2, 0.1), (3, 9.0), (None, 9.0)]
+    df = spark.createDataFrame(rows, "id long, v double").select("id", F.array("v").alias("embedding"))
+    got = {(r["id"], r["cluster"]) for r in cluster.dbscan(df, "id", "embedding", 0.5, 4).collect()}
+    assert got == {(1, 0), (2, 0), (3, -1), (None, -1)}
